@@ -1,9 +1,9 @@
 """The 16 behavioural features per event (user, IP and account families).
 
 ``feature_snapshot`` deduplicates events by ``event_id`` (lowest ``seq`` wins),
-runs one sweep per key family on a narrow projection (only the columns that
-family reads, so the Parquet scan is pruned) and joins the three results back
-to the events on ``seq``.
+runs one sweep over all three key families on a narrow projection (only the
+columns the families read, so the Parquet scan is pruned) and joins the
+per-event result back to the events on ``seq``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import delete_like, safe_ratio
 from ..schema import FEATURE_COLUMNS
-from .sweep import DEFAULT_BUCKET_SECONDS, Count, Distinct, Entropy, Family, FirstSeen, sweep_family
+from .sweep import DEFAULT_BUCKET_SECONDS, Count, Distinct, Entropy, Family, FirstSeen, sweep
 
 FIVE_MIN = 300
 TEN_MIN = 600
@@ -69,13 +69,19 @@ def account_family() -> Family:
     )
 
 
-USER_INPUTS = ["user_id", "auth_result", "is_privileged_action", "source_ip", "geo_country", "region"]
-IP_INPUTS = ["source_ip", "auth_result", "user_id"]
-ACCOUNT_INPUTS = ["account_id", "api_action", "bytes_received", "service_name"]
+FAMILY_INPUTS = sorted(
+    {"user_id", "auth_result", "is_privileged_action", "source_ip", "geo_country", "region",
+     "api_action", "bytes_received", "service_name", "account_id"}
+)
 
 
-def user_features(ev: DataFrame, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
-    f = sweep_family(ev.select("seq", "ts_sec", *USER_INPUTS), user_family(), bucket_seconds=bucket_seconds)
+def family_features(ev: DataFrame, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+    """``seq`` + the 15 windowed/membership features (all but ``is_privileged_action``)."""
+    f = sweep(
+        ev.select("seq", "ts_sec", *FAMILY_INPUTS),
+        [user_family(), ip_family(), account_family()],
+        bucket_seconds=bucket_seconds,
+    )
     has_history = F.col("_user_events") > 1
     return f.select(
         "seq",
@@ -86,25 +92,16 @@ def user_features(ev: DataFrame, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -
         "distinct_countries_24h",
         "distinct_regions_24h",
         "privileged_actions_1h",
-        (has_history & F.col("_first_country")).alias("is_new_country_for_user"),
-        (has_history & F.col("_first_ip")).alias("is_new_ip_for_user"),
-    )
-
-
-def ip_features(ev: DataFrame, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
-    f = sweep_family(ev.select("seq", "ts_sec", *IP_INPUTS), ip_family(), bucket_seconds=bucket_seconds)
-    return f.select(
-        "seq",
         "ip_users_24h",
         safe_ratio(F.col("_ip_failed_5m"), F.col("_ip_requests_5m")).alias("ip_failed_auth_rate_5m"),
+        "account_delete_actions_10m",
+        "account_service_entropy_1h",
+        "account_bytes_received_1h",
+        (has_history & F.col("_first_country")).alias("is_new_country_for_user"),
+        (has_history & F.col("_first_ip")).alias("is_new_ip_for_user"),
     )
 
 
-def account_features(ev: DataFrame, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
-    f = sweep_family(ev.select("seq", "ts_sec", *ACCOUNT_INPUTS), account_family(), bucket_seconds=bucket_seconds)
-    return f.select("seq", "account_delete_actions_10m", "account_service_entropy_1h", "account_bytes_received_1h")
-
-
 def feature_snapshot(
     events: DataFrame,
     *,
@@ -117,14 +114,10 @@ def feature_snapshot(
     UTC seconds) besides the event fields.
     """
     ev = dedup_events(events) if dedup else events
-    uf = user_features(ev, bucket_seconds)
-    ipf = ip_features(ev, bucket_seconds)
-    af = account_features(ev, bucket_seconds)
-    out = ev.join(uf, "seq").join(ipf, "seq").join(af, "seq")
+    out = ev.join(family_features(ev, bucket_seconds), "seq")
     out = out.withColumn("auth_failure", F.col("auth_result") == "failure")
-    base = [c for c in ev.columns]
     feats = [c for c in FEATURE_COLUMNS if c != "is_privileged_action"]
-    return out.select(*base, *feats)
+    return out.select(*ev.columns, *feats)
 
 
 def feature_struct() -> F.Column:

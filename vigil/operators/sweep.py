@@ -119,169 +119,144 @@ def _xlogx(c: Column) -> Column:
     return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
 
 
-def sweep_family(
+def _or_all(conds: list[Column]) -> Column:
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out
+
+
+def sweep(
     ev: DataFrame,
-    fam: Family,
+    families: list[Family],
     *,
     t_col: str = "ts_sec",
     seq_col: str = "seq",
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
-    """Compute all windowed measures of one key family; returns ``seq`` + one column per measure.
+    """All windowed measures of several key families in one pass.
+
+    Returns one row per event: ``seq`` and one column per measure (counts and
+    sums as long, distinct counts as long, entropy as double rounded to 3
+    places, first-seen flags as boolean). Measure names must be unique across
+    families.
 
-    Entropy measures also output ``<name>__n`` (window count) internally; the
-    returned frame holds the finished value under ``name``.
+    Plan shape: stage 1 = one running count per ``(family, key, measure, value)``
+    (distinct / entropy / first-seen); stage 2 = one running sum per
+    ``(family, key)`` over the count rows and the stage-1 change rows; then one
+    aggregate by ``seq`` folds the per-family rows together.
     """
-    key = fam.key
     t = F.col(t_col).cast("long")
     seq = F.col(seq_col).cast("long")
 
-    # ---------------- stage 1: per (key, dim, value) running counts ----------------
-    dims: list[tuple[str, str, int | None, str]] = []  # (dim, value col, seconds, kind)
-    for d in fam.distincts:
-        dims.append((d.name, d.value, d.seconds, "distinct"))
-    for e in fam.entropies:
-        dims.append((e.name, e.value, e.seconds, "entropy"))
-    firsts_by_value = {f.value: f.name for f in fam.firsts}
-    for f in fam.firsts:
-        if not any(v == f.value for _, v, _, _ in dims):
-            dims.append((f.name, f.value, None, "first"))
-
-    stage2_measures = [c.name for c in fam.counts] + [d[0] for d in dims if d[3] != "first"]
-    flag_names = [f.name for f in fam.firsts]
-
-    parts: list[DataFrame] = []
+    counts: list[tuple[int, Count]] = []
+    dims: list[tuple[int, str, str, int | None, str]] = []  # (fam, name, value col, seconds, kind)
+    flags: list[tuple[int, str, str]] = []  # (fam, flag name, dim name)
+    for fi, fam in enumerate(families):
+        for c in fam.counts:
+            counts.append((fi, c))
+        for e in fam.entropies:
+            counts.append((fi, Count(f"{e.name}__n", e.seconds, F.lit(1))))
+        for d in fam.distincts:
+            dims.append((fi, d.name, d.value, d.seconds, "distinct"))
+        for e in fam.entropies:
+            dims.append((fi, e.name, e.value, e.seconds, "entropy"))
+        for f in fam.firsts:
+            host = next((d for d in dims if d[0] == fi and d[2] == f.value), None)
+            if host is None:
+                host = (fi, f"{f.name}__dim", f.value, None, "first")
+                dims.append(host)
+            flags.append((fi, f.name, host[1]))
+
+    count_names = [c.name for _, c in counts]
+    dim_measures = [d[1] for d in dims if d[4] != "first"]
+    double_measures = {d[1] for d in dims if d[4] == "entropy"}
+    flag_names = [f[1] for f in flags]
+    measures = count_names + dim_measures
+
+    def mtype(name: str) -> str:
+        return "double" if name in double_measures else "long"
+
+    def key_of(fi: int) -> Column:
+        return F.col(families[fi].key).cast("string")
+
+    # ---------------- stage 1: running counts per (family, key, measure, value) ----------------
+    change_rows = None
     if dims:
         rows = []
-        for dim, value, seconds, _kind in dims:
-            arr = F.struct(
-                F.lit(dim).alias("dim"),
-                F.col(value).cast("string").alias("val"),
-                t.alias(T),
-                seq.alias(ORD),
-                F.lit(1).cast("long").alias("d"),
-                F.lit(1).cast("long").alias("ever"),
-            )
-            rows.append(arr)
+        for fi, name, value, seconds, _kind in dims:
+            base = [F.lit(fi).alias("_fam"), key_of(fi).alias("_key"), F.lit(name).alias("dim"), F.col(value).cast("string").alias("val")]
+            rows.append(F.struct(*base, t.alias(T), seq.alias(ORD), F.lit(1).cast("long").alias("d"), F.lit(1).cast("long").alias("ever")))
             if seconds is not None:
                 rows.append(
                     F.struct(
-                        F.lit(dim).alias("dim"),
-                        F.col(value).cast("string").alias("val"),
+                        *base,
                         (t + F.lit(seconds + 1)).alias(T),
                         (F.lit(-1) - seq).alias(ORD),
                         F.lit(-1).cast("long").alias("d"),
                         F.lit(0).cast("long").alias("ever"),
                     )
                 )
-        s1 = ev.select(F.col(key).alias("_key"), F.explode(F.array(*rows)).alias("r")).select(
-            "_key", "r.dim", "r.val", F.col(f"r.{T}").alias(T), F.col(f"r.{ORD}").alias(ORD), "r.d", "r.ever"
-        )
-        s1 = running_sum(s1, ["_key", "dim", "val"], ["d", "ever"], bucket_seconds=bucket_seconds)
+        s1 = ev.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        s1 = running_sum(s1, ["_fam", "_key", "dim", "val"], ["d", "ever"], bucket_seconds=bucket_seconds)
         c_after = F.col("d_cum")
         c_before = F.col("d_cum") - F.col("d")
-        delta_cols = []
-        for dim, value, seconds, kind in dims:
+        sel = [F.col("_fam"), F.col("_key"), F.col(T), F.col(ORD), F.lit(0).alias(ARRIVAL), F.lit(None).cast("long").alias("_seq")]
+        sel += [F.lit(0).cast("long").alias(n) for n in count_names]
+        for fi, name, value, seconds, kind in dims:
+            if kind == "first":
+                continue
             if kind == "distinct":
                 change = (c_after >= 1).cast("long") - (c_before >= 1).cast("long")
-            elif kind == "entropy":
-                change = _xlogx(c_after.cast("double")) - _xlogx(c_before.cast("double"))
             else:
-                continue
-            delta_cols.append(F.when(F.col("dim") == dim, change).otherwise(F.lit(0)).alias(dim))
-        flag_cols = []
-        for dim, value, seconds, kind in dims:
-            if value in firsts_by_value:
-                fname = firsts_by_value[value]
-                flag_cols.append(
-                    F.when((F.col("dim") == dim) & (F.col("d") == 1) & (F.col("ever_cum") == 1), F.lit(1))
-                    .otherwise(F.lit(0))
-                    .alias(fname)
-                )
-        s1 = s1.select(
-            "_key",
-            T,
-            ORD,
-            F.lit(0).alias(ARRIVAL),
-            F.lit(None).cast("long").alias("_seq"),
-            *[F.lit(0).cast("long").alias(c.name) for c in fam.counts],
-            *delta_cols,
-            *flag_cols,
-        )
-        nz = [F.col(c) != 0 for c in [d[0] for d in dims if d[3] != "first"] + flag_names]
-        cond = nz[0]
-        for c in nz[1:]:
-            cond = cond | c
-        parts.append(s1.where(cond))
-
-    # ---------------- stage 2 input: arrival and expiry rows of the counts ----------------
-    windows = sorted({c.seconds for c in fam.counts if c.seconds is not None})
-    ent_counts = [Count(f"{e.name}__n", e.seconds, F.lit(1)) for e in fam.entropies]
-    counts = fam.counts + ent_counts
-    windows = sorted({c.seconds for c in counts if c.seconds is not None})
-    dim_measures = [d[0] for d in dims if d[3] != "first"]
-    rows = [
-        F.struct(
-            t.alias(T),
-            seq.alias(ORD),
-            F.lit(1).alias(ARRIVAL),
-            seq.alias("_seq"),
-            *[c.expr.cast("double" if _is_double(c) else "long").alias(c.name) for c in counts],
-        )
-    ]
-    for w in windows:
-        rows.append(
-            F.struct(
-                (t + F.lit(w + 1)).alias(T),
-                (F.lit(-1) - seq).alias(ORD),
-                F.lit(0).alias(ARRIVAL),
-                F.lit(None).cast("long").alias("_seq"),
-                *[
-                    (F.lit(0) - c.expr.cast("double" if _is_double(c) else "long")).alias(c.name)
-                    if c.seconds == w
-                    else F.lit(0).cast("double" if _is_double(c) else "long").alias(c.name)
-                    for c in counts
-                ],
-            )
-        )
-    s2 = ev.select(F.col(key).alias("_key"), F.explode(F.array(*rows)).alias("r")).select(
-        "_key", "r.*"
-    )
-    for m in dim_measures:
-        s2 = s2.withColumn(m, F.lit(0).cast("double" if _dim_is_double(dims, m) else "long"))
-    for fl in flag_names:
-        s2 = s2.withColumn(fl, F.lit(0))
-    if parts:
-        s1p = parts[0]
-        for c in ent_counts:
-            s1p = s1p.withColumn(c.name, F.lit(0).cast("long"))
-        s2 = s2.unionByName(s1p)
-
-    value_cols = [c.name for c in counts] + dim_measures
-    s2 = running_sum(s2, ["_key"], value_cols, slot_values=flag_names, bucket_seconds=bucket_seconds)
-    res = s2.where(F.col(ARRIVAL) == 1)
-
-    out = [F.col("_seq").alias(seq_col)]
-    for c in fam.counts:
-        out.append(F.col(f"{c.name}_cum").alias(c.name))
-    for d in fam.distincts:
-        out.append(F.col(f"{d.name}_cum").cast("long").alias(d.name))
-    for e in fam.entropies:
-        n = F.col(f"{e.name}__n_cum").cast("double")
-        s = F.col(f"{e.name}_cum")
-        h = F.when(n > 0, F.log2(n) - s / n).otherwise(F.lit(0.0))
-        out.append((F.greatest(F.round(h, 3), F.lit(0.0)) + F.lit(0.0)).alias(e.name))
-    for fl in flag_names:
-        out.append((F.col(f"{fl}_slot") > 0).alias(fl))
-    return res.select(*out)
-
-
-def _is_double(c: Count) -> bool:
-    return getattr(c, "double", False)
-
-
-def _dim_is_double(dims, name: str) -> bool:
-    for dim, _v, _s, kind in dims:
-        if dim == name:
-            return kind == "entropy"
-    return False
+                change = _xlogx(c_after.cast("double")) - _xlogx(c_before.cast("double"))
+            sel.append(F.when(F.col("dim") == name, change).otherwise(F.lit(0)).cast(mtype(name)).alias(name))
+        for fi, fname, dname in flags:
+            first = (F.col("dim") == dname) & (F.col("d") == 1) & (F.col("ever_cum") == 1)
+            sel.append(first.cast("long").alias(fname))
+        change_rows = s1.select(*sel).where(_or_all([F.col(n) != 0 for n in dim_measures + flag_names]))
+
+    # ---------------- stage 2: running sums per (family, key) ----------------
+    rows = []
+    for fi, fam in enumerate(families):
+        mine = [(c.name, c) for f2, c in counts if f2 == fi]
+        mine_names = {n for n, _ in mine}
+
+        def struct_for(tt, oo, arrival, sq, vals):
+            cols = [F.lit(fi).alias("_fam"), key_of(fi).alias("_key"), tt.alias(T), oo.alias(ORD), F.lit(arrival).alias(ARRIVAL), sq.alias("_seq")]
+            for n in count_names:
+                cols.append((vals[n] if n in vals else F.lit(0)).cast("long").alias(n))
+            for n in dim_measures:
+                cols.append(F.lit(0).cast(mtype(n)).alias(n))
+            for n in flag_names:
+                cols.append(F.lit(0).cast("long").alias(n))
+            return F.struct(*cols)
+
+        rows.append(struct_for(t, seq, 1, seq, {n: c.expr for n, c in mine}))
+        for w in sorted({c.seconds for _, c in mine if c.seconds is not None}):
+            vals = {n: F.lit(0) - c.expr.cast("long") for n, c in mine if c.seconds == w}
+            rows.append(struct_for(t + F.lit(w + 1), F.lit(-1) - seq, 0, F.lit(None).cast("long"), vals))
+        del mine_names
+    s2 = ev.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    if change_rows is not None:
+        s2 = s2.unionByName(change_rows)
+    s2 = running_sum(s2, ["_fam", "_key"], measures, slot_values=flag_names, bucket_seconds=bucket_seconds)
+    arrivals = s2.where(F.col(ARRIVAL) == 1)
+
+    # ---------------- fold the per-family arrival rows by seq ----------------
+    aggs = [F.sum(f"{n}_cum").alias(n) for n in measures] + [F.sum(f"{n}_slot").alias(n) for n in flag_names]
+    folded = arrivals.groupBy(F.col("_seq").alias(seq_col)).agg(*aggs)
+
+    out = [F.col(seq_col)]
+    for fam in families:
+        for c in fam.counts:
+            out.append(F.col(c.name))
+        for d in fam.distincts:
+            out.append(F.col(d.name).cast("long"))
+        for e in fam.entropies:
+            n = F.col(f"{e.name}__n").cast("double")
+            h = F.when(n > 0, F.log2(n) - F.col(e.name) / n).otherwise(F.lit(0.0))
+            out.append((F.greatest(F.round(h, 3), F.lit(0.0)) + F.lit(0.0)).alias(e.name))
+        for f in fam.firsts:
+            out.append((F.col(f.name) > 0).alias(f.name))
+    return folded.select(*out)
