@@ -86,21 +86,40 @@ def assign_sessions(
     wr = Window.partitionBy(*part).orderBy("ts_sec", "seq").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_loc_start", F.max(start_key).over(wr))
     # last session start of the key in earlier buckets
-    starts = d.where("_start").groupBy(*part).agg(F.max(F.struct(F.col("ts_sec").alias("t"), F.col("seq").alias("s"))).alias("_ls"))
+    # (every bucket gets a row, also those without a start of their own)
+    starts = d.groupBy(*part).agg(F.max(start_key).alias("_ls"))
     carry_s = starts.select(*part, F.max("_ls").over(wb).alias("_carry_start"))
-    d = d.join(carry_s, part, "left")
+    d = d.join(carry_s, part)
     sess = F.coalesce(F.col("_loc_start"), F.col("_carry_start"))
     return d.withColumn("session_ts", sess["t"]).withColumn("session_seq", sess["s"]).drop(
         "_b", "_prev", "_carry_last", "_start", "_loc_start", "_carry_start"
     )
 
 
-def _ordered_union(df: DataFrame, col: str, group: list[str]) -> DataFrame:
-    """Per group: distinct list items in first-seen order (by ts, seq, position)."""
-    items = df.select(*group, "ts_sec", "seq", F.posexplode(col).alias("_pos", "_item"))
-    firsts = items.groupBy(*group, "_item").agg(F.min(F.struct("ts_sec", "seq", "_pos")).alias("_first"))
-    return firsts.groupBy(*group).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_first", "_item"))), lambda x: x["_item"]).alias(col)
+LIST_COLUMNS = ("reasons", "recommended_actions", "ml_top_contributors")
+
+
+def _ordered_unions(df: DataFrame, group: list[str], cols=LIST_COLUMNS) -> DataFrame:
+    """Per group and list column: distinct items in first-seen order (by ts, seq, position).
+
+    One explode of all list columns; duplicates collapse in a map-side-combined
+    aggregate before the per-alert collect, which then holds distinct items only.
+    """
+    def tag(k: int):
+        return lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("pos"), x.alias("item"))
+
+    def of_kind(k: int):
+        return lambda x: x["k"] == k
+
+    tagged = F.flatten(F.array(*[F.transform(F.col(c), tag(k)) for k, c in enumerate(cols)]))
+    items = df.select(*group, "ts_sec", "seq", F.explode(tagged).alias("e"))
+    firsts = items.groupBy(*group, F.col("e.k").alias("k"), F.col("e.item").alias("item")).agg(
+        F.min(F.struct("ts_sec", "seq", F.col("e.pos").alias("pos"))).alias("first")
+    )
+    per = firsts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("k", "first", "item"))).alias("_l"))
+    return per.select(
+        *group,
+        *[F.transform(F.filter("_l", of_kind(k)), lambda x: x["item"]).alias(c) for k, c in enumerate(cols)],
     )
 
 
@@ -108,14 +127,21 @@ def suppress(
     alerts: DataFrame,
     gap_seconds: int = SUPPRESSION_WINDOW_SECONDS,
     bucket_seconds: int = SESSION_BUCKET_SECONDS,
+    materialize_sessions: bool = True,
 ) -> DataFrame:
     """Fold alerts (with keys) into the stored alert table: one row per session.
 
     Keeps id and created_at of the first alert; max scores (null-aware); newest
     title, description, features and event; sorted source union; first-seen
     ordered union of reasons, actions and contributors; count - 1 repeats.
+    The sessionized alerts are written to the checkpoint folder (lineage cut)
+    before the two aggregations read them.
     """
     s = assign_sessions(alerts, gap_seconds, bucket_seconds)
+    if materialize_sessions:
+        from ..sources.store import materialize
+
+        s = materialize(s, "alert-sessions")
     group = ["alert_fingerprint", "session_ts", "session_seq"]
     newest = F.struct("ts_sec", "seq")
     nonempty = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", newest)
@@ -138,10 +164,7 @@ def suppress(
         F.max_by("event", newest).alias("event"),
         F.max_by("idempotency_key", newest).alias("idempotency_key"),
     )
-    lists = [_ordered_union(s, c, group) for c in ("reasons", "recommended_actions", "ml_top_contributors")]
-    out = folded
-    for l in lists:
-        out = out.join(l, group, "left")
+    out = folded.join(_ordered_unions(s, group), group, "left")
     return out.select(
         F.sha2(F.col("_first_key"), 256).alias("alert_id"),
         "created_at",

@@ -108,3 +108,381 @@ FEATURE_CTES = with_ctes(SECURITY_EVENTS_SQL, DEDUP_SQL, USER_SQL, IP_SQL, ACCOU
 
 def feature_query(cols: list[str]) -> str:
     return FEATURE_CTES + f"SELECT event_id, {', '.join(cols)} FROM features"
+
+
+# ----------------------------------------------------------------- model statistics and scores
+FEATURES16 = [
+    "failed_logins_5m", "failed_logins_1h", "request_count_5m", "distinct_ips_24h", "distinct_countries_24h",
+    "distinct_regions_24h", "privileged_actions_1h", "ip_users_24h", "ip_failed_auth_rate_5m",
+    "account_delete_actions_10m", "account_service_entropy_1h", "account_bytes_received_1h",
+    "is_new_country_for_user", "is_new_ip_for_user", "is_privileged_action", "auth_failure",
+]
+BOOLS = {"is_new_country_for_user", "is_new_ip_for_user", "is_privileged_action", "auth_failure"}
+
+
+def _d(c: str) -> str:
+    return f"{c}::INTEGER::DOUBLE" if c.split(".")[-1] in BOOLS else f"{c}::DOUBLE"
+
+
+def _txt(c: str) -> str:
+    if c.split(".")[-1] in BOOLS:
+        return f"CASE WHEN {c} THEN 'True' ELSE 'False' END"
+    return f"{c}::VARCHAR"
+
+
+STATS_SQL = (
+    "stats AS (\n  SELECT\n"
+    + ",\n".join(
+        f"    median({_d(c)}) AS median_{c},\n"
+        f"    CASE WHEN stddev_pop({_d(c)}) > 1e-9 THEN stddev_pop({_d(c)}) ELSE 1.0 END AS std_{c}"
+        for c in FEATURES16
+    )
+    + ",\n    quantile_cont(1.0 / (1.0 + exp(raw_score * 3.5)), 0.5) AS p50"
+    + ",\n    quantile_cont(1.0 / (1.0 + exp(raw_score * 3.5)), 0.9) AS p90"
+    + ",\n    quantile_cont(1.0 / (1.0 + exp(raw_score * 3.5)), 0.95) AS p95"
+    + ",\n    quantile_cont(1.0 / (1.0 + exp(raw_score * 3.5)), 0.99) AS p99"
+    + ",\n    avg(CASE WHEN raw_score < 0 THEN 1.0 ELSE 0.0 END) AS observed_anomaly_fraction"
+    + ",\n    count(*) AS training_rows"
+    + "\n  FROM features\n)"
+)
+
+SCORE_BASE_SQL = """
+score_base AS (
+  SELECT f.*,
+    round(1.0 / (1.0 + exp(raw_score * 3.5)), 4) AS anomaly_score,
+    round(abs(raw_score) / (abs(raw_score) + 0.5), 4) AS confidence,
+    raw_score < 0 AS predicted_anomaly,
+    'fixture-raw-score' AS model_version
+  FROM features f
+)
+"""
+
+CONTRIB_SQL = (
+    "contrib AS (\n"
+    + "\n  UNION ALL\n".join(
+        f"  SELECT s.seq, {i} AS pos, '{c}=' || {_txt('s.' + c)} AS item,"
+        f" abs({_d('s.' + c)} - st.median_{c}) / st.std_{c} AS dev FROM score_base s CROSS JOIN stats st"
+        for i, c in enumerate(FEATURES16)
+    )
+    + "\n),\n"
+    + """top3 AS (
+  SELECT seq, string_agg(item, ', ' ORDER BY dev DESC, pos) AS tc
+  FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY dev DESC, pos) AS rk FROM contrib)
+  WHERE rk <= 3 GROUP BY seq
+)"""
+)
+
+SCORED_SQL = """
+scored AS (
+  SELECT b.*, t.tc,
+    CASE WHEN b.anomaly_score >= st.p99 THEN 'above the training p99 anomaly score'
+         WHEN b.anomaly_score >= st.p95 THEN 'above the training p95 anomaly score'
+         WHEN b.anomaly_score >= st.p90 THEN 'above the training p90 anomaly score'
+         ELSE 'within the lower 90% of training anomaly scores' END AS band,
+    'Model classified this event as ' || CASE WHEN b.predicted_anomaly THEN 'anomalous' ELSE 'within baseline' END
+      || ' with score ' || printf('%.4f', b.anomaly_score) || ' ('
+      || CASE WHEN b.anomaly_score >= st.p99 THEN 'above the training p99 anomaly score'
+              WHEN b.anomaly_score >= st.p95 THEN 'above the training p95 anomaly score'
+              WHEN b.anomaly_score >= st.p90 THEN 'above the training p90 anomaly score'
+              ELSE 'within the lower 90% of training anomaly scores' END
+      || '). The largest feature deviations were ' || t.tc || '.' AS explanation
+  FROM score_base b JOIN top3 t USING (seq) CROSS JOIN stats st
+)
+"""
+
+SCORED_CTES = with_ctes(
+    SECURITY_EVENTS_SQL, DEDUP_SQL, USER_SQL, IP_SQL, ACCOUNT_SQL, FEATURES_SQL, STATS_SQL, SCORE_BASE_SQL,
+    CONTRIB_SQL, SCORED_SQL,
+)
+
+# ----------------------------------------------------------------- rules and alerts
+RULES_SQL = """
+rule_rows AS (
+  SELECT seq, 1 AS rule_pos, 'high' AS base_severity, 'Failed login burst detected' AS title,
+    least(0.99::DOUBLE, 0.5::DOUBLE + failed_logins_5m * 0.08::DOUBLE) AS rule_score, 0.86::DOUBLE AS rule_conf,
+    [failed_logins_5m::VARCHAR || ' failed console logins in the last 5 minutes',
+     'Source country ' || geo_country,
+     'IP failed auth rate in 5 minutes: ' || ip_failed_auth_rate_5m::VARCHAR] AS base_reasons,
+    ['Lock the account if the failures continue',
+     'Verify whether the source IP belongs to corporate infrastructure',
+     'Require MFA re-authentication'] AS actions
+  FROM scored WHERE api_action = 'ConsoleLogin' AND auth_result = 'failure' AND failed_logins_5m >= 5
+  UNION ALL
+  SELECT seq, 2, 'critical', 'Privileged action from unseen country', 0.97::DOUBLE, 0.91::DOUBLE,
+    ['Privileged action ' || api_action, 'New country for user: ' || geo_country,
+     'Distinct countries seen in 24 hours: ' || distinct_countries_24h::VARCHAR],
+    ['Review the initiating session and recent IAM activity',
+     'Temporarily revoke high-risk credentials if unverified',
+     'Correlate with device and VPN logs']
+  FROM scored WHERE is_privileged_action AND is_new_country_for_user
+  UNION ALL
+  SELECT seq, 3, 'high', 'Deletion activity spike',
+    least(0.98::DOUBLE, 0.45::DOUBLE + account_delete_actions_10m * 0.1::DOUBLE), 0.79::DOUBLE,
+    [account_delete_actions_10m::VARCHAR || ' delete or terminate actions in 10 minutes',
+     'Account ' || account_id,
+     'Account service entropy in 1 hour: ' || account_service_entropy_1h::VARCHAR],
+    ['Confirm whether an authorized cleanup job is running',
+     'Snapshot impacted resources if available',
+     'Pause destructive automation until triage completes']
+  FROM scored WHERE (api_action LIKE '%Delete%' OR api_action LIKE '%Terminate%') AND account_delete_actions_10m >= 4
+  UNION ALL
+  SELECT seq, 4, 'medium', 'High-volume data access', 0.84::DOUBLE, 0.72::DOUBLE,
+    [bytes_received::VARCHAR || ' bytes received', 'API action ' || api_action,
+     'Account bytes received in 1 hour: ' || account_bytes_received_1h::VARCHAR],
+    ['Check whether the transfer matches an approved backup or analytics job',
+     'Review the affected bucket or dataset']
+  FROM scored WHERE bytes_received >= 2000000
+),
+ml_ctx AS (
+  SELECT s.*,
+    greatest(0.48::DOUBLE, 0.54::DOUBLE
+      - CASE WHEN is_new_country_for_user THEN 0.03::DOUBLE ELSE 0.0::DOUBLE END
+      - CASE WHEN is_new_ip_for_user THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END
+      - CASE WHEN account_service_entropy_1h >= 1.4 THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END
+      - CASE WHEN distinct_countries_24h >= 3 THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END) AS ml_threshold,
+    least(0.99::DOUBLE, anomaly_score + (0.0::DOUBLE
+      + CASE WHEN is_new_country_for_user THEN 0.03::DOUBLE ELSE 0.0::DOUBLE END
+      + CASE WHEN is_new_ip_for_user THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END
+      + CASE WHEN account_service_entropy_1h >= 1.4 THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END
+      + CASE WHEN distinct_countries_24h >= 3 THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END)) AS effective_ml_score
+  FROM scored s
+),
+ml_rows AS (
+  SELECT seq, 5 AS rule_pos, CASE WHEN effective_ml_score >= 0.6 THEN 'high' ELSE 'medium' END AS base_severity,
+    'Behavioral anomaly detected by ML model' AS title, anomaly_score AS rule_score, confidence AS rule_conf,
+    list_concat(['Isolation Forest anomaly score: ' || anomaly_score::VARCHAR, explanation],
+      list_filter([
+        CASE WHEN is_new_country_for_user THEN 'New country observed for user: ' || geo_country END,
+        CASE WHEN is_new_ip_for_user THEN 'New IP observed for user: ' || source_ip END,
+        CASE WHEN account_service_entropy_1h >= 1.4
+             THEN 'Broad account service spread in 1 hour: ' || account_service_entropy_1h::VARCHAR END,
+        CASE WHEN distinct_countries_24h >= 3
+             THEN 'User has touched ' || distinct_countries_24h::VARCHAR || ' countries in 24 hours' END], lambda x: x IS NOT NULL))
+      AS base_reasons,
+    ['Review the feature snapshot and recent user activity',
+     'Correlate the alert with recent authentication and resource access patterns'] AS actions
+  FROM ml_ctx
+  WHERE predicted_anomaly AND effective_ml_score >= ml_threshold AND seq NOT IN (SELECT seq FROM rule_rows)
+),
+all_rows AS (
+  SELECT r.*, CASE WHEN r.rule_pos = 5 THEN ['ml'] ELSE ['rule'] END AS base_sources FROM rule_rows r
+  UNION ALL
+  SELECT m.*, ['ml'] FROM ml_rows m
+),
+alerts AS (
+  SELECT s.event_id, s.seq, s.ts_sec, s.account_id, s.user_id, s.source_ip, s.geo_country, s.service_name,
+    s.api_action, a.title, a.rule_pos, a.base_severity, a.actions,
+    s.anomaly_score, s.confidence, s.model_version, s.tc, s.explanation,
+    CASE WHEN s.predicted_anomaly AND NOT list_contains(a.base_sources, 'ml')
+         THEN list_concat(a.base_sources, ['ml']) ELSE a.base_sources END AS sources,
+    (['low','medium','high','critical'])[1 + least(3, list_position(['low','medium','high','critical'], a.base_severity) - 1
+      + CASE WHEN NOT s.predicted_anomaly THEN 0 WHEN s.anomaly_score >= 0.64 THEN 2
+             WHEN s.anomaly_score >= 0.56 THEN 1 ELSE 0 END)] AS severity,
+    list_concat(a.base_reasons,
+      CASE WHEN s.predicted_anomaly AND NOT list_contains(a.base_sources, 'ml')
+           THEN ['ML contributors: ' || s.tc, s.explanation] ELSE [] END) AS reasons0
+  FROM all_rows a JOIN scored s USING (seq)
+),
+alerts_final AS (
+  SELECT *,
+    list_concat(reasons0, CASE WHEN severity <> base_severity
+      THEN ['Hybrid severity adjusted from ' || base_severity || ' to ' || severity || ' based on model corroboration.']
+      ELSE [] END) AS reasons,
+    '{"event_id": "' || event_id || '", "model_version": "' || model_version || '", "sources": ['
+      || array_to_string(list_transform(list_sort(sources), lambda x: '"' || x || '"'), ', ')
+      || '], "title": "' || title || '"}' AS idempotency_key,
+    '{"account_id": "' || account_id || '", "api_action": "' || api_action || '", "geo_country": "' || geo_country
+      || '", "service_name": "' || service_name || '", "severity": "' || severity || '", "source_ip": "' || source_ip
+      || '", "sources": [' || array_to_string(list_transform(list_sort(sources), lambda x: '"' || x || '"'), ', ')
+      || '], "title": "' || title || '", "user_id": "' || user_id || '"}' AS alert_fingerprint
+  FROM alerts
+)
+"""
+
+ALERT_CTES = SCORED_CTES.rstrip() + ",\n" + RULES_SQL.strip() + "\n"
+
+SESSIONS_SQL = """
+,
+islands AS (
+  SELECT *, sum(CASE WHEN prev_ts IS NULL OR ts_sec - prev_ts > 300 THEN 1 ELSE 0 END)
+      OVER (PARTITION BY alert_fingerprint ORDER BY ts_sec, seq ROWS UNBOUNDED PRECEDING) AS sid
+  FROM (SELECT *, lag(ts_sec) OVER (PARTITION BY alert_fingerprint ORDER BY ts_sec, seq) AS prev_ts FROM alerts_final)
+),
+reason_items AS (
+  SELECT alert_fingerprint, sid, ts_sec, seq, unnest(reasons) AS item, generate_subscripts(reasons, 1) AS pos FROM islands
+),
+action_items AS (
+  SELECT alert_fingerprint, sid, ts_sec, seq, unnest(actions) AS item, generate_subscripts(actions, 1) AS pos FROM islands
+),
+contrib_items AS (
+  SELECT alert_fingerprint, sid, ts_sec, seq, unnest(string_split(tc, ', ')) AS item,
+         generate_subscripts(string_split(tc, ', '), 1) AS pos FROM islands
+),
+reason_u AS (
+  SELECT alert_fingerprint, sid, string_agg(item, ' | ' ORDER BY ts_sec, seq, pos) AS reasons FROM (
+    SELECT *, row_number() OVER (PARTITION BY alert_fingerprint, sid, item ORDER BY ts_sec, seq, pos) AS rn FROM reason_items
+  ) WHERE rn = 1 GROUP BY ALL
+),
+action_u AS (
+  SELECT alert_fingerprint, sid, string_agg(item, ' | ' ORDER BY ts_sec, seq, pos) AS recommended_actions FROM (
+    SELECT *, row_number() OVER (PARTITION BY alert_fingerprint, sid, item ORDER BY ts_sec, seq, pos) AS rn FROM action_items
+  ) WHERE rn = 1 GROUP BY ALL
+),
+contrib_u AS (
+  SELECT alert_fingerprint, sid, string_agg(item, ' | ' ORDER BY ts_sec, seq, pos) AS ml_top_contributors FROM (
+    SELECT *, row_number() OVER (PARTITION BY alert_fingerprint, sid, item ORDER BY ts_sec, seq, pos) AS rn FROM contrib_items
+  ) WHERE rn = 1 GROUP BY ALL
+),
+folded AS (
+  SELECT alert_fingerprint, sid,
+    sha256(first(idempotency_key ORDER BY ts_sec, seq)) AS alert_id,
+    min(ts_sec) AS created_ts, max(ts_sec) AS last_seen_ts,
+    (['low','medium','high','critical'])[max(list_position(['low','medium','high','critical'], severity))] AS severity,
+    last(title ORDER BY ts_sec, seq) AS title,
+    max(anomaly_score) AS anomaly_score, max(confidence) AS confidence,
+    array_to_string(list_sort(first(sources)), ' | ') AS detection_sources,
+    max(anomaly_score) AS ml_anomaly_score, max(confidence) AS ml_confidence,
+    last(model_version ORDER BY ts_sec, seq) AS model_version,
+    last(explanation ORDER BY ts_sec, seq) AS ml_explanation,
+    count(*) - 1 AS suppression_count,
+    last(event_id ORDER BY ts_sec, seq) AS event_id,
+    last(idempotency_key ORDER BY ts_sec, seq) AS idempotency_key
+  FROM islands GROUP BY alert_fingerprint, sid
+),
+alert_table AS (
+  SELECT f.*, coalesce(r.reasons, '') AS reasons, coalesce(a.recommended_actions, '') AS recommended_actions,
+         coalesce(c.ml_top_contributors, '') AS ml_top_contributors
+  FROM folded f LEFT JOIN reason_u r USING (alert_fingerprint, sid)
+  LEFT JOIN action_u a USING (alert_fingerprint, sid) LEFT JOIN contrib_u c USING (alert_fingerprint, sid)
+)
+"""
+
+TABLE_CTES = ALERT_CTES.rstrip() + SESSIONS_SQL
+
+CATEGORY_SQL = """CASE WHEN detection_sources = 'ml' THEN 'ml-only'
+       WHEN detection_sources LIKE '%ml%' AND detection_sources LIKE '%rule%' THEN 'rule+ml'
+       WHEN detection_sources LIKE '%rule%' THEN 'rule-only' ELSE 'unknown' END"""
+
+
+def _alert_select(where: str = "") -> str:
+    return (
+        ALERT_CTES
+        + "SELECT event_id, title, severity, anomaly_score, confidence, array_to_string(sources, ' | ') AS detection_sources,"
+        " array_to_string(reasons, ' | ') AS reasons, anomaly_score AS ml_anomaly_score, confidence AS ml_confidence,"
+        " model_version, replace(tc, ', ', ' | ') AS ml_top_contributors, explanation AS ml_explanation FROM alerts_final"
+        + where
+    )
+
+
+def _rule_select(pos: int) -> str:
+    return (
+        SCORED_CTES.rstrip() + ",\n" + RULES_SQL.strip().split("\n),\nml_ctx AS")[0] + "\n)\n"
+        + "SELECT s.event_id, r.base_severity AS severity, r.title, r.rule_score AS anomaly_score, r.rule_conf AS confidence,"
+        " array_to_string(r.base_reasons, ' | ') AS reasons, array_to_string(r.actions, ' | ') AS recommended_actions"
+        f" FROM rule_rows r JOIN scored s USING (seq) WHERE r.rule_pos = {pos}"
+    )
+
+
+def oracles() -> dict[str, str]:
+    o: dict[str, str] = {}
+    ev = with_ctes(SECURITY_EVENTS_SQL)
+    o["event_seconds"] = ev + "SELECT event_id, epoch(\"timestamp\")::BIGINT AS event_seconds FROM security_events"
+    o["delete_like"] = ev + (
+        "SELECT event_id, api_action, (api_action LIKE '%Delete%' OR api_action LIKE '%Terminate%') AS delete_like"
+        " FROM security_events"
+    )
+    for c in FEATURES16:
+        if c in ("is_privileged_action", "auth_failure"):
+            continue
+        o[c] = feature_query([c])
+    o["feature_snapshot"] = feature_query(FEATURES16)
+    o["dedup_events"] = ev + "SELECT event_id, min(seq) AS seq FROM security_events GROUP BY event_id"
+    o["feature_vector"] = FEATURE_CTES + "SELECT event_id, " + ", ".join(f"{_d(c)} AS {c}" for c in FEATURES16) + " FROM features"
+    st = with_ctes(SECURITY_EVENTS_SQL, DEDUP_SQL, USER_SQL, IP_SQL, ACCOUNT_SQL, FEATURES_SQL, STATS_SQL)
+    o["feature_stats"] = st + "SELECT " + ", ".join(f"median_{c}, round(std_{c}, 6) AS std_{c}" for c in FEATURES16) + " FROM stats"
+    o["score_percentiles"] = st + "SELECT p50, p90, p95, p99, observed_anomaly_fraction, training_rows FROM stats"
+    o["score_from_raw"] = SCORED_CTES + "SELECT event_id, raw_score, anomaly_score, confidence, predicted_anomaly FROM scored"
+    o["score_band"] = SCORED_CTES + "SELECT event_id, anomaly_score, band AS score_band FROM scored"
+    o["top_contributors"] = SCORED_CTES + "SELECT event_id, replace(tc, ', ', ' | ') AS top_contributors FROM scored"
+    o["explanation"] = SCORED_CTES + "SELECT event_id, explanation FROM scored"
+    o["score_no_model"] = ev + (
+        "SELECT event_id, 0.0::DOUBLE AS anomaly_score, 0.0::DOUBLE AS confidence, false AS predicted_anomaly,"
+        " 'unavailable' AS model_version,"
+        " 'Model artifact unavailable. Falling back to rules-only detection.' AS explanation,"
+        " 0 AS n_contributors FROM security_events"
+    )
+    o["scenario_breakdown"] = SCORED_CTES + (
+        "SELECT coalesce(scenario, 'unknown') AS scenario, count(*) AS count,"
+        " sum(predicted_anomaly::INTEGER)::BIGINT AS predicted_anomalies,"
+        " round(sum(predicted_anomaly::INTEGER)::DOUBLE / count(*)::DOUBLE, 4) AS predicted_anomaly_rate"
+        " FROM scored GROUP BY 1 ORDER BY predicted_anomaly_rate DESC, scenario"
+    )
+    o["rule_failed_login_burst"] = _rule_select(1)
+    o["rule_privileged_new_country"] = _rule_select(2)
+    o["rule_deletion_spike"] = _rule_select(3)
+    o["rule_high_volume_transfer"] = _rule_select(4)
+    o["ml_threshold"] = ALERT_CTES + "SELECT event_id, ml_threshold, effective_ml_score FROM ml_ctx"
+    o["rule_alerts"] = ALERT_CTES + "SELECT s.event_id, r.title, r.base_severity AS severity FROM rule_rows r JOIN scored s USING (seq)"
+    o["ml_alerts"] = _alert_select(" WHERE rule_pos = 5")
+    o["alerts"] = _alert_select()
+    o["hybrid_severity"] = ALERT_CTES + (
+        "SELECT event_id, title, base_severity, severity AS hybrid_severity FROM alerts WHERE rule_pos < 5"
+    )
+    o["alert_reasons"] = ALERT_CTES + "SELECT event_id, title, array_to_string(reasons, ' | ') AS reasons FROM alerts_final"
+    o["detection_category"] = ALERT_CTES + (
+        "SELECT event_id, title,"
+        " CASE WHEN sources = ['ml'] THEN 'ml-only' WHEN list_contains(sources, 'rule') AND list_contains(sources, 'ml')"
+        " THEN 'rule+ml' WHEN list_contains(sources, 'rule') THEN 'rule-only' ELSE 'unknown' END AS detection,"
+        " CASE WHEN sources = ['ml'] THEN 'ml_only' WHEN sources = ['rule'] THEN 'rule_only'"
+        " WHEN list_contains(sources, 'rule') AND list_contains(sources, 'ml') THEN 'rule_plus_ml' ELSE 'unknown' END"
+        " AS metric_category FROM alerts_final"
+    )
+    o["fingerprints"] = ALERT_CTES + "SELECT event_id, title, idempotency_key, alert_fingerprint FROM alerts_final"
+    o["alerts_idempotent"] = ALERT_CTES + "SELECT idempotency_key, event_id, title FROM alerts_final"
+    o["alerts_suppressed"] = TABLE_CTES + (
+        "SELECT alert_id, alert_fingerprint, created_ts, last_seen_ts, severity, title, anomaly_score, confidence,"
+        " detection_sources, reasons, recommended_actions, ml_top_contributors, ml_anomaly_score, ml_confidence,"
+        " model_version, ml_explanation, suppression_count, event_id, idempotency_key FROM alert_table"
+    )
+    o["alert_summary"] = TABLE_CTES + (
+        "SELECT s.severity, coalesce(c.n, 0)::BIGINT AS count FROM (VALUES ('low'), ('medium'), ('high'), ('critical')) s(severity)"
+        " LEFT JOIN (SELECT severity, count(*) AS n FROM alert_table GROUP BY severity) c USING (severity)"
+    )
+    o["detection_mix"] = TABLE_CTES + (
+        f"SELECT {CATEGORY_SQL} AS detection, count(*) AS count FROM alert_table GROUP BY 1 ORDER BY count DESC, detection"
+    )
+    o["alerts_by_category"] = TABLE_CTES + (
+        f"SELECT alert_id, {CATEGORY_SQL} AS detection, severity, title,"
+        " split_part(split_part(alert_fingerprint, '\"user_id\": \"', 2), '\"', 1) AS user_id, last_seen_ts"
+        f" FROM alert_table WHERE {CATEGORY_SQL} IN ('rule+ml', 'rule-only', 'ml-only')"
+    )
+    o["alert_flat"] = TABLE_CTES + (
+        f"SELECT alert_id, created_ts AS created_at, last_seen_ts AS last_seen_at, severity, {CATEGORY_SQL} AS detection,"
+        " title, e.user_id, e.geo_country AS country, e.service_name AS service, e.api_action AS action,"
+        " anomaly_score AS score, ml_anomaly_score AS ml_score, coalesce(model_version, 'n/a') AS model_version,"
+        " suppression_count AS suppressed_repeats, e.failed_logins_5m, e.distinct_countries_24h"
+        " FROM alert_table JOIN features e USING (event_id)"
+    )
+    o["ml_score_distribution"] = TABLE_CTES + (
+        "SELECT least(floor(ml_anomaly_score * 10), 9)::BIGINT AS bucket, count(*) AS count FROM alert_table"
+        " WHERE ml_anomaly_score IS NOT NULL GROUP BY 1"
+    )
+    o["recent_alerts"] = TABLE_CTES + (
+        "SELECT alert_id, last_seen_ts, severity, title, suppression_count FROM alert_table"
+        " ORDER BY last_seen_ts DESC, alert_id LIMIT 100"
+    )
+    o["alert_detail"] = TABLE_CTES + (
+        f"SELECT alert_id, upper(severity) || ' | ' || {CATEGORY_SQL} || ' | ' || title || ' | '"
+        " || split_part(split_part(alert_fingerprint, '\"user_id\": \"', 2), '\"', 1) AS label,"
+        " d.description, replace(reasons, ' | ', ', ') AS reasons_text,"
+        " replace(recommended_actions, ' | ', ', ') AS actions_text,"
+        " coalesce(nullif(replace(ml_top_contributors, ' | ', ', '), ''), 'n/a') AS contributors_text"
+        " FROM alert_table JOIN (VALUES"
+        " ('Failed login burst detected', 'Multiple failed console login attempts observed in a short window.'),"
+        " ('Privileged action from unseen country', 'A privileged API action originated from a country not previously observed for this identity.'),"
+        " ('Deletion activity spike', 'Resource deletion velocity exceeded the expected local baseline for the account.'),"
+        " ('High-volume data access', 'An unusually large data transfer was observed for a single event.'),"
+        " ('Behavioral anomaly detected by ML model', 'The event deviated materially from the learned behavioral baseline.')"
+        ") d(title, description) USING (title)"
+    )
+    return o
