@@ -384,7 +384,7 @@ def _rule_select(pos: int) -> str:
 
 
 def oracles() -> dict[str, str]:
-    o: dict[str, str] = {}
+    o: dict[str, str] = dict(ingest_oracles())
     ev = with_ctes(SECURITY_EVENTS_SQL)
     o["event_seconds"] = ev + "SELECT event_id, epoch(\"timestamp\")::BIGINT AS event_seconds FROM security_events"
     o["delete_like"] = ev + (
@@ -486,3 +486,170 @@ def oracles() -> dict[str, str]:
         ") d(title, description) USING (title)"
     )
     return o
+
+
+# ----------------------------------------------------------------- ingest: raw lines and validation
+def _q(x: str) -> str:
+    return f"'\"' || {x} || '\"'"
+
+
+RAW_LINES_SQL = f"""
+raw_base AS (
+  SELECT *, (seq * 2654435761) % 128 AS kind,
+    strftime(make_timestamp(ts_sec * 1000000), '%Y-%m-%dT%H:%M:%S') AS ts_local
+  FROM security_events
+),
+raw_lines AS (
+  SELECT seq, make_timestamp(ts_sec * 1000000) AS arrival_ts, kind,
+    CASE WHEN kind = 0 THEN 'not json {{' || event_id
+         WHEN kind = 1 THEN '[1, 2]'
+         WHEN kind = 2 THEN '"text"'
+         ELSE '{{' || concat_ws(', ',
+           '"account_id": ' || {_q('account_id')},
+           '"api_action": ' || {_q('api_action')},
+           '"auth_result": ' || {_q("CASE WHEN kind = 16 THEN 'maybe' ELSE auth_result END")},
+           '"bytes_received": ' || CASE WHEN kind = 11 THEN '-1' WHEN kind = 12 THEN '"x"' WHEN kind = 13 THEN 'null'
+                                        WHEN kind = 19 THEN NULL WHEN kind = 20 THEN '"7"' ELSE bytes_received::VARCHAR END,
+           '"bytes_sent": ' || bytes_sent::VARCHAR,
+           '"cloud_provider": ' || {_q("CASE WHEN kind = 5 THEN 'oci' ELSE cloud_provider END")},
+           '"device_fingerprint": ' || {_q('device_fingerprint')},
+           '"event_id": ' || CASE WHEN kind = 3 THEN NULL WHEN kind = 21 THEN {_q("'  ' || event_id || '  '")}
+                                  ELSE {_q('event_id')} END,
+           '"geo_country": ' || {_q("CASE WHEN kind = 8 THEN 'USA' WHEN kind = 9 THEN 'U1' WHEN kind = 10 THEN ' U' WHEN kind = 17 THEN lower(geo_country) ELSE geo_country END")},
+           '"is_privileged_action": ' || CASE WHEN is_privileged_action THEN 'true' ELSE 'false' END,
+           '"metadata": {{"scenario": ' || {_q('scenario')} || '}}',
+           '"principal_type": ' || {_q("CASE WHEN kind = 6 THEN 'bot' ELSE principal_type END")},
+           '"region": ' || {_q('region')},
+           '"resource_id": ' || {_q('resource_id')},
+           '"resource_type": ' || {_q('resource_type')},
+           '"service_name": ' || {_q('service_name')},
+           '"source_ip": ' || {_q("CASE WHEN kind = 7 THEN '999.1.1.1' WHEN kind = 18 THEN '2001:db8::1' ELSE source_ip END")},
+           '"timestamp": ' || {_q("CASE WHEN kind = 14 THEN ts_local WHEN kind = 15 THEN 'nope' WHEN kind = 22 THEN strftime(make_timestamp((ts_sec - 18000) * 1000000), '%Y-%m-%dT%H:%M:%S') || '-05:00' ELSE ts_local || '+00:00' END")},
+           '"user_agent": ' || {_q('user_agent')},
+           '"user_id": ' || {_q("CASE WHEN kind = 4 THEN '  ' WHEN kind = 21 THEN '  ' || user_id || '  ' ELSE user_id END")}
+         ) || '}}'
+    END AS value
+  FROM raw_base
+)
+"""
+
+
+def _validation_sql() -> str:
+    from ..functions import validate as V
+    from ..schema import AUTH_RESULTS, CLOUD_PROVIDERS, NON_BLANK_FIELDS, PRINCIPAL_TYPES, REQUIRED_FIELDS
+
+    def js(f: str) -> str:
+        return f"json_extract_string(j, '$.{f}')"
+
+    def strip(x: str) -> str:
+        return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+    errs = [f"CASE WHEN NOT is_object THEN '{V.MSG_OBJECT}' END"]
+    for f in REQUIRED_FIELDS:
+        errs.append(f"CASE WHEN is_object AND {js(f)} IS NULL THEN '{f}: {V.MSG_REQUIRED}' END")
+    for f in NON_BLANK_FIELDS:
+        errs.append(f"CASE WHEN {js(f)} IS NOT NULL AND {strip(js(f))} = '' THEN '{f}: {V.MSG_BLANK}' END")
+    for f, allowed in (("cloud_provider", CLOUD_PROVIDERS), ("principal_type", PRINCIPAL_TYPES), ("auth_result", AUTH_RESULTS)):
+        lst = ", ".join(f"'{a}'" for a in allowed)
+        errs.append(f"CASE WHEN {js(f)} IS NOT NULL AND {js(f)} NOT IN ({lst}) THEN '{f}: {V.MSG_CHOICE}' END")
+    gc = js("geo_country")
+    errs.append(f"CASE WHEN {gc} IS NOT NULL AND length({gc}) <> 2 THEN 'geo_country: {V.MSG_COUNTRY_LEN}' END")
+    errs.append(
+        f"CASE WHEN {gc} IS NOT NULL AND length({gc}) = 2 AND NOT regexp_full_match(upper({strip(gc)}), '\\p{{L}}{{2}}')"
+        f" THEN 'geo_country: {V.MSG_COUNTRY}' END"
+    )
+    ip = strip(js("source_ip"))
+    errs.append(
+        f"CASE WHEN {js('source_ip')} IS NOT NULL AND NOT (regexp_matches({ip}, '{V.IPV4_PATTERN}')"
+        f" OR regexp_matches({ip}, '{V.IPV6_PATTERN}')) THEN 'source_ip: {V.MSG_IP}' END"
+    )
+    for f in ("bytes_sent", "bytes_received"):
+        n = f"TRY_CAST({js(f)} AS BIGINT)"
+        errs.append(f"CASE WHEN json_exists(j, '$.{f}') AND {n} IS NULL THEN '{f}: {V.MSG_INT}' END")
+        errs.append(f"CASE WHEN {n} IS NOT NULL AND {n} < 0 THEN '{f}: {V.MSG_NONNEG}' END")
+    pb = f"TRY_CAST({js('is_privileged_action')} AS BOOLEAN)"
+    errs.append(f"CASE WHEN json_exists(j, '$.is_privileged_action') AND {pb} IS NULL THEN 'is_privileged_action: {V.MSG_BOOL}' END")
+    tt = js("timestamp")
+    ts = f"TRY_CAST({tt} AS TIMESTAMPTZ)"
+    errs.append(f"CASE WHEN {tt} IS NOT NULL AND {ts} IS NULL THEN 'timestamp: {V.MSG_TS}' END")
+    errs.append(f"CASE WHEN {ts} IS NOT NULL AND NOT regexp_matches({tt}, '{V.ZONE_PATTERN}') THEN 'timestamp: {V.MSG_TZ}' END")
+    errors = "list_filter([" + ",\n      ".join(errs) + "], lambda x: x IS NOT NULL)"
+    trimmed = {f: strip(js(f)) for f in NON_BLANK_FIELDS}
+    return f"""
+decoded AS (
+  SELECT seq, arrival_ts, kind, value,
+    CASE WHEN json_valid(value) THEN json_type(CASE WHEN json_valid(value) THEN value ELSE '0' END) = 'OBJECT' ELSE false END AS is_object
+  FROM raw_lines
+),
+decoded2 AS (SELECT *, CASE WHEN is_object THEN value END AS j FROM decoded),
+validated AS (
+  SELECT seq, arrival_ts, kind, value, is_object,
+    {trimmed['event_id']} AS event_id,
+    epoch({ts})::BIGINT AS ts_sec,
+    substring({tt}, 1, 10) AS event_date,
+    {js('cloud_provider')} AS cloud_provider,
+    {trimmed['account_id']} AS account_id,
+    {trimmed['user_id']} AS user_id,
+    {js('principal_type')} AS principal_type,
+    {ip} AS source_ip,
+    upper({strip(gc)}) AS geo_country,
+    {trimmed['region']} AS region,
+    {trimmed['service_name']} AS service_name,
+    {trimmed['api_action']} AS api_action,
+    {trimmed['resource_type']} AS resource_type,
+    {trimmed['resource_id']} AS resource_id,
+    {js('auth_result')} AS auth_result,
+    coalesce(TRY_CAST({js('bytes_sent')} AS BIGINT), 0) AS bytes_sent,
+    coalesce(TRY_CAST({js('bytes_received')} AS BIGINT), 0) AS bytes_received,
+    {trimmed['device_fingerprint']} AS device_fingerprint,
+    {trimmed['user_agent']} AS user_agent,
+    coalesce({pb}, false) AS is_privileged_action,
+    coalesce(json_extract_string(j, '$.metadata.scenario'), 'unknown') AS scenario,
+    {errors} AS errors
+  FROM decoded2
+)
+"""
+
+
+INGEST_CTES = with_ctes(SECURITY_EVENTS_SQL, RAW_LINES_SQL, _validation_sql())
+
+PARSE_COLUMNS = [
+    "seq", "event_id", "ts_sec", "event_date", "cloud_provider", "account_id", "user_id", "principal_type", "source_ip",
+    "geo_country", "region", "service_name", "api_action", "resource_type", "resource_id", "auth_result", "bytes_sent",
+    "bytes_received", "device_fingerprint", "user_agent", "is_privileged_action", "scenario",
+]
+
+
+def ingest_oracles() -> dict[str, str]:
+    o = {}
+    o["parse_events"] = INGEST_CTES + (
+        "SELECT " + ", ".join(PARSE_COLUMNS) + ", len(errors) = 0 AS valid, array_to_string(errors, '; ') AS errors"
+        " FROM validated WHERE is_object"
+    )
+    o["validate_events"] = INGEST_CTES + (
+        "SELECT seq, kind, is_object, len(errors) = 0 AS valid, array_to_string(errors, '; ') AS errors FROM validated"
+    )
+    dl = (
+        "SELECT sha256('cloud-security-events:' || seq::VARCHAR || ':validation') AS dead_letter_id,"
+        " epoch(arrival_ts)::BIGINT AS failed_ts, 'cloud-security-events' AS source_topic, 'validation' AS stage,"
+        " CASE WHEN json_valid(value) THEN 'ValidationError' ELSE 'JSONDecodeError' END AS error_type,"
+        " array_to_string(errors, '; ') AS error_message,"
+        " CASE WHEN is_object THEN value ELSE '{\"raw\": ' || to_json(value)::VARCHAR || '}' END AS raw_payload,"
+        " CASE WHEN is_object THEN json_extract_string(value, '$.event_id') END AS event_id, false AS retryable"
+        " FROM validated WHERE len(errors) > 0"
+    )
+    o["dead_letters"] = INGEST_CTES + dl
+    o["dead_letter_summary"] = INGEST_CTES + "SELECT stage, count(*) AS count FROM (" + dl + ") GROUP BY stage"
+    o["recent_dead_letters"] = INGEST_CTES + (
+        "SELECT failed_ts, stage, error_type, event_id, retryable FROM (" + dl + ")"
+        " ORDER BY failed_ts DESC, dead_letter_id LIMIT 20"
+    )
+    o["raw_archive"] = INGEST_CTES + (
+        "SELECT seq, CASE WHEN is_object THEN json(value)::VARCHAR ELSE '{\"raw\":' || to_json(value)::VARCHAR || '}' END AS line"
+        " FROM validated"
+    )
+    o["replay_slice"] = INGEST_CTES + (
+        "SELECT seq + 1 AS line_no, value FROM raw_lines WHERE seq + 1 >= 1001 AND trim(value) <> ''"
+        " ORDER BY line_no LIMIT 5000"
+    )
+    return o

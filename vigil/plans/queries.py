@@ -339,3 +339,90 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _ = FIXTURE_MODEL_VERSION
+
+
+# ----------------------------------------------------------------- ingest
+def _lines(spark, sf):
+    from ..sources.raw import raw_event_lines
+
+    return raw_event_lines(_events(spark, sf))
+
+
+def _validated(spark, sf):
+    """Validated lines, written once: valid events and dead letters are two filters over it."""
+    from ..functions.validate import validate_events
+
+    return materialize(validate_events(_lines(spark, sf)), "validated")
+
+
+def _dead_letters(spark, sf):
+    from ..functions.validate import dead_letters
+
+    return dead_letters(_validated(spark, sf))
+
+
+PARSE_COLUMNS = [
+    "seq", "event_id", "ts_sec", "event_date", "cloud_provider", "account_id", "user_id", "principal_type", "source_ip",
+    "geo_country", "region", "service_name", "api_action", "resource_type", "resource_id", "auth_result", "bytes_sent",
+    "bytes_received", "device_fingerprint", "user_agent", "is_privileged_action", "scenario",
+]
+
+
+def q_parse_events(spark, sf):
+    v = _validated(spark, sf).where("is_object")
+    return v.select(*PARSE_COLUMNS, "valid", F.array_join("errors", "; ").alias("errors"))
+
+
+def q_validate_events(spark, sf):
+    return _validated(spark, sf).select("seq", "kind", "is_object", "valid", F.array_join("errors", "; ").alias("errors"))
+
+
+def _dl_projection(d):
+    return d.select(
+        "dead_letter_id", F.unix_seconds("failed_at").alias("failed_ts"), "source_topic", "stage", "error_type",
+        "error_message", "raw_payload", "event_id", "retryable",
+    )
+
+
+def q_dead_letters(spark, sf):
+    return _dl_projection(_dead_letters(spark, sf))
+
+
+def q_dead_letter_summary(spark, sf):
+    from .triage import dead_letter_summary
+
+    return dead_letter_summary(_dead_letters(spark, sf))
+
+
+def q_recent_dead_letters(spark, sf):
+    from .triage import dead_letter_panel
+
+    return dead_letter_panel(_dead_letters(spark, sf), 20).withColumn("failed_at", F.unix_seconds("failed_at")).withColumnRenamed(
+        "failed_at", "failed_ts"
+    )
+
+
+def q_raw_archive(spark, sf):
+    from ..sources.raw import raw_archive
+
+    return raw_archive(_lines(spark, sf))
+
+
+def q_replay_slice(spark, sf):
+    from ..sources.raw import replay_slice
+
+    lines = _lines(spark, sf).withColumn("line_no", F.col("seq") + 1)
+    return replay_slice(lines, start_line=1001, limit=5000).select("line_no", "value")
+
+
+QUERIES.update(
+    {
+        "parse_events": q_parse_events,
+        "validate_events": q_validate_events,
+        "dead_letters": q_dead_letters,
+        "dead_letter_summary": q_dead_letter_summary,
+        "recent_dead_letters": q_recent_dead_letters,
+        "raw_archive": q_raw_archive,
+        "replay_slice": q_replay_slice,
+    }
+)
