@@ -385,6 +385,7 @@ def _rule_select(pos: int) -> str:
 
 def oracles() -> dict[str, str]:
     o: dict[str, str] = dict(ingest_oracles())
+    o.update(table_oracles())
     ev = with_ctes(SECURITY_EVENTS_SQL)
     o["event_seconds"] = ev + "SELECT event_id, epoch(\"timestamp\")::BIGINT AS event_seconds FROM security_events"
     o["delete_like"] = ev + (
@@ -653,3 +654,65 @@ def ingest_oracles() -> dict[str, str]:
         " ORDER BY line_no LIMIT 5000"
     )
     return o
+
+
+# ----------------------------------------------------------------- stored tables and metrics
+ALL_CTES = TABLE_CTES.rstrip() + ",\n" + RAW_LINES_SQL.strip() + ",\n" + _validation_sql().strip() + """,
+dead AS (
+  SELECT sha256('cloud-security-events:' || seq::VARCHAR || ':validation') AS dead_letter_id, seq, arrival_ts,
+    'validation' AS stage, CASE WHEN is_object THEN value ELSE '{"raw": ' || to_json(value)::VARCHAR || '}' END AS raw_payload,
+    CASE WHEN is_object THEN json_extract_string(value, '$.event_id') END AS event_id
+  FROM validated WHERE len(errors) > 0
+)
+"""
+
+ISO_SQL = "strftime(make_timestamp(ts_sec * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+
+
+def table_oracles() -> dict[str, str]:
+    o = {}
+    cols = ", ".join(FEATURES16)
+    o["offline_feature_rows"] = FEATURE_CTES + (
+        f"SELECT event_id, {ISO_SQL} AS \"timestamp\", substring({ISO_SQL}, 1, 10) AS event_date, cloud_provider,"
+        " account_id, user_id, source_ip, geo_country, region, service_name, api_action, principal_type,"
+        f" coalesce(scenario, 'unknown') AS scenario, {cols} FROM features"
+    )
+    o["recent_features"] = FEATURE_CTES + (
+        f"SELECT event_id, {ISO_SQL} AS \"timestamp\", seq FROM features ORDER BY ts_sec DESC, seq DESC LIMIT 1000"
+    )
+    o["alerts_decode"] = TABLE_CTES + (
+        "SELECT alert_id, reasons, recommended_actions, detection_sources, ml_top_contributors, suppression_count,"
+        " f.failed_logins_5m::VARCHAR AS failed_logins_5m, event_id FROM alert_table JOIN features f USING (event_id)"
+    )
+    o["dlq_decode"] = ALL_CTES + "SELECT dead_letter_id, false AS retryable, event_id, raw_payload, stage FROM dead"
+    o["alerts_evolve"] = TABLE_CTES + (
+        "SELECT alert_id, created_ts AS last_seen_ts, '{}' AS feature_context_json, '[]' AS detection_sources_json,"
+        " '[]' AS ml_top_contributors_json, '' AS alert_fingerprint, '' AS idempotency_key,"
+        " 0::BIGINT AS suppression_count, true AS model_version_missing FROM alert_table"
+    )
+    o["table_totals"] = ALL_CTES + (
+        "SELECT (SELECT count(*) FROM alert_table) AS total_alerts, (SELECT count(*) FROM dead) AS total_dead_letters"
+    )
+    o["ops_metrics"] = ALL_CTES + """,
+ops AS (
+  SELECT 'events_consumed' AS metric, '' AS dimension, count(*)::DOUBLE AS value FROM raw_lines
+  UNION ALL SELECT 'events_archived', '', count(*)::DOUBLE FROM raw_lines
+  UNION ALL SELECT 'events_consumed_per_sec', '',
+    round(count(*) / greatest(max(epoch(arrival_ts)) - min(epoch(arrival_ts)), 1), 3)::DOUBLE FROM raw_lines
+  UNION ALL SELECT 'validation_failures', '', count(*)::DOUBLE FROM dead
+  UNION ALL SELECT 'dead_letters_published', stage, count(*)::DOUBLE FROM dead GROUP BY stage
+  UNION ALL SELECT 'offline_feature_rows_buffered', '', count(*)::DOUBLE FROM scored
+  UNION ALL SELECT 'score_requests', '', count(*)::DOUBLE FROM scored
+  UNION ALL SELECT 'predicted_anomalies', '', sum(predicted_anomaly::INTEGER)::DOUBLE FROM scored
+  UNION ALL SELECT 'model_unavailable', '', sum((model_version = 'unavailable')::INTEGER)::DOUBLE FROM scored
+  UNION ALL SELECT 'last_anomaly_score', '', last(anomaly_score ORDER BY ts_sec, seq)::DOUBLE FROM scored
+  UNION ALL SELECT 'alerts_emitted', '', count(*)::DOUBLE FROM alerts_final
+  UNION ALL SELECT 'alerts_emitted', severity, count(*)::DOUBLE FROM alerts_final GROUP BY severity
+  UNION ALL SELECT 'alerts_emitted', CASE WHEN sources = ['ml'] THEN 'ml_only' WHEN sources = ['rule'] THEN 'rule_only'
+      WHEN list_contains(sources, 'rule') AND list_contains(sources, 'ml') THEN 'rule_plus_ml' ELSE 'unknown' END,
+      count(*)::DOUBLE FROM alerts_final GROUP BY 2
+  UNION ALL SELECT 'alerts_written', '', count(*)::DOUBLE FROM alert_table
+  UNION ALL SELECT 'suppressed_updates', '', sum(suppression_count)::DOUBLE FROM alert_table
+)
+SELECT * FROM ops"""
+    return o

@@ -426,3 +426,101 @@ QUERIES.update(
         "replay_slice": q_replay_slice,
     }
 )
+
+
+# ----------------------------------------------------------------- stored tables
+FEATURE_ROW_OUT = [
+    "event_id", "timestamp", "event_date", "cloud_provider", "account_id", "user_id", "source_ip", "geo_country",
+    "region", "service_name", "api_action", "principal_type", "scenario", *FEATURE_COLUMNS,
+]
+
+
+def _offline_table(spark, sf):
+    from ..session import scratch_path
+    from ..sources.tables import feature_rows, read_feature_rows, write_feature_rows
+    import uuid
+
+    path = scratch_path(spark, f"vigil/offline-features-{uuid.uuid4().hex[:16]}")
+    write_feature_rows(feature_rows(_features(spark, sf)), path, mode="overwrite")
+    return read_feature_rows(spark, path)
+
+
+def q_offline_feature_rows(spark, sf):
+    return _offline_table(spark, sf).select(*FEATURE_ROW_OUT)
+
+
+def q_recent_features(spark, sf):
+    from ..sources.tables import recent_feature_rows
+
+    return recent_feature_rows(_offline_table(spark, sf), 1000).select("event_id", "timestamp", "seq")
+
+
+def q_alerts_decode(spark, sf):
+    from ..sources.tables import decode_alerts, export_alerts
+
+    t = decode_alerts(export_alerts(_alert_table(spark, sf)))
+    return t.select(
+        "alert_id",
+        _joined("reasons").alias("reasons"),
+        _joined("recommended_actions").alias("recommended_actions"),
+        _joined("detection_sources").alias("detection_sources"),
+        _joined("ml_top_contributors").alias("ml_top_contributors"),
+        "suppression_count",
+        F.col("feature_context")["failed_logins_5m"].alias("failed_logins_5m"),
+        F.col("event")["event_id"].alias("event_id"),
+    )
+
+
+def q_dlq_decode(spark, sf):
+    from ..sources.tables import decode_dead_letters, export_dead_letters
+
+    d = decode_dead_letters(export_dead_letters(_dead_letters(spark, sf)))
+    return d.select("dead_letter_id", "retryable", "event_id", "raw_payload", "stage")
+
+
+def q_alerts_evolve(spark, sf):
+    from ..sources.tables import evolve_alerts, export_alerts
+
+    first_version = export_alerts(_alert_table(spark, sf)).select(
+        "alert_id", "created_at", "severity", "title", "description", "anomaly_score", "confidence",
+        "reasons_json", "recommended_actions_json", "event_json",
+    )
+    e = evolve_alerts(first_version)
+    return e.select(
+        "alert_id",
+        F.unix_seconds("last_seen_at").alias("last_seen_ts"),
+        "feature_context_json",
+        "detection_sources_json",
+        "ml_top_contributors_json",
+        "alert_fingerprint",
+        "idempotency_key",
+        F.col("suppression_count").cast("long").alias("suppression_count"),
+        F.col("model_version").isNull().alias("model_version_missing"),
+    )
+
+
+def q_table_totals(spark, sf):
+    from .triage import table_totals
+
+    return table_totals(_alert_table(spark, sf), _dead_letters(spark, sf))
+
+
+def q_ops_metrics(spark, sf):
+    from .metrics import ops_metrics
+
+    scored = _scored(spark, sf)
+    rows = with_keys(R.alerts(scored))
+    return ops_metrics(_lines(spark, sf), _dead_letters(spark, sf), scored, rows, suppress(rows))
+
+
+QUERIES.update(
+    {
+        "offline_feature_rows": q_offline_feature_rows,
+        "recent_features": q_recent_features,
+        "alerts_decode": q_alerts_decode,
+        "dlq_decode": q_dlq_decode,
+        "alerts_evolve": q_alerts_evolve,
+        "table_totals": q_table_totals,
+        "ops_metrics": q_ops_metrics,
+    }
+)
