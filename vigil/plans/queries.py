@@ -524,3 +524,42 @@ QUERIES.update(
         "ops_metrics": q_ops_metrics,
     }
 )
+
+
+# ----------------------------------------------------------------- model training and scoring (rows-only checks)
+TRAIN_VERSION = "iforest-fixture"
+
+
+def _trained(spark, sf):
+    from .train import train
+
+    feats = _features(spark, sf).drop("raw_score")
+    return feats, train(feats, model_version=TRAIN_VERSION, trained_at="fixture")
+
+
+def q_iforest_trees(spark, sf):
+    from ..operators.forest import nodes_frame
+
+    _, (forest, _, _) = _trained(spark, sf)
+    return nodes_frame(spark, forest)
+
+
+def q_score_events(spark, sf):
+    from .train import score_with_model
+
+    feats, (forest, stats, _) = _trained(spark, sf)
+    s = score_with_model(feats, forest, stats, TRAIN_VERSION)
+    return s.select("event_id", "raw_score", "anomaly_score", "confidence", "predicted_anomaly",
+                    _joined("top_contributors").alias("top_contributors"), "explanation")
+
+
+def q_model_metadata(spark, sf):
+    _, (_, _, meta) = _trained(spark, sf)
+    return meta.select(
+        "model_type", "model_version", "training_rows", "contamination", "training_source",
+        "observed_anomaly_fraction", F.to_json("scenario_breakdown").alias("scenario_breakdown"),
+        F.to_json("anomaly_score_percentiles").alias("anomaly_score_percentiles"),
+    )
+
+
+QUERIES.update({"iforest_trees": q_iforest_trees, "score_events": q_score_events, "model_metadata": q_model_metadata})
