@@ -563,3 +563,70 @@ def q_model_metadata(spark, sf):
 
 
 QUERIES.update({"iforest_trees": q_iforest_trees, "score_events": q_score_events, "model_metadata": q_model_metadata})
+
+
+# ----------------------------------------------------------------- streaming and artifacts (rows-only checks)
+def _scratch(spark, name):
+    import uuid
+
+    from ..session import scratch_path
+
+    return scratch_path(spark, f"vigil/{name}-{uuid.uuid4().hex[:16]}")
+
+
+def q_stream_alerts(spark, sf):
+    """The raw messages replayed as two micro-batches through the detection stream (rules only)."""
+    from ..streaming.stream import StreamConfig, current_alerts, start
+
+    lines = _lines(spark, sf).select("seq", "arrival_ts", "value")
+    src = _scratch(spark, "stream-src")
+    mid = lines.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    lines.where(F.col("seq") <= mid).write.parquet(f"{src}/part0")
+    lines.where(F.col("seq") > mid).write.parquet(f"{src}/part1")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    base = _scratch(spark, "stream-tables")
+    cfg = StreamConfig(base=base)
+    q = start(spark, stream, cfg, f"{base}/_checkpoint")
+    q.processAllAvailable()
+    q.stop()
+    return _table_projection(current_alerts(spark, cfg))
+
+
+def q_src_events_json(spark, sf):
+    """JSON-lines folder read as a stream (availableNow), validated, written to a Parquet sink."""
+    from ..functions.validate import validate_events
+    from ..sources.raw import read_message_source
+
+    src = _scratch(spark, "json-src")
+    _lines(spark, sf).select("value").write.text(src)
+    msgs = read_message_source(spark, "text", src, {"maxFilesPerTrigger": "1"}, stream=True)
+    out = _scratch(spark, "json-sink")
+    q = (
+        validate_events(msgs)
+        .drop("errors")
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", out + "_ckpt")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(out).select("event_id", "valid", "user_id", "ts_sec")
+
+
+def q_model_artifact(spark, sf):
+    """Training snapshot (CSV with header), forest saved as Parquet + JSON, loaded back."""
+    from ..operators.forest import load_forest, nodes_frame, save_forest
+    from .train import train
+
+    feats = _features(spark, sf).drop("raw_score")
+    snap = _scratch(spark, "train-snapshot")
+    forest, _, meta = train(feats, snapshot_path=snap, model_version=TRAIN_VERSION, trained_at="fixture")
+    path = _scratch(spark, "model")
+    save_forest(spark, forest, path, meta)
+    loaded = load_forest(spark, path)
+    assert load_forest(spark, path + "-absent") is None
+    return nodes_frame(spark, loaded)
+
+
+QUERIES.update({"stream_alerts": q_stream_alerts, "src_events_json": q_src_events_json, "model_artifact": q_model_artifact})

@@ -164,8 +164,8 @@ def read_message_source(spark: SparkSession, fmt: str, path_or_topic: str, optio
     """Event messages as ``(seq, arrival_ts, value)``.
 
     ``fmt='kafka'`` reads a topic from the earliest offset (seq = offset, partition-major,
-    when the connector is on the classpath); ``'text'``/``'json'`` read folders of
-    JSON lines (seq from the file order).
+    when the connector is on the classpath); ``'text'`` reads folders of JSON lines
+    (seq from the file order in batch; assigned per micro-batch in a stream).
     """
     options = dict(options or {})
     reader = spark.readStream if stream else spark.read
@@ -180,7 +180,8 @@ def read_message_source(spark: SparkSession, fmt: str, path_or_topic: str, optio
         )
     df = reader.format("text").options(**options).load(path_or_topic)
     if stream:
-        return df.select(F.monotonically_increasing_id().alias("seq"), F.current_timestamp().alias("arrival_ts"), "value")
+        # position ids are not available on a stream; foreachBatch assigns batch-major seq
+        return df.select(F.lit(None).cast("long").alias("seq"), F.current_timestamp().alias("arrival_ts"), "value")
     return df.select(
         F.monotonically_increasing_id().alias("seq"), F.current_timestamp().alias("arrival_ts"), "value"
     )

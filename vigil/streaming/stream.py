@@ -149,6 +149,8 @@ def _score(cfg: StreamConfig, feats: DataFrame) -> DataFrame:
 
 def process_batch(spark: SparkSession, cfg: StreamConfig, batch: DataFrame, batch_id: int) -> None:
     """One micro-batch of raw messages ``(seq, arrival_ts, value)``."""
+    # sources without positions (text folders) get batch-major arrival numbers
+    batch = batch.withColumn("seq", F.coalesce(F.col("seq"), F.lit(batch_id << 40) + F.monotonically_increasing_id()))
     validated = validate_events(batch).persist()
     try:
         if validated.isEmpty():
