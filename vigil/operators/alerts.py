@@ -22,7 +22,8 @@ SESSION_BUCKET_SECONDS = 3600
 
 
 def _json_list(c: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(c, json_string), ", "), F.lit("]"))
+    """JSON list text of detection sources (a fixed vocabulary of plain tokens)."""
+    return F.when(F.size(c) == 0, F.lit("[]")).otherwise(F.concat(F.lit('["'), F.array_join(c, '", "'), F.lit('"]')))
 
 
 def idempotency_key() -> Column:

@@ -1,8 +1,8 @@
 """Detection rules as column expressions.
 
 Each rule is a nullable alert struct; ``alerts()`` puts the four rule structs in
-one array, drops the nulls, falls back to the ML alert when no rule fired,
-enriches with the model context and explodes: one scan, no unions.
+one array (or the ML alert when no rule fired), explodes it, drops the nulls and
+enriches each alert with the model context: one scan, no unions, no lambdas.
 """
 
 from __future__ import annotations
@@ -62,6 +62,11 @@ def _txt(c: str) -> Column:
     return F.col(c).cast("string")
 
 
+def _opt(cond: Column, text: Column) -> Column:
+    """A one-item list when ``cond`` holds, else empty (concat of these keeps codegen; a lambda filter would not)."""
+    return F.when(cond, F.array(text)).otherwise(F.array().cast("array<string>"))
+
+
 def _alert(
     cond: Column,
     severity: str | Column,
@@ -191,22 +196,17 @@ def effective_ml_score() -> Column:
 def ml_alert() -> Column:
     eff = effective_ml_score()
     cond = F.col("predicted_anomaly") & (eff >= ml_threshold())
-    optional = F.filter(
-        F.array(
-            F.when(
-                F.col("is_new_country_for_user"), F.concat(F.lit("New country observed for user: "), F.col("geo_country"))
-            ),
-            F.when(F.col("is_new_ip_for_user"), F.concat(F.lit("New IP observed for user: "), F.col("source_ip"))),
-            F.when(
-                F.col("account_service_entropy_1h") >= ENTROPY_CONTEXT,
-                F.concat(F.lit("Broad account service spread in 1 hour: "), _txt("account_service_entropy_1h")),
-            ),
-            F.when(
-                F.col("distinct_countries_24h") >= COUNTRIES_CONTEXT,
-                F.concat(F.lit("User has touched "), _txt("distinct_countries_24h"), F.lit(" countries in 24 hours")),
-            ),
+    optional = F.concat(
+        _opt(F.col("is_new_country_for_user"), F.concat(F.lit("New country observed for user: "), F.col("geo_country"))),
+        _opt(F.col("is_new_ip_for_user"), F.concat(F.lit("New IP observed for user: "), F.col("source_ip"))),
+        _opt(
+            F.col("account_service_entropy_1h") >= ENTROPY_CONTEXT,
+            F.concat(F.lit("Broad account service spread in 1 hour: "), _txt("account_service_entropy_1h")),
+        ),
+        _opt(
+            F.col("distinct_countries_24h") >= COUNTRIES_CONTEXT,
+            F.concat(F.lit("User has touched "), _txt("distinct_countries_24h"), F.lit(" countries in 24 hours")),
         ),
-        lambda x: x.isNotNull(),
     )
     body = F.struct(
         F.when(eff >= 0.6, F.lit("high")).otherwise(F.lit("medium")).alias("severity"),
@@ -240,34 +240,26 @@ def _enrich(a: Column) -> Column:
     has_ml = F.array_contains(a["detection_sources"], "ml")
     add_ml = F.col("predicted_anomaly") & ~has_ml
     sources = F.when(add_ml, F.concat(a["detection_sources"], F.array(F.lit("ml")))).otherwise(a["detection_sources"])
-    extra = F.when(
-        add_ml,
-        F.filter(
-            F.array(
-                F.when(
-                    F.size(F.col("top_contributors")) > 0,
-                    F.concat(F.lit("ML contributors: "), F.array_join(F.col("top_contributors"), ", ")),
-                ),
-                F.when(F.coalesce(F.col("explanation"), F.lit("")) != "", F.col("explanation")),
-            ),
-            lambda x: x.isNotNull(),
+    extra = F.concat(
+        _opt(
+            add_ml & (F.size(F.col("top_contributors")) > 0),
+            F.concat(F.lit("ML contributors: "), F.array_join(F.col("top_contributors"), ", ")),
         ),
-    ).otherwise(F.array().cast("array<string>"))
+        _opt(add_ml & (F.coalesce(F.col("explanation"), F.lit("")) != ""), F.col("explanation")),
+    )
     model_present = F.col("model_version") != NO_MODEL_VERSION
     calibrated = hybrid_severity(a["severity"])
     changed = model_present & (calibrated != a["severity"])
-    hybrid_reason = F.when(
+    hybrid_reason = _opt(
         changed,
-        F.array(
-            F.concat(
-                F.lit("Hybrid severity adjusted from "),
-                a["severity"],
-                F.lit(" to "),
-                calibrated,
-                F.lit(" based on model corroboration."),
-            )
+        F.concat(
+            F.lit("Hybrid severity adjusted from "),
+            a["severity"],
+            F.lit(" to "),
+            calibrated,
+            F.lit(" based on model corroboration."),
         ),
-    ).otherwise(F.array().cast("array<string>"))
+    )
     return F.struct(
         F.when(changed, calibrated).otherwise(a["severity"]).alias("severity"),
         a["title"].alias("title"),
@@ -302,26 +294,33 @@ EVENT_CONTEXT = [
 
 
 def rule_alerts(scored: DataFrame, rules=DEFAULT_RULES) -> Column:
+    """Array of the rule alerts that fired (0..4)."""
     return F.filter(F.array(*[r() for r in rules]), lambda x: x.isNotNull())
 
 
 def alerts(scored: DataFrame, rules=DEFAULT_RULES, keep: list[str] | None = None) -> DataFrame:
     """One row per alert: rule alerts (0..4 per event) or the ML alert when no rule fired.
 
-    ``scored`` = events + 16 features + model fields. Output keeps the event
-    context columns, the ``event`` struct and ``feature_context`` struct.
+    ``scored`` = events + 16 features + model fields. The nullable alert structs are
+    exploded and the nulls dropped, then each alert is enriched with the model
+    context: plain column expressions, inside whole-stage codegen.
     """
-    fired = rule_alerts(scored, rules)
-    chosen = F.when(F.size(fired) > 0, fired).otherwise(F.filter(F.array(ml_alert()), lambda x: x.isNotNull()))
-    enriched = F.transform(chosen, _enrich)
+    fired = [r() for r in rules]
+    n_fired = sum((f.isNotNull().cast("int") for f in fired), F.lit(0))
+    chosen = F.when(n_fired > 0, F.array(*fired)).otherwise(F.array(ml_alert()))
     keep = keep or EVENT_CONTEXT
     event_cols = [c for c in scored.columns if c in _event_struct_fields()]
-    return scored.select(
+    model = ["anomaly_score", "confidence", "predicted_anomaly", "model_version", "top_contributors", "explanation"]
+    exploded = scored.select(
         *keep,
+        *[F.col(m) for m in model if m not in keep],
         F.struct(*[F.col(c) for c in event_cols]).alias("event"),
         F.struct(*[F.col(c) for c in FEATURE_COLUMNS]).alias("feature_context"),
-        F.explode(enriched).alias("a"),
-    ).select(*keep, "event", "feature_context", "a.*")
+        F.explode(chosen).alias("a"),
+    ).where(F.col("a").isNotNull())
+    return exploded.select(*keep, "event", "feature_context", _enrich(F.col("a")).alias("e")).select(
+        *keep, "event", "feature_context", "e.*"
+    )
 
 
 def _event_struct_fields() -> set[str]:

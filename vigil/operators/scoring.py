@@ -84,7 +84,8 @@ def top_contributors(n: int = 3) -> Column:
             )
         )
     ranked = F.sort_array(F.array(*items), asc=False)
-    return F.transform(F.slice(ranked, 1, n), lambda s: s["text"])
+    # field extraction over the array (no lambda) keeps the projection in codegen
+    return F.slice(ranked, 1, n)["text"]
 
 
 def score_band(score: Column) -> Column:
