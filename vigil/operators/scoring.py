@@ -28,13 +28,22 @@ def raw_logistic(raw: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(raw * F.lit(3.5)))
 
 
-def feature_stats(features: DataFrame, raw_col: str = "raw_score", exact: bool = True, accuracy: int = 100000) -> DataFrame:
+EXACT_PERCENTILE_ROWS = 2_000_000
+
+
+def feature_stats(
+    features: DataFrame, raw_col: str = "raw_score", exact: bool | None = None, accuracy: int = 1_000_000
+) -> DataFrame:
     """One row: ``median_<f>``, ``std_<f>`` for the 16 features; ``p50..p99`` of the
     training anomaly score; ``observed_anomaly_fraction``; ``training_rows``.
 
-    ``exact`` uses ``percentile`` (linear interpolation); past a few million
-    distinct values per column use ``exact=False`` (``percentile_approx``).
+    Exact ``percentile`` (linear interpolation) keeps every distinct value of a
+    column in the final merge, so it is only used up to ``EXACT_PERCENTILE_ROWS``
+    training rows (``exact=None`` counts first); beyond that ``percentile_approx``
+    bounds the merge state by ``accuracy``.
     """
+    if exact is None:
+        exact = features.count() <= EXACT_PERCENTILE_ROWS
     x = features.select(
         *[F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS],
         raw_logistic(F.col(raw_col)).alias("_score"),
