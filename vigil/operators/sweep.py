@@ -144,11 +144,9 @@ def sweep(
     Plan shape: stage 1 = one running count per ``(family, key, measure, value)``
     (distinct / entropy / first-seen); stage 2 = one running sum per
     ``(family, key)`` over the count rows and the stage-1 change rows; then one
-    aggregate by ``seq`` folds the per-family rows together.
+    aggregate by ``seq`` folds the per-family rows together. The event rows are
+    fanned out by one ``explode`` per stage, written as a single SQL expression.
     """
-    t = F.col(t_col).cast("long")
-    seq = F.col(seq_col).cast("long")
-
     counts: list[tuple[int, Count]] = []
     dims: list[tuple[int, str, str, int | None, str]] = []  # (fam, name, value col, seconds, kind)
     flags: list[tuple[int, str, str]] = []  # (fam, flag name, dim name)
@@ -175,29 +173,30 @@ def sweep(
     measures = count_names + dim_measures
 
     def mtype(name: str) -> str:
-        return "double" if name in double_measures else "long"
-
-    def key_of(fi: int) -> Column:
-        return F.col(families[fi].key).cast("string")
+        return "DOUBLE" if name in double_measures else "BIGINT"
+
+    # one projection holds every input of the fan-out: time, seq, keys, measure values, dim values
+    value_cols = sorted({d[2] for d in dims})
+    base = ev.select(
+        F.col(t_col).cast("long").alias("_tv"),
+        F.col(seq_col).cast("long").alias("_sv"),
+        *[F.col(fam.key).cast("string").alias(f"_k{fi}") for fi, fam in enumerate(families)],
+        *[c.expr.cast("long").alias(f"_m{j}") for j, (_, c) in enumerate(counts)],
+        *[F.col(v).cast("string").alias(f"_v_{v}") for v in value_cols],
+    )
 
     # ---------------- stage 1: running counts per (family, key, measure, value) ----------------
     change_rows = None
     if dims:
-        rows = []
+        structs = []
         for fi, name, value, seconds, _kind in dims:
-            base = [F.lit(fi).alias("_fam"), key_of(fi).alias("_key"), F.lit(name).alias("dim"), F.col(value).cast("string").alias("val")]
-            rows.append(F.struct(*base, t.alias(T), seq.alias(ORD), F.lit(1).cast("long").alias("d"), F.lit(1).cast("long").alias("ever")))
+            head = f"'_fam', {fi}, '_key', _k{fi}, 'dim', '{name}', 'val', _v_{value}"
+            structs.append(f"named_struct({head}, '{T}', _tv, '{ORD}', _sv, 'd', 1L, 'ever', 1L)")
             if seconds is not None:
-                rows.append(
-                    F.struct(
-                        *base,
-                        (t + F.lit(seconds + 1)).alias(T),
-                        (F.lit(-1) - seq).alias(ORD),
-                        F.lit(-1).cast("long").alias("d"),
-                        F.lit(0).cast("long").alias("ever"),
-                    )
+                structs.append(
+                    f"named_struct({head}, '{T}', _tv + {seconds + 1}L, '{ORD}', -1L - _sv, 'd', -1L, 'ever', 0L)"
                 )
-        s1 = ev.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        s1 = base.select(F.expr(f"explode(array({', '.join(structs)}))").alias("r")).select("r.*")
         s1 = running_sum(s1, ["_fam", "_key", "dim", "val"], ["d", "ever"], bucket_seconds=bucket_seconds)
         c_after = F.col("d_cum")
         c_before = F.col("d_cum") - F.col("d")
@@ -210,34 +209,33 @@ def sweep(
                 change = (c_after >= 1).cast("long") - (c_before >= 1).cast("long")
             else:
                 change = _xlogx(c_after.cast("double")) - _xlogx(c_before.cast("double"))
-            sel.append(F.when(F.col("dim") == name, change).otherwise(F.lit(0)).cast(mtype(name)).alias(name))
+            sel.append(F.when(F.col("dim") == name, change).otherwise(F.lit(0)).cast(mtype(name).lower()).alias(name))
         for fi, fname, dname in flags:
             first = (F.col("dim") == dname) & (F.col("d") == 1) & (F.col("ever_cum") == 1)
             sel.append(first.cast("long").alias(fname))
         change_rows = s1.select(*sel).where(_or_all([F.col(n) != 0 for n in dim_measures + flag_names]))
 
     # ---------------- stage 2: running sums per (family, key) ----------------
-    rows = []
+    structs = []
     for fi, fam in enumerate(families):
-        mine = [(c.name, c) for f2, c in counts if f2 == fi]
-        mine_names = {n for n, _ in mine}
+        mine = {j: c for j, (f2, c) in enumerate(counts) if f2 == fi}
 
-        def struct_for(tt, oo, arrival, sq, vals):
-            cols = [F.lit(fi).alias("_fam"), key_of(fi).alias("_key"), tt.alias(T), oo.alias(ORD), F.lit(arrival).alias(ARRIVAL), sq.alias("_seq")]
-            for n in count_names:
-                cols.append((vals[n] if n in vals else F.lit(0)).cast("long").alias(n))
+        def struct_sql(t_sql: str, ord_sql: str, arrival: int, seq_sql: str, vals: dict[int, str]) -> str:
+            parts = [f"'_fam', {fi}", f"'_key', _k{fi}", f"'{T}', {t_sql}", f"'{ORD}', {ord_sql}",
+                     f"'{ARRIVAL}', {arrival}", f"'_seq', {seq_sql}"]
+            for j, n in enumerate(count_names):
+                parts.append(f"'{n}', {vals.get(j, '0L')}")
             for n in dim_measures:
-                cols.append(F.lit(0).cast(mtype(n)).alias(n))
+                parts.append(f"'{n}', CAST(0 AS {mtype(n)})")
             for n in flag_names:
-                cols.append(F.lit(0).cast("long").alias(n))
-            return F.struct(*cols)
-
-        rows.append(struct_for(t, seq, 1, seq, {n: c.expr for n, c in mine}))
-        for w in sorted({c.seconds for _, c in mine if c.seconds is not None}):
-            vals = {n: F.lit(0) - c.expr.cast("long") for n, c in mine if c.seconds == w}
-            rows.append(struct_for(t + F.lit(w + 1), F.lit(-1) - seq, 0, F.lit(None).cast("long"), vals))
-        del mine_names
-    s2 = ev.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+                parts.append(f"'{n}', 0L")
+            return "named_struct(" + ", ".join(parts) + ")"
+
+        structs.append(struct_sql("_tv", "_sv", 1, "_sv", {j: f"_m{j}" for j in mine}))
+        for w in sorted({c.seconds for c in mine.values() if c.seconds is not None}):
+            vals = {j: f"-_m{j}" for j, c in mine.items() if c.seconds == w}
+            structs.append(struct_sql(f"_tv + {w + 1}L", "-1L - _sv", 0, "CAST(NULL AS BIGINT)", vals))
+    s2 = base.select(F.expr(f"explode(array({', '.join(structs)}))").alias("r")).select("r.*")
     if change_rows is not None:
         s2 = s2.unionByName(change_rows)
     s2 = running_sum(s2, ["_fam", "_key"], measures, slot_values=flag_names, bucket_seconds=bucket_seconds)
