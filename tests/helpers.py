@@ -2,8 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from vigil.schema import FEATURE_COLUMNS
-
 DEFAULTS = dict(
     user_id="u1", source_ip="10.0.0.1", account_id="a1", auth_result="success", is_privileged_action=False,
     geo_country="US", region="us-east-1", api_action="GetObject", bytes_received=0, service_name="s3",
@@ -59,5 +57,3 @@ def scored(spark, rows, model):
         }
     )
 
-
-_ = FEATURE_COLUMNS

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import confidence_from_raw, py_bool_text, score_from_raw
-from ..schema import BOOL_FEATURES, DOUBLE_FEATURES, FEATURE_COLUMNS, NO_MODEL_EXPLANATION, NO_MODEL_VERSION
+from ..schema import BOOL_FEATURES, FEATURE_COLUMNS, NO_MODEL_EXPLANATION, NO_MODEL_VERSION
 
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 STD_FLOOR = 1e-9

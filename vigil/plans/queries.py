@@ -20,7 +20,7 @@ from ..operators.scoring import PERCENTILES, feature_stats, feature_vector, scen
 from ..schema import FEATURE_COLUMNS
 from ..sources.fixtures import security_events
 from ..sources.store import materialize
-from .detect import FIXTURE_MODEL_VERSION, alert_flat, scored_events
+from .detect import alert_flat, scored_events
 
 SEP = " | "
 
@@ -338,7 +338,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alert_detail": q_alert_detail,
 }
 
-_ = FIXTURE_MODEL_VERSION
 
 
 # ----------------------------------------------------------------- ingest
