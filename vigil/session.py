@@ -54,9 +54,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured checkpoint folder; only set one where none is configured (tests)."""
+    """Use the configured checkpoint folder; only set one in local mode where none is configured (tests).
+
+    Off local mode a machine-local folder would be invisible to the other executors, so a missing
+    ``spark.checkpoint.dir`` is an error there.
+    """
     value = checkpoint_dir(spark)
     if value is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         value = tempfile.mkdtemp(prefix="vigil-ckpt-")
         spark.conf.set("spark.checkpoint.dir", value)
     if spark.sparkContext.getCheckpointDir() is None:

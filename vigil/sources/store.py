@@ -19,4 +19,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"vigil/{name}-{uuid.uuid4().hex[:16]}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_folder = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` returned, once nothing reads it any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.__dict__["scratch_folder"])
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
