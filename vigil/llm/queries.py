@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack
 from .sharding import shard_by_key
 from .simhash import simhash_dedup
 
@@ -12,6 +15,11 @@ def op4_jump_shards(spark, sf_dir):
     return shard_by_key(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op5_best_two_fit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
+
+
 def op8_simhash_bktree(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash_dedup(docs, words=4, radius=4, carry=["doc_id"])
@@ -21,7 +29,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op4_jump_shards, op8_simhash_bktree, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_jump_shards, op5_best_two_fit, op8_simhash_bktree, op10_exact_dedup)}
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
