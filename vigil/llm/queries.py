@@ -3,12 +3,41 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from .common import table
+from .embed_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .mixing import poisson_mix
 from .packing import pack
+from .pii import replace_private
+from .preference import format_preferences, swapped_replies
+from .quality import fit_quality, score_quality
 from .sharding import shard_by_key
 from .simhash import simhash_dedup
+from .url_filter import filter_urls, fit_urls, labelled_urls
+
+PSEUDONYM_KEY = b"key of the registered query"
+
+
+def op1_epsilon_grid_join(spark, sf_dir):
+    return embedding_dedup(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op2_compression_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
+
+
+def op3_preference_format(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    pairs = format_preferences(turns, swapped_replies(turns), pair_col="conv_id")
+
+    def spans(mask):
+        part = F.transform(mask, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"), s["train"].cast("string")))
+        return F.array_join(part, ",")
+
+    return pairs.withColumns({"chosen_mask": spans("chosen_mask"), "rejected_mask": spans("rejected_mask")})
 
 
 def op4_jump_shards(spark, sf_dir):
@@ -20,20 +49,107 @@ def op5_best_two_fit(spark, sf_dir):
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
 
 
+def op6_feistel_pseudonyms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_private(docs, PSEUDONYM_KEY)
+
+
+def op7_poisson_mix(spark, sf_dir):
+    return poisson_mix(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_bktree(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash_dedup(docs, words=4, radius=4, carry=["doc_id"])
 
 
+def op9_url_ngrams(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, fit_urls(labelled_urls(spark))).drop("url")
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op4_jump_shards, op5_best_two_fit, op8_simhash_bktree, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_epsilon_grid_join,
+        op2_compression_quality,
+        op3_preference_format,
+        op4_jump_shards,
+        op5_best_two_fit,
+        op6_feistel_pseudonyms,
+        op7_poisson_mix,
+        op8_simhash_bktree,
+        op9_url_ngrams,
+        op10_exact_dedup,
+    )
+}
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_SIDE = """
+        {name}_turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, role, text
+                  FROM {rows}),
+        {name}_parts AS (
+            SELECT t.conv_id, t.pos, '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body, role
+            FROM {name}_turns t),
+        {name}_ends AS (
+            SELECT p.conv_id, p.pos, head || body AS piece, length(head) AS h, length(body) AS b, role, p.pos <= s.shared AS early,
+                   coalesce(sum(CASE WHEN p.pos > s.shared THEN length(head) + length(body) END)
+                       OVER (PARTITION BY p.conv_id ORDER BY p.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+            FROM {name}_parts p JOIN shared s USING (conv_id)),
+        {name}_text AS (
+            SELECT conv_id,
+                   coalesce(string_agg(piece, '' ORDER BY pos) FILTER (WHERE early), '') AS prompt,
+                   coalesce(string_agg(piece, '' ORDER BY pos) FILTER (WHERE NOT early), '') AS completion,
+                   coalesce(string_agg(start || '-' || (start + h) || '-false,' || (start + h) || '-' || (start + h + b)
+                       || CASE WHEN role = 'assistant' THEN '-true' ELSE '-false' END, ',' ORDER BY pos) FILTER (WHERE NOT early), '') AS mask
+            FROM {name}_ends GROUP BY conv_id)"""
+
 ORACLES = {
+    "op1_epsilon_grid_join": """
+        WITH RECURSIVE
+        e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+        ok AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) = len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x)))
+               AND len(list_filter(v, lambda x: x <> 0)) > 0),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+                 WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+        reach(vec_id, other) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON l.a = r.other),
+        c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+        SELECT c.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+        FROM c LEFT JOIN n USING (vec_id)""",
+    "op3_preference_format": f"""
+        WITH own AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+        last AS (SELECT conv_id, max(turn) AS turn FROM own WHERE role = 'assistant' GROUP BY conv_id),
+        reply AS (SELECT conv_id, last.turn, max(own.text) AS text FROM own JOIN last USING (conv_id)
+                  WHERE own.turn = last.turn AND own.role = 'assistant' GROUP BY ALL),
+        swapped AS (SELECT o.conv_id, o.turn, o.role, CASE WHEN r.conv_id IS NOT NULL THEN coalesce(p.text, '') ELSE o.text END AS text
+                    FROM own o LEFT JOIN reply r ON r.conv_id = o.conv_id AND r.turn = o.turn AND o.role = 'assistant'
+                    LEFT JOIN reply p ON p.conv_id = xor(o.conv_id, 1)),
+        x AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, role, text FROM own),
+        y AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, role, text FROM swapped),
+        shared AS (SELECT x.conv_id, coalesce(min(CASE WHEN x.role <> y.role OR x.text <> y.text THEN x.pos END) - 1, count(*)) AS shared
+                   FROM x JOIN y USING (conv_id, pos) GROUP BY x.conv_id),
+        {_SIDE.format(name="c", rows="own")},
+        {_SIDE.format(name="r", rows="swapped")}
+        SELECT conv_id, c.prompt, shared::INTEGER AS prompt_turns, c.completion AS chosen, r.completion AS rejected,
+               c.mask AS chosen_mask, r.mask AS rejected_mask
+        FROM c_text c JOIN r_text r USING (conv_id) JOIN shared USING (conv_id)""",
+    "op7_poisson_mix": """
+        WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+        rates AS (SELECT source, (1.0::DOUBLE / (SELECT count(*) FROM sizes) * (SELECT sum(n) FROM sizes)::DOUBLE / n) AS rate FROM sizes),
+        terms AS (SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM rates, range(0, 200) AS r(k)),
+        cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+        lists AS (SELECT source, list(c ORDER BY k) AS cs FROM cdf GROUP BY source),
+        drawn AS (SELECT d.*, len(list_filter(cs, lambda c: c <= ('0x' || substr(md5('7|0|' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)) AS n_copies
+                  FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source)
+        SELECT d.doc_id, text, lang, source, n_chars, n_copies::INTEGER AS n_copies, k::INTEGER AS copy,
+               md5('order|7|' || k || '|' || doc_id) AS shuffle_key
+        FROM drawn d, range(0, 200) AS r(k) WHERE k < n_copies""",
     "op10_exact_dedup": f"""
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UP}', '{LOW}') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
