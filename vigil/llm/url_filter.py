@@ -26,6 +26,7 @@ BLOCKED_HOSTS = [
     "cheap-pills.test", "www.cheap-pills-shop.test", "buy-pills.test", "cheap-meds.test", "pills-online.test",
     "adult-x.test", "www.adult-videos.test", "adult-chat.test", "xxx-adult.test", "x-rated.test",
     "spam-farm.test", "link-farm.test", "seo-spam.test", "blog.spam-farm.test", "free-spam-links.test",
+    "ads-track.test", "www.ad-tracker.test", "click-track.test", "banner-ads.test", "m.track-ads.test",
     "free-money.test", "win-free-prize.test", "cheap-loans.test", "quick-cash-win.test", "free-download-x.test",
 ]
 ALLOWED_HOSTS = [
@@ -77,10 +78,11 @@ class UrlModel:
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
-def fit_urls(labelled: DataFrame, max_rows: int = 10_000, rounds: int = 300, ridge: float = 1e-3) -> UrlModel:
+def fit_urls(labelled: DataFrame, max_rows: int = 10_000, rounds: int = 300, ridge: float = 1e-4, share: float = 0.2) -> UrlModel:
     """Fit on (url, label) rows, at most ``max_rows`` of them in hash order; null labels are ignored.
 
-    Without rows of both labels every URL scores the share of label 1 (0 without rows).
+    ``share`` is the share of URLs to block that is expected among all URLs. Without rows of both labels 
+    every URL is allowed, or blocked if all labels say so.
     """
     host, path = url_parts(F.col("url"))
     rows = labelled.filter("label is not null").select(host.alias("h"), path.alias("p"), "label", F.xxhash64("url", "label").alias("o"))
@@ -91,7 +93,7 @@ def fit_urls(labelled: DataFrame, max_rows: int = 10_000, rounds: int = 300, rid
     found = [grams(r.h, r.p) for r in rows]
     row, col = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
     value = np.repeat([1 / np.sqrt(max(len(f), 1)) for f in found], [len(f) for f in found])
-    balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    balance = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum())
     weights, bias, speed, push = np.zeros(DIMENSIONS), 0.0, np.zeros(DIMENSIONS), 0.0
     for _ in range(rounds):
         z = np.bincount(row, weights[col] * value, minlength=len(y)) + bias
