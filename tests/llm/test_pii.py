@@ -95,6 +95,7 @@ def test_query_leaves_no_value_and_changes_nothing_else(spark):
     for r in rows:
         old = texts[r.doc_id]
         given = [old[s.start : s.end] for s in r.spans]
-        assert not {v for v in plainly.findall(old) if v in r.text}
-        assert set(plainly.findall(old)) <= set(given)
+        checked = {v for v in plainly.findall(old) if not v.isdigit() or luhn(v)}
+        assert not {v for v in checked if v in r.text}
+        assert checked <= set(given)
         assert pseudonymise(r.text, PSEUDONYM_KEY, inverse=True)[0] == old and (r.spans or r.text == old)
