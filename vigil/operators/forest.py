@@ -22,11 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import FEATURE_COLUMNS
+from ..sources.store import materialize
+from .quantiles import exact_quantiles
 
 EULER_GAMMA = 0.5772156649015329
 HASH_MODULUS = 1 << 30
@@ -159,7 +162,6 @@ def fit_forest(
     contamination: float = 0.08,
     seed: int = 42,
     id_col: str = "event_id",
-    exact_offset_limit: int = 5_000_000,
 ) -> Forest:
     """Fit on the 16 feature columns of ``train`` (booleans as 0/1)."""
     n = train.count()
@@ -169,7 +171,8 @@ def fit_forest(
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     boost = 1.0
     while True:
-        sample = sample_for_trees(train, n, trees, psi, seed, id_col, boost)
+        # written once: the check below and the growing of the trees read the same draw
+        sample = materialize(sample_for_trees(train, n, trees, psi, seed, id_col, boost), "tree-sample")
         # every tree must hold exactly psi rows; a short draw is redrawn at a higher rate
         # (at rate 1 every row is a candidate, so this ends)
         full = sample.groupBy("tree_id").count().where(F.col("count") == psi).count()
@@ -190,9 +193,7 @@ def fit_forest(
     nodes = sample.groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA).toPandas()
     forest = Forest(nodes, psi, 0.0, trees, list(FEATURE_COLUMNS), n, contamination, seed)
     scores = score_samples(train, forest)
-    q = F.lit(contamination)
-    pct = F.percentile("_s", q) if n <= exact_offset_limit else F.percentile_approx("_s", q, 100000)
-    forest.offset = float(scores.agg(pct.alias("o")).first()["o"])
+    forest.offset = float(exact_quantiles(scores, {"o": (F.col("_s"), [contamination])}).first()["o"][0])
     return forest
 
 
@@ -244,8 +245,10 @@ def load_forest(spark, path: str) -> Forest | None:
     """The saved forest, or None when the artifact is absent (the no-model path)."""
     try:
         nodes = spark.read.parquet(f"{path}/trees").toPandas()
-        p = spark.read.json(f"{path}/params").first()
-    except Exception:  # noqa: BLE001 - absent or unreadable artifact means "no model"
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
+    p = spark.read.json(f"{path}/params").first()
     return Forest(nodes, int(p["sample_size"]), float(p["offset"]), int(p["trees"]), list(FEATURE_COLUMNS),
                   int(p["training_rows"]), float(p["contamination"]), int(p["seed"]))

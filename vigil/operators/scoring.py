@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import confidence_from_raw, py_bool_text, score_from_raw
 from ..schema import BOOL_FEATURES, FEATURE_COLUMNS, NO_MODEL_EXPLANATION, NO_MODEL_VERSION
+from .quantiles import exact_quantiles
 
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 STD_FLOOR = 1e-9
@@ -28,41 +29,26 @@ def raw_logistic(raw: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(raw * F.lit(3.5)))
 
 
-EXACT_PERCENTILE_ROWS = 2_000_000
-
-
-def feature_stats(
-    features: DataFrame, raw_col: str = "raw_score", exact: bool | None = None, accuracy: int = 1_000_000
-) -> DataFrame:
+def feature_stats(features: DataFrame, raw_col: str = "raw_score") -> DataFrame:
     """One row: ``median_<f>``, ``std_<f>`` for the 16 features; ``p50..p99`` of the
     training anomaly score; ``observed_anomaly_fraction``; ``training_rows``.
 
-    Exact ``percentile`` (linear interpolation) keeps every distinct value of a
-    column in the final merge, so it is only used up to ``EXACT_PERCENTILE_ROWS``
-    training rows (``exact=None`` counts first); beyond that ``percentile_approx``
-    bounds the merge state by ``accuracy``.
+    Medians and percentiles are exact and distributed (``exact_quantiles``) at every size.
     """
-    if exact is None:
-        exact = features.count() <= EXACT_PERCENTILE_ROWS
     x = features.select(
         *[F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS],
         raw_logistic(F.col(raw_col)).alias("_score"),
         (F.col(raw_col) < 0).cast("double").alias("_pred"),
     )
-    aggs = []
-    for c in FEATURE_COLUMNS:
-        med = F.percentile(c, 0.5) if exact else F.percentile_approx(c, 0.5, accuracy)
-        aggs.append(med.alias(f"median_{c}"))
-        aggs.append(F.stddev_pop(c).alias(f"_std_{c}"))
-    qs = list(PERCENTILES.values())
-    pct = F.percentile("_score", F.array(*[F.lit(q) for q in qs])) if exact else F.percentile_approx("_score", qs, accuracy)
-    aggs.append(pct.alias("_pcts"))
+    wanted = {f"_q_{c}": (F.col(c), [0.5]) for c in FEATURE_COLUMNS}
+    quantiles = exact_quantiles(x, wanted | {"_pcts": (F.col("_score"), list(PERCENTILES.values()))})
+    aggs = [F.stddev_pop(c).alias(f"_std_{c}") for c in FEATURE_COLUMNS]
     aggs.append(F.avg("_pred").alias("observed_anomaly_fraction"))
     aggs.append(F.count(F.lit(1)).alias("training_rows"))
-    s = x.agg(*aggs)
+    s = x.agg(*aggs).crossJoin(quantiles)  # one row each
     cols = []
     for c in FEATURE_COLUMNS:
-        cols.append(F.col(f"median_{c}"))
+        cols.append(F.col(f"_q_{c}")[0].alias(f"median_{c}"))
         std = F.col(f"_std_{c}")
         cols.append(F.when(std > STD_FLOOR, std).otherwise(F.lit(1.0)).alias(f"std_{c}"))
     for i, name in enumerate(PERCENTILES):
