@@ -1,5 +1,6 @@
 """Stream = batch: k micro-batches give the same features and alert table as one run."""
 
+import json
 import os
 
 import pytest
@@ -101,3 +102,66 @@ def test_batch_retry_is_idempotent(spark, tmpdir_path):
     process_batch(spark, cfg, second, 1)  # the retry
     assert snapshot() == before
     assert before["features"] == validate_events(lines).where("valid").count()
+
+
+BASE = dict(
+    cloud_provider="aws", account_id="a1", user_id="u1", principal_type="human", source_ip="10.0.0.1", geo_country="US", region="us-east-1",
+    service_name="s3", api_action="GetObject", resource_type="object", resource_id="r1", auth_result="success", bytes_sent=0, bytes_received=0,
+    device_fingerprint="d1", user_agent="ua", is_privileged_action=False, metadata={"scenario": "test"},
+)
+
+
+def _messages(spark, *events):
+    """Lines without positions; an event gives at least its id and clock time."""
+    rows = [(None, json.dumps(BASE | dict(event_id=i, timestamp=f"2024-01-01T{at}+00:00") | more)) for i, at, more in events]
+    return spark.createDataFrame(rows, "seq long, value string").withColumn("arrival_ts", F.lit("2024-01-01").cast("timestamp"))
+
+
+def test_quiet_late_and_failing_batches(spark, tmpdir_path):
+    """A first batch without alerts; a late alert joins its session; too late events, failing sinks and scorer."""
+    from vigil.streaming.stream import process_batch
+
+    def fail(*_):
+        raise RuntimeError("down")
+
+    cfg = StreamConfig(os.path.join(tmpdir_path, "t"), scorer=fail, alert_sink=fail, dead_letter_sinks=[fail], lateness_seconds=600)
+    process_batch(spark, cfg, _messages(spark, ("e0", "00:10:00", {})), 0)
+    assert current_alerts(spark, cfg) is None
+    big = {"bytes_received": 10**12}
+    process_batch(spark, cfg, _messages(spark, ("e1", "00:16:40", big)), 1)
+    (first,) = current_alerts(spark, cfg).collect()
+    assert first.suppression_count == 0 and first.model_version == "unavailable" and first.event.event_id == "e1"
+    process_batch(spark, cfg, _messages(spark, ("e2", "00:15:00", big), ("e1", "00:16:40", big)), 2)
+    (both,) = current_alerts(spark, cfg).collect()
+    assert (both.alert_id, both.created_at, both.suppression_count) == (first.alert_id, first.created_at, 1)
+    process_batch(spark, cfg, _messages(spark, ("e3", "00:00:01", big)), 3)
+    process_batch(spark, cfg, _messages(spark, ("e4", "00:18:00", big)), 4)
+    (last,) = current_alerts(spark, cfg).collect()
+    assert (last.alert_id, last.suppression_count, last.event.event_id) == (first.alert_id, 2, "e4")
+    letters = {(r.stage, r.event_id, r.error_type, r.retryable) for r in spark.read.parquet(cfg.path("dead_letters")).collect()}
+    assert letters == {("alert_delivery", e, "RuntimeError", True) for e in ("e1", "e2", "e4")} | {("late", "e3", "LateEvent", False)}
+    assert {r.event_id for r in spark.read.parquet(cfg.path("features")).collect()} == {"e0", "e1", "e2", "e4"}
+
+
+def test_failing_detection_is_dead_lettered_on_request(spark, tmpdir_path, monkeypatch):
+    from vigil.streaming import stream
+
+    def fail(*_):
+        raise ValueError("broken")
+
+    monkeypatch.setattr(stream, "_detect", fail)
+    cfg = StreamConfig(os.path.join(tmpdir_path, "t"), dead_letter_failures=True)
+    stream.process_batch(spark, cfg, _messages(spark, ("e0", "00:10:00", {}), ("", "00:10:00", {})), 0)
+    letters = {(r.stage, r.event_id, r.retryable) for r in spark.read.parquet(cfg.path("dead_letters")).collect()}
+    assert letters == {("stream_processing", "e0", True), ("validation", "", False)}
+    cfg.dead_letter_failures = False
+    with pytest.raises(ValueError):
+        stream.process_batch(spark, cfg, _messages(spark, ("e0", "00:10:00", {})), 1)
+
+
+def test_wide_batches_get_distinct_numbers(spark):
+    from vigil.streaming.stream import number_rows
+
+    rows = spark.range(160).select(F.lit(None).cast("long").alias("seq"), F.col("id").cast("string").alias("value")).repartition(160)
+    numbers = [sorted(r.seq for r in number_rows(rows, b).collect()) for b in (0, 1)]
+    assert numbers == [list(range(160)), [(1 << 40) + k for k in range(160)]]

@@ -134,10 +134,6 @@ def validate_events(lines: DataFrame, value_col: str = "value") -> DataFrame:
     return out.withColumn("valid", F.size("errors") == 0)
 
 
-def valid_events(validated: DataFrame) -> DataFrame:
-    return validated.where(F.col("valid"))
-
-
 def dead_letters(
     validated: DataFrame,
     stage: str = "validation",
@@ -167,3 +163,27 @@ def dead_letters(
         F.lit(False).alias("retryable"),
         F.col("seq"),
     )
+
+
+def failure_letters(
+    validated: DataFrame,
+    stage: str,
+    error_type: str,
+    error_message: str,
+    retryable: bool,
+    source_topic: str = RAW_EVENTS_TOPIC,
+    value_col: str = "value",
+) -> DataFrame:
+    """Dead-letter rows for valid events that a later stage could not take (same columns as ``dead_letters``)."""
+    return validated.select(
+        F.sha2(F.concat_ws(":", F.lit(source_topic), F.col("seq").cast("string"), F.lit(stage)), 256).alias("dead_letter_id"),
+        F.col("arrival_ts").alias("failed_at"),
+        F.lit(source_topic).alias("source_topic"),
+        F.lit(stage).alias("stage"),
+        F.lit(error_type).alias("error_type"),
+        F.lit(error_message).alias("error_message"),
+        F.col(value_col).alias("raw_payload"),
+        "event_id",
+        F.lit(retryable).alias("retryable"),
+        F.col("seq"),
+    )

@@ -1,9 +1,10 @@
 """Isolation forest on Spark (Liu, Ting and Zhou, 2008): fit, score, metadata.
 
 Fit:
-  1. one narrow pass draws the per-tree subsamples: every row lists the trees
-     whose hash test it passes (about 1.5 * psi rows per tree, no n x trees
-     cross join), then ``row_number`` by hash inside each tree keeps psi rows;
+  1. one narrow pass draws the per-tree subsamples: one hash decides how many
+     trees a row is drawn for (mostly none), and only drawn rows are hashed again
+     to pick them (about 1.5 * psi rows per tree, no n x trees cross join), then
+     ``row_number`` by hash inside each tree keeps psi rows;
   2. ``groupBy(tree_id).applyInPandas`` grows each tree from its <= psi rows
      (random feature, uniform split between the node's min and max, depth
      limit ceil(log2 psi)); trees come back as a node table.
@@ -142,13 +143,15 @@ def sample_for_trees(df: DataFrame, n_rows: int, trees: int, psi: int, seed: int
     if n_rows <= psi:
         return df.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id"), *feats)
     p = min(1.0, boost * (1.5 * psi / n_rows + 64.0 / n_rows))
-    thr = int(math.ceil(p * HASH_MODULUS))
-    h = lambda t: F.pmod(F.xxhash64(F.col(id_col), t, F.lit(seed)), F.lit(HASH_MODULUS))
-    cand = df.select(
-        F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: h(t) < thr)).alias("tree_id"),
-        F.col(id_col),
-        *feats,
-    )
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    if p < 1.0:
+        # so many draws, with repeats, that a row reaches each tree with probability p
+        mean = p if trees == 1 else math.log1p(-p) / math.log1p(-1.0 / trees)
+        extra = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), F.lit(-1)), F.lit(HASH_MODULUS)) < int((mean % 1) * HASH_MODULUS)
+        df = df.withColumn("_draws", F.lit(int(mean)) + extra.cast("int")).where("_draws > 0")
+        pick = lambda j: F.pmod(F.xxhash64(F.col(id_col), j, F.lit(seed)), F.lit(trees)).cast("int")
+        every = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_draws")), pick))
+    cand = df.select(F.explode(every).alias("tree_id"), F.col(id_col), *feats)
     cand = cand.withColumn("_h", F.xxhash64(F.col(id_col), F.col("tree_id"), F.lit(seed + 1)))
     w = Window.partitionBy("tree_id").orderBy("_h", id_col)
     return cand.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= psi).drop("_rk", "_h", id_col)

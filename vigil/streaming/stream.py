@@ -1,19 +1,19 @@
 """Structured Streaming detection: ``readStream -> foreachBatch(process_batch)``.
 
 Each micro-batch reuses the batch functions:
-  1. validate; archive every payload; dead-letter the invalid lines;
-  2. read the last 24 h of the event history (plus the window lead of late
-     events) and the all-time first-seen table; compute the 16 features over
-     history + batch, keep the batch rows; first-seen flags come from the
-     first-seen table (exact, all time);
-  3. score, evaluate the rules, key the alerts; repeats of stored idempotency
-     keys are dropped (anti join);
-  4. suppression: the stored sessions of the touched fingerprints that are
-     still open (last seen within 300 s of the batch) are re-folded with the
-     new alerts, replacing those sessions;
-  5. writes are keyed by ``batch_id`` (a partition overwritten on retry, or a
-     new table version), so a replayed batch after a failure gives the same
-     tables: the checkpoint plus idempotent writes make the sink exactly-once.
+  1. number the rows, validate; archive every payload; dead-letter the invalid lines and, with
+     ``lateness_seconds``, the valid events that come too late;
+  2. read the history of the last 24 h that shares a user, IP or account with the batch (date
+     partitions, then semi-joins) and compute the 16 features over history + batch; first-seen
+     flags come from the first-seen deltas of the batch's users (exact, all time);
+  3. score, evaluate the rules, key the alerts; repeats inside the batch and of stored idempotency
+     keys are dropped. A scorer that fails leaves rules-only detection;
+  4. suppression: the stored sessions of the touched fingerprints that the new alerts can reach are
+     folded again with them. A session keeps the id and creation time it was first stored with, also
+     when a late alert opens it earlier; sessions that grow together keep the earliest one's;
+  5. every table is written per ``batch_id`` (a partition overwritten on retry) and holds what the
+     batch adds or changes, never a copy of the state, so a replayed batch after a failure gives the
+     same tables: the checkpoint plus idempotent writes make the sink exactly-once.
 
 For in-order input, k micro-batches give the same feature rows and alert table
 as one batch run (tested).
@@ -21,19 +21,25 @@ as one batch run (tested).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import logging
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.validate import dead_letters, validate_events
+from ..functions.validate import dead_letters, failure_letters, validate_events
 from ..operators import rules as R
-from ..operators.alerts import suppress, with_keys
+from ..operators.alerts import drop_known, suppress, with_keys
 from ..operators.features import dedup_events, feature_snapshot
 from ..operators.scoring import score_from_raw_frame, score_no_model
 from ..sources.raw import archive_line
+from ..sources.store import discard, materialize
 from ..sources.tables import feature_rows
 
+LOGGER = logging.getLogger(__name__)
 DAY = 86400
 HISTORY_COLUMNS = [
     "event_id", "seq", "ts_sec", "timestamp", "timestamp_text", "cloud_provider", "account_id", "user_id",
@@ -48,9 +54,13 @@ class StreamConfig:
     base: str  # folder holding all tables of the stream
     stats: DataFrame | None = None  # one-row training statistics; None = no model
     raw_score: str | None = None  # column holding the model's raw decision value (scorer output)
-    scorer: object | None = None  # callable(features_df) -> features_df + raw_score column
+    scorer: Callable[[DataFrame], DataFrame] | None = None  # features -> features + raw score column
     model_version: str = "unavailable"
     suppression_seconds: int = 300
+    lateness_seconds: int | None = None  # later events become dead letters of stage "late"; None: all are taken
+    alert_sink: Callable[[DataFrame, int], None] | None = None  # gets the batch's new alerts; a failure dead-letters them
+    dead_letter_sinks: list[Callable[[DataFrame, int], None]] = field(default_factory=list)  # besides the table, each failing alone
+    dead_letter_failures: bool = False  # failing detection dead-letters the batch's events instead of ending the query
 
     def path(self, name: str) -> str:
         return f"{self.base.rstrip('/')}/{name}"
@@ -63,31 +73,40 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _latest_version(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """Newest ``v=<n>`` snapshot with n < before."""
+def _stored(spark: SparkSession, path: str, schema: T.StructType, before: int) -> DataFrame:
+    """What earlier batches wrote; the declared schema makes a table without any row readable."""
+    schema = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
     if not _exists(spark, path):
-        return None
-    df = spark.read.parquet(path)
-    versions = [r["v"] for r in df.select("v").distinct().where(F.col("v") < before).collect()]
-    if not versions:
-        return None
-    return df.where(F.col("v") == max(versions)).drop("v")
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).where(F.col("batch_id") < before)
 
 
-def _write_partition(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet") -> None:
-    """Overwrite only this batch's partition (idempotent on retry)."""
-    out = df.withColumn("batch_id", F.lit(batch_id))
+def _write_partition(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet", by: tuple[str, ...] = ()) -> None:
+    """Overwrite only this batch's partitions (idempotent on retry)."""
+    out = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
     (
         out.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy("batch_id", *by)
         .format(fmt)
         .save(path)
     )
 
 
-def update_first_seen(prev: DataFrame | None, events: DataFrame) -> DataFrame:
-    """All-time earliest (ts, seq) per (user, dim, value), dims: user / country / ip."""
+def number_rows(batch: DataFrame, batch_id: int) -> DataFrame:
+    """Rows without a position get gapless batch-major arrival numbers, however many partitions the batch has."""
+    rows = materialize(batch.withColumn("_at", F.monotonically_increasing_id()), "batch-rows")
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row per partition of the batch
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy(part.alias("_part")).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    number = F.lit(batch_id << 40) + F.col("_first") + inside
+    numbered = rows.join(F.broadcast(first), part == F.col("_part")).withColumn("seq", F.coalesce(F.col("seq"), number))
+    return numbered.drop("_at", "_part", "_first")
+
+
+def batch_minima(events: DataFrame) -> DataFrame:
+    """Earliest (ts, seq) per (user, dim, value) of a batch, dims: user / country / ip."""
     rows = events.select(
         "user_id",
         "ts_sec",
@@ -100,12 +119,10 @@ def update_first_seen(prev: DataFrame | None, events: DataFrame) -> DataFrame:
             )
         ).alias("d"),
     ).select("user_id", "d.dim", "d.value", F.struct("ts_sec", "seq").alias("first"))
-    if prev is not None:
-        rows = rows.unionByName(prev.select("user_id", "dim", "value", "first"))
     return rows.groupBy("user_id", "dim", "value").agg(F.min("first").alias("first"))
 
 
-def first_seen_flags(batch: DataFrame, first_seen: DataFrame | None) -> DataFrame:
+def first_seen_flags(batch: DataFrame, first_seen: DataFrame) -> DataFrame:
     """``seq`` + is_new_country_for_user / is_new_ip_for_user, exact over all time."""
     rows = batch.select(
         "seq",
@@ -121,11 +138,8 @@ def first_seen_flags(batch: DataFrame, first_seen: DataFrame | None) -> DataFram
     ).select("seq", "user_id", "me", "d.dim", "d.value")
     w = Window.partitionBy("user_id", "dim", "value").orderBy("me")
     rows = rows.withColumn("_rn", F.row_number().over(w))
-    if first_seen is not None:
-        rows = rows.join(first_seen, ["user_id", "dim", "value"], "left")
-        prior = F.col("first").isNotNull() & (F.col("first") < F.col("me"))
-    else:
-        prior = F.lit(False)
+    rows = rows.join(first_seen, ["user_id", "dim", "value"], "left")
+    prior = F.col("first").isNotNull() & (F.col("first") < F.col("me"))
     rows = rows.withColumn("_first", ~prior & (F.col("_rn") == 1))
     f = rows.groupBy("seq").agg(
         F.max(F.when(F.col("dim") == "user", F.col("_first"))).alias("_first_user"),
@@ -141,101 +155,179 @@ def first_seen_flags(batch: DataFrame, first_seen: DataFrame | None) -> DataFram
 
 def _score(cfg: StreamConfig, feats: DataFrame) -> DataFrame:
     if cfg.scorer is not None:
-        feats = cfg.scorer(feats)
+        try:
+            feats = materialize(cfg.scorer(feats), "batch-scores")
+        except Exception:  # noqa: BLE001 - the scorer is foreign code; whatever it raises leaves rules only
+            return score_no_model(feats, "")
     if cfg.stats is None or cfg.raw_score is None:
         return score_no_model(feats)
     return score_from_raw_frame(feats, cfg.stats, cfg.raw_score, cfg.model_version)
 
 
+def _dead_letter(cfg: StreamConfig, rows: DataFrame, batch_id: int) -> None:
+    """Dead letters to the stream's table, then to every further sink; a sink that fails stops no other."""
+    _write_partition(rows, cfg.path("dead_letters"), batch_id, by=("stage",))
+    for n, sink in enumerate(cfg.dead_letter_sinks):
+        try:
+            sink(rows, batch_id)
+        except Exception as exc:  # noqa: BLE001 - foreign code; the rows are in the table
+            LOGGER.warning("dead-letter sink %d failed: %s", n, exc)
+
+
+def _split_late(spark: SparkSession, cfg: StreamConfig, events: DataFrame, batch_id: int) -> DataFrame:
+    """The events to process; those more than ``lateness_seconds`` behind earlier batches are dead-lettered."""
+    progress = T.StructType([T.StructField("max_ts", T.LongType())])
+    if cfg.lateness_seconds is not None:
+        seen = _stored(spark, cfg.path("progress"), progress, batch_id).agg(F.max("max_ts").alias("t")).first()["t"]
+        if seen is not None:
+            late = F.col("ts_sec") < seen - cfg.lateness_seconds
+            message = f"event time is more than {cfg.lateness_seconds} s behind"
+            _dead_letter(cfg, failure_letters(events.where(late), "late", "LateEvent", message, retryable=False), batch_id)
+            events = events.where(~late)
+    _write_partition(events.agg(F.max("ts_sec").alias("max_ts")), cfg.path("progress"), batch_id)
+    return events
+
+
+def _history(spark: SparkSession, cfg: StreamConfig, events: DataFrame, schema: T.StructType, batch_id: int) -> DataFrame:
+    """Stored events that can reach a window of the batch: same user, IP or account, up to 24 h before."""
+    span = events.agg(F.min("ts_sec").alias("lo"), F.max("ts_sec").alias("hi")).first()
+    stored = _stored(spark, cfg.path("history"), schema, batch_id).drop("batch_id")
+    days = F.col("event_day").between(F.to_date(F.timestamp_seconds(F.lit(span.lo - DAY))), F.to_date(F.timestamp_seconds(F.lit(span.hi))))
+    near = stored.where(days & (F.col("ts_sec") >= span.lo - DAY) & (F.col("ts_sec") <= span.hi))
+    parts = [near.join(events.select(k).distinct(), k, "left_semi").select(*near.columns) for k in ("user_id", "source_ip", "account_id")]
+    return reduce(DataFrame.unionByName, parts).dropDuplicates(["seq"])
+
+
 def process_batch(spark: SparkSession, cfg: StreamConfig, batch: DataFrame, batch_id: int) -> None:
     """One micro-batch of raw messages ``(seq, arrival_ts, value)``."""
-    # sources without positions (text folders) get batch-major arrival numbers
-    batch = batch.withColumn("seq", F.coalesce(F.col("seq"), F.lit(batch_id << 40) + F.monotonically_increasing_id()))
-    validated = validate_events(batch).persist()
+    validated = materialize(validate_events(number_rows(batch, batch_id)), "batch-validated")
     try:
         if validated.isEmpty():
             return
         _write_partition(validated.select(archive_line(F.col("value")).alias("value")), cfg.path("archive"), batch_id, "text")
-        _write_partition(dead_letters(validated), cfg.path("dead_letters"), batch_id)
-
-        events = validated.where("valid").select(*HISTORY_COLUMNS)
-        bounds = events.agg(F.min("ts_sec").alias("lo")).first()
-        if bounds["lo"] is None:
+        _dead_letter(cfg, dead_letters(validated), batch_id)
+        events = _split_late(spark, cfg, validated.where("valid"), batch_id)
+        if events.isEmpty():
             return
-        lo = int(bounds["lo"])
-        hist_path = cfg.path("history")
-        history = None
-        if _exists(spark, hist_path):
-            history = (
-                spark.read.parquet(hist_path)
-                .where((F.col("batch_id") < batch_id) & (F.col("ts_sec") >= lo - DAY))
-                .select(*HISTORY_COLUMNS)
-            )
-        union = events.withColumn("_new", F.lit(True))
-        if history is not None:
-            union = union.unionByName(history.withColumn("_new", F.lit(False)))
-        # a repeat of an event already in history loses the dedup (lowest seq) and drops out
-        union = dedup_events(union)
-        new_events = union.where("_new").drop("_new")
-        feats = feature_snapshot(union.drop("_new"), dedup=False).join(new_events.select("seq"), "seq", "left_semi")
-
-        first_seen = _latest_version(spark, cfg.path("first_seen"), batch_id)
-        flags = first_seen_flags(new_events, first_seen)
-        feats = feats.drop("is_new_country_for_user", "is_new_ip_for_user").join(flags, "seq")
-
-        rows = feature_rows(feats.withColumn("metadata", F.create_map(F.lit("scenario"), F.col("scenario"))))
-        _write_partition(rows, cfg.path("features"), batch_id)
-        _write_partition(new_events, hist_path, batch_id)
-        update_first_seen(first_seen, new_events).withColumn("v", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("v").parquet(cfg.path("first_seen"))
-
-        scored = _score(cfg, feats)
-        alert_rows = with_keys(R.alerts(scored))
-        log_path = cfg.path("alert_log")
-        if _exists(spark, log_path):
-            known = spark.read.parquet(log_path).where(F.col("batch_id") < batch_id).select("idempotency_key")
-            alert_rows = alert_rows.join(known, "idempotency_key", "left_anti")
-        _write_partition(alert_rows, log_path, batch_id)
-        _upsert_alerts(spark, cfg, batch_id)
+        try:
+            _detect(spark, cfg, events, batch_id)
+        except Exception as exc:  # noqa: BLE001 - only where the caller asked for it
+            if not cfg.dead_letter_failures:
+                raise
+            _dead_letter(cfg, failure_letters(events, "stream_processing", type(exc).__name__, str(exc)[:500], retryable=True), batch_id)
     finally:
-        validated.unpersist()
+        discard(validated)
+
+
+def _detect(spark: SparkSession, cfg: StreamConfig, validated: DataFrame, batch_id: int) -> None:
+    """Features, first-seen flags, scores, alerts and the alert table of one batch's valid events."""
+    day = F.to_date(F.timestamp_seconds("ts_sec")).alias("event_day")
+    events = validated.select(*HISTORY_COLUMNS, day)
+    history = _history(spark, cfg, events, events.schema, batch_id)
+    union = events.withColumn("_new", F.lit(True)).unionByName(history.withColumn("_new", F.lit(False)))
+    # a repeat of an event already in history loses the dedup (lowest seq) and drops out
+    union = materialize(dedup_events(union), "batch-events")
+    new_events = union.where("_new").drop("_new")
+    feats = feature_snapshot(union.drop("_new"), dedup=False).join(new_events.select("seq"), "seq", "left_semi")
+
+    minima = batch_minima(new_events)
+    known = _stored(spark, cfg.path("first_seen"), minima.schema, batch_id).join(new_events.select("user_id").distinct(), "user_id", "left_semi")
+    known = known.groupBy("user_id", "dim", "value").agg(F.min("first").alias("first"))
+    flags = first_seen_flags(new_events, known)
+    feats = materialize(feats.drop("is_new_country_for_user", "is_new_ip_for_user").join(flags, "seq"), "batch-features")
+
+    _write_partition(feature_rows(feats.drop("event_day")), cfg.path("features"), batch_id)
+    _write_partition(new_events, cfg.path("history"), batch_id, by=("event_day",))
+    was = known.withColumnRenamed("first", "was")
+    changed = minima.join(was, ["user_id", "dim", "value"], "left").where("was is null or first < was").drop("was")
+    _write_partition(changed, cfg.path("first_seen"), batch_id)
+
+    rows = with_keys(R.alerts(_score(cfg, feats.drop("event_day")))).withColumn("event_day", day)
+    days = [r.event_day for r in new_events.select("event_day").distinct().collect()]  # a batch's days
+    log = _stored(spark, cfg.path("alert_log"), rows.schema, batch_id)
+    rows = materialize(drop_known(rows, log.where(F.col("event_day").isin(days))), "batch-alerts")
+    _write_partition(rows, cfg.path("alert_log"), batch_id, by=("event_day",))
+    if not rows.isEmpty():
+        _deliver(cfg, rows, validated, batch_id)
+        _upsert_alerts(spark, cfg, rows, log, batch_id)
+    for table in (union, feats, rows):
+        discard(table)
+
+
+def _deliver(cfg: StreamConfig, rows: DataFrame, events: DataFrame, batch_id: int) -> None:
+    """New alerts to the sink that was passed in; if it fails, their events are dead-lettered for a retry."""
+    if cfg.alert_sink is None:
+        return
+    try:
+        cfg.alert_sink(rows.drop("event_day"), batch_id)
+    except Exception as exc:  # noqa: BLE001 - foreign code; the alerts are in the alert table all the same
+        failed = events.join(rows.select("seq").distinct(), "seq", "left_semi")
+        _dead_letter(cfg, failure_letters(failed, "alert_delivery", type(exc).__name__, str(exc)[:500], retryable=True), batch_id)
+
+
+STATE = ["session_start", "deleted"]
 
 
-def _upsert_alerts(spark: SparkSession, cfg: StreamConfig, batch_id: int) -> None:
-    """Re-fold the open sessions of the fingerprints touched by this batch."""
-    log = spark.read.parquet(cfg.path("alert_log"))
-    new = log.where(F.col("batch_id") == batch_id).drop("batch_id")
-    prev = _latest_version(spark, cfg.path("alerts"), batch_id)
+def _alert_state(spark: SparkSession, cfg: StreamConfig, schema: T.StructType, before: int) -> DataFrame:
+    """The newest stored version of every alert that still stands."""
+    newest = Window.partitionBy("alert_id").orderBy(F.desc("batch_id"))
+    versions = _stored(spark, cfg.path("alerts"), schema, before).withColumn("_rn", F.row_number().over(newest))
+    return versions.where("_rn = 1 and not deleted").drop("_rn", "batch_id")
+
+
+def _upsert_alerts(spark: SparkSession, cfg: StreamConfig, new: DataFrame, log: DataFrame, batch_id: int) -> None:
+    """Fold the sessions that the batch's alerts can reach again; write what changed."""
+    gap = cfg.suppression_seconds
+    first = suppress(new.drop("event_day"), gap, materialize_sessions=False)
+    schema = T.StructType([*first.schema.fields, T.StructField("session_start", T.LongType()), T.StructField("deleted", T.BooleanType())])
     touched = new.groupBy("alert_fingerprint").agg(F.min("ts_sec").alias("_lo"))
-    if prev is not None:
-        # stored sessions of touched fingerprints that may still absorb the new alerts
-        open_sessions = (
-            prev.join(touched, "alert_fingerprint")
-            .where(F.unix_seconds("last_seen_at") >= F.col("_lo") - F.lit(cfg.suppression_seconds))
-            .select("alert_fingerprint", F.unix_seconds("created_at").alias("_start"))
-            .groupBy("alert_fingerprint")
-            .agg(F.min("_start").alias("_start"))
-        )
-        old_rows = (
-            log.where(F.col("batch_id") < batch_id)
-            .drop("batch_id")
-            .join(open_sessions, "alert_fingerprint")
-            .where(F.col("ts_sec") >= F.col("_start"))
-            .drop("_start")
+    reached = materialize(
+        _alert_state(spark, cfg, schema, batch_id)
+        .join(touched, "alert_fingerprint")
+        .where(F.unix_seconds("last_seen_at") >= F.col("_lo") - F.lit(gap))
+        .drop("_lo"),
+        "batch-sessions",
+    )
+    since = reached.groupBy("alert_fingerprint").agg(F.min("session_start").alias("_since"))
+    start = since.agg(F.min("_since").alias("t")).first()["t"]
+    rows = new.drop("event_day")
+    if start is not None:
+        old = log.where(F.col("event_day") >= F.to_date(F.timestamp_seconds(F.lit(start)))).drop("batch_id", "event_day")
+        old = old.join(since, "alert_fingerprint").where(F.col("ts_sec") >= F.col("_since")).select(*rows.columns)
+        rows = rows.unionByName(old)
+    folded = suppress(rows, gap).withColumn("session_start", F.unix_seconds("created_at"))
+    # the earliest stored session inside a folded one lends it its id and creation time
+    stored = reached.select(
+        F.col("alert_fingerprint").alias("_fp"),
+        F.col("session_start").alias("_at"),
+        F.struct("session_start", F.col("alert_id").alias("id"), F.col("created_at").alias("at")).alias("_was"),
+    )
+    inside = (F.col("alert_fingerprint") == F.col("_fp")) & F.col("_at").between(F.col("session_start"), F.unix_seconds("last_seen_at"))
+    lent = folded.select("alert_id", "alert_fingerprint", "session_start", "last_seen_at").join(stored, inside).groupBy("alert_id").agg(F.min("_was").alias("_was"))
+    live = (
+        folded.join(lent, "alert_id", "left")
+        .withColumns(
+            {
+                "alert_id": F.coalesce(F.col("_was.id"), F.col("alert_id")),
+                "created_at": F.coalesce(F.col("_was.at"), F.col("created_at")),
+                "deleted": F.lit(False),
+            }
         )
-        refold = suppress(old_rows.unionByName(new), cfg.suppression_seconds)
-        kept = prev.join(refold.select("alert_id"), "alert_id", "left_anti")
-        table = kept.unionByName(refold)
-    else:
-        table = suppress(new, cfg.suppression_seconds)
-    table.withColumn("v", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "v"
-    ).parquet(cfg.path("alerts"))
+        .select(*schema.fieldNames())
+    )
+    live = materialize(live, "batch-live")
+    gone = reached.join(live.select("alert_id"), "alert_id", "left_anti").withColumn("deleted", F.lit(True)).select(*schema.fieldNames())
+    _write_partition(live.unionByName(gone), cfg.path("alerts"), batch_id)
+    for table in (reached, live):
+        discard(table)
 
 
 def current_alerts(spark: SparkSession, cfg: StreamConfig) -> DataFrame | None:
-    return _latest_version(spark, cfg.path("alerts"), 1 << 62)
+    """The alert table as the last batch left it; None before any batch with alerts."""
+    if not _exists(spark, cfg.path("alerts")):
+        return None
+    schema = spark.read.parquet(cfg.path("alerts")).drop("batch_id").schema
+    return _alert_state(spark, cfg, schema, 1 << 62).drop(*STATE)
 
 
 def start(
@@ -252,9 +344,3 @@ def start(
     if trigger:
         writer = writer.trigger(**trigger)
     return writer.start()
-
-
-def observe_ingest(messages: DataFrame, name: str = "ingest") -> DataFrame:
-    """Per-batch counters reported through the query listener / ``lastProgress``."""
-    return messages.observe(name, F.count(F.lit(1)).alias("events_consumed"))
-
