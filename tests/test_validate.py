@@ -77,3 +77,42 @@ def test_good_variants(spark):
         assert row[col] == want
     ts = v[-1]["timestamp"]
     assert (ts.year, ts.month, ts.day, ts.hour, ts.minute) == (2024, 1, 2, 4, 30)
+
+
+def test_json_types_are_told_apart(spark):
+    """Values that the typed event takes or rejects by their JSON type (field, JSON text, valid)."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    base = dict(
+        event_id="e", timestamp="2024-01-01T00:00:00Z", cloud_provider="aws", account_id="a", user_id="u", principal_type="human", source_ip="10.0.0.1",
+        geo_country="US", region="r", service_name="s3", api_action="x", resource_type="t", resource_id="i", auth_result="success",
+        device_fingerprint="d", user_agent="ua",
+    )
+    cases = [
+        ("user_id", "5", False), ("user_id", "true", False), ("user_id", "null", False), ("region", "{}", False), ("user_id", '"\\u00a0"', False),
+        ("user_id", '"\\u3000x\\u2003"', True), ("cloud_provider", "1", False), ("geo_country", "12", False), ("source_ip", "7", False),
+        ("metadata", "[1]", False), ("metadata", "null", False), ("metadata", '"t"', False), ("metadata", '{"a": {"b": 1}}', True),
+        ("source_ip", '"::ffff:10.0.0.1"', True), ("source_ip", '"::ffff:10.0.0.256"', False), ("source_ip", '"fe80::1%eth0"', True), ("source_ip", '"10.0.0.1%1"', False),
+        ("bytes_received", "7.0", True), ("bytes_received", "7.5", False), ("bytes_received", '"7"', True), ("bytes_received", '"7.0"', True), ("bytes_received", '"7.5"', False),
+        ("bytes_received", "true", True), ("bytes_received", "null", False), ("bytes_received", "[7]", False), ("bytes_received", "1e3", True), ("bytes_received", "-1", False),
+        ("is_privileged_action", '"on"', True), ("is_privileged_action", '"OFF"', True), ("is_privileged_action", "1", True), ("is_privileged_action", "1.0", True),
+        ("is_privileged_action", "2", False), ("is_privileged_action", '"maybe"', False), ("is_privileged_action", "null", False),
+        ("timestamp", "1704067200", True), ("timestamp", "1704067200.5", True), ("timestamp", "1704067200000", True), ("timestamp", '"1704067200"', True),
+        ("timestamp", '"2024-01-01"', False), ("timestamp", '"2024-01-01 00:00:00+0530"', True), ("timestamp", "true", False),
+    ]
+    rows = []
+    for n, (name, text, _) in enumerate(cases):
+        body = ", ".join(f'"{k}": {text if k == name else json.dumps(v)}' for k, v in ({name: None} | base).items())
+        rows.append((n, "{" + body + "}"))
+    lines = spark.createDataFrame(rows, "seq long, value string").withColumn("arrival_ts", F.lit("2024-01-01").cast("timestamp"))
+    out = {r.seq: r for r in validate_events(lines).collect()}
+    wrong = [(c, out[n].errors) for n, c in enumerate(cases) if out[n].valid != c[2]]
+    assert not wrong
+    by_text = {c[1]: out[n] for n, c in enumerate(cases)}
+    assert by_text["1e3"].bytes_received == 1000 and by_text['{"a": {"b": 1}}'].metadata == {"a": '{"b":1}'}
+    assert by_text["1704067200"].timestamp_text == "2024-01-01T00:00:00+00:00" and by_text["1704067200.5"].timestamp_text == "2024-01-01T00:00:00.500000+00:00"
+    assert by_text["1704067200000"].ts_sec == 1704067200
+    assert by_text['"2024-01-01 00:00:00+0530"'].timestamp_text == "2024-01-01T00:00:00+05:30"
+    assert by_text['"\\u3000x\\u2003"'].user_id == "x" and by_text['"\\u3000x\\u2003"'].timestamp_text == "2024-01-01T00:00:00+00:00"

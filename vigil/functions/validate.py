@@ -1,7 +1,8 @@
 """Message decoding and event validation in one projection (no UDF).
 
-``validate_events(lines)`` decodes each JSON message into a string map, checks
-every constraint of the typed event and returns the typed columns plus
+``validate_events(lines)`` decodes each JSON message into a map of field texts and
+a map of typed variants (which tell ``5`` from ``"5"``), checks every constraint
+of the typed event and returns the typed columns plus
 ``errors: array<string>`` (empty when valid). Invalid lines become dead letters
 (``dead_letters``); nothing raises, so one bad line never stops a batch.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import json_string
+from ..functions.columns import iso_text, json_string
 from ..schema import (
     AUTH_RESULTS,
     CLOUD_PROVIDERS,
@@ -34,11 +35,20 @@ IPV6_PATTERN = (
     r"|[0-9a-fA-F]{1,4}:(:[0-9a-fA-F]{1,4}){1,6}"
     r"|:((:[0-9a-fA-F]{1,4}){1,7}|:))$"
 )
+IPV4_TAIL_PATTERN = r":(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
+SPACE = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]"
+INTEGER_PATTERN = r"^\s*[+-]?[0-9]+(\.0*)?\s*$"
+EPOCH_PATTERN = r"^[+-]?[0-9]+(\.[0-9]*)?$"
+LARGEST_EPOCH_SECONDS = 20_000_000_000  # larger numbers are milliseconds
+TRUE_WORDS = ["1", "on", "t", "true", "y", "yes"]
+FALSE_WORDS = ["0", "off", "f", "false", "n", "no"]
 ZONE_PATTERN = r"(Z|z|[+-][0-9]{2}:?[0-9]{2})$"
 COUNTRY_PATTERN = r"^\p{L}{2}$"
 
 ERROR_SEP = "; "
 MSG_REQUIRED = "field required"
+MSG_STRING = "must be a string"
+MSG_DICT = "must be an object"
 MSG_BLANK = "must not be blank"
 MSG_CHOICE = "input is not one of the allowed values"
 MSG_COUNTRY_LEN = "must have exactly 2 characters"
@@ -53,8 +63,17 @@ MSG_OBJECT = "payload must be a JSON object"
 
 
 def strip(c: Column) -> Column:
-    """Python-style strip of leading and trailing whitespace."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Leading and trailing white space of any script removed."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def iso_offset_text(c: Column) -> Column:
+    """A valid timestamp text with ``T``, six or no fraction digits and a ``+hh:mm`` offset."""
+    c = F.regexp_replace(F.regexp_replace(c, "^(.{10}) ", "$1T"), "[Zz]$", "+00:00")
+    c = F.regexp_replace(c, "([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    fraction = F.regexp_extract(c, r"\.([0-9]+)[+-]", 1)
+    padded = F.concat(F.lit("."), F.rpad(fraction, 6, "0"))
+    return F.when(fraction != "", F.regexp_replace(c, F.concat(F.lit(r"\."), fraction), padded)).otherwise(c)
 
 
 def _err(cond: Column, field: str, msg: str) -> Column:
@@ -63,8 +82,12 @@ def _err(cond: Column, field: str, msg: str) -> Column:
 
 def validate_events(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """Typed event columns + ``errors`` + ``valid`` for each message line."""
-    m = F.from_json(F.col(value_col), "map<string,string>")
-    d = lines.withColumn("_m", m)
+    d = lines.withColumns(
+        {
+            "_m": F.from_json(F.col(value_col), "map<string,string>"),
+            "_t": F.from_json(F.col(value_col), "map<string,variant>"),
+        }
+    )
     mm = F.col("_m")
 
     def has(k: str) -> Column:
@@ -73,36 +96,68 @@ def validate_events(lines: DataFrame, value_col: str = "value") -> DataFrame:
     def raw(k: str) -> Column:
         return mm.getItem(k)
 
+    def kind(k: str) -> Column:
+        return F.schema_of_variant(F.col("_t").getItem(k))
+
+    def text(k: str) -> Column:
+        """The field where it is a JSON string."""
+        return F.when(kind(k) == "STRING", raw(k))
+
+    def number(k: str) -> Column:
+        """An integer: a whole number, a text of one, or a boolean."""
+        exact = F.expr(f"try_cast(trim(_m['{k}']) as decimal(38,6))")
+        whole = F.when(exact == F.floor(exact), F.expr(f"try_cast(try_cast(trim(_m['{k}']) as decimal(38,6)) as bigint)"))
+        return (
+            F.when(kind(k) == "BOOLEAN", (raw(k) == "true").cast("long"))
+            .when(kind(k) == "STRING", F.when(raw(k).rlike(INTEGER_PATTERN), whole))
+            .when(kind(k).rlike("^(BIGINT|DECIMAL|DOUBLE)"), whole)
+        )
+
     is_obj = mm.isNotNull()
     errs: list[Column] = [F.when(~is_obj, F.lit(MSG_OBJECT))]
     for f in REQUIRED_FIELDS:
         errs.append(_err(is_obj & raw(f).isNull(), f, MSG_REQUIRED))
+    for f in (*NON_BLANK_FIELDS, "geo_country", "source_ip"):
+        errs.append(_err(raw(f).isNotNull() & text(f).isNull(), f, MSG_STRING))
     for f in NON_BLANK_FIELDS:
-        errs.append(_err(raw(f).isNotNull() & (strip(raw(f)) == ""), f, MSG_BLANK))
+        errs.append(_err(strip(text(f)) == "", f, MSG_BLANK))
     for f, allowed in (("cloud_provider", CLOUD_PROVIDERS), ("principal_type", PRINCIPAL_TYPES), ("auth_result", AUTH_RESULTS)):
-        errs.append(_err(raw(f).isNotNull() & ~raw(f).isin(allowed), f, MSG_CHOICE))
-    gc = raw("geo_country")
-    errs.append(_err(gc.isNotNull() & (F.length(gc) != 2), "geo_country", MSG_COUNTRY_LEN))
-    errs.append(
-        _err(gc.isNotNull() & (F.length(gc) == 2) & ~F.upper(strip(gc)).rlike(COUNTRY_PATTERN), "geo_country", MSG_COUNTRY)
-    )
-    ip = strip(raw("source_ip"))
-    errs.append(_err(raw("source_ip").isNotNull() & ~(ip.rlike(IPV4_PATTERN) | ip.rlike(IPV6_PATTERN)), "source_ip", MSG_IP))
-    for f in ("bytes_sent", "bytes_received"):
-        n = F.expr(f"try_cast(_m['{f}'] as bigint)")
+        errs.append(_err(raw(f).isNotNull() & ~F.coalesce(text(f).isin(allowed), F.lit(False)), f, MSG_CHOICE))
+    gc = text("geo_country")
+    errs.append(_err(F.length(gc) != 2, "geo_country", MSG_COUNTRY_LEN))
+    errs.append(_err((F.length(gc) == 2) & ~F.upper(strip(gc)).rlike(COUNTRY_PATTERN), "geo_country", MSG_COUNTRY))
+    ip = strip(text("source_ip"))
+    # an IPv6 address may end in an IPv4 one and may name a scope
+    plain6 = F.regexp_replace(F.regexp_replace(ip, "%[^%]+$", ""), IPV4_TAIL_PATTERN, ":0:0")
+    errs.append(_err(~(ip.rlike(IPV4_PATTERN) | plain6.rlike(IPV6_PATTERN)), "source_ip", MSG_IP))
+    counts = {f: number(f) for f in ("bytes_sent", "bytes_received")}
+    for f, n in counts.items():
         errs.append(_err(has(f) & n.isNull(), f, MSG_INT))
-        errs.append(_err(n.isNotNull() & (n < 0), f, MSG_NONNEG))
-    pb = F.expr("try_cast(_m['is_privileged_action'] as boolean)")
+        errs.append(_err(n < 0, f, MSG_NONNEG))
+    flag = raw("is_privileged_action")
+    word = F.when(kind("is_privileged_action") == "STRING", F.lower(flag)).when(
+        kind("is_privileged_action") != "VOID", F.regexp_replace(flag, r"^([01])\.0+$", "$1")
+    )
+    pb = F.when(word.isin(TRUE_WORDS), F.lit(True)).when(word.isin(FALSE_WORDS), F.lit(False))
     errs.append(_err(has("is_privileged_action") & pb.isNull(), "is_privileged_action", MSG_BOOL))
-    ts_text = raw("timestamp")
-    ts = F.try_to_timestamp(ts_text)
-    errs.append(_err(ts_text.isNotNull() & ts.isNull(), "timestamp", MSG_TS))
-    errs.append(_err(ts.isNotNull() & ~ts_text.rlike(ZONE_PATTERN), "timestamp", MSG_TZ))
+    tt = raw("timestamp")
+    epoch = F.when(
+        kind("timestamp").rlike("^(BIGINT|DECIMAL|DOUBLE)") | ((kind("timestamp") == "STRING") & tt.rlike(EPOCH_PATTERN)),
+        F.expr("try_cast(_m['timestamp'] as double)"),
+    )
+    seconds = F.when(F.abs(epoch) > LARGEST_EPOCH_SECONDS, epoch / 1000).otherwise(epoch)
+    ts = F.when(epoch.isNotNull(), F.timestamp_micros(F.round(seconds * 1_000_000).cast("long"))).otherwise(
+        F.try_to_timestamp(text("timestamp"))
+    )
+    ts_text = F.when(epoch.isNotNull(), iso_text(ts)).otherwise(iso_offset_text(tt))
+    errs.append(_err(tt.isNotNull() & ts.isNull(), "timestamp", MSG_TS))
+    errs.append(_err(epoch.isNull() & ts.isNotNull() & ~tt.rlike(ZONE_PATTERN), "timestamp", MSG_TZ))
+    errs.append(_err(has("metadata") & ~F.coalesce(kind("metadata").startswith("OBJECT"), F.lit(False)), "metadata", MSG_DICT))
 
     # concat_ws skips NULLs and stays inside whole-stage codegen (a lambda filter would not)
     message = F.concat_ws(ERROR_SEP, *errs)
     errors = F.when(message == "", F.array().cast("array<string>")).otherwise(F.split(message, ERROR_SEP))
-    trimmed = {f: strip(raw(f)) for f in NON_BLANK_FIELDS}
+    trimmed = {f: strip(text(f)) for f in NON_BLANK_FIELDS}
     out = d.select(
         *[c for c in lines.columns],
         is_obj.alias("is_object"),
@@ -123,11 +178,12 @@ def validate_events(lines: DataFrame, value_col: str = "value") -> DataFrame:
         trimmed["resource_type"].alias("resource_type"),
         trimmed["resource_id"].alias("resource_id"),
         raw("auth_result").alias("auth_result"),
-        F.coalesce(F.expr("try_cast(_m['bytes_sent'] as bigint)"), F.lit(0).cast("long")).alias("bytes_sent"),
-        F.coalesce(F.expr("try_cast(_m['bytes_received'] as bigint)"), F.lit(0).cast("long")).alias("bytes_received"),
+        F.coalesce(counts["bytes_sent"], F.lit(0).cast("long")).alias("bytes_sent"),
+        F.coalesce(counts["bytes_received"], F.lit(0).cast("long")).alias("bytes_received"),
         trimmed["device_fingerprint"].alias("device_fingerprint"),
         trimmed["user_agent"].alias("user_agent"),
         F.coalesce(pb, F.lit(False)).alias("is_privileged_action"),
+        F.from_json(raw("metadata"), "map<string,string>").alias("metadata"),
         F.coalesce(F.get_json_object(F.col(value_col), "$.metadata.scenario"), F.lit("unknown")).alias("scenario"),
         errors.alias("errors"),
     )

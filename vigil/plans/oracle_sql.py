@@ -510,24 +510,24 @@ raw_lines AS (
            '"api_action": ' || {_q('api_action')},
            '"auth_result": ' || {_q("CASE WHEN kind = 16 THEN 'maybe' ELSE auth_result END")},
            '"bytes_received": ' || CASE WHEN kind = 11 THEN '-1' WHEN kind = 12 THEN '"x"' WHEN kind = 13 THEN 'null'
-                                        WHEN kind = 19 THEN NULL WHEN kind = 20 THEN '"7"' ELSE bytes_received::VARCHAR END,
+                                        WHEN kind = 19 THEN NULL WHEN kind = 20 THEN '"7"' WHEN kind = 27 THEN '7.0' ELSE bytes_received::VARCHAR END,
            '"bytes_sent": ' || bytes_sent::VARCHAR,
            '"cloud_provider": ' || {_q("CASE WHEN kind = 5 THEN 'oci' ELSE cloud_provider END")},
            '"device_fingerprint": ' || {_q('device_fingerprint')},
            '"event_id": ' || CASE WHEN kind = 3 THEN NULL WHEN kind = 21 THEN {_q("'  ' || event_id || '  '")}
                                   ELSE {_q('event_id')} END,
            '"geo_country": ' || {_q("CASE WHEN kind = 8 THEN 'USA' WHEN kind = 9 THEN 'U1' WHEN kind = 10 THEN ' U' WHEN kind = 17 THEN lower(geo_country) ELSE geo_country END")},
-           '"is_privileged_action": ' || CASE WHEN is_privileged_action THEN 'true' ELSE 'false' END,
-           '"metadata": {{"scenario": ' || {_q('scenario')} || '}}',
+           '"is_privileged_action": ' || CASE WHEN kind = 28 THEN '"on"' WHEN is_privileged_action THEN 'true' ELSE 'false' END,
+           '"metadata": ' || CASE WHEN kind = 24 THEN '[1]' WHEN kind = 25 THEN 'null' ELSE '{{"scenario": ' || {_q('scenario')} || '}}' END,
            '"principal_type": ' || {_q("CASE WHEN kind = 6 THEN 'bot' ELSE principal_type END")},
            '"region": ' || {_q('region')},
            '"resource_id": ' || {_q('resource_id')},
            '"resource_type": ' || {_q('resource_type')},
            '"service_name": ' || {_q('service_name')},
-           '"source_ip": ' || {_q("CASE WHEN kind = 7 THEN '999.1.1.1' WHEN kind = 18 THEN '2001:db8::1' ELSE source_ip END")},
-           '"timestamp": ' || {_q("CASE WHEN kind = 14 THEN ts_local WHEN kind = 15 THEN 'nope' WHEN kind = 22 THEN strftime(make_timestamp((ts_sec - 18000) * 1000000), '%Y-%m-%dT%H:%M:%S') || '-05:00' ELSE ts_local || '+00:00' END")},
+           '"source_ip": ' || {_q("CASE WHEN kind = 7 THEN '999.1.1.1' WHEN kind = 18 THEN '2001:db8::1' WHEN kind = 26 THEN '::ffff:10.0.0.1' ELSE source_ip END")},
+           '"timestamp": ' || CASE WHEN kind = 29 THEN ts_sec::VARCHAR ELSE {_q("CASE WHEN kind = 14 THEN ts_local WHEN kind = 15 THEN 'nope' WHEN kind = 22 THEN strftime(make_timestamp((ts_sec - 18000) * 1000000), '%Y-%m-%dT%H:%M:%S') || '-05:00' ELSE ts_local || '+00:00' END")} END,
            '"user_agent": ' || {_q('user_agent')},
-           '"user_id": ' || {_q("CASE WHEN kind = 4 THEN '  ' WHEN kind = 21 THEN '  ' || user_id || '  ' ELSE user_id END")}
+           '"user_id": ' || CASE WHEN kind = 23 THEN '5' ELSE {_q("CASE WHEN kind = 4 THEN '  ' WHEN kind = 30 THEN chr(160) WHEN kind = 21 THEN '  ' || user_id || '  ' ELSE user_id END")} END
          ) || '}}'
     END AS value
   FROM raw_base
@@ -542,40 +542,60 @@ def _validation_sql() -> str:
     def js(f: str) -> str:
         return f"json_extract_string(j, '$.{f}')"
 
+    def text(f: str) -> str:
+        return f"CASE WHEN json_type(j, '$.{f}') = 'VARCHAR' THEN {js(f)} END"
+
+    def number(f: str) -> str:
+        exact = f"TRY_CAST(trim({js(f)}) AS DECIMAL(38, 6))"
+        whole = f"CASE WHEN {exact} = floor({exact}) THEN TRY_CAST({exact} AS BIGINT) END"
+        return (
+            f"CASE json_type(j, '$.{f}') WHEN 'BOOLEAN' THEN CASE WHEN {js(f)} = 'true' THEN 1 ELSE 0 END"
+            f" WHEN 'VARCHAR' THEN CASE WHEN regexp_matches({js(f)}, '{V.INTEGER_PATTERN}') THEN {whole} END"
+            f" WHEN 'UBIGINT' THEN {whole} WHEN 'BIGINT' THEN {whole} WHEN 'DOUBLE' THEN {whole} END"
+        )
+
     def strip(x: str) -> str:
-        return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+        return f"regexp_replace({x}, '^{V.SPACE}+|{V.SPACE}+$', '', 'g')"
 
     errs = [f"CASE WHEN NOT is_object THEN '{V.MSG_OBJECT}' END"]
     for f in REQUIRED_FIELDS:
         errs.append(f"CASE WHEN is_object AND {js(f)} IS NULL THEN '{f}: {V.MSG_REQUIRED}' END")
+    for f in (*NON_BLANK_FIELDS, "geo_country", "source_ip"):
+        errs.append(f"CASE WHEN {js(f)} IS NOT NULL AND {text(f)} IS NULL THEN '{f}: {V.MSG_STRING}' END")
     for f in NON_BLANK_FIELDS:
-        errs.append(f"CASE WHEN {js(f)} IS NOT NULL AND {strip(js(f))} = '' THEN '{f}: {V.MSG_BLANK}' END")
+        errs.append(f"CASE WHEN {strip(text(f))} = '' THEN '{f}: {V.MSG_BLANK}' END")
     for f, allowed in (("cloud_provider", CLOUD_PROVIDERS), ("principal_type", PRINCIPAL_TYPES), ("auth_result", AUTH_RESULTS)):
         lst = ", ".join(f"'{a}'" for a in allowed)
-        errs.append(f"CASE WHEN {js(f)} IS NOT NULL AND {js(f)} NOT IN ({lst}) THEN '{f}: {V.MSG_CHOICE}' END")
-    gc = js("geo_country")
-    errs.append(f"CASE WHEN {gc} IS NOT NULL AND length({gc}) <> 2 THEN 'geo_country: {V.MSG_COUNTRY_LEN}' END")
+        errs.append(f"CASE WHEN {js(f)} IS NOT NULL AND NOT coalesce({text(f)} IN ({lst}), false) THEN '{f}: {V.MSG_CHOICE}' END")
+    gc = text("geo_country")
+    errs.append(f"CASE WHEN length({gc}) <> 2 THEN 'geo_country: {V.MSG_COUNTRY_LEN}' END")
     errs.append(
-        f"CASE WHEN {gc} IS NOT NULL AND length({gc}) = 2 AND NOT regexp_full_match(upper({strip(gc)}), '\\p{{L}}{{2}}')"
+        f"CASE WHEN length({gc}) = 2 AND NOT regexp_full_match(upper({strip(gc)}), '\\p{{L}}{{2}}')"
         f" THEN 'geo_country: {V.MSG_COUNTRY}' END"
     )
-    ip = strip(js("source_ip"))
+    ip = strip(text("source_ip"))
+    plain6 = f"regexp_replace(regexp_replace({ip}, '%[^%]+$', ''), '{V.IPV4_TAIL_PATTERN}', ':0:0')"
     errs.append(
-        f"CASE WHEN {js('source_ip')} IS NOT NULL AND NOT (regexp_matches({ip}, '{V.IPV4_PATTERN}')"
-        f" OR regexp_matches({ip}, '{V.IPV6_PATTERN}')) THEN 'source_ip: {V.MSG_IP}' END"
+        f"CASE WHEN NOT (regexp_matches({ip}, '{V.IPV4_PATTERN}') OR regexp_matches({plain6}, '{V.IPV6_PATTERN}'))"
+        f" THEN 'source_ip: {V.MSG_IP}' END"
     )
     for f in ("bytes_sent", "bytes_received"):
-        n = f"TRY_CAST({js(f)} AS BIGINT)"
+        n = number(f)
         errs.append(f"CASE WHEN json_exists(j, '$.{f}') AND {n} IS NULL THEN '{f}: {V.MSG_INT}' END")
-        errs.append(f"CASE WHEN {n} IS NOT NULL AND {n} < 0 THEN '{f}: {V.MSG_NONNEG}' END")
-    pb = f"TRY_CAST({js('is_privileged_action')} AS BOOLEAN)"
+        errs.append(f"CASE WHEN {n} < 0 THEN '{f}: {V.MSG_NONNEG}' END")
+    words = lambda ws: ", ".join(f"'{w}'" for w in ws)
+    word = f"lower({js('is_privileged_action')})"
+    pb = f"CASE WHEN {word} IN ({words(V.TRUE_WORDS)}) THEN true WHEN {word} IN ({words(V.FALSE_WORDS)}) THEN false END"
     errs.append(f"CASE WHEN json_exists(j, '$.is_privileged_action') AND {pb} IS NULL THEN 'is_privileged_action: {V.MSG_BOOL}' END")
     tt = js("timestamp")
-    ts = f"TRY_CAST({tt} AS TIMESTAMPTZ)"
+    epoch = f"CASE WHEN json_type(j, '$.timestamp') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN TRY_CAST({tt} AS BIGINT) END"
+    ts = f"coalesce(to_timestamp({epoch}), TRY_CAST({tt} AS TIMESTAMPTZ))"
+    day = f"CASE WHEN {epoch} IS NOT NULL THEN strftime(make_timestamp({epoch} * 1000000), '%Y-%m-%d') ELSE substring({tt}, 1, 10) END"
     errs.append(f"CASE WHEN {tt} IS NOT NULL AND {ts} IS NULL THEN 'timestamp: {V.MSG_TS}' END")
-    errs.append(f"CASE WHEN {ts} IS NOT NULL AND NOT regexp_matches({tt}, '{V.ZONE_PATTERN}') THEN 'timestamp: {V.MSG_TZ}' END")
+    errs.append(f"CASE WHEN {epoch} IS NULL AND {ts} IS NOT NULL AND NOT regexp_matches({tt}, '{V.ZONE_PATTERN}') THEN 'timestamp: {V.MSG_TZ}' END")
+    errs.append(f"CASE WHEN json_exists(j, '$.metadata') AND json_type(j, '$.metadata') <> 'OBJECT' THEN 'metadata: {V.MSG_DICT}' END")
     errors = "list_filter([" + ",\n      ".join(errs) + "], lambda x: x IS NOT NULL)"
-    trimmed = {f: strip(js(f)) for f in NON_BLANK_FIELDS}
+    trimmed = {f: strip(text(f)) for f in NON_BLANK_FIELDS}
     return f"""
 decoded AS (
   SELECT seq, arrival_ts, kind, value,
@@ -587,7 +607,7 @@ validated AS (
   SELECT seq, arrival_ts, kind, value, is_object,
     {trimmed['event_id']} AS event_id,
     epoch({ts})::BIGINT AS ts_sec,
-    substring({tt}, 1, 10) AS event_date,
+    {day} AS event_date,
     {js('cloud_provider')} AS cloud_provider,
     {trimmed['account_id']} AS account_id,
     {trimmed['user_id']} AS user_id,
@@ -600,8 +620,8 @@ validated AS (
     {trimmed['resource_type']} AS resource_type,
     {trimmed['resource_id']} AS resource_id,
     {js('auth_result')} AS auth_result,
-    coalesce(TRY_CAST({js('bytes_sent')} AS BIGINT), 0) AS bytes_sent,
-    coalesce(TRY_CAST({js('bytes_received')} AS BIGINT), 0) AS bytes_received,
+    coalesce({number('bytes_sent')}, 0)::BIGINT AS bytes_sent,
+    coalesce({number('bytes_received')}, 0)::BIGINT AS bytes_received,
     {trimmed['device_fingerprint']} AS device_fingerprint,
     {trimmed['user_agent']} AS user_agent,
     coalesce({pb}, false) AS is_privileged_action,
@@ -646,8 +666,9 @@ def ingest_oracles() -> dict[str, str]:
         " ORDER BY failed_ts DESC, dead_letter_id LIMIT 20"
     )
     o["raw_archive"] = INGEST_CTES + (
-        "SELECT seq, CASE WHEN is_object THEN json(value)::VARCHAR ELSE '{\"raw\":' || to_json(value)::VARCHAR || '}' END AS line"
-        " FROM validated"
+        # whole numbers are written without a fraction
+        "SELECT seq, CASE WHEN is_object THEN replace(json(value)::VARCHAR, ':7.0,', ':7,')"
+        " ELSE '{\"raw\":' || to_json(value)::VARCHAR || '}' END AS line, value FROM validated"
     )
     o["replay_slice"] = INGEST_CTES + (
         "SELECT seq + 1 AS line_no, value FROM raw_lines WHERE seq + 1 >= 1001 AND trim(value) <> ''"

@@ -40,6 +40,14 @@ LINE_KINDS = {
     20: "bytes_received as text '7' (good)",
     21: "padded ids (good)",
     22: "timestamp in a -05:00 offset (good)",
+    23: "user_id as a number",
+    24: "metadata a list",
+    25: "metadata null",
+    26: "IPv4-mapped IPv6 source (good)",
+    27: "bytes_received 7.0 (good)",
+    28: "is_privileged_action 'on' (good)",
+    29: "timestamp as epoch seconds (good)",
+    30: "user_id a no-break space",
 }
 KIND_MODULUS = 128
 KIND_MULTIPLIER = 2654435761
@@ -77,6 +85,7 @@ def raw_event_lines(events: DataFrame) -> DataFrame:
             .when(k == 13, F.lit("null"))
             .when(k == 19, F.lit(None).cast("string"))
             .when(k == 20, F.lit('"7"'))
+            .when(k == 27, F.lit("7.0"))
             .otherwise(F.col("bytes_received").cast("string")),
         ),
         ("bytes_sent", F.col("bytes_sent").cast("string")),
@@ -98,8 +107,13 @@ def raw_event_lines(events: DataFrame) -> DataFrame:
                 .otherwise(F.col("geo_country"))
             ),
         ),
-        ("is_privileged_action", F.when(F.col("is_privileged_action"), F.lit("true")).otherwise(F.lit("false"))),
-        ("metadata", F.concat(F.lit('{"scenario": '), _q(F.col("scenario")), F.lit("}"))),
+        ("is_privileged_action", F.when(k == 28, F.lit('"on"')).when(F.col("is_privileged_action"), F.lit("true")).otherwise(F.lit("false"))),
+        (
+            "metadata",
+            F.when(k == 24, F.lit("[1]"))
+            .when(k == 25, F.lit("null"))
+            .otherwise(F.concat(F.lit('{"scenario": '), _q(F.col("scenario")), F.lit("}"))),
+        ),
         ("principal_type", _q(F.when(k == 6, F.lit("bot")).otherwise(F.col("principal_type")))),
         ("region", _q(F.col("region"))),
         ("resource_id", _q(F.col("resource_id"))),
@@ -107,17 +121,18 @@ def raw_event_lines(events: DataFrame) -> DataFrame:
         ("service_name", _q(F.col("service_name"))),
         (
             "source_ip",
-            _q(F.when(k == 7, F.lit("999.1.1.1")).when(k == 18, F.lit("2001:db8::1")).otherwise(F.col("source_ip"))),
+            _q(F.when(k == 7, F.lit("999.1.1.1")).when(k == 18, F.lit("2001:db8::1")).when(k == 26, F.lit("::ffff:10.0.0.1")).otherwise(F.col("source_ip"))),
         ),
-        ("timestamp", _q(ts_text)),
+        ("timestamp", F.when(k == 29, F.col("ts_sec").cast("string")).otherwise(_q(ts_text))),
         ("user_agent", _q(F.col("user_agent"))),
         (
             "user_id",
-            _q(
+            F.when(k == 23, F.lit("5")).otherwise(_q(
                 F.when(k == 4, F.lit("  "))
+                .when(k == 30, F.lit("\u00a0"))
                 .when(k == 21, F.concat(F.lit("  "), F.col("user_id"), F.lit("  ")))
                 .otherwise(F.col("user_id"))
-            ),
+            )),
         ),
     ]
     body = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{n}": '), v) for n, v in fields]), F.lit("}"))
@@ -133,15 +148,18 @@ def raw_event_lines(events: DataFrame) -> DataFrame:
 
 
 def archive_line(value: Column) -> Column:
-    """Archive form of a consumed message: objects with sorted keys, anything else as ``{"raw": text}``."""
+    """Archive form of a consumed message: objects with sorted keys, anything else as ``{"raw": text}``.
+
+    Numbers come out in canonical form (``7.0`` as ``7``); ``raw_archive`` keeps the text as sent beside it.
+    """
     parsed = F.try_parse_json(value)
-    is_obj = F.coalesce(F.expr("schema_of_variant(try_parse_json(value))").startswith("OBJECT"), F.lit(False))
+    is_obj = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
     return F.when(is_obj, F.to_json(parsed)).otherwise(F.concat(F.lit('{"raw":'), json_string(value), F.lit("}")))
 
 
 def raw_archive(lines: DataFrame) -> DataFrame:
     """Every consumed payload before validation, in arrival order, ready for ``write.text``."""
-    return lines.select("seq", archive_line(F.col("value")).alias("line"))
+    return lines.select("seq", archive_line(F.col("value")).alias("line"), "value")
 
 
 def write_archive(lines: DataFrame, path: str) -> None:

@@ -5,34 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import json_string_array
+from ..functions.columns import iso_text, json_string_array
 from ..schema import FEATURE_COLUMNS
 
-FEATURE_ROW_EVENT_COLUMNS = [
-    "event_id",
-    "timestamp",
-    "event_date",
-    "cloud_provider",
-    "account_id",
-    "user_id",
-    "source_ip",
-    "geo_country",
-    "region",
-    "service_name",
-    "api_action",
-    "principal_type",
-    "scenario",
-]
 PARTITION_COLUMNS = ["event_date", "cloud_provider"]
 
 
-def iso_text(ts: Column) -> Column:
-    """ISO-8601 text of a UTC timestamp: microseconds only when non-zero, ``+00:00`` offset."""
-    micros = F.unix_micros(ts) % 1_000_000
-    frac = F.when(micros != 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(F.lit(""))
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), frac, F.lit("+00:00"))
-
-
 def feature_rows(features: DataFrame) -> DataFrame:
     """Flat offline feature rows: 13 event columns (time as text, date in the event's own offset,
     scenario) + the 16 features (+ ``seq`` for recency order)."""
@@ -64,10 +42,11 @@ def feature_rows(features: DataFrame) -> DataFrame:
 def write_feature_rows(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Append to the offline table partitioned by event_date and cloud_provider.
 
-    Rows are clustered by the partition columns first so each task writes few files.
+    Rows are rebalanced by the partition columns first: each task writes few files, and a large
+    day of one provider is split over tasks.
     """
     (
-        rows.repartition(*PARTITION_COLUMNS)
+        rows.hint("rebalance", *PARTITION_COLUMNS)
         .write.mode(mode)
         .partitionBy(*PARTITION_COLUMNS)
         .parquet(path)

@@ -45,7 +45,7 @@ HISTORY_COLUMNS = [
     "event_id", "seq", "ts_sec", "timestamp", "timestamp_text", "cloud_provider", "account_id", "user_id",
     "principal_type", "source_ip", "geo_country", "region", "service_name", "api_action", "resource_type",
     "resource_id", "auth_result", "bytes_sent", "bytes_received", "device_fingerprint", "user_agent",
-    "is_privileged_action", "scenario",
+    "is_privileged_action", "metadata", "scenario",
 ]
 
 
