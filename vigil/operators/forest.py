@@ -232,16 +232,14 @@ def nodes_frame(spark, forest: Forest) -> DataFrame:
     return spark.createDataFrame(forest.nodes, NODE_SCHEMA)
 
 
-def save_forest(spark, forest: Forest, path: str, metadata: DataFrame | None = None) -> None:
-    """Trees as Parquet, parameters (+ metadata) as one-row JSON."""
+def save_forest(spark, forest: Forest, path: str) -> None:
+    """Trees as Parquet, parameters as one-row JSON."""
     nodes_frame(spark, forest).write.mode("overwrite").parquet(f"{path}/trees")
     params = spark.createDataFrame(
         [(forest.sample_size, forest.offset, forest.trees, forest.training_rows, forest.contamination, forest.seed)],
         "sample_size int, offset double, trees int, training_rows long, contamination double, seed int",
     )
     params.coalesce(1).write.mode("overwrite").json(f"{path}/params")
-    if metadata is not None:
-        metadata.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
 def load_forest(spark, path: str) -> Forest | None:

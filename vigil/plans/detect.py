@@ -33,7 +33,8 @@ def alert_rows(events: DataFrame, **kw) -> DataFrame:
 
 
 def alert_table(events: DataFrame, **kw) -> DataFrame:
-    """The stored alert table (after idempotency and suppression)."""
+    """The stored alert table. Events count once by id, so idempotency keys are unique here; alerts
+    that may be delivered again pass ``drop_known`` first, as in the stream."""
     return suppress(alert_rows(events, **kw))
 
 

@@ -386,6 +386,7 @@ def _rule_select(pos: int) -> str:
 def oracles() -> dict[str, str]:
     o: dict[str, str] = dict(ingest_oracles())
     o.update(table_oracles())
+    o.update(more_oracles())
     ev = with_ctes(SECURITY_EVENTS_SQL)
     o["event_seconds"] = ev + "SELECT event_id, epoch(\"timestamp\")::BIGINT AS event_seconds FROM security_events"
     o["delete_like"] = ev + (
@@ -737,3 +738,75 @@ ops AS (
 )
 SELECT * FROM ops"""
     return o
+
+
+# ----------------------------------------------------------------- stream, model and detail reads
+NO_MODEL_SQL = """
+scored AS (
+  SELECT f.*, 0.0::DOUBLE AS anomaly_score, 0.0::DOUBLE AS confidence, false AS predicted_anomaly,
+    'unavailable' AS model_version, '' AS tc,
+    'Model artifact unavailable. Falling back to rules-only detection.' AS explanation
+  FROM features f
+)
+"""
+
+
+def more_oracles() -> dict[str, str]:
+    table = (
+        "SELECT alert_id, alert_fingerprint, created_ts, last_seen_ts, severity, title, anomaly_score, confidence,"
+        " detection_sources, reasons, recommended_actions, ml_top_contributors, ml_anomaly_score, ml_confidence,"
+        " model_version, ml_explanation, suppression_count, event_id, idempotency_key FROM alert_table"
+    )
+    stream = with_ctes(
+        SECURITY_EVENTS_SQL, RAW_LINES_SQL, _validation_sql(),
+        DEDUP_SQL.replace("security_events", "(SELECT * FROM validated WHERE len(errors) = 0)"),
+        USER_SQL, IP_SQL, ACCOUNT_SQL, FEATURES_SQL, NO_MODEL_SQL,
+        # without a model an alert carries the rule's own score
+        RULES_SQL.replace("s.anomaly_score, s.confidence,", "a.rule_score AS anomaly_score, a.rule_conf AS confidence,"),
+    ).rstrip() + SESSIONS_SQL
+    trees = (
+        "SELECT i::INTEGER AS tree_id, least(256, n)::INTEGER AS root_size, least(256, n)::BIGINT AS leaf_rows, true AS binary, true AS shallow"
+        " FROM range(200) r(i), (SELECT count(DISTINCT event_id) AS n FROM events)"
+    )
+    late = """, late AS (
+  SELECT alert_fingerprint, sid,
+    sha256(coalesce(first(idempotency_key ORDER BY ts_sec, seq) FILTER (WHERE seq % 2 = 1), first(idempotency_key ORDER BY ts_sec, seq))) AS alert_id,
+    coalesce(min(ts_sec) FILTER (WHERE seq % 2 = 1), min(ts_sec)) AS created_ts
+  FROM islands GROUP BY alert_fingerprint, sid
+)
+"""
+    letter = (
+        "SELECT dead_letter_id, stage || ' | ' || error_type || ' | ' || coalesce(nullif(event_id, ''), 'no-event-id') AS label, stage, error_type,"
+        " retryable, error_message, raw_payload FROM ({0}) WHERE dead_letter_id = (SELECT min(dead_letter_id) FROM ({0}))"
+    )
+    dead = ingest_oracles()["dead_letters"][len(INGEST_CTES):]
+    return {
+        "stream_alerts": stream + table.replace("ml_anomaly_score, ml_confidence", "0.0::DOUBLE AS ml_anomaly_score, 0.0::DOUBLE AS ml_confidence"),
+        "alerts_redelivered": TABLE_CTES + table,
+        "stream_late_alerts": TABLE_CTES + late
+        + "SELECT l.alert_id, alert_fingerprint, l.created_ts, last_seen_ts, severity, title, suppression_count, event_id"
+        " FROM alert_table JOIN late l USING (alert_fingerprint, sid)",
+        "src_events_json": INGEST_CTES + "SELECT event_id, len(errors) = 0 AS valid, user_id, ts_sec FROM validated",
+        "iforest_trees": trees,
+        "model_artifact": trees,
+        "score_events": "SELECT 'evt-' || event_id AS event_id, true AS score_ok, true AS confidence_ok, true AS predicted_ok, true AS explained,"
+        " 3 AS n_contributors, true AS share_ok FROM events",
+        "score_loaded_model": "SELECT 'evt-' || event_id AS event_id, true AS equal FROM events",
+        "model_metadata": "SELECT 'IsolationForest' AS model_type, 'iforest-fixture' AS model_version, (SELECT count(*) FROM events) AS training_rows,"
+        " 0.08::DOUBLE AS contamination, 'offline_features' AS training_source, 16 AS n_columns, event_type AS scenario, count(*)::DOUBLE AS count"
+        " FROM events GROUP BY event_type",
+        "model_metadata_defaults": "SELECT 'IsolationForest' AS model_type, 'unavailable' AS model_version, count(*) AS training_rows,"
+        " 0.0::DOUBLE AS contamination, true AS artifact_present, 0 AS n_columns, 0 AS n_scenarios FROM events",
+        "scenario_table": SCORED_CTES + "SELECT coalesce(scenario, 'unknown') AS scenario, count(*)::DOUBLE AS count,"
+        " sum(predicted_anomaly::INTEGER)::DOUBLE AS predicted_anomalies,"
+        " round(sum(predicted_anomaly::INTEGER)::DOUBLE / count(*)::DOUBLE, 4) AS predicted_anomaly_rate"
+        " FROM scored GROUP BY 1 ORDER BY predicted_anomaly_rate DESC, scenario",
+        "replay_archive": INGEST_CTES + "SELECT line_no, line AS value FROM (SELECT row_number() OVER (ORDER BY seq) AS line_no, line FROM ("
+        + ingest_oracles()["raw_archive"][len(INGEST_CTES):] + ")) WHERE line_no >= 1001 ORDER BY line_no LIMIT 5000",
+        "alert_by_id": TABLE_CTES + "SELECT alert_id, upper(severity) || ' | ' || " + CATEGORY_SQL + " || ' | ' || title || ' | '"
+        " || split_part(split_part(alert_fingerprint, '\"user_id\": \"', 2), '\"', 1) AS label, replace(reasons, ' | ', ', ') AS reasons_text, "
+        + CATEGORY_SQL + " AS detection, suppression_count, model_version,"
+        " coalesce(nullif(replace(ml_top_contributors, ' | ', ', '), ''), 'n/a') AS contributors_text, ml_explanation"
+        " FROM alert_table WHERE alert_id = (SELECT min(alert_id) FROM alert_table)",
+        "dead_letter_by_id": INGEST_CTES + letter.format(dead),
+    }

@@ -536,32 +536,82 @@ def _trained(spark, sf):
     return feats, train(feats, model_version=TRAIN_VERSION, trained_at="fixture")
 
 
+def _tree_checks(nodes: DataFrame) -> DataFrame:
+    """Per tree what holds for any draw: all sampled rows reach leaves, inner nodes have two children, depth is bounded."""
+    leaf = F.col("feature") == -1
+    return nodes.groupBy("tree_id").agg(
+        F.max(F.when(F.col("node_id") == 0, F.col("size"))).alias("root_size"),
+        F.sum(F.when(leaf, F.col("size"))).alias("leaf_rows"),
+        (F.sum((~leaf).cast("int")) == F.sum(leaf.cast("int")) - 1).alias("binary"),
+        (F.max("depth") <= 8).alias("shallow"),
+    )
+
+
 def q_iforest_trees(spark, sf):
     from ..operators.forest import nodes_frame
 
     _, (forest, _, _) = _trained(spark, sf)
-    return nodes_frame(spark, forest)
+    return _tree_checks(nodes_frame(spark, forest))
 
 
 def q_score_events(spark, sf):
+    """All scored events, each held against its own raw value, and the training share of anomalies."""
     from .train import score_with_model
 
     feats, (forest, stats, _) = _trained(spark, sf)
     s = score_with_model(feats, forest, stats, TRAIN_VERSION)
-    return s.select("event_id", "raw_score", "anomaly_score", "confidence", "predicted_anomaly",
-                    _joined("top_contributors").alias("top_contributors"), "explanation")
+    raw, score = F.col("raw_score"), F.col("anomaly_score")
+    band = F.array_contains(F.transform(F.array(*[F.lit(x) for x in ("p99", "p95", "p90", "lower 90%")]), lambda x: F.contains("explanation", x)), True)
+    checks = s.select(
+        "event_id",
+        (F.abs(score - F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(3.5) * raw))) <= 0.00005001).alias("score_ok"),
+        (F.abs(F.col("confidence") - F.abs(raw) / (F.abs(raw) + 0.5)) <= 0.00005001).alias("confidence_ok"),
+        (F.col("predicted_anomaly") == (raw < 0)).alias("predicted_ok"),
+        (band & F.contains("explanation", F.format_string("score %.4f", score))).alias("explained"),
+        F.size("top_contributors").alias("n_contributors"),
+    )
+    share = stats.select(((F.col("observed_anomaly_fraction") - 0.08) * F.col("training_rows") <= 1.0).alias("share_ok"))
+    return checks.crossJoin(F.broadcast(share))  # one row
 
 
 def q_model_metadata(spark, sf):
     _, (_, _, meta) = _trained(spark, sf)
     return meta.select(
         "model_type", "model_version", "training_rows", "contamination", "training_source",
-        "observed_anomaly_fraction", F.to_json("scenario_breakdown").alias("scenario_breakdown"),
-        F.to_json("anomaly_score_percentiles").alias("anomaly_score_percentiles"),
+        F.size("feature_columns").alias("n_columns"), F.explode("scenario_breakdown").alias("scenario", "v"),
+    ).select("model_type", "model_version", "training_rows", "contamination", "training_source", "n_columns", "scenario", F.col("v.count").alias("count"))
+
+
+def q_model_metadata_defaults(spark, sf):
+    """An artifact of the trained model that lacks its version, columns and breakdown, as a reader sees it."""
+    from .train import read_metadata
+
+    _, (_, _, meta) = _trained(spark, sf)
+    m = read_metadata(spark, meta.drop("model_version", "feature_columns", "scenario_breakdown").withColumn("contamination", F.lit(None).cast("double")))
+    return m.select(
+        "model_type", "model_version", "training_rows", "contamination", "artifact_present",
+        F.size("feature_columns").alias("n_columns"), F.size("scenario_breakdown").alias("n_scenarios"),
     )
 
 
-QUERIES.update({"iforest_trees": q_iforest_trees, "score_events": q_score_events, "model_metadata": q_model_metadata})
+def q_scenario_table(spark, sf):
+    """The breakdown read back from stored metadata."""
+    from .train import model_metadata, scenario_table
+
+    scored = materialize(_scored(spark, sf), "scored")
+    meta = model_metadata(feature_stats(scored), scenario_breakdown(scored), 0.08, "fixture-raw-score", "fixture", "offline_features")
+    return scenario_table(materialize(meta, "metadata"))
+
+
+QUERIES.update(
+    {
+        "iforest_trees": q_iforest_trees,
+        "score_events": q_score_events,
+        "model_metadata": q_model_metadata,
+        "model_metadata_defaults": q_model_metadata_defaults,
+        "scenario_table": q_scenario_table,
+    }
+)
 
 
 # ----------------------------------------------------------------- streaming and artifacts (rows-only checks)
@@ -613,19 +663,88 @@ def q_src_events_json(spark, sf):
     return spark.read.parquet(out).select("event_id", "valid", "user_id", "ts_sec")
 
 
-def q_model_artifact(spark, sf):
-    """Training snapshot (CSV with header), forest saved as Parquet + JSON, loaded back."""
-    from ..operators.forest import load_forest, nodes_frame, save_forest
-    from .train import train
+def _saved(spark, sf):
+    from .train import load_model, save_model, train
 
     feats = _features(spark, sf).drop("raw_score")
-    snap = _scratch(spark, "train-snapshot")
-    forest, _, meta = train(feats, snapshot_path=snap, model_version=TRAIN_VERSION, trained_at="fixture")
+    forest, stats, meta = train(feats, snapshot_path=_scratch(spark, "train-snapshot"), model_version=TRAIN_VERSION, trained_at="fixture")
     path = _scratch(spark, "model")
-    save_forest(spark, forest, path, meta)
-    loaded = load_forest(spark, path)
-    assert load_forest(spark, path + "-absent") is None
-    return nodes_frame(spark, loaded)
+    save_model(spark, forest, meta, path)
+    assert load_model(spark, path + "-absent") is None
+    return feats, forest, stats, load_model(spark, path)
+
+
+def q_model_artifact(spark, sf):
+    """Training snapshot (CSV with header), model saved as Parquet + JSON, loaded back."""
+    from ..operators.forest import nodes_frame
 
+    *_, loaded = _saved(spark, sf)
+    return _tree_checks(nodes_frame(spark, loaded.forest))
 
+
+def q_score_loaded_model(spark, sf):
+    """Scoring with the loaded artifact alone equals scoring with what training returned."""
+    from .train import score_loaded, score_with_model
+
+    feats, forest, stats, loaded = _saved(spark, sf)
+    fields = ["anomaly_score", "confidence", "predicted_anomaly", "model_version", "top_contributors", "explanation"]
+    before = score_with_model(feats, forest, stats, TRAIN_VERSION).select("event_id", F.struct(*fields).alias("a"))
+    after = score_loaded(feats, loaded).select("event_id", F.struct(*fields).alias("b"))
+    return before.join(after, "event_id").select("event_id", F.col("a").eqNullSafe(F.col("b")).alias("equal"))
+
+
+def q_stream_late_alerts(spark, sf):
+    """Alerts of odd events are stored first, those of even events come late and join or merge the stored sessions."""
+    from ..streaming.stream import StreamConfig, current_alerts, store_alerts
+
+    rows = materialize(_alert_rows(spark, sf), "alert-rows")
+    cfg = StreamConfig(base=_scratch(spark, "late-tables"))
+    for batch, odd in enumerate((1, 0)):
+        store_alerts(spark, cfg, rows.where(F.col("seq") % 2 == odd), batch)
+    return current_alerts(spark, cfg).select(
+        "alert_id", "alert_fingerprint", F.unix_seconds("created_at").alias("created_ts"), F.unix_seconds("last_seen_at").alias("last_seen_ts"),
+        "severity", "title", "suppression_count", F.col("event.event_id").alias("event_id"),
+    )
+
+
+def q_alerts_redelivered(spark, sf):
+    """Every alert delivered twice: the repeats neither open sessions nor count as suppressed."""
+    a = materialize(_alert_rows(spark, sf), "alert-rows")
+    return _table_projection(suppress(drop_known(a.unionByName(a.withColumn("seq", F.col("seq") + F.lit(10**12))), None)))
+
+
+def q_replay_archive(spark, sf):
+    """The archive is written as text and replayed from its physical line 1001 on."""
+    from ..sources.raw import replay_archive, write_archive
+
+    path = _scratch(spark, "archive")
+    write_archive(_lines(spark, sf), path)
+    return replay_archive(spark, path, start_line=1001, limit=5000)
+
+
+def q_alert_by_id(spark, sf):
+    from .triage import alert_by_id
+
+    table = materialize(_alert_table(spark, sf), "alert-table")
+    found = alert_by_id(table, table.agg(F.min("alert_id")).first()[0])
+    return found.select("alert_id", "label", "reasons_text", "detection", "suppression_count", "model_version", "contributors_text", "ml_explanation")
+
+
+def q_dead_letter_by_id(spark, sf):
+    from .triage import dead_letter_by_id
+
+    letters = materialize(_dead_letters(spark, sf), "dead-letters")
+    return dead_letter_by_id(letters, letters.agg(F.min("dead_letter_id")).first()[0]).drop("failed_at")
+
+
+QUERIES.update(
+    {
+        "score_loaded_model": q_score_loaded_model,
+        "stream_late_alerts": q_stream_late_alerts,
+        "alerts_redelivered": q_alerts_redelivered,
+        "replay_archive": q_replay_archive,
+        "alert_by_id": q_alert_by_id,
+        "dead_letter_by_id": q_dead_letter_by_id,
+    }
+)
 QUERIES.update({"stream_alerts": q_stream_alerts, "src_events_json": q_src_events_json, "model_artifact": q_model_artifact})

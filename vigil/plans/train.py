@@ -3,10 +3,13 @@ compute the training statistics and metadata, score events."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.forest import Forest, decision_function, fit_forest
+from ..operators.forest import Forest, decision_function, fit_forest, load_forest, save_forest
 from ..operators.scoring import PERCENTILES, feature_stats, scenario_breakdown, score_from_raw_frame, score_no_model
 from ..schema import FEATURE_COLUMNS
 from ..sources.tables import recent_feature_rows
@@ -37,11 +40,11 @@ def train(
     scored = decision_function(train_df, forest)
     stats = feature_stats(scored, "raw_score")
     breakdown = scenario_breakdown(scored.withColumn("predicted_anomaly", F.col("raw_score") < 0))
-    metadata = model_metadata(stats, breakdown, forest, model_version, trained_at, training_source)
+    metadata = model_metadata(stats, breakdown, forest.contamination, model_version, trained_at, training_source)
     return forest, stats, metadata
 
 
-def model_metadata(stats: DataFrame, breakdown: DataFrame, forest: Forest, model_version: str, trained_at: str | None,
+def model_metadata(stats: DataFrame, breakdown: DataFrame, contamination: float, model_version: str, trained_at: str | None,
                    training_source: str) -> DataFrame:
     """One row: type, version, columns, rows, contamination, fraction, breakdown and statistic maps."""
     per_scenario = breakdown.agg(
@@ -64,7 +67,7 @@ def model_metadata(stats: DataFrame, breakdown: DataFrame, forest: Forest, model
         F.lit(model_version).alias("model_version"),
         F.array(*[F.lit(c) for c in FEATURE_COLUMNS]).alias("feature_columns"),
         F.col("training_rows").cast("long").alias("training_rows"),
-        F.lit(float(forest.contamination)).alias("contamination"),
+        F.lit(float(contamination)).alias("contamination"),
         F.lit(training_source).alias("training_source"),
         F.col("observed_anomaly_fraction"),
         F.lit(trained_at).cast("string").alias("trained_at"),
@@ -75,23 +78,87 @@ def model_metadata(stats: DataFrame, breakdown: DataFrame, forest: Forest, model
     )
 
 
+# What a reader sees where the metadata (or a field of it) is missing.
+METADATA_DEFAULTS = {
+    "model_type": ("string", "'IsolationForest'"),
+    "model_version": ("string", "'unavailable'"),
+    "feature_columns": ("array<string>", "array()"),
+    "training_rows": ("bigint", "0"),
+    "contamination": ("double", "0.0"),
+    "trained_at": ("string", "null"),
+    "observed_anomaly_fraction": ("double", "0.0"),
+    "scenario_breakdown": (
+        "map<string,struct<count:double,predicted_anomalies:double,predicted_anomaly_rate:double>>",
+        "map()",
+    ),
+    "anomaly_score_percentiles": ("map<string,double>", "map()"),
+}
+
+
 def read_metadata(spark: SparkSession, meta: DataFrame | None) -> DataFrame:
-    """Metadata with defaults when fields (or the whole artifact) are missing."""
-    if meta is None:
-        return spark.createDataFrame(
-            [("IsolationForest", "unavailable", 0, 0.0, False, None, 0.0)],
-            "model_type string, model_version string, training_rows long, contamination double,"
-            " artifact_present boolean, trained_at string, observed_anomaly_fraction double",
-        )
-    return meta.select(
-        F.coalesce(F.col("model_type"), F.lit("IsolationForest")).alias("model_type"),
-        F.coalesce(F.col("model_version"), F.lit("unknown")).alias("model_version"),
-        F.coalesce(F.col("training_rows"), F.lit(0)).cast("long").alias("training_rows"),
-        F.coalesce(F.col("contamination"), F.lit(0.0)).alias("contamination"),
-        F.lit(True).alias("artifact_present"),
-        F.col("trained_at").cast("string").alias("trained_at"),
-        F.coalesce(F.col("observed_anomaly_fraction"), F.lit(0.0)).alias("observed_anomaly_fraction"),
-    )
+    """Metadata for a reader, with defaults where fields (or the whole artifact) are missing."""
+    present = meta is not None
+    meta = meta if present else spark.range(1)
+    fields = []
+    for name, (kind, default) in METADATA_DEFAULTS.items():
+        given = F.col(name).cast(kind) if name in meta.columns else F.lit(None).cast(kind)
+        fields.append(F.coalesce(given, F.expr(f"cast({default} as {kind})")).alias(name))
+    return meta.select(*fields, F.lit(present).alias("artifact_present"))
+
+
+def stats_from_metadata(meta: DataFrame) -> DataFrame:
+    """The one-row statistics that scoring needs, from the maps of stored metadata (missing: median 0, std 1, percentile 1)."""
+
+    def entry(column: str, key: str, default: float) -> Column:
+        return F.coalesce(F.col(column)[key], F.lit(default)) if column in meta.columns else F.lit(default)
+
+    cols = []
+    for c in FEATURE_COLUMNS:
+        std = entry("stds", c, 1.0)
+        cols += [entry("medians", c, 0.0).alias(f"median_{c}"), F.when(std == 0, F.lit(1.0)).otherwise(std).alias(f"std_{c}")]
+    return meta.select(*cols, *[entry("anomaly_score_percentiles", k, 1.0).alias(k) for k in PERCENTILES])
+
+
+@dataclass
+class Model:
+    forest: Forest
+    metadata: DataFrame
+
+    @property
+    def version(self) -> str:
+        return read_metadata(self.metadata.sparkSession, self.metadata).first()["model_version"]
+
+
+def save_model(spark: SparkSession, forest: Forest, metadata: DataFrame, path: str) -> None:
+    save_forest(spark, forest, path)
+    metadata.coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+
+
+def load_model(spark: SparkSession, path: str) -> Model | None:
+    """Forest and metadata as saved; None (no model) when either is absent."""
+    forest = load_forest(spark, path)
+    if forest is None:
+        return None
+    try:
+        return Model(forest, spark.read.parquet(f"{path}/metadata"))
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def score_loaded(features: DataFrame, model: Model | None) -> DataFrame:
+    """Score with a loaded model alone: its trees, and the statistics stored with them."""
+    if model is None:
+        return score_no_model(features)
+    return score_with_model(features, model.forest, stats_from_metadata(model.metadata), model.version)
+
+
+def scenario_table(metadata: DataFrame) -> DataFrame:
+    """The scenario breakdown of stored metadata as rows, highest predicted rate first."""
+    rows = metadata.select(F.explode("scenario_breakdown").alias("scenario", "v"))
+    out = rows.select("scenario", *[F.coalesce(F.col(f"v.{c}"), F.lit(0.0)).alias(c) for c in ("count", "predicted_anomalies", "predicted_anomaly_rate")])
+    return out.orderBy(F.desc("predicted_anomaly_rate"), "scenario")
 
 
 def score_with_model(features: DataFrame, forest: Forest | None, stats: DataFrame | None, model_version: str) -> DataFrame:

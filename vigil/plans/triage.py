@@ -74,3 +74,33 @@ def dead_letter_panel(dead_letters: DataFrame, n: int = 20) -> DataFrame:
     return recent(dead_letters, "failed_at", "dead_letter_id", n).select(
         "failed_at", "stage", "error_type", "event_id", F.coalesce("retryable", F.lit(False)).alias("retryable")
     )
+
+
+def alert_by_id(table: DataFrame, alert_id: str) -> DataFrame:
+    """One alert with its panel texts; missing model fields read ``n/a``."""
+    return table.where(F.col("alert_id") == alert_id).select(
+        "alert_id",
+        alert_label().alias("label"),
+        "description",
+        F.array_join("reasons", ", ").alias("reasons_text"),
+        F.array_join("recommended_actions", ", ").alias("actions_text"),
+        detection_category(F.col("detection_sources")).alias("detection"),
+        "suppression_count",
+        "created_at",
+        "last_seen_at",
+        F.coalesce(F.col("ml_anomaly_score").cast("string"), F.lit("n/a")).alias("ml_score_text"),
+        F.coalesce("model_version", F.lit("n/a")).alias("model_version"),
+        F.coalesce(F.nullif(F.array_join("ml_top_contributors", ", "), F.lit("")), F.lit("n/a")).alias("contributors_text"),
+        F.coalesce("ml_explanation", F.lit("n/a")).alias("ml_explanation"),
+        "feature_context",
+        "event",
+    )
+
+
+def dead_letter_by_id(dead_letters: DataFrame, dead_letter_id: str) -> DataFrame:
+    """One dead letter with its label ``stage | error type | event id``."""
+    label = F.concat_ws(" | ", "stage", "error_type", F.coalesce(F.nullif(F.col("event_id"), F.lit("")), F.lit("no-event-id")))
+    return dead_letters.where(F.col("dead_letter_id") == dead_letter_id).select(
+        "dead_letter_id", label.alias("label"), "failed_at", "stage", "error_type", F.coalesce("retryable", F.lit(False)).alias("retryable"),
+        "error_message", F.coalesce("raw_payload", F.lit("{}")).alias("raw_payload"),
+    )

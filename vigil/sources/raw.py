@@ -9,11 +9,12 @@ processed and the same lines come out on every run.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import json_string
 from ..schema import RAW_EVENTS_TOPIC
+from .store import materialize
 
 # The line shapes (one per validation constraint, plus good variants).
 LINE_KINDS = {
@@ -163,8 +164,8 @@ def raw_archive(lines: DataFrame) -> DataFrame:
 
 
 def write_archive(lines: DataFrame, path: str) -> None:
-    """Append the archive as text (one JSON object per line), ordered by ``seq`` within files."""
-    raw_archive(lines).sortWithinPartitions("seq").select("line").write.mode("append").text(path)
+    """Append the archive as text (one JSON object per line), in arrival order over and within files."""
+    raw_archive(lines).repartitionByRange("seq").sortWithinPartitions("seq").select("line").write.mode("append").text(path)
 
 
 def replay_slice(lines: DataFrame, start_line: int = 1, limit: int | None = None, line_col: str = "line_no") -> DataFrame:
@@ -178,6 +179,41 @@ def replay_slice(lines: DataFrame, start_line: int = 1, limit: int | None = None
     return out
 
 
+def _number(rows: DataFrame, blocks: list[str], order: str, name: str) -> DataFrame:
+    """Numbers 1, 2, ... in the order of the blocks and of ``order`` inside them; no task holds more than a block."""
+    counts = rows.groupBy(*blocks).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per block of the files
+    before = Window.orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(*blocks, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy(*blocks).orderBy(order))
+    return rows.withColumn("_inside", inside).join(first, blocks).withColumn(name, F.col("_first") + F.col("_inside")).drop("_inside", "_first")
+
+
+def replay_archive(spark: SparkSession, path: str, start_line: int = 1, limit: int | None = None) -> DataFrame:
+    """``(line_no, value)`` of a written archive: as ``replay_slice`` over its physical lines.
+
+    Files count in name order. Lines are numbered by file block, so neither the numbering nor the
+    limit gathers the lines in one task.
+    """
+    blocks = ["_file", "_block"]
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+        F.trim("value").alias("value"),
+    )
+    rows = materialize(rows, "archive-lines")
+    sent = _number(rows, blocks, "_at", "line_no").where((F.col("line_no") >= start_line) & (F.col("value") != ""))
+    if limit is not None:
+        sent = _number(sent, blocks, "_at", "_sent").where(F.col("_sent") <= max(limit, 1))
+    return sent.select("line_no", "value")
+
+
+def replay_to(lines: DataFrame, path: str) -> None:
+    """Replayed lines as a folder of text files that ``read_message_source`` reads, in line order."""
+    lines.repartitionByRange("line_no").sortWithinPartitions("line_no").select("value").write.mode("append").text(path)
+
+
 def read_message_source(spark: SparkSession, fmt: str, path_or_topic: str, options: dict | None = None, stream: bool = False) -> DataFrame:
     """Event messages as ``(seq, arrival_ts, value)``.
 

@@ -242,21 +242,28 @@ def _detect(spark: SparkSession, cfg: StreamConfig, validated: DataFrame, batch_
     changed = minima.join(was, ["user_id", "dim", "value"], "left").where("was is null or first < was").drop("was")
     _write_partition(changed, cfg.path("first_seen"), batch_id)
 
-    rows = with_keys(R.alerts(_score(cfg, feats.drop("event_day")))).withColumn("event_day", day)
-    days = [r.event_day for r in new_events.select("event_day").distinct().collect()]  # a batch's days
-    log = _stored(spark, cfg.path("alert_log"), rows.schema, batch_id)
-    rows = materialize(drop_known(rows, log.where(F.col("event_day").isin(days))), "batch-alerts")
-    _write_partition(rows, cfg.path("alert_log"), batch_id, by=("event_day",))
-    if not rows.isEmpty():
-        _deliver(cfg, rows, validated, batch_id)
-        _upsert_alerts(spark, cfg, rows, log, batch_id)
+    rows = store_alerts(spark, cfg, with_keys(R.alerts(_score(cfg, feats.drop("event_day")))), batch_id)
+    _deliver(cfg, rows, validated, batch_id)
     for table in (union, feats, rows):
         discard(table)
 
 
+def store_alerts(spark: SparkSession, cfg: StreamConfig, alerts: DataFrame, batch_id: int) -> DataFrame:
+    """Log a batch's new alerts and fold them into the alert table; returns the alerts that were new."""
+    rows = materialize(alerts.withColumn("event_day", F.to_date(F.timestamp_seconds("ts_sec"))), "batch-keyed")
+    days = [r.event_day for r in rows.select("event_day").distinct().collect()]  # a batch's days
+    log = _stored(spark, cfg.path("alert_log"), rows.schema, batch_id)
+    new = materialize(drop_known(rows, log.where(F.col("event_day").isin(days))), "batch-alerts")
+    discard(rows)
+    _write_partition(new, cfg.path("alert_log"), batch_id, by=("event_day",))
+    if not new.isEmpty():
+        _upsert_alerts(spark, cfg, new, log, batch_id)
+    return new
+
+
 def _deliver(cfg: StreamConfig, rows: DataFrame, events: DataFrame, batch_id: int) -> None:
     """New alerts to the sink that was passed in; if it fails, their events are dead-lettered for a retry."""
-    if cfg.alert_sink is None:
+    if cfg.alert_sink is None or rows.isEmpty():
         return
     try:
         cfg.alert_sink(rows.drop("event_day"), batch_id)
