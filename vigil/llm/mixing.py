@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import materialize
 from .common import without
 
 OUT = ["n_copies", "copy", "shuffle_key"]
@@ -75,6 +76,8 @@ def poisson_mix(
     rates = rates.select(
         F.col("source").alias("_source"), "_parts", poisson_cdf(F.col("rate") / F.col("_parts")).alias("_cdf")
     ).filter("_cdf[0] < 1")
+    # written, so that its size is known when the join with the documents is planned
+    rates = materialize(rates, "llm-source-rates")
 
     def draw(part: Column) -> Column:
         u = uniform(seed, part.cast("string"), ident)
