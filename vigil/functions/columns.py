@@ -47,11 +47,6 @@ def py_bool_text(b: Column) -> Column:
     return F.when(b, F.lit("True")).otherwise(F.lit("False"))
 
 
-def py_num_text(c: Column) -> Column:
-    """Python's text of an int or a rounded float (shortest repr)."""
-    return c.cast("string")
-
-
 def detection_category(sources: Column) -> Column:
     """Dashboard category: ml-only, rule+ml, rule-only (rule with any third source), unknown."""
     has_ml = F.array_contains(sources, "ml")

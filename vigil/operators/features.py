@@ -8,7 +8,9 @@ per-event result back to the events on ``seq``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import delete_like, safe_ratio
@@ -75,31 +77,38 @@ FAMILY_INPUTS = sorted(
 )
 
 
+# How a feature follows from the measures of its family (others: the measure itself).
+DERIVED = {
+    "ip_failed_auth_rate_5m": (["_ip_failed_5m", "_ip_requests_5m"], lambda: safe_ratio(F.col("_ip_failed_5m"), F.col("_ip_requests_5m"))),
+    "is_new_country_for_user": (["_user_events", "_first_country"], lambda: (F.col("_user_events") > 1) & F.col("_first_country")),
+    "is_new_ip_for_user": (["_user_events", "_first_ip"], lambda: (F.col("_user_events") > 1) & F.col("_first_ip")),
+}
+
+
+def _from_measures(name: str) -> Column:
+    return DERIVED[name][1]().alias(name) if name in DERIVED else F.col(name)
+
+
 def family_features(ev: DataFrame, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
-    """``seq`` + the 15 windowed/membership features (all but ``is_privileged_action``)."""
+    """``seq`` + the 14 windowed/membership features."""
     f = sweep(
         ev.select("seq", "ts_sec", *FAMILY_INPUTS),
         [user_family(), ip_family(), account_family()],
         bucket_seconds=bucket_seconds,
     )
-    has_history = F.col("_user_events") > 1
-    return f.select(
-        "seq",
-        "failed_logins_5m",
-        "failed_logins_1h",
-        "request_count_5m",
-        "distinct_ips_24h",
-        "distinct_countries_24h",
-        "distinct_regions_24h",
-        "privileged_actions_1h",
-        "ip_users_24h",
-        safe_ratio(F.col("_ip_failed_5m"), F.col("_ip_requests_5m")).alias("ip_failed_auth_rate_5m"),
-        "account_delete_actions_10m",
-        "account_service_entropy_1h",
-        "account_bytes_received_1h",
-        (has_history & F.col("_first_country")).alias("is_new_country_for_user"),
-        (has_history & F.col("_first_ip")).alias("is_new_ip_for_user"),
-    )
+    return f.select("seq", *[_from_measures(c) for c in FEATURE_COLUMNS if c not in ("is_privileged_action", "auth_failure")])
+
+
+def single_feature(events: DataFrame, name: str, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+    """``event_id`` + one windowed/membership feature: only its family and measures are swept."""
+    needed = DERIVED[name][0] if name in DERIVED else [name]
+    for family in (user_family(), ip_family(), account_family()):
+        parts = {k: [m for m in getattr(family, k) if m.name in needed] for k in ("counts", "distincts", "entropies", "firsts")}
+        if any(parts.values()):
+            break
+    ev = dedup_events(events.select("event_id", "seq", "ts_sec", *FAMILY_INPUTS))
+    f = sweep(ev, [replace(family, **parts)], bucket_seconds=bucket_seconds)
+    return ev.select("event_id", "seq").join(f, "seq").select("event_id", _from_measures(name))
 
 
 def feature_snapshot(
@@ -118,8 +127,3 @@ def feature_snapshot(
     out = out.withColumn("auth_failure", F.col("auth_result") == "failure")
     feats = [c for c in FEATURE_COLUMNS if c != "is_privileged_action"]
     return out.select(*ev.columns, *feats)
-
-
-def feature_struct() -> F.Column:
-    """The 16 features as one struct column (the alert's feature context)."""
-    return F.struct(*[F.col(c) for c in FEATURE_COLUMNS])

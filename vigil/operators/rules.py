@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import delete_like, py_bool_text, severity_of_rank, severity_rank
+from ..functions.columns import delete_like, severity_of_rank, severity_rank
 from ..schema import FEATURE_COLUMNS, NO_MODEL_VERSION
 
 # Rule texts and thresholds.
@@ -55,7 +55,6 @@ VOLUME_MIN_BYTES = 2_000_000
 ENTROPY_CONTEXT = 1.4
 COUNTRIES_CONTEXT = 3
 
-RULE_TITLES = [FAILED_LOGIN_TITLE, NEW_COUNTRY_TITLE, DELETION_TITLE, VOLUME_TITLE, ML_TITLE]
 
 
 def _txt(c: str) -> Column:
@@ -295,7 +294,9 @@ EVENT_CONTEXT = [
 
 def rule_alerts(scored: DataFrame, rules=DEFAULT_RULES) -> Column:
     """Array of the rule alerts that fired (0..4)."""
-    return F.filter(F.array(*[r() for r in rules]), lambda x: x.isNotNull())
+    fired = [r() for r in rules]
+    # concat keeps the projection in whole-stage codegen; a lambda filter would not
+    return F.concat(*[F.when(f.isNotNull(), F.array(f)).otherwise(F.slice(F.array(f), 1, 0)) for f in fired])
 
 
 def alerts(scored: DataFrame, rules=DEFAULT_RULES, keep: list[str] | None = None) -> DataFrame:
@@ -332,7 +333,3 @@ def _event_struct_fields() -> set[str]:
 def single_rule(scored: DataFrame, rule) -> DataFrame:
     """Rows where one rule fires (before ML fallback/enrichment), for per-rule queries."""
     return scored.select(*EVENT_CONTEXT, rule().alias("a")).where(F.col("a").isNotNull()).select(*EVENT_CONTEXT, "a.*")
-
-
-def context_bool_text(c: str) -> Column:
-    return py_bool_text(F.col(c))

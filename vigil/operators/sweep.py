@@ -47,8 +47,9 @@ def running_sum(
 
     ``df`` must carry the slot columns ``_t`` (long seconds) and ``_ord`` (long).
     """
-    d = df.withColumn(BKT, F.floor(F.col(T) / F.lit(bucket_seconds)))
     part = [*keys, BKT]
+    # one exchange serves the local sums and the bucket totals
+    d = df.withColumn(BKT, F.floor(F.col(T) / F.lit(bucket_seconds))).repartition(*part)
     # Default frame with an ORDER BY is RANGE UNBOUNDED PRECEDING .. CURRENT ROW:
     # rows of the same slot are peers and all included.
     w_local = Window.partitionBy(*part).orderBy(T, ORD)
@@ -115,8 +116,12 @@ class Family:
     firsts: list[FirstSeen] = field(default_factory=list)
 
 
+ENTROPY_SCALE = 10**8
+
+
 def _xlogx(c: Column) -> Column:
-    return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
+    """``c * log2(c)`` in whole units of 1 / ENTROPY_SCALE, so that what enters a running sum leaves it exactly."""
+    return F.when(c > 0, F.round(c * F.log2(c) * ENTROPY_SCALE)).otherwise(F.lit(0.0)).cast("long")
 
 
 def _or_all(conds: list[Column]) -> Column:
@@ -168,13 +173,9 @@ def sweep(
 
     count_names = [c.name for _, c in counts]
     dim_measures = [d[1] for d in dims if d[4] != "first"]
-    double_measures = {d[1] for d in dims if d[4] == "entropy"}
     flag_names = [f[1] for f in flags]
     measures = count_names + dim_measures
 
-    def mtype(name: str) -> str:
-        return "DOUBLE" if name in double_measures else "BIGINT"
-
     # one projection holds every input of the fan-out: time, seq, keys, measure values, dim values
     value_cols = sorted({d[2] for d in dims})
     base = ev.select(
@@ -209,7 +210,7 @@ def sweep(
                 change = (c_after >= 1).cast("long") - (c_before >= 1).cast("long")
             else:
                 change = _xlogx(c_after.cast("double")) - _xlogx(c_before.cast("double"))
-            sel.append(F.when(F.col("dim") == name, change).otherwise(F.lit(0)).cast(mtype(name).lower()).alias(name))
+            sel.append(F.when(F.col("dim") == name, change).otherwise(F.lit(0)).cast("long").alias(name))
         for fi, fname, dname in flags:
             first = (F.col("dim") == dname) & (F.col("d") == 1) & (F.col("ever_cum") == 1)
             sel.append(first.cast("long").alias(fname))
@@ -226,7 +227,7 @@ def sweep(
             for j, n in enumerate(count_names):
                 parts.append(f"'{n}', {vals.get(j, '0L')}")
             for n in dim_measures:
-                parts.append(f"'{n}', CAST(0 AS {mtype(n)})")
+                parts.append(f"'{n}', 0L")
             for n in flag_names:
                 parts.append(f"'{n}', 0L")
             return "named_struct(" + ", ".join(parts) + ")"
@@ -253,7 +254,7 @@ def sweep(
             out.append(F.col(d.name).cast("long"))
         for e in fam.entropies:
             n = F.col(f"{e.name}__n").cast("double")
-            h = F.when(n > 0, F.log2(n) - F.col(e.name) / n).otherwise(F.lit(0.0))
+            h = F.when(n > 0, F.log2(n) - F.col(e.name) / F.lit(float(ENTROPY_SCALE)) / n).otherwise(F.lit(0.0))
             out.append((F.greatest(F.round(h, 3), F.lit(0.0)) + F.lit(0.0)).alias(e.name))
         for f in fam.firsts:
             out.append((F.col(f.name) > 0).alias(f.name))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import delete_like, detection_category, event_seconds, metric_category
 from ..operators import rules as R
 from ..operators.alerts import drop_known, suppress, with_keys
-from ..operators.features import dedup_events, feature_snapshot
+from ..operators.features import dedup_events, feature_snapshot, single_feature
 from ..operators.scoring import PERCENTILES, feature_stats, feature_vector, scenario_breakdown, score_band, score_no_model
 from ..schema import FEATURE_COLUMNS
 from ..sources.fixtures import security_events
@@ -61,7 +61,7 @@ def q_delete_like(spark, sf):
 
 def _feature_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def q(spark, sf):
-        return _features(spark, sf).select("event_id", name)
+        return single_feature(_events(spark, sf), name)
 
     q.__name__ = f"q_{name}"
     return q

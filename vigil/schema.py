@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the behaviour being matched).
 # ---------------------------------------------------------------------------
@@ -35,7 +33,6 @@ FEATURE_COLUMNS = [
     "auth_failure",
 ]
 BOOL_FEATURES = ["is_new_country_for_user", "is_new_ip_for_user", "is_privileged_action", "auth_failure"]
-DOUBLE_FEATURES = ["ip_failed_auth_rate_5m", "account_service_entropy_1h"]
 
 # Event columns in the order of the typed event.
 EVENT_COLUMNS = [
@@ -92,41 +89,4 @@ REQUIRED_FIELDS = [
     "user_agent",
 ]
 
-EVENT_STRUCT = T.StructType(
-    [
-        T.StructField("event_id", T.StringType()),
-        T.StructField("timestamp", T.TimestampType()),
-        T.StructField("cloud_provider", T.StringType()),
-        T.StructField("account_id", T.StringType()),
-        T.StructField("user_id", T.StringType()),
-        T.StructField("principal_type", T.StringType()),
-        T.StructField("source_ip", T.StringType()),
-        T.StructField("geo_country", T.StringType()),
-        T.StructField("region", T.StringType()),
-        T.StructField("service_name", T.StringType()),
-        T.StructField("api_action", T.StringType()),
-        T.StructField("resource_type", T.StringType()),
-        T.StructField("resource_id", T.StringType()),
-        T.StructField("auth_result", T.StringType()),
-        T.StructField("bytes_sent", T.LongType()),
-        T.StructField("bytes_received", T.LongType()),
-        T.StructField("device_fingerprint", T.StringType()),
-        T.StructField("user_agent", T.StringType()),
-        T.StructField("is_privileged_action", T.BooleanType()),
-        T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
-    ]
-)
-
-DEAD_LETTER_COLUMNS = [
-    "dead_letter_id",
-    "failed_at",
-    "source_topic",
-    "stage",
-    "error_type",
-    "error_message",
-    "raw_payload",
-    "event_id",
-    "retryable",
-]
-
 RAW_EVENTS_TOPIC = "cloud-security-events"
