@@ -2,7 +2,8 @@
 
 Counters that a long-running process would keep in memory are recomputed from
 the data they describe, one aggregate pass per table: ``(metric, dimension, value)``.
-In a stream the same expressions feed ``DataFrame.observe`` (see streaming).
+The rate of a counter is its value over the span of arrival times. Processing time (latency,
+uptime) isn't data; Spark's event log has it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import metric_category
+from ..sources.store import materialize
 
 SCHEMA = "metric string, dimension string, value double"
 
@@ -37,17 +39,16 @@ def _grouped(df: DataFrame, metric: str, dim: Column) -> DataFrame:
 
 
 def ingest_metrics(lines: DataFrame, dead: DataFrame) -> DataFrame:
-    span = F.max(F.unix_seconds("arrival_ts")) - F.min(F.unix_seconds("arrival_ts"))
     n = F.count(F.lit(1))
     base = _long(
         lines,
         [
             ("events_consumed", "", n),
             ("events_archived", "", n),
-            ("events_consumed_per_sec", "", F.round(n / F.greatest(span, F.lit(1)), 3)),
         ],
     )
-    dl = _long(dead, [("validation_failures", "", F.sum((F.col("stage") == "validation").cast("long")))])
+    failures = [("validation_failures", "validation"), ("alert_delivery_failures", "alert_delivery"), ("stream_processing_failures", "stream_processing")]
+    dl = _long(dead, [(name, "", F.count_if(F.col("stage") == stage)) for name, stage in failures])
     return base.unionByName(dl).unionByName(_grouped(dead, "dead_letters_published", F.col("stage")))
 
 
@@ -79,5 +80,35 @@ def alert_metrics(alert_rows: DataFrame, table: DataFrame) -> DataFrame:
     return emitted.unionByName(by_sev).unionByName(by_cat).unionByName(stored)
 
 
+def last_alert_count(scored: DataFrame, alert_rows: DataFrame) -> DataFrame:
+    """Number of alerts of the newest event."""
+    newest = scored.agg(F.max_by("seq", F.struct("ts_sec", "seq")).alias("newest"))  # one row
+    of_newest = alert_rows.join(F.broadcast(newest), F.col("seq") == F.col("newest"), "left_semi")
+    return _long(of_newest, [("last_event_alert_count", "", F.count(F.lit(1)))])
+
+
+COUNTERS = [
+    "events_consumed", "events_archived", "validation_failures", "alert_delivery_failures", "stream_processing_failures",
+    "offline_feature_rows_buffered", "score_requests", "predicted_anomalies", "model_unavailable", "alerts_emitted",
+]
+
+
+def rates(metrics: DataFrame, lines: DataFrame) -> DataFrame:
+    """Counters per second of the span of arrival times."""
+    span = F.max(F.unix_seconds("arrival_ts")) - F.min(F.unix_seconds("arrival_ts"))
+    seconds = lines.agg(F.greatest(span, F.lit(1)).alias("seconds"))  # one row
+    counters = metrics.where(F.col("metric").isin(COUNTERS) & (F.col("dimension") == ""))
+    return counters.crossJoin(F.broadcast(seconds)).select(
+        F.concat("metric", F.lit("_per_sec")).alias("metric"), "dimension", F.round(F.col("value") / F.col("seconds"), 3).alias("value")
+    )
+
+
 def ops_metrics(lines: DataFrame, dead: DataFrame, scored: DataFrame, alert_rows: DataFrame, table: DataFrame) -> DataFrame:
-    return ingest_metrics(lines, dead).unionByName(scoring_metrics(scored)).unionByName(alert_metrics(alert_rows, table))
+    all_rows = (
+        ingest_metrics(lines, dead)
+        .unionByName(scoring_metrics(scored))
+        .unionByName(alert_metrics(alert_rows, table))
+        .unionByName(last_alert_count(scored, alert_rows))
+    )
+    all_rows = materialize(all_rows, "metrics")
+    return all_rows.unionByName(rates(all_rows, lines))

@@ -719,9 +719,10 @@ def table_oracles() -> dict[str, str]:
 ops AS (
   SELECT 'events_consumed' AS metric, '' AS dimension, count(*)::DOUBLE AS value FROM raw_lines
   UNION ALL SELECT 'events_archived', '', count(*)::DOUBLE FROM raw_lines
-  UNION ALL SELECT 'events_consumed_per_sec', '',
-    round(count(*) / greatest(max(epoch(arrival_ts)) - min(epoch(arrival_ts)), 1), 3)::DOUBLE FROM raw_lines
   UNION ALL SELECT 'validation_failures', '', count(*)::DOUBLE FROM dead
+  UNION ALL SELECT x, '', 0.0::DOUBLE FROM (VALUES ('alert_delivery_failures'), ('stream_processing_failures')) v(x)
+  UNION ALL SELECT 'last_event_alert_count', '', count(*)::DOUBLE FROM alerts_final
+    WHERE seq = (SELECT seq FROM scored ORDER BY ts_sec DESC, seq DESC LIMIT 1)
   UNION ALL SELECT 'dead_letters_published', stage, count(*)::DOUBLE FROM dead GROUP BY stage
   UNION ALL SELECT 'offline_feature_rows_buffered', '', count(*)::DOUBLE FROM scored
   UNION ALL SELECT 'score_requests', '', count(*)::DOUBLE FROM scored
@@ -736,7 +737,9 @@ ops AS (
   UNION ALL SELECT 'alerts_written', '', count(*)::DOUBLE FROM alert_table
   UNION ALL SELECT 'suppressed_updates', '', sum(suppression_count)::DOUBLE FROM alert_table
 )
-SELECT * FROM ops"""
+SELECT * FROM ops
+UNION ALL SELECT metric || '_per_sec', '', round(value / (SELECT greatest(max(epoch(arrival_ts)) - min(epoch(arrival_ts)), 1) FROM raw_lines), 3)::DOUBLE
+FROM ops WHERE dimension = '' AND metric NOT IN ('last_anomaly_score', 'last_event_alert_count', 'alerts_written', 'suppressed_updates')"""
     return o
 
 

@@ -507,8 +507,8 @@ def q_table_totals(spark, sf):
 def q_ops_metrics(spark, sf):
     from .metrics import ops_metrics
 
-    scored = _scored(spark, sf)
-    rows = with_keys(R.alerts(scored))
+    scored = materialize(_scored(spark, sf), "scored")
+    rows = materialize(with_keys(R.alerts(scored)), "alert-rows")
     return ops_metrics(_lines(spark, sf), _dead_letters(spark, sf), scored, rows, suppress(rows))
 
 
