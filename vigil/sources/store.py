@@ -19,13 +19,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"vigil/{name}-{uuid.uuid4().hex[:16]}")
     df.write.mode("overwrite").parquet(path)
+    folder, files = _hadoop(spark, path)
+    files.deleteOnExit(folder)  # what discard doesn't delete goes when the session ends
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_folder = path
     return table
 
 
+def _hadoop(spark, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def discard(table: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` returned, once nothing reads it any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.__dict__["scratch_folder"])
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    folder, files = _hadoop(table.sparkSession, table.__dict__["scratch_folder"])
+    files.delete(folder, True)
