@@ -59,6 +59,17 @@ def test_clashing_columns(spark):
     assert got(out) == expected(ODD) and {"fp", "a", "component", "lang"} <= set(out.columns)
 
 
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    from vigil.llm import simhash
+
+    rng = np.random.default_rng(5)
+    for octets in (1, 2, 7, 40, 10**6):
+        monkeypatch.setattr(simhash, "OCTETS_AT_ONCE", octets)
+        for n in (0, 1, 2, 3, 4, 5, 50):
+            text = "".join(f"{'Wörd'[: k % 5]}{k}" + " \t\n  "[: 1 + k % 5] for k in rng.integers(0, 999, n))
+            assert simhash.fingerprint(text.encode()) == plain.fingerprint(text), (octets, text)
+
+
 def points(n, near, seed=3):
     rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)

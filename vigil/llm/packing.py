@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import materialize
-from .common import without
+from .common import bound_batches, without
 
 CAPACITY = 1024
 END = 2
@@ -47,7 +47,8 @@ class WordTokens:
     The vocabulary's pre-tokenizer never joins what stands before and after the blank in front of
     a word, nor around a line break, so a text's ids are those of its words put together. Texts with
     other white space than single blanks and line breaks between words are tokenised whole. Known
-    words live in two generations of at most ``words`` entries and a batch, so memory is bounded.
+    words stay for a task, in two generations of at most ``words`` entries and those of a slice, so
+    memory is bounded.
     """
 
     TOGETHER = 1000
@@ -56,7 +57,7 @@ class WordTokens:
     OTHER_ASCII = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
     OTHER_SPACE = re.compile(r"[^\S \n]")
 
-    def __init__(self, path: str, words: int = 800_000):
+    def __init__(self, path: str, words: int = 300_000):
         self.tokenizer = _tokenizer(path)
         self.words, self.young, self.old = words, {}, {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -112,6 +113,16 @@ class WordTokens:
         return [out[n] for n in range(len(texts))]
 
 
+def slices(batch: pa.RecordBatch, column: int, octets: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts hold at most about ``octets`` bytes together (a longer text goes alone)."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size.astype(np.int64)) // octets
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def cut_points(tokens: int, capacity: int) -> list[int]:
     """Ends of a document's pieces: all of ``capacity`` tokens, but for a shorter first one."""
     return list(range(tokens % capacity or capacity, tokens + 1, capacity))
@@ -137,8 +148,7 @@ def token_pieces(
         tokens, seen, task = WordTokens(vocabulary), Counter(), TaskContext.get().partitionId()
         last = np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                batch = whole.slice(at, 4000)
+            for batch in slices(whole, len(carry)):
                 row, piece, start, length, crc, nth, ids = [], [], [], [], [], [], []
                 for r, raw in enumerate(tokens.texts(batch.column(len(carry)).to_pylist())):
                     raw += last
@@ -252,6 +262,7 @@ def pack(
     Every row is a document of its own, repeated rows and ids included. Input columns named like an
     output column are replaced. An empty table gives an empty result.
     """
+    bound_batches(df.sparkSession)
     base = without(df, OUT)
     carry = [c for c in base.columns if c != text_col] if carry is None else carry
     spark = df.sparkSession

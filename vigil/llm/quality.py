@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import bound_batches, without
 
 PIECE = 1024
 LEVEL = 1
@@ -105,6 +105,7 @@ def fit_quality(
     more than once counts by its largest label.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     label = F.col(f"`{label_col}`")
     known = (
         labels.filter(F.col(f"`{id_col}`").isNotNull() & label.isin(0, 1))
@@ -126,8 +127,8 @@ def fit_quality(
         for batch in batches:
             out = [
                 (label, xxhash.xxh64_intdigest(piece, order & 0xFFFFFFFF) >> 1, piece)
-                for order, label, text in zip(*(batch.column(c).to_pylist() for c in range(3)))
-                for piece in pieces(text)
+                for order, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))
+                for piece in pieces(text.as_py())
             ]
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
@@ -147,7 +148,7 @@ def fit_quality(
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gains = [shared.value.gain(t) for t in batch.column(1).to_pylist()]
+            gains = [shared.value.gain(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gains, pa.float64())], ["label", "gain"])
 
     # at most sample_docs rows of either label
@@ -178,16 +179,20 @@ def score_quality(
     base = without(df, OUT)
     carry = base.columns if carry is None else carry
     shared = df.sparkSession.sparkContext.broadcast(model)
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
-    rows = base.select(*[F.col(f"`{c}`") for c in carry], (remainder(F.col(f"`{id_col}`")) == 0).alias("held_out"), text.alias("_text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    bound_batches(df.sparkSession)
+    held_out = (remainder(F.col(f"`{id_col}`")) == 0).alias("held_out")
+    read = [] if text_col in carry else [F.col(f"`{text_col}`").alias("_text")]
+    rows = base.select(*[F.col(f"`{c}`") for c in carry], held_out, *read)
+    kept = rows.schema.fields[: len(carry) + 1]
+    schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     names = [f.name for f in schema]
+    at = carry.index(text_col) if text_col in carry else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(carry) + 1)
-            scores = np.array([shared.value.score(t.as_py()) for t in texts], np.float64)
+            texts = batch.column(at).cast(pa.binary())
+            scores = np.array([shared.value.score(t.as_py() or b"") for t in texts], np.float64)
             added = [pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *added], names)
 
     return rows.mapInArrow(run, schema)

@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,52 +26,73 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.store import materialize
-from .common import join_labels, without
+from .common import bound_batches, join_labels, without
 from .components import connected_components
 
 OUT = ["fingerprint", "component_id", "kept"]
 BITS = 64
+OCTETS_AT_ONCE = 4_000_000
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 ROWS_AT_ONCE = 100_000
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 250_000
 
 
-def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
-    """XXH64 of every run of ``words`` words (A-Z lower-cased, split at ASCII white space)."""
-    parts = text.lower().split()
-    if not parts:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(parts)
-    starts = np.cumsum([0, *(len(p) + 1 for p in parts)]).tolist()
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of every run of ``words`` words (A-Z lower-cased, split at ASCII white space), in portions.
+
+    A text with fewer words is one shingle. A long text is read in pieces that end at white space, each
+    with the last words of the piece before.
+    """
     hashed = xxhash.xxh64_intdigest
-    span = min(words, len(parts))
-    return np.array([hashed(joined[a : b - 1], seed) for a, b in zip(starts, starts[span:])], np.uint64)
+    kept: list[bytes] = []
+    whole = 0
+    at = 0
+    while at < len(text):
+        end = at + OCTETS_AT_ONCE
+        if end < len(text):
+            space = SPACE.search(text, end)
+            end = space.start() if space else len(text)
+        parts = kept + text[at:end].lower().split()
+        at = end
+        kept = parts
+        if len(parts) >= words:
+            joined = b" ".join(parts)
+            starts = np.cumsum([0, *(len(p) + 1 for p in parts)]).tolist()
+            yield np.array([hashed(joined[a : b - 1], seed) for a, b in zip(starts, starts[words:])], np.uint64)
+            kept = parts[len(parts) - words + 1 :]
+            whole += 1
+    if not whole and kept:
+        yield np.array([hashed(b" ".join(kept), seed)], np.uint64)
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
     """Bits set in over half the shingle hashes, as an unsigned 64-bit number; no words: zero."""
-    hashes = shingle_hashes(text, words)
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 65536):
-        octets = hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    counts, total = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, words):
+        total += len(hashes)
+        for at in range(0, len(hashes), 65536):
+            octets = hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", words: int = 4, carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns of ``df`` (default: all) plus ``_fp``, the fingerprint as a signed long."""
     carry = df.columns if carry is None else carry
+    bound_batches(df.sparkSession)
     schema = T.StructType([*(df.schema[c] for c in carry), T.StructField("_fp", T.LongType())])
-    rows = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("binary").alias("_text"))
+    read = [] if text_col in carry else [F.col(f"`{text_col}`").alias("_text")]
+    at = carry.index(text_col) if text_col in carry else len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(carry))
+            texts = batch.column(at).cast(pa.binary())
             values = np.fromiter((fingerprint(t.as_py() or b"", words) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(carry)], pa.array(values.view(np.int64))], [*carry, "_fp"]
             )
 
-    return rows.mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in carry], *read).mapInArrow(run, schema)
 
 
 def grow_trees(unit: np.ndarray, point: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,19 +158,27 @@ def spanning_links(radius: int):
         linked = np.flatnonzero(lab != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[lab[linked]])], ["a", "b"])
 
+    def joined(waiting: list[list[np.ndarray]]) -> list[np.ndarray]:
+        return [np.concatenate(c) for c in zip(*waiting)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
+        waiting: list[list[np.ndarray]] = []
+        n = 0
         for batch in batches:
-            more = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            kept = more if kept is None else [np.concatenate(x) for x in zip(kept, more)]
-            if len(kept[0]) >= ROWS_AT_ONCE:
-                last = np.all([c[:-1] == c[-1] for c in kept[:3]], axis=0)
-                cut = len(kept[0]) - 1 - int(np.argmin(last[::-1])) if not last.all() else 0
-                if cut:
-                    yield solve([c[:cut] for c in kept])
-                    kept = [c[cut:] for c in kept]
-        if kept is not None:
-            yield solve(kept)
+            waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n += batch.num_rows
+            if n < ROWS_AT_ONCE:
+                continue
+            rows = joined(waiting)
+            # the last unit may go on in the next batch
+            unlike = np.any([c[:-1] != c[-1] for c in rows[:3]], axis=0)
+            cut = int(np.flatnonzero(unlike)[-1]) + 1 if unlike.any() else 0
+            if cut:
+                yield solve([c[:cut] for c in rows])
+            waiting = [[c[cut:] for c in rows]]
+            n -= cut
+        if waiting:
+            yield solve(joined(waiting))
 
     return run
 
