@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import materialize
-from .common import join_labels, without
+from .common import bound_batches, join_labels, without
 from .components import connected_components
 
 OUT = ["n_links", "component_id", "kept"]
-BLOCK = 256
-LEAF = 64
+BLOCK = 1024
+LEAF = 128
 AXES = 6
 PER_TASK = 1 << 24  # blocks a sorted partition may hold
 SLACK = 1e-9
@@ -253,6 +253,7 @@ def embedding_dedup(
     non-finite components link with nothing. Rows that share an id are rows of their own. Input
     columns named like an output column are replaced. An empty table gives an empty result.
     """
+    bound_batches(df.sparkSession)
     eps = float(np.sqrt(2 - 2 * cosine))
     base = without(df, OUT)
     vector, ident = F.col(f"`{vector_col}`"), F.col(f"`{id_col}`")
