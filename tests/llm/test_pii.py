@@ -66,6 +66,13 @@ def test_unchecked_values_stay(text):
     assert pseudonymise(text, KEY) == (text, [])
 
 
+def test_dates_in_three_forms_come_back():
+    for text in ("12/31/1999", "31/12/1999", "03/04/2001", "1999-12-31", "13.01.1950", "02/29/2004", "call 212-555-0187"):
+        new, spans = pseudonymise(text, KEY)
+        assert len(spans) == 1 and len(new) == len(text) and pseudonymise(new, KEY, inverse=True)[0] == text
+    assert int(pseudonymise("12/31/1999", KEY)[0].split("/")[1]) > 12
+
+
 def test_overlaps_and_many_values():
     text = " ".join(f"10.0.{k // 250}.{k % 250}" for k in range(3000))
     new, spans = pseudonymise(text, KEY)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import bound_batches, without
 
 OUT = ["n_values", "spans"]
 ROUNDS = 8
@@ -146,19 +146,29 @@ def address(text: str, key: bytes, inverse: bool) -> str | None:
 
 
 def day(text: str, key: bytes, inverse: bool) -> str | None:
-    """A date from 1900 to 2099; one day has one pseudonym in all formats."""
+    """A date from 1900 to 2099, year first, day first, or (only where that is no date) month first.
+
+    One day has one pseudonym in the first two forms; the third form keeps to days that only it can write.
+    """
     mark = next(c for c in text if c not in string.digits)
     parts = text.split(mark)
-    iso = len(parts[0]) == 4
-    try:
-        given = date(*map(int, parts if iso else parts[::-1])).toordinal()
-    except ValueError:
-        return None
-    if not FIRST_DAY <= given <= LAST_DAY:
-        return None
-    new = date.fromordinal(FIRST_DAY + feistel(given - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "day", inverse))
-    out = [f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"]
-    return mark.join(out if iso else out[::-1])
+    forms = [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0), (2, 0, 1)]
+    for form in forms:
+        try:
+            given = date(*(int(parts[k]) for k in form)).toordinal()
+        except ValueError:
+            continue
+        if not FIRST_DAY <= given <= LAST_DAY:
+            return None
+        month_first = form == (2, 0, 1)
+        valid = (lambda n: date.fromordinal(FIRST_DAY + n).day > 12) if month_first else None
+        number = feistel(given - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "month first" if month_first else "day", inverse, valid)
+        new = date.fromordinal(FIRST_DAY + number)
+        out = [""] * 3
+        for k, value in zip(form, (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}")):
+            out[k] = value
+        return mark.join(out)
+    return None
 
 
 def email(text: str, key: bytes, inverse: bool) -> str | None:
@@ -185,6 +195,7 @@ KINDS = [
     ("iban", None, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"), iban),
     ("card", None, re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"), card),
     ("phone", None, re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)"), phone),
+    ("phone", "-", re.compile(r"(?<![\w+.-])\d{3}-\d{3}-\d{4}(?![\w-])"), phone),
     ("phone", "+", re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w)"), phone),
     ("social", "-", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), social),
     ("date", None, re.compile(r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2})(?![\d-])"), day),
@@ -233,6 +244,7 @@ def replace_private(df: DataFrame, key: bytes, text_col: str = "text", inverse:
     repeated rows get equal results. ``inverse`` turns pseudonyms back with the same key. Input
     columns named like an output column are replaced. An empty table gives an empty result.
     """
+    bound_batches(df.sparkSession)
     base = without(df, OUT)
     names = base.columns
     at = [n.lower() for n in names].index(text_col.lower())
