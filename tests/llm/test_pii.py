@@ -73,6 +73,37 @@ def test_dates_in_three_forms_come_back():
     assert int(pseudonymise("12/31/1999", KEY)[0].split("/")[1]) > 12
 
 
+CARDS = ["4111 1111 1111 1111", "4111111111111111", "5500-0055-5555-5559", "3782 822463 10005", "41111111 11111111"]
+BESIDE = ["{} 123", "{} 12/27", "12 {} x", "pay {} 7 times", "2 x {} 2004-02-29", "12-{}-3", "x12 {} 34y", "1 {} 2, 3 {} 4", "2004-02-29 {} 212-555-0187"]
+
+
+@pytest.mark.parametrize("card", CARDS)
+@pytest.mark.parametrize("form", BESIDE)
+def test_cards_beside_other_numbers(card, form):
+    text = form.replace("{}", card)
+    new, spans = pseudonymise(text, KEY)
+    got = [(text[s[0] : s[1]], s[3]) for s in spans if s[2] == "card"]
+    assert len(got) == text.count(card) and all(card in g[0] for g in got) and card not in new
+    if card != CARDS[-1]:  # usual layouts are found alone and linked whatever stands beside them
+        assert {g[0] for g in got} == {card} and {g[1] for g in got} == {pseudonymise(card, KEY)[0]}
+    assert pseudonymise(new, KEY, inverse=True)[0] == text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["4111 1111 1111 1111", "4111111111111111", "41111111 11111111", "123", "12", "2027", "2004-02-29", "13-13-2013", "123456", "x9", "7"]), max_size=9), st.sampled_from([" ", "-", ", "]))
+def test_runs_of_numbers_come_back(parts, mark):
+    text = mark.join(parts)
+    new, spans = pseudonymise(text, KEY)
+    assert all(luhn(re.sub(r"\D", "", s[3])) for s in spans if s[2] == "card")
+    assert pseudonymise(new, KEY, inverse=True)[0] == text
+
+
+def test_long_lists_of_numbers_end():
+    text = " ".join(str(k * 7919 % 97) for k in range(20_000))
+    new, spans = pseudonymise(text, KEY)
+    assert len(new) == len(text) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_overlaps_and_many_values():
     text = " ".join(f"10.0.{k // 250}.{k % 250}" for k in range(3000))
     new, spans = pseudonymise(text, KEY)

@@ -100,12 +100,41 @@ def _refill(text: str, digits: str) -> str:
     return "".join(next(given) if c in string.digits else c for c in text)
 
 
-def card(text: str, key: bytes, inverse: bool) -> str | None:
+def is_card(text: str) -> bool:
     digits = _digits(text)
-    if not 13 <= len(digits) <= 19 or not luhn(digits) or len(set(digits)) == 1:
+    return 13 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 1
+
+
+def card(text: str, key: bytes, inverse: bool, fits: Callable[[str], bool] | None = None) -> str | None:
+    """With ``fits``, pseudonyms are taken among those that fit."""
+    if not is_card(text):
         return None
-    body = permute_text(digits[:-1], key, "card", inverse, lambda d: len(set(d)) > 1)
-    return _refill(text, body + next(c for c in string.digits if luhn(body + c)))
+
+    def whole(body: str) -> str:
+        return _refill(text, body + next(c for c in string.digits if luhn(body + c)))
+
+    return whole(permute_text(_digits(text)[:-1], key, "card", inverse, lambda d: len(set(d)) > 1 and (fits is None or fits(whole(d)))))
+
+
+def card_spans(text: str, start: int, end: int, usual: bool) -> list[tuple[int, int]]:
+    """Parts of a run of digit groups that have 13 to 19 digits and begin and end with a group.
+
+    The usual layouts (one group, 4-4-4-4, then 4-6-5) from left to right, or all others, longest first.
+    """
+    groups = [m.span() for m in GROUP.finditer(text, start, end)]
+    last = len(groups) - 1
+    first = 0 if start == 0 or not re.match(r"[\w.-]", text[start - 1]) else 1
+    final = last if end == len(text) or not re.match(r"[\w-]", text[end]) else last - 1
+    out = []
+    for i in range(first, final + 1):
+        sizes: tuple[int, ...] = ()
+        for j in range(i, final + 1):
+            sizes += (groups[j][1] - groups[j][0],)
+            if (n := sum(sizes)) > 19:
+                break
+            if n >= 13 and usual == (len(sizes) == 1 or sizes in LAYOUTS):
+                out.append((sizes == LAYOUTS[1] if usual else -n, groups[i][0], groups[j][1]))
+    return [(a, b) for _, a, b in sorted(out)]
 
 
 def iban_number(text: str) -> int:
@@ -185,6 +214,12 @@ def secret(text: str, key: bytes, inverse: bool) -> str | None:
     return permute_text(text, key, "secret", inverse)
 
 
+GROUP = re.compile(r"[0-9]+")
+CARD_RUN = re.compile(r"[0-9](?:[ -]?[0-9]){12,}")
+LAYOUTS = ((4, 4, 4, 4), (4, 6, 5))
+# Longest match that a check can reject, and so many rejected ones at most around a card whose pseudonym keeps them rejected.
+REACH, CROWD = 80, 60
+
 # Kinds in order of precedence where matches overlap: name, a lower-case text that must occur (None: a
 # digit), pattern (group 1, if any, is the value), rule.
 KINDS = [
@@ -193,7 +228,7 @@ KINDS = [
     ("secret", "password", re.compile(r"(?i:password)\s*[=:]\s*[\"']?([A-Za-z0-9]{8,})"), secret),
     ("secret", "token", re.compile(r"(?i:token)\s*[=:]\s*[\"']?([A-Za-z0-9]{16,})"), secret),
     ("iban", None, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"), iban),
-    ("card", None, re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"), card),
+    ("card", None, CARD_RUN, is_card),
     ("phone", None, re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)"), phone),
     ("phone", "-", re.compile(r"(?<![\w+.-])\d{3}-\d{3}-\d{4}(?![\w-])"), phone),
     ("phone", "+", re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w)"), phone),
@@ -201,27 +236,64 @@ KINDS = [
     ("date", None, re.compile(r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2})(?![\d-])"), day),
     ("date", None, re.compile(r"(?<![\w.-])(?:\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})(?![\d-])"), day),
     ("address", ".", re.compile(r"(?<![\w.-])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w-]|\.\d)"), address),
+    ("card", None, CARD_RUN, is_card),  # unusual layouts
 ]
 DIGIT = re.compile(r"[0-9]")
 
 
 def find(text: str, key: bytes, inverse: bool = False) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, pseudonym) of every checked value, in order and without overlaps."""
-    hits = []
+    """(start, end, kind, pseudonym) of every checked value, in order and without overlaps.
+
+    A card beside other numbers is one of several parts of a run of digits. Its pseudonym leaves the
+    parts tried before it failing their checks, so that the way back finds the same part (not so
+    among more than ``CROWD`` of them, as in long lists of single digits).
+    """
+    taken: list[tuple[int, int, str, str]] = []
+    failed: list[tuple[int, int, Callable[[str], object]]] = []
+    cards: list[tuple[int, int]] = []
     digit = DIGIT.search(text)
     lower = text.lower()
+
+    def place(a: int, b: int) -> int | None:
+        n = bisect_left(taken, (a,))
+        return n if (n == 0 or taken[n - 1][1] <= a) and (n == len(taken) or b <= taken[n][0]) else None
+
     for rank, (kind, must, pattern, rule) in enumerate(KINDS):
         if not (digit if must is None else must in lower):
             continue
         for m in pattern.finditer(text):
-            g = 1 if pattern.groups else 0
-            if (new := rule(m[g], key, inverse)) is not None:
-                hits.append((rank, m.start(g), m.end(g), kind, new))
-    taken: list[tuple[int, int, str, str]] = []
-    for _, a, b, kind, new in sorted(hits):
-        n = bisect_left(taken, (a,))
-        if (n == 0 or taken[n - 1][1] <= a) and (n == len(taken) or b <= taken[n][0]):
-            taken.insert(n, (a, b, kind, new))
+            if kind == "card":
+                for a, b in card_spans(text, *m.span(), usual=rank < len(KINDS) - 1):
+                    if (n := place(a, b)) is None:
+                        continue
+                    if is_card(text[a:b]):
+                        taken.insert(n, (a, b, kind, ""))
+                        cards.append((a, b))
+                    else:
+                        failed.append((a, b, is_card))
+                continue
+            a, b = m.span(1 if pattern.groups else 0)
+            if (n := place(a, b)) is None:
+                continue
+            if (new := rule(text[a:b], key, inverse)) is not None:
+                taken.insert(n, (a, b, kind, new))
+            else:
+                failed.append((a, b, lambda value, rule=rule: rule(value, key, inverse)))
+    if not cards:
+        return taken
+
+    # one after the other, and back in the opposite order: each sees the others as they stood then
+    failed.sort(key=lambda f: f[:2])
+    now = list(text)
+    for a, b in reversed(cards) if inverse else cards:
+        near = [f for f in failed[bisect_left(failed, (a - REACH,)) : bisect_left(failed, (b,))] if f[1] > a]
+
+        def fits(new: str) -> bool:
+            now[a:b] = new
+            return not any(check("".join(now[x:y])) for x, y, check in near)
+
+        now[a:b] = new = card(text[a:b], key, inverse, fits if 0 < len(near) <= CROWD else None)
+        taken[bisect_left(taken, (a,))] = (a, b, "card", new)
     return taken
 
 
