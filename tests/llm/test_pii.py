@@ -73,6 +73,32 @@ def test_dates_in_three_forms_come_back():
     assert int(pseudonymise("12/31/1999", KEY)[0].split("/")[1]) > 12
 
 
+@pytest.mark.parametrize("value", ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "DE89 370400440532013000", "QQ82 WEST 1234 5698 7654 20"])
+@pytest.mark.parametrize("form", ["{}", "IBAN {} AND MORE", "to {} 12 EUR", "{} {}", "({})."])
+def test_ibans_in_groups(value, form):
+    plainly = value.replace(" ", "")
+    if value.startswith("QQ"):  # a country that isn't known
+        value = f"QQ{98 - iban_number('QQ00' + plainly[4:]) % 97:02d}{value[4:]}"
+        plainly = value.replace(" ", "")
+    text = form.replace("{}", value)
+    new, spans = pseudonymise(text, KEY)
+    assert [(s[2], text[s[0] : s[1]]) for s in spans] == [("iban", value)] * text.count(value)
+    for s in spans:
+        assert re.sub("[0-9A-Z]", "x", s[3]) == re.sub("[0-9A-Z]", "x", value) and iban_number(s[3].replace(" ", "")) % 97 == 1
+        assert s[3].replace(" ", "") == pseudonymise(plainly, KEY)[0] != plainly  # linked with the unbroken form
+    assert pseudonymise(new, KEY, inverse=True)[0] == text
+
+
+@pytest.mark.parametrize("value", ["für.55@mail4.example.com", "abc@bücher.example", "fu\u0308r.55@bu\u0308cher.example", "ÉLODIE.ñandú@correo.españa", "иван.7@почта.рф", "कमल@example.org", "٣ب@example.org"])
+def test_mail_addresses_beyond_ascii(value):
+    text = f"écrire à {value}, schön {value}."
+    new, spans = pseudonymise(text, KEY)
+    assert [(s[2], text[s[0] : s[1]]) for s in spans] == [("email", value)] * 2 and spans[0][3] == spans[1][3] != value
+    assert value not in new and spans[0][3].split("@")[1] == value.split("@")[1]
+    assert [(c.isupper(), c.islower(), c.isalpha(), c.isdecimal()) for c in spans[0][3]] == [(c.isupper(), c.islower(), c.isalpha(), c.isdecimal()) for c in value]
+    assert pseudonymise(new, KEY, inverse=True)[0] == text
+
+
 CARDS = ["4111 1111 1111 1111", "4111111111111111", "5500-0055-5555-5559", "3782 822463 10005", "41111111 11111111"]
 BESIDE = ["{} 123", "{} 12/27", "12 {} x", "pay {} 7 times", "2 x {} 2004-02-29", "12-{}-3", "x12 {} 34y", "1 {} 2, 3 {} 4", "2004-02-29 {} 212-555-0187"]
 

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import re
 import string
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -62,18 +64,32 @@ def _class(char: str) -> str | None:
     return next((c for c in CLASSES if char in c), None)
 
 
-def permute_text(text: str, key: bytes, tweak: str, inverse: bool = False, valid: Callable[[str], bool] | None = None) -> str:
-    """Permute digits among digits and ASCII letters among letters of their case; all else stays."""
-    form = "".join({0: "9", 1: "a", 2: "A"}[CLASSES.index(c)] if (c := _class(x)) else x for x in text)
+@lru_cache(4096)
+def _letters(char: str) -> str | None:
+    """The class of a character; beyond ASCII: letters or digits of its category among the 256 characters around."""
+    if char.isascii() or not (char.isalpha() or char.isdecimal()):
+        return _class(char)
+    block, category = ord(char) & ~255, unicodedata.category(char)
+    return "".join(c for c in map(chr, range(max(block, 128), block + 256)) if unicodedata.category(c) == category)
+
+
+def permute_text(
+    text: str, key: bytes, tweak: str, inverse: bool = False, valid: Callable[[str], bool] | None = None, kind: Callable[[str], str | None] = _class
+) -> str:
+    """Permute digits among digits and ASCII letters among letters of their case; all else stays.
+
+    ``kind`` gives the characters that a character is permuted among (default: as said).
+    """
+    form = "".join({string.digits: "9", CLASSES[1]: "a", CLASSES[2]: "A"}.get(c, c[0]) if (c := kind(x)) else x for x in text)
     number, size = 0, 1
     for x in text:
-        if c := _class(x):
+        if c := kind(x):
             number, size = number * len(c) + c.index(x), size * len(c)
 
     def spell(n: int) -> str:
         out = []
         for x in reversed(text):
-            if c := _class(x):
+            if c := kind(x):
                 n, at = divmod(n, len(c))
                 x = c[at]
             out.append(x)
@@ -141,11 +157,55 @@ def iban_number(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4]))
 
 
-def iban(text: str, key: bytes, inverse: bool) -> str | None:
-    if iban_number(text) % 97 != 1:
+def is_iban(text: str) -> bool:
+    return iban_number(text) % 97 == 1
+
+
+def iban(text: str, key: bytes, inverse: bool, fits: Callable[[str], bool] | None = None) -> str | None:
+    """Blanks stay where they are. With ``fits``, pseudonyms are taken among those that fit."""
+    plain = text.replace(" ", "")
+    if not is_iban(plain):
         return None
-    body = permute_text(text[4:], key, f"iban|{text[:2]}", inverse)
-    return f"{text[:2]}{98 - iban_number(text[:2] + '00' + body) % 97:02d}{body}"
+
+    def whole(body: str) -> str:
+        given = iter(f"{plain[:2]}{98 - iban_number(plain[:2] + '00' + body) % 97:02d}{body}")
+        return "".join(c if c == " " else next(given) for c in text)
+
+    return whole(permute_text(plain[4:], key, f"iban|{plain[:2]}", inverse, fits and (lambda body: fits(whole(body)))))
+
+
+def iban_ends(text: str) -> list[int]:
+    """Where an IBAN that begins ``text``, groups with single blanks between, can end, best first.
+
+    The country's length counts, or, where that isn't known, all lengths in groups of four, longest
+    first; then an unbroken run of any length.
+    """
+    groups = text.split(" ")
+    length, out, n, at = IBAN_LENGTHS.get(text[:2]), [], 0, -1
+    for group in groups:
+        n, at = n + len(group), at + 1 + len(group)
+        if n == length or (length is None and 15 <= n <= 34 and len(group) <= 4):
+            out.append(at)
+        if length is None and len(group) != 4:
+            break
+    out.reverse()
+    run = len(groups[0])
+    return out if not 15 <= run <= 34 or run in out else [*out, run]
+
+
+def spaced_iban(text: str, key: bytes, inverse: bool) -> tuple[int, str] | None:
+    """Length and pseudonym of the IBAN that begins ``text``."""
+    failed: list[int] = []
+    for end in iban_ends(text):
+        if not is_iban(text[:end].replace(" ", "")):
+            failed.append(end)
+            continue
+
+        def fits(new: str, end: int = end) -> bool:
+            return not any(is_iban((new + text[end:])[:e].replace(" ", "")) for e in failed)
+
+        return end, iban(text[:end], key, inverse, fits if failed else None)
+    return None
 
 
 def _social(digits: str) -> bool:
@@ -201,9 +261,9 @@ def day(text: str, key: bytes, inverse: bool) -> str | None:
 
 
 def email(text: str, key: bytes, inverse: bool) -> str | None:
-    """The part before the @ is permuted; the domain stays."""
+    """The part before the @ is permuted, letters beyond ASCII among like ones; the domain stays."""
     name, domain = text.split("@")
-    return f"{permute_text(name, key, f'email|{domain.lower()}', inverse)}@{domain}"
+    return f"{permute_text(name, key, f'email|{domain.lower()}', inverse, kind=_letters)}@{domain}"
 
 
 def access_key(text: str, key: bytes, inverse: bool) -> str | None:
@@ -214,6 +274,16 @@ def secret(text: str, key: bytes, inverse: bool) -> str | None:
     return permute_text(text, key, "secret", inverse)
 
 
+MARKS = "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c) in ("Mn", "Mc"))  # accents of letters before them
+IBAN_LENGTHS = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 "
+        "GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 "
+        "MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 "
+        "TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 GROUP = re.compile(r"[0-9]+")
 CARD_RUN = re.compile(r"[0-9](?:[ -]?[0-9]){12,}")
 LAYOUTS = ((4, 4, 4, 4), (4, 6, 5))
@@ -223,11 +293,11 @@ REACH, CROWD = 80, 60
 # Kinds in order of precedence where matches overlap: name, a lower-case text that must occur (None: a
 # digit), pattern (group 1, if any, is the value), rule.
 KINDS = [
-    ("email", "@", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"), email),
+    ("email", "@", re.compile(rf"(?<![\w{MARKS}.%+-])[\w{MARKS}.%+-]++@(?:[\w{MARKS}-]+\.)+[^\W\d_]{{2,}}(?![\w-])"), email),
     ("access_key", "akia", re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"), access_key),
     ("secret", "password", re.compile(r"(?i:password)\s*[=:]\s*[\"']?([A-Za-z0-9]{8,})"), secret),
     ("secret", "token", re.compile(r"(?i:token)\s*[=:]\s*[\"']?([A-Za-z0-9]{16,})"), secret),
-    ("iban", None, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"), iban),
+    ("iban", None, re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])))"), spaced_iban),
     ("card", None, CARD_RUN, is_card),
     ("phone", None, re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)"), phone),
     ("phone", "-", re.compile(r"(?<![\w+.-])\d{3}-\d{3}-\d{4}(?![\w-])"), phone),
@@ -273,6 +343,12 @@ def find(text: str, key: bytes, inverse: bool = False) -> list[tuple[int, int, s
                         failed.append((a, b, is_card))
                 continue
             a, b = m.span(1 if pattern.groups else 0)
+            if kind == "iban":
+                if (hit := rule(text[a:b], key, inverse)) is None:
+                    failed.append((a, b, lambda value: spaced_iban(value, key, inverse)))
+                elif (n := place(a, a + hit[0])) is not None:
+                    taken.insert(n, (a, a + hit[0], kind, hit[1]))
+                continue
             if (n := place(a, b)) is None:
                 continue
             if (new := rule(text[a:b], key, inverse)) is not None:
