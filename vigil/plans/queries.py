@@ -554,32 +554,80 @@ def q_iforest_trees(spark, sf):
     return _tree_checks(nodes_frame(spark, forest))
 
 
-def q_score_events(spark, sf):
-    """All scored events, each held against its own raw value, and the training share of anomalies."""
-    from .train import score_with_model
-
-    feats, (forest, stats, _) = _trained(spark, sf)
-    s = score_with_model(feats, forest, stats, TRAIN_VERSION)
+def _score_checks(scored: DataFrame, stats: DataFrame) -> DataFrame:
+    """All scored events, each held against its own raw value and the training percentiles, and the training share of anomalies."""
     raw, score = F.col("raw_score"), F.col("anomaly_score")
-    band = F.array_contains(F.transform(F.array(*[F.lit(x) for x in ("p99", "p95", "p90", "lower 90%")]), lambda x: F.contains("explanation", x)), True)
-    checks = s.select(
+    expected = F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(3.5) * raw)), 4)
+    band = (
+        F.when(expected < F.col("_p90"), F.lit("within the lower 90% of training anomaly scores"))
+        .when(expected < F.col("_p95"), F.lit("above the training p90 anomaly score"))
+        .when(expected < F.col("_p99"), F.lit("above the training p95 anomaly score"))
+        .otherwise(F.lit("above the training p99 anomaly score"))
+    )
+    # rows on the offset are no anomalies: only ties there may leave the share below the contamination
+    anomalies = F.col("observed_anomaly_fraction") * F.col("training_rows")
+    wanted = F.lit(0.08) * F.col("training_rows")
+    on_offset = scored.agg(F.sum((F.abs(raw) <= 1e-12).cast("long")).alias("_on_offset"))
+    share = stats.crossJoin(on_offset).select(  # one row each
+        *[F.col(p).alias(f"_{p}") for p in ("p90", "p95", "p99")],
+        ((anomalies - wanted <= 1.0) & (anomalies + F.col("_on_offset") - wanted >= -1.0)).alias("share_ok"),
+    )
+    return scored.crossJoin(F.broadcast(share)).select(  # one row
         "event_id",
         (F.abs(score - F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(3.5) * raw))) <= 0.00005001).alias("score_ok"),
         (F.abs(F.col("confidence") - F.abs(raw) / (F.abs(raw) + 0.5)) <= 0.00005001).alias("confidence_ok"),
         (F.col("predicted_anomaly") == (raw < 0)).alias("predicted_ok"),
-        (band & F.contains("explanation", F.format_string("score %.4f", score))).alias("explained"),
+        F.contains("explanation", F.format_string("score %.4f (%s).", score, band)).alias("explained"),
         F.size("top_contributors").alias("n_contributors"),
+        "share_ok",
     )
-    share = stats.select(((F.col("observed_anomaly_fraction") - 0.08) * F.col("training_rows") <= 1.0).alias("share_ok"))
-    return checks.crossJoin(F.broadcast(share))  # one row
 
 
-def q_model_metadata(spark, sf):
-    _, (_, _, meta) = _trained(spark, sf)
-    return meta.select(
+def q_score_events(spark, sf):
+    from .train import score_with_model
+
+    feats, (forest, stats, _) = _trained(spark, sf)
+    return _score_checks(materialize(score_with_model(feats, forest, stats, TRAIN_VERSION), "model-scored"), materialize(stats, "model-stats"))
+
+
+def _metadata_checks(meta: DataFrame, rows: DataFrame) -> DataFrame:
+    """The metadata, a row per scenario; the count is null where the anomalies or rate of the scenario, the anomaly
+    fraction or a percentile isn't what the scored training rows (scenario, raw_score) give."""
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(3.5) * F.col("raw_score")))
+    # a percentile lies between the rows around rank q (n - 1)
+    cuts = meta.select(*[F.col("anomaly_score_percentiles")[p].alias(f"_{p}") for p in PERCENTILES])
+    held = [F.lit(len(PERCENTILES)) == F.size("anomaly_score_percentiles")]
+    counts = [F.count("*").alias("_n"), F.sum((F.col("raw_score") < 0).cast("long")).alias("_anomalies")]
+    for p, q in PERCENTILES.items():
+        rank = F.lit(q) * (F.col("_n") - 1)
+        counts.append(F.sum((score < F.col(f"_{p}") - 1e-12).cast("long")).alias(f"_below_{p}"))
+        counts.append(F.sum((score <= F.col(f"_{p}") + 1e-12).cast("long")).alias(f"_upto_{p}"))
+        held += [F.col(f"_below_{p}") <= F.ceil(rank - 1e-6), F.col(f"_upto_{p}") >= F.floor(rank + 1e-6) + 1]
+    whole = rows.crossJoin(F.broadcast(cuts)).agg(*counts)  # one row
+    by = rows.groupBy(F.coalesce("scenario", F.lit("unknown")).alias("_scenario")).agg(
+        F.count("*").alias("_count"), F.sum((F.col("raw_score") < 0).cast("long")).alias("_predicted")
+    )
+    given = meta.select("*", F.explode("scenario_breakdown").alias("scenario", "v")).crossJoin(F.broadcast(whole))
+    held += [
+        F.abs(F.col("observed_anomaly_fraction") * F.col("_n") - F.col("_anomalies")) < 1e-3,
+        F.col("v.predicted_anomalies") == F.col("_predicted"),
+        F.abs(F.col("v.predicted_anomaly_rate") - F.col("_predicted") / F.col("_count")) <= 0.00005001,
+    ]
+    ok = held[0]
+    for h in held[1:]:
+        ok = ok & h
+    return given.join(by, F.col("scenario") == F.col("_scenario"), "left").select(
         "model_type", "model_version", "training_rows", "contamination", "training_source",
-        F.size("feature_columns").alias("n_columns"), F.explode("scenario_breakdown").alias("scenario", "v"),
-    ).select("model_type", "model_version", "training_rows", "contamination", "training_source", "n_columns", "scenario", F.col("v.count").alias("count"))
+        F.size("feature_columns").alias("n_columns"), "scenario", F.when(ok, F.col("v.count")).alias("count"),
+    )
+
+
+def q_model_metadata(spark, sf):
+    from ..operators.forest import decision_function
+
+    feats, (forest, _, meta) = _trained(spark, sf)
+    rows = materialize(decision_function(feats, forest).select("scenario", "raw_score"), "model-raw")
+    return _metadata_checks(materialize(meta, "metadata"), rows)
 
 
 def q_model_metadata_defaults(spark, sf):
