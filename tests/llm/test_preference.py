@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,28 @@ def test_query_holds_every_conversation_and_no_python(spark):
     other = [tuple(r) for r in swapped_replies(turns).collect()]
     want = {r[0]: r[1:5] for r in brute(rows, other)}
     assert {r.conv_id: (r.prompt, r.prompt_turns, r.chosen, r.rejected) for r in df.collect()} == want
+
+
+def test_turns_without_pair_are_pairs_of_their_own(spark):
+    chosen = CHOSEN + [(None, 3, "assistant", "a"), (None, 3, "assistant", "a"), (None, None, None, None)]
+    rejected = REJECTED + [(None, 0, "user", "n")]
+    out = format_preferences(spark.createDataFrame(chosen, SCHEMA), spark.createDataFrame(rejected, SCHEMA))
+    held = lambda rows: [r for r in rows if r[0] is not None]
+    alone = [r for row in chosen if row[0] is None for r in brute([row], [])] + [r for row in rejected if row[0] is None for r in brute([], [row])]
+    assert got(out) == sorted(brute(held(chosen), held(rejected)) + alone, key=repr)
+
+
+def test_long_conversations(spark):
+    chosen = [(1, k, "assistant" if k % 2 else "user", "é" * (k % 5)) for k in range(1000)]
+    rejected = [(1, k, "assistant" if k % 3 else "user", "x" * (k % 7)) for k in range(37)]
+    out = format_preferences(spark.createDataFrame(chosen, SCHEMA), spark.createDataFrame(rejected, SCHEMA))
+    assert got(out) == brute(chosen, rejected)
+
+
+def test_masks_of_very_long_conversations_end(spark):
+    n = 40_000
+    turns = spark.range(n).selectExpr("1L AS pair_id", "id AS turn", "'assistant' AS role", "'t' AS text")
+    out = format_preferences(turns, turns.limit(0)).selectExpr("size(chosen_mask) AS n", "chosen_mask[size(chosen_mask) - 1].end AS end", "length(chosen) AS length")
+    start = time.monotonic()
+    assert [tuple(r) for r in out.collect()] == [(2 * n, n * 23, n * 23)]
+    assert time.monotonic() - start < 40

@@ -20,11 +20,28 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(_head(t), _body(t))), "")
 
 
+SPANS = "array<struct<start:int,end:int,train:boolean>>"
+
+
+def _length(turn: Column) -> Column:
+    return F.length(_head(turn)) + F.length(_body(turn))
+
+
 def mask(turns: Column) -> Column:
     """Spans (start, end, train) in characters over the rendered turns: a turn's header is never
-    trained on, its text and end mark are if the role is ``TRAINED``."""
-    empty = F.array().cast("array<struct<start:int,end:int,train:boolean>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+    trained on, its text and end mark are if the role is ``TRAINED``.
+
+    Turns are taken in blocks of about the square root of their number: arrays that grow by an entry
+    are only as long as a block or the number of blocks.
+    """
+    size = F.greatest(F.ceil(F.sqrt(F.size(turns))).cast("int"), F.lit(1))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.floor((F.size(turns) - 1) / size).cast("int"), F.lit(0))), lambda k: F.slice(turns, k * size + 1, size)
+    )
+
+    def place(acc, block):
+        end = acc["at"] + F.aggregate(block, F.lit(0), lambda n, t: n + _length(t))
+        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(F.struct(acc["at"].alias("at"), block.alias("turns")))).alias("all"))
 
     def grow(acc, t):
         a = acc["at"]
@@ -34,7 +51,13 @@ def mask(turns: Column) -> Column:
         body = F.struct(b.alias("start"), c.alias("end"), (t["role"] == TRAINED).alias("train"))
         return F.struct(c.alias("at"), F.concat(acc["spans"], F.array(head, body)).alias("spans"))
 
-    return F.aggregate(turns, start, grow, lambda acc: acc["spans"])
+    def spans(block):
+        start = F.struct(block["at"].alias("at"), F.array().cast(SPANS).alias("spans"))
+        return F.aggregate(block["turns"], start, grow, lambda acc: acc["spans"])
+
+    none = F.slice(F.array(F.struct(F.lit(0).alias("at"), turns.alias("turns"))), 1, 0)
+    placed = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("all")), place, lambda acc: acc["all"])
+    return F.flatten(F.transform(placed, spans))
 
 
 def format_preferences(
@@ -50,8 +73,9 @@ def format_preferences(
     Turns are put in order by number, then role, then text (a null number first); null roles and
     texts count as empty. The prompt is the longest run of first turns that agree in role and text;
     what follows on either side is its completion. A pair that one table lacks has an empty
-    conversation there, equal conversations leave two empty completions, and turns of a null pair
-    form one pair. Other input columns are left out. Empty tables give an empty result.
+    conversation there, equal conversations leave two empty completions. A turn without a pair id
+    belongs to no conversation: it is a pair of its own, the other side empty, and never grouped.
+    Other input columns are left out. Empty tables give an empty result.
     """
 
     def side(df: DataFrame, k: int) -> DataFrame:
@@ -61,7 +85,10 @@ def format_preferences(
 
     # a group holds the turns of one pair, which its output row holds as well
     turns = [F.sort_array(F.collect_list(F.when(F.col("_side") == k, F.col("_turn")))).alias(f"_{k}") for k in (0, 1)]
-    pairs = side(chosen, 0).unionByName(side(rejected, 1)).groupBy(f"`{pair_col}`").agg(*turns)
+    both = side(chosen, 0).unionByName(side(rejected, 1))
+    pairs = both.filter(F.col(f"`{pair_col}`").isNotNull()).groupBy(f"`{pair_col}`").agg(*turns)
+    own = [F.filter(F.array(F.when(F.col("_side") == k, F.col("_turn"))), lambda t: t.isNotNull()).alias(f"_{k}") for k in (0, 1)]
+    pairs = pairs.unionByName(both.filter(F.col(f"`{pair_col}`").isNull()).select(f"`{pair_col}`", *own))
     same = F.zip_with("_0", "_1", lambda a, b: a["role"].eqNullSafe(b["role"]) & a["text"].eqNullSafe(b["text"]))
     differ = F.array_position(same, F.lit(False))
     pairs = pairs.withColumn("_shared", F.when(differ == 0, F.size("_0")).otherwise(differ - 1).cast("int"))
