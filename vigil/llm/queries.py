@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .embed_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .language import fit_languages, identify
+from .lexical_search import lexical_search
 from .mixing import poisson_mix
 from .packing import pack
 from .pii import replace_private
@@ -15,6 +17,7 @@ from .preference import format_preferences, swapped_replies
 from .quality import fit_quality, score_quality
 from .sharding import shard_by_key
 from .simhash import simhash_dedup
+from .spelling import spelling_variants
 from .url_filter import filter_urls, fit_urls, labelled_urls
 
 PSEUDONYM_KEY = b"key of the registered query"
@@ -72,6 +75,20 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_presence_masks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op12_trie_frontier(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_ftrl_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs, fit_languages(docs), carry=["doc_id"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +102,9 @@ QUERIES = {
         op8_simhash_bktree,
         op9_url_ngrams,
         op10_exact_dedup,
+        op11_presence_masks,
+        op12_trie_frontier,
+        op13_ftrl_language,
     )
 }
 
@@ -109,6 +129,18 @@ _SIDE = """
                        || CASE WHEN role = 'assistant' THEN '-true' ELSE '-false' END, ',' ORDER BY pos) FILTER (WHERE NOT early), '') AS mask
             FROM {name}_ends GROUP BY conv_id)"""
 
+_TERMS = "unnest(regexp_extract_all(translate(text, '{UP}', '{LOW}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))".format(UP=UP, LOW=LOW)
+
+# A table of the 256 remainders, and the CRC-32 of a text's UTF-8 octets.
+_CRC_TABLE = """(SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+            ORDER BY i) AS remainders FROM range(256) AS r(i))"""
+
+
+def _crc(text: str) -> str:
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce([4294967295] || {octets}, lambda a, b: xor(a >> 8, remainders[xor(a & 255, b) + 1])), 4294967295)"
+
+
 ORACLES = {
     "op1_epsilon_grid_join": """
         WITH RECURSIVE
@@ -155,4 +187,38 @@ ORACLES = {
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g USING (t)""",
+    "op11_presence_masks": f"""
+        WITH t AS (SELECT doc_id, {_TERMS} AS term FROM documents),
+        n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+        s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM n),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, s),
+        q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {_TERMS} AS term FROM benchmark)),
+        scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // len))))::BIGINT AS score
+                   FROM q JOIN w USING (term) JOIN tf USING (term) JOIN n USING (doc_id), s GROUP BY item_id, doc_id),
+        ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+                   FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op12_trie_frontier": f"""
+        WITH RECURSIVE
+        runs AS (SELECT doc_id, run, count(*) AS n
+                 FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UP}', '{LOW}'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents)
+                 GROUP BY doc_id, run),
+        drawn AS (SELECT run, n, {_crc("doc_id || ':' || run")} AS h FROM runs, {_CRC_TABLE}),
+        spelt AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+                  FROM drawn),
+        words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        less AS MATERIALIZED (SELECT word, k, substr(word, 1, k::INT) || substr(word, k::INT + 2) AS rest
+                              FROM (SELECT word, unnest(range(length(word))) AS k FROM words)),
+        pairs AS (SELECT DISTINCT a.word AS a, b.word AS b FROM less a JOIN less b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+                  UNION SELECT word, rest FROM less WHERE rest IN (SELECT word FROM words)
+                  UNION SELECT rest, word FROM less WHERE rest IN (SELECT word FROM words)),
+        near AS (SELECT p.a AS word, p.b AS other, w.n, row_number() OVER (PARTITION BY p.a ORDER BY w.n DESC, encode(p.b)) AS place,
+                        count(*) OVER (PARTITION BY p.a) AS n_near FROM pairs p JOIN words w ON w.word = p.b),
+        form AS MATERIALIZED (SELECT w.word, w.n, coalesce(r.n_near, 0)::BIGINT AS n_near, CASE WHEN r.n >= 5 * w.n THEN r.other END AS form,
+                        CASE WHEN r.n >= 5 * w.n THEN r.n END AS form_n FROM words w LEFT JOIN near r ON r.word = w.word AND r.place = 1),
+        walk(word, tip) AS (SELECT word, word FROM form UNION ALL SELECT walk.word, f.form FROM walk JOIN form f ON f.word = walk.tip WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, w.tip AS root, f.n, f.n_near, f.form_n
+        FROM form f JOIN walk w ON w.word = f.word JOIN form e ON e.word = w.tip WHERE e.form IS NULL""",
 }
