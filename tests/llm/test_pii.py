@@ -1,3 +1,4 @@
+import random
 import re
 from datetime import date
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_MID
 from llm import plain
-from vigil.llm.pii import feistel, iban_number, luhn, permute_text, pseudonymise, replace_private
+from vigil.llm.pii import feistel, find, iban_number, luhn, permute_text, pseudonymise, replace_private, restore
 from vigil.llm.queries import PSEUDONYM_KEY, QUERIES
 
 KEY = b"test key"
@@ -112,7 +113,7 @@ def test_cards_beside_other_numbers(card, form):
     assert len(got) == text.count(card) and all(card in g[0] for g in got) and card not in new
     if card != CARDS[-1]:  # usual layouts are found alone and linked whatever stands beside them
         assert {g[0] for g in got} == {card} and {g[1] for g in got} == {pseudonymise(card, KEY)[0]}
-    assert pseudonymise(new, KEY, inverse=True)[0] == text
+    assert restore(new, spans, KEY) == text
 
 
 @settings(max_examples=300, deadline=None)
@@ -121,7 +122,88 @@ def test_runs_of_numbers_come_back(parts, mark):
     text = mark.join(parts)
     new, spans = pseudonymise(text, KEY)
     assert all(luhn(re.sub(r"\D", "", s[3])) for s in spans if s[2] == "card")
-    assert pseudonymise(new, KEY, inverse=True)[0] == text
+    assert restore(new, spans, KEY) == text
+
+
+def cards(n, seed):
+    draw = random.Random(seed)
+    out = []
+    for _ in range(n):
+        body = draw.choice(["4", "51", "55", "2221", "6011", "35"]) + "".join(draw.choices("0123456789", k=20))
+        body = ("3530" + body[4:])[:15] if body[:2] == "35" else body[:15]
+        out.append(next(body + c for c in "0123456789" if luhn(body + c)))
+    return out
+
+
+@pytest.mark.parametrize("form", ["1234 {}", "{} 123", "{} 12/27", "12 {} x", "card {}, cvv 123", "7 {} 9", "1999 {} 2004", "{}"])
+def test_a_card_has_one_pseudonym(form):
+    for digits in cards(500, 3):
+        alone = pseudonymise(digits, KEY)[0]
+        for value in (digits, " ".join(digits[k : k + 4] for k in range(0, 16, 4))):
+            text = form.format(value)
+            new, spans = pseudonymise(text, KEY)
+            (hit,) = [s for s in spans if s[2] == "card"]
+            assert text[hit[0] : hit[1]] == value and hit[3].replace(" ", "") == alone
+            assert restore(new, spans, KEY) == text
+
+
+def test_a_telephone_number_has_one_pseudonym():
+    draw = random.Random(4)
+    layouts = ["+1 ({}) {}-{}", "+1-{}-{}-{}", "({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "+1{}{}{}", "+1 {} {} {}"]
+    seen = set()
+    for _ in range(200):
+        parts = [str(draw.randint(200, 999)), str(draw.randint(200, 999)), f"{draw.randint(0, 9999):04d}"]
+        found = set()
+        for layout in layouts:
+            text = f"call {layout.format(*parts)} now"
+            new, spans = pseudonymise(text, KEY)
+            assert [(s[2], text[s[0] : s[1]]) for s in spans] == [("phone", layout.format(*parts))]
+            digits = re.sub(r"\D", "", spans[0][3])
+            found.add(digits[len(digits) - 10 :])
+            assert digits[:-10] in ("", "1") and restore(new, spans, KEY) == text
+        assert len(found) == 1 and not found & seen
+        seen |= found
+    london = {re.sub(r"\D", "", pseudonymise(t, KEY)[1][0][3]) for t in ("+44 20 7946 0958", "+442079460958", "+44 (20) 7946 0958")}
+    assert len(london) == 1 and next(iter(london)).startswith("44")
+
+
+def test_mail_names_link_in_any_case_and_short_dates_with_long_ones():
+    found = [pseudonymise(f"{n}@x.com", KEY)[1][0][3] for n in ("bob.lee7", "Bob.Lee7", "BOB.LEE7")]
+    assert len({f.lower() for f in found}) == 1 and [f[0].isupper() for f in found] == [False, True, True]
+    for a, b in (("2024-3-5", "2024-03-05"), ("2024/12/7", "2024/12/07"), ("1999-1-31", "31.01.1999")):
+        short, long = (pseudonymise(t, KEY)[1][0] for t in (a, b))
+        assert sorted(int(x) for x in re.findall(r"\d+", short[3])) == sorted(int(x) for x in re.findall(r"\d+", long[3]))
+        assert all(restore(*pseudonymise(f"on {t}, {t}", KEY), KEY) == f"on {t}, {t}" for t in (a, b))
+
+
+def plain_find(text):
+    """Brute force: all pieces of the text against their definitions, by kind, of a kind from left to right."""
+    def whole(a, b, inner, outer):
+        return not (a and re.match(outer, text[a - 1])) and not (b < len(text) and re.match(inner, text[b]))
+
+    kinds = [
+        ("email", lambda t, a, b: re.fullmatch(r"[a-z.0-9]+@(?:[a-z0-9]+\.)+[a-z]{2,}", t) and whole(a, b, r"[\w-]", r"[\w.%+-]")),
+        ("card", lambda t, a, b: re.fullmatch(r"\d{16}", t) and luhn(t) and len(set(t)) > 1 and whole(a, b, r"[\w-]", r"[\w.-]")),
+        ("social", lambda t, a, b: re.fullmatch(r"\d{3}-\d{2}-\d{4}", t) and t[:3] not in ("000", "666") and t[0] != "9" and t[4:6] != "00" and t[7:] != "0000" and whole(a, b, r"[\w-]", r"[\w-]")),
+        ("address", lambda t, a, b: re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", t) and all(int(o) < 256 and str(int(o)) == o for o in t.split(".")) and whole(a, b, r"[\w-]", r"[\w.-]") and not re.match(r"\.\d", text[b:])),
+    ]
+    taken = []
+    for kind, fits in kinds:
+        for a in range(len(text)):
+            for b in range(min(len(text), a + 40), a, -1):
+                if fits(text[a:b], a, b) and all(b <= x or y <= a for x, y, _ in taken):
+                    taken.append((a, b, kind))
+                    break
+    return sorted(taken)
+
+
+def test_find_equals_brute_force():
+    draw = random.Random(6)
+    pool = [*cards(4, 9), "1234567812345678", "10.0.0.1", "1.2.3.400", "01.2.3.4", "1.2.3.4.5", "123-45-6789", "000-45-6789", "123-45-67890", "a.b@c.org", "x@y", "word", "x1", "7a", "(", ")", ",", "."]
+    for _ in range(150):
+        text = "".join(draw.choice(pool) + draw.choice([", ", "; ", " and "]) for _ in range(draw.randint(1, 6)))
+        known = {"email", "card", "social", "address"}
+        assert [s[:3] for s in find(text, KEY) if s[2] in known] == plain_find(text), text
 
 
 def test_long_lists_of_numbers_end():
@@ -162,4 +244,4 @@ def test_query_leaves_no_value_and_changes_nothing_else(spark):
         checked = {v for v in plainly.findall(old) if not v.isdigit() or luhn(v)}
         assert not {v for v in checked if v in r.text}
         assert checked <= set(given)
-        assert pseudonymise(r.text, PSEUDONYM_KEY, inverse=True)[0] == old and (r.spans or r.text == old)
+        assert restore(r.text, [tuple(s) for s in r.spans], PSEUDONYM_KEY) == old and (r.spans or r.text == old)

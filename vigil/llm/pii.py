@@ -3,7 +3,9 @@
 A value is found by pattern and checked (Luhn, mod 97, calendar, octets). What may vary of it is read
 as one number, which a keyed Feistel network permutes within the numbers of that format (walking on
 while the result falls outside), and written back in the same format with new check digits. The same
-key maps equal values to equal pseudonyms in every document; with the key the mapping is reversible.
+key maps equal values to equal pseudonyms in every document, whatever stands beside them and in whatever
+layout they are written (digits of cards and telephone numbers, days, IBANs with and without blanks, mail
+names in any case). With the key, and the spans that say where pseudonyms stand, the way back is exact.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ SPANS = T.ArrayType(
     T.StructType().add("start", "integer").add("end", "integer").add("kind", "string").add("pseudonym", "string")
 )
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+Rule = Callable[[str, bytes, bool], str | None]
 CLASSES = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
 
 
@@ -121,21 +124,23 @@ def is_card(text: str) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 1
 
 
-def card(text: str, key: bytes, inverse: bool, fits: Callable[[str], bool] | None = None) -> str | None:
-    """With ``fits``, pseudonyms are taken among those that fit."""
+def card(text: str, key: bytes, inverse: bool) -> str | None:
     if not is_card(text):
         return None
+    body = permute_text(_digits(text)[:-1], key, "card", inverse, lambda d: len(set(d)) > 1)
+    return _refill(text, body + next(c for c in string.digits if luhn(body + c)))
 
-    def whole(body: str) -> str:
-        return _refill(text, body + next(c for c in string.digits if luhn(body + c)))
 
-    return whole(permute_text(_digits(text)[:-1], key, "card", inverse, lambda d: len(set(d)) > 1 and (fits is None or fits(whole(d)))))
+def issued(digits: str) -> bool:
+    """Does a number begin, and is it as long, as an issuer's?"""
+    return any(low <= digits[: len(low)] <= high and len(digits) in lengths for low, high, lengths in ISSUERS)
 
 
 def card_spans(text: str, start: int, end: int, usual: bool) -> list[tuple[int, int]]:
     """Parts of a run of digit groups that have 13 to 19 digits and begin and end with a group.
 
-    The usual layouts (one group, 4-4-4-4, then 4-6-5) from left to right, or all others, longest first.
+    The usual layouts (one group, 4-4-4-4, then 4-6-5) from left to right, or all others, longest first;
+    of either, parts that look like an issuer's number come before the rest.
     """
     groups = [m.span() for m in GROUP.finditer(text, start, end)]
     last = len(groups) - 1
@@ -144,13 +149,15 @@ def card_spans(text: str, start: int, end: int, usual: bool) -> list[tuple[int,
     out = []
     for i in range(first, final + 1):
         sizes: tuple[int, ...] = ()
+        digits = ""
         for j in range(i, final + 1):
             sizes += (groups[j][1] - groups[j][0],)
-            if (n := sum(sizes)) > 19:
+            digits += text[slice(*groups[j])]
+            if (n := len(digits)) > 19:
                 break
             if n >= 13 and usual == (len(sizes) == 1 or sizes in LAYOUTS):
-                out.append((sizes == LAYOUTS[1] if usual else -n, groups[i][0], groups[j][1]))
-    return [(a, b) for _, a, b in sorted(out)]
+                out.append((not issued(digits), sizes == LAYOUTS[1] if usual else -n, groups[i][0], groups[j][1]))
+    return [part[2:] for part in sorted(out)]
 
 
 def iban_number(text: str) -> int:
@@ -161,17 +168,14 @@ def is_iban(text: str) -> bool:
     return iban_number(text) % 97 == 1
 
 
-def iban(text: str, key: bytes, inverse: bool, fits: Callable[[str], bool] | None = None) -> str | None:
-    """Blanks stay where they are. With ``fits``, pseudonyms are taken among those that fit."""
+def iban(text: str, key: bytes, inverse: bool) -> str | None:
+    """Blanks stay where they are."""
     plain = text.replace(" ", "")
     if not is_iban(plain):
         return None
-
-    def whole(body: str) -> str:
-        given = iter(f"{plain[:2]}{98 - iban_number(plain[:2] + '00' + body) % 97:02d}{body}")
-        return "".join(c if c == " " else next(given) for c in text)
-
-    return whole(permute_text(plain[4:], key, f"iban|{plain[:2]}", inverse, fits and (lambda body: fits(whole(body)))))
+    body = permute_text(plain[4:], key, f"iban|{plain[:2]}", inverse)
+    given = iter(f"{plain[:2]}{98 - iban_number(plain[:2] + '00' + body) % 97:02d}{body}")
+    return "".join(c if c == " " else next(given) for c in text)
 
 
 def iban_ends(text: str) -> list[int]:
@@ -195,16 +199,9 @@ def iban_ends(text: str) -> list[int]:
 
 def spaced_iban(text: str, key: bytes, inverse: bool) -> tuple[int, str] | None:
     """Length and pseudonym of the IBAN that begins ``text``."""
-    failed: list[int] = []
     for end in iban_ends(text):
-        if not is_iban(text[:end].replace(" ", "")):
-            failed.append(end)
-            continue
-
-        def fits(new: str, end: int = end) -> bool:
-            return not any(is_iban((new + text[end:])[:e].replace(" ", "")) for e in failed)
-
-        return end, iban(text[:end], key, inverse, fits if failed else None)
+        if (new := iban(text[:end], key, inverse)) is not None:
+            return end, new
     return None
 
 
@@ -217,13 +214,18 @@ def social(text: str, key: bytes, inverse: bool) -> str | None:
     return _refill(text, permute_text(digits, key, "social", inverse, _social)) if _social(digits) else None
 
 
+def calling_code(digits: str) -> int:
+    """How many digits the country code of an international number has."""
+    return 1 if digits[:1] in CODES_OF_ONE else 2 if digits[:2] in CODES_OF_TWO else 3
+
+
 def phone(text: str, key: bytes, inverse: bool) -> str | None:
-    """The country code (digits up to the first other character, or one digit) stays."""
-    if not 8 <= len(_digits(text)) <= 15:
+    """The national digits are permuted, whatever the layout; a country code stays."""
+    digits = _digits(text)
+    if not 8 <= len(digits) <= 15:
         return None
-    code = re.match(r"\+(?:\d{1,3}(?=\D)|\d)", text)
-    keep = code.end() if code else 0
-    return text[:keep] + permute_text(text[keep:], key, f"phone|{text[:keep]}", inverse)
+    code = calling_code(digits) if text[0] == "+" else 0
+    return _refill(text, digits[:code] + permute_text(digits[code:], key, "phone", inverse))
 
 
 def address(text: str, key: bytes, inverse: bool) -> str | None:
@@ -234,10 +236,11 @@ def address(text: str, key: bytes, inverse: bool) -> str | None:
     return ".".join(map(str, number.to_bytes(4, "big")))
 
 
-def day(text: str, key: bytes, inverse: bool) -> str | None:
+def day(text: str, key: bytes, inverse: bool, width: int = 2) -> str | None:
     """A date from 1900 to 2099, year first, day first, or (only where that is no date) month first.
 
     One day has one pseudonym in the first two forms; the third form keeps to days that only it can write.
+    Days and months are written with at least ``width`` digits.
     """
     mark = next(c for c in text if c not in string.digits)
     parts = text.split(mark)
@@ -254,16 +257,23 @@ def day(text: str, key: bytes, inverse: bool) -> str | None:
         number = feistel(given - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "month first" if month_first else "day", inverse, valid)
         new = date.fromordinal(FIRST_DAY + number)
         out = [""] * 3
-        for k, value in zip(form, (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}")):
-            out[k] = value
+        for k, value, digits in zip(form, (new.year, new.month, new.day), (4, width, width)):
+            out[k] = f"{value:0{digits}d}"
         return mark.join(out)
     return None
 
 
+def short_day(text: str, key: bytes, inverse: bool) -> str | None:
+    """A date without leading zeros, linked with the same day written with them."""
+    return day(text, key, inverse, 1)
+
+
 def email(text: str, key: bytes, inverse: bool) -> str | None:
-    """The part before the @ is permuted, letters beyond ASCII among like ones; the domain stays."""
+    """The part before the @ is permuted as in lower case, letters beyond ASCII among like ones; the domain and the case of ASCII letters stay."""
     name, domain = text.split("@")
-    return f"{permute_text(name, key, f'email|{domain.lower()}', inverse, kind=_letters)}@{domain}"
+    folded = "".join(c.lower() if c.isascii() else c for c in name)
+    new = permute_text(folded, key, f"email|{domain.lower()}", inverse, kind=_letters)
+    return "".join(n.upper() if c.isascii() and c.isupper() else n for c, n in zip(name, new)) + f"@{domain}"
 
 
 def access_key(text: str, key: bytes, inverse: bool) -> str | None:
@@ -287,8 +297,17 @@ IBAN_LENGTHS = {
 GROUP = re.compile(r"[0-9]+")
 CARD_RUN = re.compile(r"[0-9](?:[ -]?[0-9]){12,}")
 LAYOUTS = ((4, 4, 4, 4), (4, 6, 5))
-# Longest match that a check can reject, and so many rejected ones at most around a card whose pseudonym keeps them rejected.
-REACH, CROWD = 80, 60
+# First and last prefix of card issuers, and the lengths of their numbers.
+ISSUERS = [
+    ("300", "305", range(14, 20)), ("34", "34", (15,)), ("3528", "3589", range(16, 20)), ("36", "36", range(14, 20)), ("37", "37", (15,)),
+    ("38", "39", range(14, 20)), ("4", "4", (13, 16, 19)), ("50", "50", range(13, 20)), ("51", "55", (16,)), ("56", "58", range(13, 20)),
+    ("6", "6", range(13, 20)), ("2200", "2204", range(16, 20)), ("2221", "2720", (16,)),
+]
+# Country calling codes of one and of two digits; all others have three.
+CODES_OF_ONE = ("1", "7")
+CODES_OF_TWO = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
 
 # Kinds in order of precedence where matches overlap: name, a lower-case text that must occur (None: a
 # digit), pattern (group 1, if any, is the value), rule.
@@ -297,36 +316,37 @@ KINDS = [
     ("access_key", "akia", re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"), access_key),
     ("secret", "password", re.compile(r"(?i:password)\s*[=:]\s*[\"']?([A-Za-z0-9]{8,})"), secret),
     ("secret", "token", re.compile(r"(?i:token)\s*[=:]\s*[\"']?([A-Za-z0-9]{16,})"), secret),
-    ("iban", None, re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])))"), spaced_iban),
-    ("card", None, CARD_RUN, is_card),
+    ("iban", None, re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])))"), iban),
+    ("card", None, CARD_RUN, card),
     ("phone", None, re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)"), phone),
     ("phone", "-", re.compile(r"(?<![\w+.-])\d{3}-\d{3}-\d{4}(?![\w-])"), phone),
+    ("phone", ".", re.compile(r"(?<![\w+.-])\d{3}\.\d{3}\.\d{4}(?![\w-]|\.\d)"), phone),
     ("phone", "+", re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w)"), phone),
     ("social", "-", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), social),
     ("date", None, re.compile(r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2})(?![\d-])"), day),
     ("date", None, re.compile(r"(?<![\w.-])(?:\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})(?![\d-])"), day),
+    ("short date", None, re.compile(r"(?<![\w./-])\d{4}([-/])(?:[1-9]\1[1-9]\d?|[1-9]\d\1[1-9])(?![\d/-])"), short_day),
     ("address", ".", re.compile(r"(?<![\w.-])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w-]|\.\d)"), address),
-    ("card", None, CARD_RUN, is_card),  # unusual layouts
+    ("card", None, CARD_RUN, card),  # unusual layouts
 ]
 DIGIT = re.compile(r"[0-9]")
+RULES = {kind: rule for kind, _, _, rule in KINDS}
 
 
 def find(text: str, key: bytes, inverse: bool = False) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of every checked value, in order and without overlaps.
 
-    A card beside other numbers is one of several parts of a run of digits. Its pseudonym leaves the
-    parts tried before it failing their checks, so that the way back finds the same part (not so
-    among more than ``CROWD`` of them, as in long lists of single digits).
+    A pseudonym follows from the value and the key alone. A card beside other numbers is one of several
+    parts of a run of digits; which of them is taken follows from the layout and the issuer's prefix.
     """
     taken: list[tuple[int, int, str, str]] = []
-    failed: list[tuple[int, int, Callable[[str], object]]] = []
-    cards: list[tuple[int, int]] = []
     digit = DIGIT.search(text)
     lower = text.lower()
 
-    def place(a: int, b: int) -> int | None:
+    def take(a: int, b: int, kind: str, rule: Rule) -> None:
         n = bisect_left(taken, (a,))
-        return n if (n == 0 or taken[n - 1][1] <= a) and (n == len(taken) or b <= taken[n][0]) else None
+        if (n == 0 or taken[n - 1][1] <= a) and (n == len(taken) or b <= taken[n][0]) and (new := rule(text[a:b], key, inverse)) is not None:
+            taken.insert(n, (a, b, kind, new))
 
     for rank, (kind, must, pattern, rule) in enumerate(KINDS):
         if not (digit if must is None else must in lower):
@@ -334,42 +354,12 @@ def find(text: str, key: bytes, inverse: bool = False) -> list[tuple[int, int, s
         for m in pattern.finditer(text):
             if kind == "card":
                 for a, b in card_spans(text, *m.span(), usual=rank < len(KINDS) - 1):
-                    if (n := place(a, b)) is None:
-                        continue
-                    if is_card(text[a:b]):
-                        taken.insert(n, (a, b, kind, ""))
-                        cards.append((a, b))
-                    else:
-                        failed.append((a, b, is_card))
-                continue
-            a, b = m.span(1 if pattern.groups else 0)
-            if kind == "iban":
-                if (hit := rule(text[a:b], key, inverse)) is None:
-                    failed.append((a, b, lambda value: spaced_iban(value, key, inverse)))
-                elif (n := place(a, a + hit[0])) is not None:
-                    taken.insert(n, (a, a + hit[0], kind, hit[1]))
-                continue
-            if (n := place(a, b)) is None:
-                continue
-            if (new := rule(text[a:b], key, inverse)) is not None:
-                taken.insert(n, (a, b, kind, new))
+                    take(a, b, kind, rule)
+            elif kind == "iban":
+                if (hit := spaced_iban(m[1], key, inverse)) is not None:
+                    take(m.start(1), m.start(1) + hit[0], kind, rule)
             else:
-                failed.append((a, b, lambda value, rule=rule: rule(value, key, inverse)))
-    if not cards:
-        return taken
-
-    # one after the other, and back in the opposite order: each sees the others as they stood then
-    failed.sort(key=lambda f: f[:2])
-    now = list(text)
-    for a, b in reversed(cards) if inverse else cards:
-        near = [f for f in failed[bisect_left(failed, (a - REACH,)) : bisect_left(failed, (b,))] if f[1] > a]
-
-        def fits(new: str) -> bool:
-            now[a:b] = new
-            return not any(check("".join(now[x:y])) for x, y, check in near)
-
-        now[a:b] = new = card(text[a:b], key, inverse, fits if 0 < len(near) <= CROWD else None)
-        taken[bisect_left(taken, (a,))] = (a, b, "card", new)
+                take(*m.span(1 if kind == "secret" else 0), kind, rule)
     return taken
 
 
@@ -382,6 +372,16 @@ def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, lis
     return "".join([*out, text[at:]]), found
 
 
+def restore(text: str, spans: list[tuple[int, int, str, str]], key: bytes) -> str:
+    """The text that ``pseudonymise`` was given, from what it returned. Exact whatever stands beside a value."""
+    out, at, shift = [], 0, 0
+    for a, b, kind, new in spans:
+        out += [text[at : a + shift], RULES[kind](new, key, True)]
+        at = a + shift + len(new)
+        shift += len(new) - (b - a)
+    return "".join([*out, text[at:]])
+
+
 # ---------------------------------------------------------------- operator
 
 def replace_private(df: DataFrame, key: bytes, text_col: str = "text", inverse: bool = False) -> DataFrame:
@@ -389,11 +389,14 @@ def replace_private(df: DataFrame, key: bytes, text_col: str = "text", inverse:
     (start, end in the given text, kind, pseudonym).
 
     Null texts stay null without values; texts are read whole and rows never meet, so ties and
-    repeated rows get equal results. ``inverse`` turns pseudonyms back with the same key. Input
-    columns named like an output column are replaced. An empty table gives an empty result.
+    repeated rows get equal results. ``inverse`` turns a result of this function back with the same key:
+    the texts where ``spans`` says (null spans: none), less the two added columns. Input columns named
+    like an output column are replaced. An empty table gives an empty result.
     """
     bound_batches(df.sparkSession)
     base = without(df, OUT)
+    if inverse:
+        return _restored(df, base.columns, key, text_col)
     names = base.columns
     at = [n.lower() for n in names].index(text_col.lower())
     schema = T.StructType([*base.schema.fields, T.StructField("n_values", T.IntegerType()), T.StructField("spans", SPANS)])
@@ -404,7 +407,7 @@ def replace_private(df: DataFrame, key: bytes, text_col: str = "text", inverse:
             texts, counts, spans = [], [], []
             for value in batch.column(at):
                 text = value.as_py()
-                new, found = pseudonymise(text, key, inverse) if text else (text, [])
+                new, found = pseudonymise(text, key) if text else (text, [])
                 texts.append(new)
                 counts.append(len(found))
                 spans.append([dict(zip(("start", "end", "kind", "pseudonym"), f)) for f in found])
@@ -414,3 +417,18 @@ def replace_private(df: DataFrame, key: bytes, text_col: str = "text", inverse:
             yield pa.RecordBatch.from_arrays([*columns, *added], [*names, "n_values", "spans"])
 
     return base.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+
+
+def _restored(df: DataFrame, names: list[str], key: bytes, text_col: str) -> DataFrame:
+    at = [n.lower() for n in names].index(text_col.lower())
+    rows = df.select(*[F.col(f"`{c}`") for c in names], F.col("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)[:-1]
+            spans = ([tuple(s.values()) for s in found or ()] for found in batch.column(len(names)).to_pylist())
+            texts = [text and restore(text, found, key) for text, found in zip(columns[at].to_pylist(), spans)]
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields[:-1]))
