@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from llm import plain
-from vigil.llm.embed_dedup import compare, embedding_dedup, near_blocks
+from vigil.llm import embed_dedup
+from vigil.llm.embed_dedup import compare, embedding_dedup, near_blocks, principal_axes
 from vigil.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -64,6 +65,47 @@ def test_odd_rows(spark, rows):
     assert got(embedding_dedup(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
 
 
+def test_very_large_and_small_components(spark):
+    """Cosines of exact fractions, so the size of the components can't matter."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(8)
+    sizes = [1e200, 1e-200, 1.0, 1e307, 1e-310, 3e-320]
+    rows = [(k, [float(np.round(v, 2)) * sizes[k % 6] for v in rng.normal(size=3)], 1 + k % 2) for k in range(90)]
+    rows += [(100, [1e200, 2e200, 3e200], 1), (101, [2e200, 4e200, 6e200], 1), (102, [1e-200, 2e-200, 3e-200], 1), (103, [5e-324, 1e-323, 1.5e-323], 1)]
+    rows += [(104, [1e300, 1e-300, 0.0], 1), (105, [3.0, 0.0, 0.0], 1), (106, [1.7e308, -1.7e308, 1.7e308], 2), (107, [1e-5, -1e-5, 1e-5], 2)]
+    exact = [[Fraction(v) for v in x] for _, x, _ in rows]
+
+    def near(a, b):
+        dot = sum(p * q for p, q in zip(exact[a], exact[b]))
+        squares = sum(p * p for p in exact[a]) * sum(q * q for q in exact[b])
+        return dot > 0 and dot * dot >= Fraction(93, 100) ** 2 * squares
+
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][2] == rows[b][2] and near(a, b)]
+    comp = plain.components(range(len(rows)), links)
+    n = np.bincount(np.array(links).ravel(), minlength=len(rows))
+    least = {c: min(rows[k][0] for k in comp if comp[k] == c) for c in set(comp.values())}
+    want = [(rows[k][0], int(n[k]), least[comp[k]], rows[k][0] == least[comp[k]]) for k in range(len(rows))]
+    assert n[90] >= 3
+    assert got(embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))) == sorted(want, key=repr)
+
+
+def test_axes_come_from_a_bounded_sample(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    wide = [(k, rng.normal(size=1024).tolist(), 1) for k in range(40)] + [(50 + k, rng.normal(size=3).tolist(), 1) for k in range(9)]
+    points = spark.createDataFrame(wide, "vec_id long, vector array<double>, label int")
+    axes = principal_axes(points, values=20 * 2 * 1024)
+    assert {d: a.shape for d, a in axes.items()} == {1024: (1024, 6), 3: (3, 3)}
+    assert all(np.allclose(a.T @ a, np.eye(a.shape[1])) for a in axes.values())
+    # dimensions beyond the most frequent ones have no axes of their own
+    assert set(principal_axes(points, dims=1)) == {1024} and principal_axes(points.limit(0)) == {}
+    rows = [(k, v, 1) for k, (_, v, _) in enumerate(clustered(3, 60, dim=4) + clustered(4, 60, dim=9) + clustered(5, 30, dim=12))]
+    want = brute(rows)
+    for dims in (1, 2):
+        monkeypatch.setattr(embed_dedup, "principal_axes", lambda p, d=dims: principal_axes(p, dims=d))
+        assert got(embedding_dedup(spark.createDataFrame(rows, SCHEMA))) == want
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame(ODD, SCHEMA).withColumns({"KEPT": F.lit(1), "n": F.lit(1), "links": F.lit(2), "component": F.lit(3)})
     out = embedding_dedup(df)

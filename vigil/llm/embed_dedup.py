@@ -4,7 +4,7 @@ Two unit vectors whose cosine reaches the threshold lie within eps = sqrt(2 - 2
 other, and so do their projections on the leading principal axes.
 
 1. Equal vectors of one label become one point with a count.
-2. The principal axes come from the second moments of all points, summed by Spark.
+2. The principal axes come from a bounded sample of the points; they decide what is skipped, not what links.
 3. Points are sorted by label and by the cells of a grid of side eps on the leading axes (epsilon
    grid order) and cut into blocks, intervals of that order, each with its bounding box.
 4. Blocks are joined by recursion over intervals: pairs of coarse intervals whose boxes are farther
@@ -22,7 +22,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import materialize
@@ -37,37 +37,45 @@ PER_TASK = 1 << 24  # blocks a sorted partition may hold
 SLACK = 1e-9
 
 
+def scaled_rows(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1, so that squares neither overflow nor vanish.
+
+    Powers of two leave every cosine as it is, bit by bit.
+    """
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = scaled_rows(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def principal_axes(points: DataFrame, axes: int = AXES) -> dict[int, np.ndarray]:
-    """Leading principal axes (dimension x axes) of the unit vectors of every dimension that occurs.
+def principal_axes(points: DataFrame, axes: int = AXES, values: int = 4_000_000, vectors: int = 4096, dims: int = 64) -> dict[int, np.ndarray]:
+    """Leading principal axes (dimension x axes) of a sample of the vectors of each of the ``dims`` most frequent dimensions.
 
-    Each task adds up products of components; only sums, at most dimension squared, reach the driver.
+    The sample, taken in the order of the vectors' hashes, has at most ``vectors`` vectors a dimension
+    and about ``values`` numbers in all. Axes only decide how much is skipped; any orthonormal axes are right.
     """
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for dim, x in by_dimension(batch.column(0)):
-                one = np.concatenate([unit_rows(x), np.ones((len(x), 1))], axis=1)
-                total[dim] = total.get(dim, 0) + one.T @ one
-        for dim, m in total.items():
-            at = np.arange(m.size, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, dim, np.int32)), pa.array(at), pa.array(m.ravel())], ["dim", "at", "s"])
-
-    rows = points.select("vector").mapInArrow(sums, "dim int, at int, s double").groupBy("dim", "at").agg(F.sum("s").alias("s")).collect()
+    spark = points.sparkSession
+    size = F.size("vector").alias("dim")
+    sizes = points.groupBy(size).count().orderBy(F.desc("count"), "dim").limit(dims).collect()
+    if not sizes:
+        return {}
+    bounds = []
+    for r in sizes:
+        most = max(2 * axes, min(vectors, values // (len(sizes) * r.dim)))
+        bounds.append((r.dim, min(2**63 - 1, 2**63 * 4 * most // r["count"]), most))
+    bounds = F.broadcast(spark.createDataFrame(bounds, "dim int, bound long, most int"))  # a row per dimension
+    order = F.shiftrightunsigned(F.xxhash64("vector"), 1).alias("order")
+    some = points.select(size, order, "vector").join(bounds, "dim").filter("order <= bound")
+    some = some.groupBy("dim", "most", "order").agg(F.min("vector").alias("vector"))
+    rank = F.row_number().over(Window.partitionBy("dim").orderBy("order"))
+    some = some.withColumn("rank", rank).filter("rank <= most").orderBy("dim", "order").select("vector").toArrow()
     out = {}
-    for dim in {r.dim for r in rows}:
-        m = np.zeros((dim + 1) ** 2)
-        for r in rows:
-            if r.dim == dim:
-                m[r.at] = r.s
-        m = m.reshape(dim + 1, dim + 1)
-        mean = m[:dim, dim] / m[dim, dim]
-        _, vectors = np.linalg.eigh(m[:dim, :dim] / m[dim, dim] - np.outer(mean, mean))
-        out[dim] = np.ascontiguousarray(vectors[:, ::-1][:, :axes])
+    for dim, x in by_dimension(some.column("vector").combine_chunks()):
+        x = unit_rows(x)
+        _, _, across = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+        out[dim] = np.ascontiguousarray(across[:axes].T)
     return out
 
 
@@ -79,9 +87,9 @@ def by_dimension(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         yield dim, part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def project(x: np.ndarray, axes: np.ndarray, width: int) -> np.ndarray:
-    """Projections of vectors; axes that a short vector lacks are zero."""
-    p = unit_rows(x) @ axes
+def project(x: np.ndarray, axes: np.ndarray | None, width: int) -> np.ndarray:
+    """Projections of vectors (without axes: their first components); axes that a short vector lacks are zero."""
+    p = unit_rows(x) @ axes if axes is not None else unit_rows(x)[:, :width]
     return np.pad(p, ((0, 0), (0, width - p.shape[1])))
 
 
@@ -98,7 +106,7 @@ def grid_order(points: DataFrame, axes: dict[int, np.ndarray], eps: float, block
             lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
             p = np.zeros((batch.num_rows, AXES))
             for dim, x in by_dimension(batch.column(1)):
-                p[lengths == dim] = project(x, shared.value[dim], AXES)
+                p[lengths == dim] = project(x, shared.value.get(dim), AXES)
             columns = [*batch.columns, pa.array(lengths.astype(np.int32)), _lists(np.floor(p / eps).astype(np.int32), pa.int32()), _lists(p, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "dim", "cell", "p"])
 
@@ -171,6 +179,7 @@ def near_blocks(blocks: DataFrame, eps: float, fan: int = 6) -> DataFrame:
 
 def compare(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, same: bool, cosine: float, eps: float) -> tuple[np.ndarray, np.ndarray]:
     """Links (row of x, row of y) by splitting both intervals and skipping boxes farther apart than eps."""
+    x, y = scaled_rows(x), scaled_rows(y)
     nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     work = [(0, len(x), 0, len(y))]
@@ -247,7 +256,7 @@ def embedding_dedup(
     """All rows and columns of ``df`` plus n_links, component_id and kept.
 
     Vectors of one label (and dimension) link where their cosine, in double precision, is ``cosine``
-    or more. ``n_links`` counts the other rows linked directly, equal vectors included;
+    or more, whatever the size of their (finite) components. ``n_links`` counts the other rows linked directly, equal vectors included;
     ``component_id`` is the smallest id reachable (null where all are null), and ``kept`` marks the
     rows with that id. Rows with a null label, and vectors that are null, empty, zero or hold null or
     non-finite components link with nothing. Rows that share an id are rows of their own. Input
