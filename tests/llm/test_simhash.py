@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from conftest import SF_SMALL
 from llm import plain
 from vigil.llm.components import connected_components
 from vigil.llm.queries import QUERIES
-from vigil.llm.simhash import hamming_links, simhash_dedup, tree_links
+from vigil.llm.simhash import hamming_links, shard_keys, shard_plan, simhash_dedup, tree_links
 
 
 def expected(rows):
@@ -97,7 +98,38 @@ def test_trees_find_all_links_of_a_unit(radius):
     assert found == brute
 
 
-@pytest.mark.parametrize("tree_size", [5, 4096])
+def test_trees_are_large_and_prune():
+    """What a query visits of its tree: less the smaller the radius, and far from all of it."""
+    fp = points(3000, 200)
+    unit, every = np.zeros(len(fp), int), np.ones(len(fp), bool)
+    share = []
+    for radius in (0, 1, 2, 4):
+        visited = [0, 0]
+        list(tree_links(unit, fp, every, every, radius, visited))
+        assert visited[1] == len(fp) ** 2
+        share.append(visited[0] / visited[1])
+    assert share == sorted(share) and share[0] < 0.01 and share[3] < 0.6
+
+
+@pytest.mark.parametrize("n", [0, 1, 2048, 2049, 47_000, 235_000, 10**7, 10**8, 10**10, 10**12])
+def test_shards_follow_the_number_of_points(n):
+    blocks, bits = shard_plan(n, 4, 4096)
+    copies = math.comb(4 + blocks, blocks)
+    assert n <= 2048 or 512 < n / 2**bits <= 2048
+    assert bits <= blocks * (64 // (4 + blocks)) if bits else copies == 1
+    assert copies <= (1 if n <= 2048 else 5 if n <= 8 * 10**6 else 15 if n <= 10**9 else 70)
+
+
+def test_near_fingerprints_share_a_shard(spark):
+    base = points(200, 0)
+    near = [(int(x), int(x) ^ sum(1 << int(b) for b in np.random.default_rng(k).choice(64, 4, replace=False))) for k, x in enumerate(base)]
+    signed = [tuple(int(np.uint64(v).view(np.int64)) for v in p) for p in near]
+    df = spark.createDataFrame(signed, "a long, b long")
+    for plan in ((0, 0), (1, 5), (1, 12), (2, 13), (2, 20), (3, 27), (4, 32)):
+        assert df.filter(~F.arrays_overlap(shard_keys(F.col("a"), 4, *plan), shard_keys(F.col("b"), 4, *plan))).isEmpty()
+
+
+@pytest.mark.parametrize("tree_size", [5, 64, 4096])
 def test_shards_and_hot_chunks_lose_no_link(spark, tree_size):
     fp = points(400, 500).view(np.int64)
     df = spark.createDataFrame([(int(x),) for x in fp], "fp long")

@@ -1,9 +1,10 @@
 """SimHash near-duplicates found with BK-trees.
 
 1. Every whole text becomes a 64-bit fingerprint; equal fingerprints are then one point.
-2. With ``radius`` bits allowed, the 64 bits are cut into ``radius`` + 2 blocks. Two fingerprints
-   within the radius agree on at least two whole blocks, so each point joins one shard for every
-   pair of blocks and no link is lost between shards.
+2. The points are dealt into shards of some thousands, as many as their measured number asks for. The
+   64 bits are cut into ``radius`` + k blocks; fingerprints within the radius agree on k whole blocks at
+   least, so a point joins one shard for every choice of k blocks, keyed by their leading bits, and no
+   link is lost between shards. k is 1 (``radius`` + 1 copies of a point) until a block has too few bits.
 3. A shard's points form a BK-tree: a child hangs under its parent by their Hamming distance. A
    query at distance d from a node follows only the edges d - radius to d + radius. All trees of a
    batch grow and are searched together, level by level.
@@ -14,6 +15,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -122,22 +124,34 @@ def grow_trees(unit: np.ndarray, point: np.ndarray, tree: np.ndarray) -> tuple[n
 
 
 def tree_links(
-    unit: np.ndarray, point: np.ndarray, tree: np.ndarray, query: np.ndarray, radius: int
+    unit: np.ndarray, point: np.ndarray, tree: np.ndarray, query: np.ndarray, radius: int, visited: list[int] | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (query, node) of one unit within ``radius`` bits, in bounded portions."""
+    """Pairs of rows (query, node) of one unit within ``radius`` bits, in bounded portions.
+
+    ``visited`` counts the nodes that queries come to, and all nodes of the trees they are put to.
+    """
     root, keys, kids = grow_trees(unit, point, tree)
     size = np.bincount(unit[tree], minlength=len(root))
     asked = np.flatnonzero(query & (size[unit] > 0))
+    # where the edges of a node begin that are as long as a distance, or longer
+    wide = BITS + 2
+    edge = keys // (BITS + 1) * wide + keys % (BITS + 1)
+    begin = np.zeros(len(point) * wide + 1, np.int32)
+    np.cumsum(np.bincount(edge, minlength=len(point) * wide), out=begin[1:], dtype=np.int32)
     portion = np.cumsum(size[unit[asked]]) // PAIRS_AT_ONCE
     for q in np.split(asked, np.flatnonzero(np.diff(portion)) + 1):
+        if visited is not None:
+            visited[1] += int(size[unit[q]].sum())
         node = root[unit[q]]
         while q.size:
+            if visited is not None:
+                visited[0] += len(q)
             d = np.bitwise_count(point[q] ^ point[node]).astype(np.int64)
             near = (d <= radius) & (q != node)
             if near.any():
                 yield q[near], node[near]
-            low = np.searchsorted(keys, node * (BITS + 1) + np.maximum(d - radius, 0))
-            high = np.searchsorted(keys, node * (BITS + 1) + np.minimum(d + radius, BITS), side="right")
+            low = begin[node * wide + np.maximum(d - radius, 0)]
+            high = begin[node * wide + np.minimum(d + radius, BITS) + 1]
             n = high - low
             at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
             q, node = np.repeat(q, n), kids[at]
@@ -183,22 +197,36 @@ def spanning_links(radius: int):
     return run
 
 
-def shard_keys(fp: Column, radius: int) -> Column:
-    """One key for every pair of the ``radius`` + 2 bit blocks: the pair's number and both blocks' bits."""
-    edges = np.linspace(0, BITS, radius + 3).round().astype(int).tolist()
-    blocks = [F.shiftrightunsigned(fp, a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
-    widest = max(b - a for a, b in zip(edges, edges[1:]))
-    return F.array(
-        *[
-            F.shiftleft(F.shiftleft(F.lit(k).cast("long"), widest).bitwiseOR(x), widest).bitwiseOR(y)
-            for k, (x, y) in enumerate(combinations(blocks, 2))
-        ]
-    )
+def shard_plan(points: int, radius: int, tree_size: int) -> tuple[int, int]:
+    """How many blocks a shard's key is made of, and how many of their bits, for trees of half of ``tree_size`` points.
+
+    No blocks: all points are one shard.
+    """
+    bits = max(0, math.ceil(math.log2(max(points, 1) / max(tree_size / 2, 1))))
+    blocks = 1
+    while bits and blocks * (BITS // (radius + blocks)) < bits and radius + blocks < BITS:
+        blocks += 1
+    return (blocks, min(bits, blocks * (BITS // (radius + blocks)))) if bits else (0, 0)
+
+
+def shard_keys(fp: Column, radius: int, blocks: int, bits: int) -> Column:
+    """One key for every choice of ``blocks`` of the ``radius`` + ``blocks`` bit blocks: the choice's number and ``bits`` bits."""
+    edges = np.linspace(0, BITS, radius + blocks + 1).round().astype(int).tolist()
+    cut = list(zip(edges, edges[1:]))
+    keys = []
+    for k, chosen in enumerate(combinations(cut, blocks)):
+        value, width = F.lit(0).cast("long"), 0
+        for a, b in chosen:
+            take = min(b - a, bits - width)
+            value = F.shiftleft(value, take).bitwiseOR(F.shiftrightunsigned(fp, b - take).bitwiseAND((1 << take) - 1))
+            width += take
+        keys.append(F.lit(k << bits).cast("long").bitwiseOR(value))
+    return F.array(*keys)
 
 
 def hamming_links(points: DataFrame, radius: int = 4, tree_size: int = 4096) -> DataFrame:
     """Distinct fingerprints ``fp`` (long) -> links (a, b) whose components are those of all links within ``radius``."""
-    rows = points.select("fp", F.explode(shard_keys(F.col("fp"), radius)).alias("shard"))
+    rows = points.select("fp", F.explode(shard_keys(F.col("fp"), radius, *shard_plan(points.count(), radius, tree_size))).alias("shard"))
     hot = (
         rows.groupBy("shard")
         .agg(F.count("*").alias("n"))
