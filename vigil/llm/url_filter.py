@@ -19,31 +19,43 @@ GRAMS = (3, 4, 5)
 # The rules of the contract, as (verdict, host/path).
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
-# A small labelled URL table. Hosts to block, then hosts to allow, then paths both are met with.
+# A small labelled URL table, made of hosts and paths to block and to allow. A URL is to be
+# blocked if its host or its path is. Written from general knowledge; no host of a given table is in it.
 BLOCKED_HOSTS = [
-    "casino-win.test", "www.casino-royal.test", "online-casino.test", "play-casino-now.test", "big-win-slots.test",
-    "free-bets.test", "m.free-bets-today.test", "best-bets.test", "sports-bets.test", "poker-win.test",
-    "cheap-pills.test", "www.cheap-pills-shop.test", "buy-pills.test", "cheap-meds.test", "pills-online.test",
-    "adult-x.test", "www.adult-videos.test", "adult-chat.test", "xxx-adult.test", "x-rated.test",
-    "spam-farm.test", "link-farm.test", "seo-spam.test", "blog.spam-farm.test", "free-spam-links.test",
-    "ads-track.test", "www.ad-tracker.test", "click-track.test", "banner-ads.test", "m.track-ads.test",
-    "free-money.test", "win-free-prize.test", "cheap-loans.test", "quick-cash-win.test", "free-download-x.test",
+    "casino-royal.test", "online-casino.example", "slots-jackpot.test", "big-win-slots.invalid", "sports-betting.test", "best-bets.example",
+    "poker-stakes.test", "lucky-roulette.example", "pills-online.test", "cheap-meds.example", "viagra-store.test", "pharma-discount.invalid",
+    "adult-videos.test", "adult-chat.example", "xxx-cams.test", "hot-singles.example", "link-farm.test", "seo-spam.example", "spam-links.test",
+    "click-track.test", "banner-ads.example", "ad-tracker.test", "popup-ads.invalid", "free-money.test", "free-prizes.example", "win-cash.test",
+    "quick-loans.example", "cheap-replica.test", "free-cracks.test", "keygen-warez.example", "torrent-warez.test", "miracle-diet.example",
 ]
 ALLOWED_HOSTS = [
-    "www.example.test", "blog.nation.test", "m.weather.test", "therapy.test", "thousand.test", "www.leather.test",
-    "blog.brother.test", "m.station.test", "reading.test", "inherit.test", "www.thread.test", "garden.test",
-    "m.kitchen.test", "blog.stone.test", "harbour.test", "www.northern.test", "other.test", "m.motion.test",
-    "blog.tones.test", "www.rather.test", "library.test", "m.mountain.test", "history.test", "www.season.test",
-    "blog.theatre.test", "science.test", "m.travel.test", "school.test", "www.museum.test", "blog.winter.test",
-    "window.test", "farmer.test", "bettering.test", "alphabet.test", "adulthood.test", "freedom.test",
-    "www.threshold.test", "m.gathering.test", "either.test", "blog.nothing.test",
+    "library.test", "museum.example", "weather.test", "garden-shop.example", "university.test", "recipes.example", "travel-guide.test",
+    "news-daily.example", "city-council.test", "football-club.example", "history-archive.test", "science-review.invalid", "open-source.test",
+    "bakery.example", "railway.test", "music-school.example", "hospital.test", "bookstore.example", "theatre.test", "film-club.example",
+    "harbour.test", "mountain-hut.invalid", "chess.test", "astronomy.example", "freedom-press.test", "adulthood.example", "alphabet.test",
+    "essex-county.example", "brothers-and-sons.test", "northern-lights.example", "tradition.test", "thinking.example", "spain-tours.test",
+    "linkoping.example", "windmill.test", "cashmere.example", "leather-works.test", "nation-archive.example", "reading-room.test", "betterment.example",
 ]
-PATHS = ["/en/101", "/de/27.html", "/fr/633/", "/es/58"]
+BLOCKED_PATHS = [
+    "/casino/bonus", "/free-spins", "/slots/jackpot.html", "/poker/live", "/bet/now", "/pills/order", "/buy-viagra", "/cheap-meds/buy", "/adult/gallery",
+    "/xxx/videos", "/hot-singles/", "/ads/click", "/banner/track", "/win-free-prize", "/free-money/", "/loans/instant-cash", "/crack/keygen.html", "/spam/links",
+]
+ALLOWED_PATHS = [
+    "", "/", "/en/101", "/de/27.html", "/fr/633/", "/es/58", "/en/4402/", "/about", "/index.html", "/news/2024/05/", "/contact.html", "/articles/42",
+    "/docs/intro.html", "/blog/post-7", "/products/list", "/team/", "/adults/courses", "/archive/winter", "/books/better-days", "/fr/9120.html",
+]
+PREFIXES = ["", "www.", "m.", "blog."]
 
 
 def labelled_urls(spark) -> DataFrame:
-    """(url, label): label 1 is a URL to block."""
-    rows = [(f"https://{h}{p}", label) for label, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS)) for h in hosts for p in PATHS]
+    """(url, label): label 1 is a URL to block. Each host is met with four allowed and two blocked paths."""
+    rows = []
+    for bad, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS)):
+        for k, host in enumerate(hosts):
+            good = [ALLOWED_PATHS[(5 * k + 3 * j) % len(ALLOWED_PATHS)] for j in range(4)]
+            worse = [BLOCKED_PATHS[(7 * k + 5 * j) % len(BLOCKED_PATHS)] for j in range(2)]
+            for j, path in enumerate([*good, *worse]):
+                rows.append((f"https://{PREFIXES[(k + j) % len(PREFIXES)]}{host}{path}", max(bad, int(j >= len(good)))))
     return spark.createDataFrame(rows, "url string, label int")
 
 
@@ -79,7 +91,7 @@ class UrlModel:
 
 
 def fit_urls(labelled: DataFrame, max_rows: int = 10_000, rounds: int = 300, ridge: float = 1e-4, share: float = 0.2) -> UrlModel:
-    """Fit on (url, label) rows, at most ``max_rows`` of them in hash order; null labels are ignored.
+    """Fit on (url, label) rows, at most ``max_rows`` of them in hash order (ties: of equal rows any); null labels are ignored.
 
     ``share`` is the share of URLs to block that is expected among all URLs. Without rows of both labels 
     every URL is allowed, or blocked if all labels say so.
