@@ -3,18 +3,22 @@
 Each micro-batch reuses the batch functions:
   1. number the rows, validate; archive every payload; dead-letter the invalid lines and, with
      ``lateness_seconds``, the valid events that come too late;
-  2. read the history of the last 24 h that shares a user, IP or account with the batch (date
-     partitions, then semi-joins) and compute the 16 features over history + batch; first-seen
-     flags come from the first-seen deltas of the batch's users (exact, all time);
+  2. drop repeats of stored event ids; compute the 16 features over the batch and the stored events
+     that can still tell (see ``_context``); first-seen flags come from the first-seen state of the
+     batch's users (exact, all time);
   3. score, evaluate the rules, key the alerts; repeats inside the batch and of stored idempotency
      keys are dropped. A scorer that fails leaves rules-only detection;
   4. suppression: the stored sessions of the touched fingerprints that the new alerts can reach are
      folded again with them. A session keeps the id and creation time it was first stored with, also
      when a late alert opens it earlier; sessions that grow together keep the earliest one's;
-  5. every table is written per ``batch_id`` (a partition overwritten on retry) and holds what the
+  5. every table and state is written per ``batch_id`` (overwritten on retry) and holds what the
      batch adds or changes, never a copy of the state, so a replayed batch after a failure gives the
      same tables: the checkpoint plus idempotent writes make the sink exactly-once.
 
+State lies in key buckets and is merged in generations (``state.py``), so a batch reads the buckets of
+its own keys, and what it costs doesn't grow with the batches before it. With ``lateness_seconds``, state
+that no event can reach any more is dropped.
+
 For in-order input, k micro-batches give the same feature rows and alert table
 as one batch run (tested).
 """
@@ -23,30 +27,37 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.validate import dead_letters, failure_letters, validate_events
 from ..operators import rules as R
 from ..operators.alerts import drop_known, suppress, with_keys
-from ..operators.features import dedup_events, feature_snapshot
+from ..operators.features import FAMILY_INPUTS, dedup_events, feature_snapshot
 from ..operators.scoring import score_from_raw_frame, score_no_model
-from ..sources.raw import archive_line
+from ..sources.raw import archive_line, arrival_numbers
 from ..sources.store import discard, materialize
-from ..sources.tables import feature_rows
+from ..sources.tables import PARTITION_COLUMNS, feature_rows
+from .latency import Timings
+from .state import KeyedState, buckets_of, least, newest, stored_schema
 
 LOGGER = logging.getLogger(__name__)
 DAY = 86400
-HISTORY_COLUMNS = [
+HOUR = 3600
+SLOT = 900  # events are thinned per slot; the day's window is exact at its ends by whole slots
+EVENT_COLUMNS = [
     "event_id", "seq", "ts_sec", "timestamp", "timestamp_text", "cloud_provider", "account_id", "user_id",
     "principal_type", "source_ip", "geo_country", "region", "service_name", "api_action", "resource_type",
     "resource_id", "auth_result", "bytes_sent", "bytes_received", "device_fingerprint", "user_agent",
     "is_privileged_action", "metadata", "scenario",
 ]
+HISTORY_COLUMNS = ["event_id", "seq", "ts_sec", *FAMILY_INPUTS]
 
 
 @dataclass
@@ -61,6 +72,8 @@ class StreamConfig:
     alert_sink: Callable[[DataFrame, int], None] | None = None  # gets the batch's new alerts; a failure dead-letters them
     dead_letter_sinks: list[Callable[[DataFrame, int], None]] = field(default_factory=list)  # besides the table, each failing alone
     dead_letter_failures: bool = False  # failing detection dead-letters the batch's events instead of ending the query
+    state_buckets: int = 16
+    state_fan: int = 8  # so many runs of state are merged into one
 
     def path(self, name: str) -> str:
         return f"{self.base.rstrip('/')}/{name}"
@@ -73,28 +86,93 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _stored(spark: SparkSession, path: str, schema: T.StructType, before: int) -> DataFrame:
-    """What earlier batches wrote; the declared schema makes a table without any row readable."""
-    schema = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).where(F.col("batch_id") < before)
+def _state(spark: SparkSession, cfg: StreamConfig, name: str, schema: T.StructType | str, key: list[str], **more) -> KeyedState:
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    return KeyedState(spark, cfg.path(name), schema, key, buckets=cfg.state_buckets, fan=cfg.state_fan, **more)
+
+
+TELLING = ["user_id", "source_ip", "geo_country", "region", "slot"]
+
+
+def _states(spark: SparkSession, cfg: StreamConfig) -> dict[str, KeyedState]:
+    """The states whose rows don't depend on the alerts' schema."""
+    thin = T.StructType([*(f for f in _history_schema()), T.StructField("slot", T.LongType())])
+    first_seen = "user_id string, dim string, value string, first struct<ts_sec: bigint, seq: bigint>"
+    return {
+        "event_ids": _state(spark, cfg, "event_ids", "event_id string, ts_sec long", ["event_id"], merge=newest(["event_id"])),
+        "recent_by_user": _state(spark, cfg, "recent_by_user", thin, ["user_id"], merge=least(TELLING, "seq")),
+        "recent_by_ip": _state(spark, cfg, "recent_by_ip", thin, ["source_ip"], merge=least(TELLING, "seq")),
+        "first_seen": _state(spark, cfg, "first_seen", first_seen, ["user_id"], merge=least(["user_id", "dim", "value"], "first")),
+        "alert_keys": _state(spark, cfg, "alert_keys", "idempotency_key string, ts_sec long", ["idempotency_key"]),
+    }
+
+
+def _history_schema() -> T.StructType:
+    types = {"ts_sec": T.LongType(), "seq": T.LongType(), "bytes_received": T.LongType(), "is_privileged_action": T.BooleanType()}
+    return T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in HISTORY_COLUMNS])
+
+
+def _alert_log(spark: SparkSession, cfg: StreamConfig, schema: T.StructType) -> KeyedState:
+    return _state(spark, cfg, "alert_log", schema, ["alert_fingerprint"])
+
+
+def _alert_state(spark: SparkSession, cfg: StreamConfig, schema: T.StructType) -> KeyedState:
+    return _state(spark, cfg, "alerts", schema, ["alert_fingerprint"], merge=newest(["alert_id"]), keep=~F.col("deleted"))
+
+
+def _together(spark: SparkSession, *jobs: Callable[[], object]) -> None:
+    """Independent writes of a batch, some at a time; the first error is raised when all have ended."""
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]:
+            done.result()
 
 
-def _write_partition(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet", by: tuple[str, ...] = ()) -> None:
-    """Overwrite only this batch's partitions (idempotent on retry)."""
+def compact_state(spark: SparkSession, cfg: StreamConfig, before: int) -> None:
+    """Merge the state of earlier batches; with ``lateness_seconds``, drop what no event can reach.
+
+    Ids and idempotency keys are kept for a day behind the latest event that is still taken, thinned events
+    as long as a window can reach them. First-seen values, sessions and the alerts in them stay.
+    """
+    seen = _progress(spark, cfg, before)
+    reach = None if seen is None or cfg.lateness_seconds is None else seen - cfg.lateness_seconds - DAY - SLOT
+    fresh = None if reach is None else F.col("ts_sec") >= reach
+    jobs = [partial(state.compact, before, None if name == "first_seen" else fresh) for name, state in _states(spark, cfg).items()]
+    for name, make in (("alert_log", _alert_log), ("alerts", _alert_state)):
+        if _exists(spark, cfg.path(name)):
+            jobs.append(partial(make(spark, cfg, stored_schema(spark, cfg.path(name))).compact, before))
+    _together(spark, *jobs)
+    if reach is not None and _exists(spark, cfg.path("history")):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(cfg.path("history"))
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in files.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("hour=") and (int(name[5:]) + 1) * HOUR <= reach:
+                files.delete(status.getPath(), True)
+
+
+def _write_partition(
+    df: DataFrame, path: str, batch_id: int, fmt: str = "parquet", by: tuple[str, ...] = (), before: list[str] | tuple[str, ...] = ()
+) -> None:
+    """Overwrite only this batch's partitions (idempotent on retry); ``before`` and ``by`` are the ones above and below it."""
     out = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    if before:
+        out = out.hint("rebalance", *before)
     (
         out.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", *by)
+        .partitionBy(*before, "batch_id", *by)
         .format(fmt)
         .save(path)
     )
 
 
 def number_rows(batch: DataFrame, batch_id: int) -> DataFrame:
-    """Rows without a position get gapless batch-major arrival numbers, however many partitions the batch has."""
+    """Rows without a position get gapless batch-major arrival numbers, however many partitions the batch has.
+
+    Messages of a topic are numbered by arrival time, partition and offset, others in the order they were read.
+    """
+    if "source_offset" in batch.columns:
+        return arrival_numbers(batch.drop("seq"), start=batch_id << 40).drop("source_partition", "source_offset")
     rows = materialize(batch.withColumn("_at", F.monotonically_increasing_id()), "batch-rows")
     part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     # one row per partition of the batch
@@ -174,43 +252,95 @@ def _dead_letter(cfg: StreamConfig, rows: DataFrame, batch_id: int) -> None:
             LOGGER.warning("dead-letter sink %d failed: %s", n, exc)
 
 
+def _progress(spark: SparkSession, cfg: StreamConfig, before: int) -> int | None:
+    """The latest event time of all batches before ``before``, as the last of them noted it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(cfg.path("progress"))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    batches = [int(n[len("batch_id=") :]) for n in found if n.startswith("batch_id=")]
+    last = max((b for b in batches if b < before), default=None)
+    for b in batches:
+        if last is not None and b < last:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"batch_id={b}"), True)
+    return None if last is None else spark.read.schema("max_ts long").parquet(f"{cfg.path('progress')}/batch_id={last}").first()["max_ts"]
+
+
 def _split_late(spark: SparkSession, cfg: StreamConfig, events: DataFrame, batch_id: int) -> DataFrame:
     """The events to process; those more than ``lateness_seconds`` behind earlier batches are dead-lettered."""
-    progress = T.StructType([T.StructField("max_ts", T.LongType())])
-    if cfg.lateness_seconds is not None:
-        seen = _stored(spark, cfg.path("progress"), progress, batch_id).agg(F.max("max_ts").alias("t")).first()["t"]
-        if seen is not None:
-            late = F.col("ts_sec") < seen - cfg.lateness_seconds
-            message = f"event time is more than {cfg.lateness_seconds} s behind"
-            _dead_letter(cfg, failure_letters(events.where(late), "late", "LateEvent", message, retryable=False), batch_id)
-            events = events.where(~late)
-    _write_partition(events.agg(F.max("ts_sec").alias("max_ts")), cfg.path("progress"), batch_id)
+    seen = _progress(spark, cfg, batch_id)
+    if cfg.lateness_seconds is not None and seen is not None:
+        late = F.col("ts_sec") < seen - cfg.lateness_seconds
+        message = f"event time is more than {cfg.lateness_seconds} s behind"
+        _dead_letter(cfg, failure_letters(events.where(late), "late", "LateEvent", message, retryable=False), batch_id)
+        events = events.where(~late)
+    latest = F.greatest(F.max("ts_sec"), F.lit(seen).cast("long"))
+    _write_partition(events.agg(latest.alias("max_ts")).where("max_ts is not null"), cfg.path("progress"), batch_id)
     return events
 
 
-def _history(spark: SparkSession, cfg: StreamConfig, events: DataFrame, schema: T.StructType, batch_id: int) -> DataFrame:
-    """Stored events that can reach a window of the batch: same user, IP or account, up to 24 h before."""
+def _slot() -> Column:
+    return F.floor(F.col("ts_sec") / SLOT)
+
+
+def thin(events: DataFrame) -> DataFrame:
+    """The first event of every user, IP, country and region in a slot: all that a day's distinct counts need of it."""
+    first = Window.partitionBy(*TELLING).orderBy("seq")
+    rows = events.select(*HISTORY_COLUMNS).withColumn("slot", _slot())
+    return rows.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+
+
+def _context(
+    spark: SparkSession, cfg: StreamConfig, events: DataFrame, states: dict[str, KeyedState], buckets: dict[str, list[int]], batch_id: int
+) -> DataFrame:
+    """Stored events that decide the windows of the batch's events.
+
+    Of the last hour and of the slot in which an event's day begins, all stored events of its user, IP
+    or account; of the slots between, which lie in the day whole, only the thinned ones of its user and
+    IP, since nothing but distinct values is counted there.
+    """
+    slots = events.select(F.explode(F.concat(F.sequence(_slot() - HOUR // SLOT, _slot()), F.array(F.floor((F.col("ts_sec") - DAY) / SLOT)))).alias("slot"))
+    slots = slots.distinct()
+    hours = sorted({r[0] for r in slots.select(F.floor(F.col("slot") * SLOT / HOUR)).distinct().collect()})  # hours that a batch's events lie in
+    paths = [p for p in (f"{cfg.path('history')}/hour={h}" for h in hours) if _exists(spark, p)]
+    parts = []
+    if paths:
+        schema = T.StructType([*_history_schema().fields, T.StructField("batch_id", T.LongType())])
+        stored = spark.read.schema(schema).option("basePath", cfg.path("history")).parquet(*paths).where(F.col("batch_id") < batch_id)
+        stored = stored.withColumn("slot", _slot()).join(slots, "slot", "left_semi").select(*HISTORY_COLUMNS)
+        parts += [stored.join(events.select(k).distinct(), k, "left_semi").select(*HISTORY_COLUMNS) for k in ("user_id", "source_ip", "account_id")]
     span = events.agg(F.min("ts_sec").alias("lo"), F.max("ts_sec").alias("hi")).first()
-    stored = _stored(spark, cfg.path("history"), schema, batch_id).drop("batch_id")
-    days = F.col("event_day").between(F.to_date(F.timestamp_seconds(F.lit(span.lo - DAY))), F.to_date(F.timestamp_seconds(F.lit(span.hi))))
-    near = stored.where(days & (F.col("ts_sec") >= span.lo - DAY) & (F.col("ts_sec") <= span.hi))
-    parts = [near.join(events.select(k).distinct(), k, "left_semi").select(*near.columns) for k in ("user_id", "source_ip", "account_id")]
+    for name, key in (("recent_by_user", "user_id"), ("recent_by_ip", "source_ip")):
+        rows = states[name].read(batch_id, events.select(key), buckets[name])
+        parts.append(rows.where(F.col("ts_sec").between(span.lo - DAY, span.hi)).select(*HISTORY_COLUMNS))
     return reduce(DataFrame.unionByName, parts).dropDuplicates(["seq"])
 
 
 def process_batch(spark: SparkSession, cfg: StreamConfig, batch: DataFrame, batch_id: int) -> None:
     """One micro-batch of raw messages ``(seq, arrival_ts, value)``."""
-    validated = materialize(validate_events(number_rows(batch, batch_id)), "batch-validated")
+    timings = Timings()
+    with timings.stage("batch"):
+        _process(spark, cfg, batch, batch_id, timings)
+    _write_partition(timings.frame(spark), cfg.path("timings"), batch_id)
+
+
+def _process(spark: SparkSession, cfg: StreamConfig, batch: DataFrame, batch_id: int, timings: Timings) -> None:
+    with timings.stage("compact_state"):
+        compact_state(spark, cfg, batch_id)
+    with timings.stage("validate", counted=True) as seen:
+        rows = validate_events(number_rows(batch, batch_id))
+        validated = materialize(rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("valid")).alias("failed")), "batch-validated")
     try:
         if validated.isEmpty():
             return
-        _write_partition(validated.select(archive_line(F.col("value")).alias("value")), cfg.path("archive"), batch_id, "text")
-        _dead_letter(cfg, dead_letters(validated), batch_id)
+        with timings.stage("archive"):
+            _write_partition(validated.select(archive_line(F.col("value")).alias("value")), cfg.path("archive"), batch_id, "text")
+            _dead_letter(cfg, dead_letters(validated), batch_id)
         events = _split_late(spark, cfg, validated.where("valid"), batch_id)
         if events.isEmpty():
             return
         try:
-            _detect(spark, cfg, events, batch_id)
+            with timings.stage("detect"):
+                _detect(spark, cfg, events, batch_id)
         except Exception as exc:  # noqa: BLE001 - only where the caller asked for it
             if not cfg.dead_letter_failures:
                 raise
@@ -221,41 +351,47 @@ def process_batch(spark: SparkSession, cfg: StreamConfig, batch: DataFrame, batc
 
 def _detect(spark: SparkSession, cfg: StreamConfig, validated: DataFrame, batch_id: int) -> None:
     """Features, first-seen flags, scores, alerts and the alert table of one batch's valid events."""
-    day = F.to_date(F.timestamp_seconds("ts_sec")).alias("event_day")
-    events = validated.select(*HISTORY_COLUMNS, day)
-    history = _history(spark, cfg, events, events.schema, batch_id)
-    union = events.withColumn("_new", F.lit(True)).unionByName(history.withColumn("_new", F.lit(False)))
-    # a repeat of an event already in history loses the dedup (lowest seq) and drops out
-    union = materialize(dedup_events(union), "batch-events")
-    new_events = union.where("_new").drop("_new")
-    feats = feature_snapshot(union.drop("_new"), dedup=False).join(new_events.select("seq"), "seq", "left_semi")
-
-    minima = batch_minima(new_events)
-    known = _stored(spark, cfg.path("first_seen"), minima.schema, batch_id).join(new_events.select("user_id").distinct(), "user_id", "left_semi")
-    known = known.groupBy("user_id", "dim", "value").agg(F.min("first").alias("first"))
-    flags = first_seen_flags(new_events, known)
+    states = _states(spark, cfg)
+    events = dedup_events(validated.select(*EVENT_COLUMNS))
+    names = ["event_ids", "recent_by_user", "recent_by_ip", "first_seen"]
+    buckets = dict(zip(names, buckets_of(events, [states[n] for n in names])))
+    stored = states["event_ids"].read(batch_id, events.select("event_id"), buckets["event_ids"])
+    events = materialize(events.join(stored.select("event_id"), "event_id", "left_anti"), "batch-events")
+    context = materialize(_context(spark, cfg, events, states, buckets, batch_id), "batch-context")
+    feats = feature_snapshot(events, dedup=False, context=context)
+
+    minima = batch_minima(events)
+    known = states["first_seen"].read(batch_id, events.select("user_id"), buckets["first_seen"]).drop("batch_id")
+    flags = first_seen_flags(events, known)
     feats = materialize(feats.drop("is_new_country_for_user", "is_new_ip_for_user").join(flags, "seq"), "batch-features")
 
-    _write_partition(feature_rows(feats.drop("event_day")), cfg.path("features"), batch_id)
-    _write_partition(new_events, cfg.path("history"), batch_id, by=("event_day",))
+    hour = F.floor(F.col("ts_sec") / HOUR)
     was = known.withColumnRenamed("first", "was")
     changed = minima.join(was, ["user_id", "dim", "value"], "left").where("was is null or first < was").drop("was")
-    _write_partition(changed, cfg.path("first_seen"), batch_id)
+    _together(
+        spark,
+        lambda: _write_partition(feature_rows(feats), cfg.path("features"), batch_id, before=PARTITION_COLUMNS),
+        lambda: _write_partition(events.select(*HISTORY_COLUMNS).withColumn("hour", hour), cfg.path("history"), batch_id, before=["hour"]),
+        lambda: states["recent_by_user"].write(thin(events), batch_id),
+        lambda: states["recent_by_ip"].write(thin(events), batch_id),
+        lambda: states["event_ids"].write(events.select("event_id", "ts_sec"), batch_id),
+        lambda: states["first_seen"].write(changed, batch_id),
+    )
 
-    rows = store_alerts(spark, cfg, with_keys(R.alerts(_score(cfg, feats.drop("event_day")))), batch_id)
+    rows = store_alerts(spark, cfg, with_keys(R.alerts(_score(cfg, feats))), batch_id)
     _deliver(cfg, rows, validated, batch_id)
-    for table in (union, feats, rows):
+    for table in (events, context, feats, rows):
         discard(table)
 
 
 def store_alerts(spark: SparkSession, cfg: StreamConfig, alerts: DataFrame, batch_id: int) -> DataFrame:
     """Log a batch's new alerts and fold them into the alert table; returns the alerts that were new."""
-    rows = materialize(alerts.withColumn("event_day", F.to_date(F.timestamp_seconds("ts_sec"))), "batch-keyed")
-    days = [r.event_day for r in rows.select("event_day").distinct().collect()]  # a batch's days
-    log = _stored(spark, cfg.path("alert_log"), rows.schema, batch_id)
-    new = materialize(drop_known(rows, log.where(F.col("event_day").isin(days))), "batch-alerts")
+    keys = _states(spark, cfg)["alert_keys"]
+    rows = materialize(alerts, "batch-keyed")
+    new = materialize(drop_known(rows, keys.read(batch_id, rows.select("idempotency_key"))), "batch-alerts")
     discard(rows)
-    _write_partition(new, cfg.path("alert_log"), batch_id, by=("event_day",))
+    log = _alert_log(spark, cfg, new.schema)
+    _together(spark, lambda: keys.write(new.select("idempotency_key", "ts_sec"), batch_id), lambda: log.write(new, batch_id))
     if not new.isEmpty():
         _upsert_alerts(spark, cfg, new, log, batch_id)
     return new
@@ -266,7 +402,7 @@ def _deliver(cfg: StreamConfig, rows: DataFrame, events: DataFrame, batch_id: in
     if cfg.alert_sink is None or rows.isEmpty():
         return
     try:
-        cfg.alert_sink(rows.drop("event_day"), batch_id)
+        cfg.alert_sink(rows, batch_id)
     except Exception as exc:  # noqa: BLE001 - foreign code; the alerts are in the alert table all the same
         failed = events.join(rows.select("seq").distinct(), "seq", "left_semi")
         _dead_letter(cfg, failure_letters(failed, "alert_delivery", type(exc).__name__, str(exc)[:500], retryable=True), batch_id)
@@ -275,34 +411,31 @@ def _deliver(cfg: StreamConfig, rows: DataFrame, events: DataFrame, batch_id: in
 STATE = ["session_start", "deleted"]
 
 
-def _alert_state(spark: SparkSession, cfg: StreamConfig, schema: T.StructType, before: int) -> DataFrame:
-    """The newest stored version of every alert that still stands."""
-    newest = Window.partitionBy("alert_id").orderBy(F.desc("batch_id"))
-    versions = _stored(spark, cfg.path("alerts"), schema, before).withColumn("_rn", F.row_number().over(newest))
-    return versions.where("_rn = 1 and not deleted").drop("_rn", "batch_id")
-
-
-def _upsert_alerts(spark: SparkSession, cfg: StreamConfig, new: DataFrame, log: DataFrame, batch_id: int) -> None:
+def _upsert_alerts(spark: SparkSession, cfg: StreamConfig, new: DataFrame, log: KeyedState, batch_id: int) -> None:
     """Fold the sessions that the batch's alerts can reach again; write what changed."""
     gap = cfg.suppression_seconds
-    first = suppress(new.drop("event_day"), gap, materialize_sessions=False)
-    schema = T.StructType([*first.schema.fields, T.StructField("session_start", T.LongType()), T.StructField("deleted", T.BooleanType())])
-    touched = new.groupBy("alert_fingerprint").agg(F.min("ts_sec").alias("_lo"))
-    reached = materialize(
-        _alert_state(spark, cfg, schema, batch_id)
-        .join(touched, "alert_fingerprint")
-        .where(F.unix_seconds("last_seen_at") >= F.col("_lo") - F.lit(gap))
-        .drop("_lo"),
-        "batch-sessions",
-    )
-    since = reached.groupBy("alert_fingerprint").agg(F.min("session_start").alias("_since"))
-    start = since.agg(F.min("_since").alias("t")).first()["t"]
-    rows = new.drop("event_day")
-    if start is not None:
-        old = log.where(F.col("event_day") >= F.to_date(F.timestamp_seconds(F.lit(start)))).drop("batch_id", "event_day")
-        old = old.join(since, "alert_fingerprint").where(F.col("ts_sec") >= F.col("_since")).select(*rows.columns)
-        rows = rows.unionByName(old)
-    folded = suppress(rows, gap).withColumn("session_start", F.unix_seconds("created_at"))
+    path, rows, reached = cfg.path("alerts"), new, None
+    if _exists(spark, path):
+        schema = stored_schema(spark, path)
+        touched = new.groupBy("alert_fingerprint").agg(F.min("ts_sec").alias("_lo"))
+        (buckets,) = buckets_of(touched, [log])  # the alerts lie in the same buckets
+        reached = materialize(
+            _alert_state(spark, cfg, schema)
+            .read(batch_id, touched, buckets)
+            .where("not deleted")
+            .drop("batch_id")
+            .join(touched, "alert_fingerprint")
+            .where(F.unix_seconds("last_seen_at") >= F.col("_lo") - F.lit(gap))
+            .drop("_lo"),
+            "batch-sessions",
+        )
+        since = reached.groupBy("alert_fingerprint").agg(F.min("session_start").alias("_since"))
+        old = log.read(batch_id, since, buckets).join(since, "alert_fingerprint").where(F.col("ts_sec") >= F.col("_since"))
+        rows = new.unionByName(old.select(*new.columns))
+    live = suppress(rows, gap).withColumn("session_start", F.unix_seconds("created_at")).withColumn("deleted", F.lit(False))
+    if reached is None:
+        _alert_state(spark, cfg, live.schema).write(live, batch_id)
+        return
     # the earliest stored session inside a folded one lends it its id and creation time
     stored = reached.select(
         F.col("alert_fingerprint").alias("_fp"),
@@ -310,21 +443,13 @@ def _upsert_alerts(spark: SparkSession, cfg: StreamConfig, new: DataFrame, log:
         F.struct("session_start", F.col("alert_id").alias("id"), F.col("created_at").alias("at")).alias("_was"),
     )
     inside = (F.col("alert_fingerprint") == F.col("_fp")) & F.col("_at").between(F.col("session_start"), F.unix_seconds("last_seen_at"))
-    lent = folded.select("alert_id", "alert_fingerprint", "session_start", "last_seen_at").join(stored, inside).groupBy("alert_id").agg(F.min("_was").alias("_was"))
-    live = (
-        folded.join(lent, "alert_id", "left")
-        .withColumns(
-            {
-                "alert_id": F.coalesce(F.col("_was.id"), F.col("alert_id")),
-                "created_at": F.coalesce(F.col("_was.at"), F.col("created_at")),
-                "deleted": F.lit(False),
-            }
-        )
-        .select(*schema.fieldNames())
+    lent = live.select("alert_id", "alert_fingerprint", "session_start", "last_seen_at").join(stored, inside).groupBy("alert_id").agg(F.min("_was").alias("_was"))
+    live = live.join(lent, "alert_id", "left").withColumns(
+        {"alert_id": F.coalesce(F.col("_was.id"), F.col("alert_id")), "created_at": F.coalesce(F.col("_was.at"), F.col("created_at"))}
     )
-    live = materialize(live, "batch-live")
+    live = materialize(live.select(*schema.fieldNames()), "batch-live")
     gone = reached.join(live.select("alert_id"), "alert_id", "left_anti").withColumn("deleted", F.lit(True)).select(*schema.fieldNames())
-    _write_partition(live.unionByName(gone), cfg.path("alerts"), batch_id)
+    _alert_state(spark, cfg, schema).write(live.unionByName(gone), batch_id)
     for table in (reached, live):
         discard(table)
 
@@ -333,8 +458,8 @@ def current_alerts(spark: SparkSession, cfg: StreamConfig) -> DataFrame | None:
     """The alert table as the last batch left it; None before any batch with alerts."""
     if not _exists(spark, cfg.path("alerts")):
         return None
-    schema = spark.read.parquet(cfg.path("alerts")).drop("batch_id").schema
-    return _alert_state(spark, cfg, schema, 1 << 62).drop(*STATE)
+    state = _alert_state(spark, cfg, stored_schema(spark, cfg.path("alerts")))
+    return state.read(1 << 62).where("not deleted").drop(*STATE, "batch_id")
 
 
 def start(
