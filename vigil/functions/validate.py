@@ -1,7 +1,7 @@
 """Message decoding and event validation in one projection (no UDF).
 
-``validate_events(lines)`` decodes each JSON message into a map of field texts and
-a map of typed variants (which tell ``5`` from ``"5"``), checks every constraint
+``validate_events(lines)`` decodes each JSON message once, into a variant per field (which tells
+``5`` from ``"5"``), takes every field's text and kind from it once, checks every constraint
 of the typed event and returns the typed columns plus
 ``errors: array<string>`` (empty when valid). Invalid lines become dead letters
 (``dead_letters``); nothing raises, so one bad line never stops a batch.
@@ -45,6 +45,9 @@ FALSE_WORDS = ["0", "off", "f", "false", "n", "no"]
 ZONE_PATTERN = r"(Z|z|[+-][0-9]{2}:?[0-9]{2})$"
 COUNTRY_PATTERN = r"^\p{L}{2}$"
 
+FIELDS = [*REQUIRED_FIELDS, "bytes_sent", "bytes_received", "is_privileged_action", "metadata"]
+UNDECODED = "_undecoded"  # holds a text that is no JSON object
+
 ERROR_SEP = "; "
 MSG_REQUIRED = "field required"
 MSG_STRING = "must be a string"
@@ -82,51 +85,65 @@ def _err(cond: Column, field: str, msg: str) -> Column:
 
 def validate_events(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """Typed event columns + ``errors`` + ``valid`` for each message line."""
-    d = lines.withColumns(
-        {
-            "_m": F.from_json(F.col(value_col), "map<string,string>"),
-            "_t": F.from_json(F.col(value_col), "map<string,variant>"),
-        }
+    decoded = F.from_json(
+        F.col(value_col), ", ".join([*(f"{f} variant" for f in FIELDS), f"{UNDECODED} string"]), {"columnNameOfCorruptRecord": UNDECODED}
+    )
+    # three projections, each of whose columns are computed once and read several times
+    fields = lines.withColumn("_s", decoded).select(
+        *lines.columns,
+        (F.col("_s").isNotNull() & F.col(f"_s.{UNDECODED}").isNull()).alias("_object"),
+        *[F.col(f"_s.{f}").alias(f"_v_{f}") for f in FIELDS],
     )
-    mm = F.col("_m")
+    typed = fields.select(
+        *lines.columns,
+        "_object",
+        "_v_metadata",
+        *[F.expr(f"try_variant_get(_v_{f}, '$', 'string')").alias(f"_t_{f}") for f in FIELDS],
+        *[F.schema_of_variant(f"_v_{f}").alias(f"_k_{f}") for f in FIELDS],
+    )
+    stripped = [*NON_BLANK_FIELDS, "geo_country", "source_ip"]
+    d = typed.select("*", *[strip(F.when(F.col(f"_k_{f}") == "STRING", F.col(f"_t_{f}"))).alias(f"_x_{f}") for f in stripped])
 
     def has(k: str) -> Column:
-        return F.map_contains_key(mm, k)
+        return F.col(f"_k_{k}").isNotNull()
 
     def raw(k: str) -> Column:
-        return mm.getItem(k)
+        return F.col(f"_t_{k}")
 
     def kind(k: str) -> Column:
-        return F.schema_of_variant(F.col("_t").getItem(k))
+        return F.col(f"_k_{k}")
 
     def text(k: str) -> Column:
         """The field where it is a JSON string."""
         return F.when(kind(k) == "STRING", raw(k))
 
+    def trimmed(k: str) -> Column:
+        return F.col(f"_x_{k}")
+
     def number(k: str) -> Column:
         """An integer: a whole number, a text of one, or a boolean."""
-        exact = F.expr(f"try_cast(trim(_m['{k}']) as decimal(38,6))")
-        whole = F.when(exact == F.floor(exact), F.expr(f"try_cast(try_cast(trim(_m['{k}']) as decimal(38,6)) as bigint)"))
+        exact = F.expr(f"try_cast(trim(_t_{k}) as decimal(38,6))")
+        whole = F.when(exact == F.floor(exact), F.expr(f"try_cast(try_cast(trim(_t_{k}) as decimal(38,6)) as bigint)"))
         return (
             F.when(kind(k) == "BOOLEAN", (raw(k) == "true").cast("long"))
             .when(kind(k) == "STRING", F.when(raw(k).rlike(INTEGER_PATTERN), whole))
             .when(kind(k).rlike("^(BIGINT|DECIMAL|DOUBLE)"), whole)
         )
 
-    is_obj = mm.isNotNull()
+    is_obj = F.col("_object")
     errs: list[Column] = [F.when(~is_obj, F.lit(MSG_OBJECT))]
     for f in REQUIRED_FIELDS:
         errs.append(_err(is_obj & raw(f).isNull(), f, MSG_REQUIRED))
     for f in (*NON_BLANK_FIELDS, "geo_country", "source_ip"):
         errs.append(_err(raw(f).isNotNull() & text(f).isNull(), f, MSG_STRING))
     for f in NON_BLANK_FIELDS:
-        errs.append(_err(strip(text(f)) == "", f, MSG_BLANK))
+        errs.append(_err(trimmed(f) == "", f, MSG_BLANK))
     for f, allowed in (("cloud_provider", CLOUD_PROVIDERS), ("principal_type", PRINCIPAL_TYPES), ("auth_result", AUTH_RESULTS)):
         errs.append(_err(raw(f).isNotNull() & ~F.coalesce(text(f).isin(allowed), F.lit(False)), f, MSG_CHOICE))
     gc = text("geo_country")
     errs.append(_err(F.length(gc) != 2, "geo_country", MSG_COUNTRY_LEN))
-    errs.append(_err((F.length(gc) == 2) & ~F.upper(strip(gc)).rlike(COUNTRY_PATTERN), "geo_country", MSG_COUNTRY))
-    ip = strip(text("source_ip"))
+    errs.append(_err((F.length(gc) == 2) & ~F.upper(trimmed("geo_country")).rlike(COUNTRY_PATTERN), "geo_country", MSG_COUNTRY))
+    ip = trimmed("source_ip")
     # an IPv6 address may end in an IPv4 one and may name a scope
     plain6 = F.regexp_replace(F.regexp_replace(ip, "%[^%]+$", ""), IPV4_TAIL_PATTERN, ":0:0")
     errs.append(_err(~(ip.rlike(IPV4_PATTERN) | plain6.rlike(IPV6_PATTERN)), "source_ip", MSG_IP))
@@ -143,7 +160,7 @@ def validate_events(lines: DataFrame, value_col: str = "value") -> DataFrame:
     tt = raw("timestamp")
     epoch = F.when(
         kind("timestamp").rlike("^(BIGINT|DECIMAL|DOUBLE)") | ((kind("timestamp") == "STRING") & tt.rlike(EPOCH_PATTERN)),
-        F.expr("try_cast(_m['timestamp'] as double)"),
+        F.expr("try_cast(_t_timestamp as double)"),
     )
     seconds = F.when(F.abs(epoch) > LARGEST_EPOCH_SECONDS, epoch / 1000).otherwise(epoch)
     ts = F.when(epoch.isNotNull(), F.timestamp_micros(F.round(seconds * 1_000_000).cast("long"))).otherwise(
@@ -157,34 +174,33 @@ def validate_events(lines: DataFrame, value_col: str = "value") -> DataFrame:
     # concat_ws skips NULLs and stays inside whole-stage codegen (a lambda filter would not)
     message = F.concat_ws(ERROR_SEP, *errs)
     errors = F.when(message == "", F.array().cast("array<string>")).otherwise(F.split(message, ERROR_SEP))
-    trimmed = {f: strip(text(f)) for f in NON_BLANK_FIELDS}
     out = d.select(
         *[c for c in lines.columns],
         is_obj.alias("is_object"),
-        trimmed["event_id"].alias("event_id"),
+        trimmed("event_id").alias("event_id"),
         ts.alias("timestamp"),
         ts_text.alias("timestamp_text"),
         F.unix_seconds(ts).alias("ts_sec"),
         F.substring(ts_text, 1, 10).alias("event_date"),
         raw("cloud_provider").alias("cloud_provider"),
-        trimmed["account_id"].alias("account_id"),
-        trimmed["user_id"].alias("user_id"),
+        trimmed("account_id").alias("account_id"),
+        trimmed("user_id").alias("user_id"),
         raw("principal_type").alias("principal_type"),
         ip.alias("source_ip"),
-        F.upper(strip(gc)).alias("geo_country"),
-        trimmed["region"].alias("region"),
-        trimmed["service_name"].alias("service_name"),
-        trimmed["api_action"].alias("api_action"),
-        trimmed["resource_type"].alias("resource_type"),
-        trimmed["resource_id"].alias("resource_id"),
+        F.upper(trimmed("geo_country")).alias("geo_country"),
+        trimmed("region").alias("region"),
+        trimmed("service_name").alias("service_name"),
+        trimmed("api_action").alias("api_action"),
+        trimmed("resource_type").alias("resource_type"),
+        trimmed("resource_id").alias("resource_id"),
         raw("auth_result").alias("auth_result"),
         F.coalesce(counts["bytes_sent"], F.lit(0).cast("long")).alias("bytes_sent"),
         F.coalesce(counts["bytes_received"], F.lit(0).cast("long")).alias("bytes_received"),
-        trimmed["device_fingerprint"].alias("device_fingerprint"),
-        trimmed["user_agent"].alias("user_agent"),
+        trimmed("device_fingerprint").alias("device_fingerprint"),
+        trimmed("user_agent").alias("user_agent"),
         F.coalesce(pb, F.lit(False)).alias("is_privileged_action"),
-        F.from_json(raw("metadata"), "map<string,string>").alias("metadata"),
-        F.coalesce(F.get_json_object(F.col(value_col), "$.metadata.scenario"), F.lit("unknown")).alias("scenario"),
+        F.expr("try_variant_get(_v_metadata, '$', 'map<string,string>')").alias("metadata"),
+        F.coalesce(F.expr("try_variant_get(_v_metadata, '$.scenario', 'string')"), F.lit("unknown")).alias("scenario"),
         errors.alias("errors"),
     )
     return out.withColumn("valid", F.size("errors") == 0)
