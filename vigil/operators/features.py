@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import delete_like, safe_ratio
 from ..schema import FEATURE_COLUMNS
-from .sweep import DEFAULT_BUCKET_SECONDS, Count, Distinct, Entropy, Family, FirstSeen, sweep
+from .sweep import DEFAULT_BUCKET_SECONDS, HOT_ROWS, Count, Distinct, Entropy, Family, FirstSeen, hot_buckets, sweep
 
 FIVE_MIN = 300
 TEN_MIN = 600
@@ -89,12 +89,13 @@ def _from_measures(name: str) -> Column:
     return DERIVED[name][1]().alias(name) if name in DERIVED else F.col(name)
 
 
-def family_features(ev: DataFrame, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+def family_features(ev: DataFrame, bucket_seconds: int = DEFAULT_BUCKET_SECONDS, hot: list[int] | None = None) -> DataFrame:
     """``seq`` + the 14 windowed/membership features."""
     f = sweep(
         ev.select("seq", "ts_sec", *FAMILY_INPUTS),
         [user_family(), ip_family(), account_family()],
         bucket_seconds=bucket_seconds,
+        hot=hot,
     )
     return f.select("seq", *[_from_measures(c) for c in FEATURE_COLUMNS if c not in ("is_privileged_action", "auth_failure")])
 
@@ -107,7 +108,9 @@ def single_feature(events: DataFrame, name: str, bucket_seconds: int = DEFAULT_B
         if any(parts.values()):
             break
     ev = dedup_events(events.select("event_id", "seq", "ts_sec", *FAMILY_INPUTS))
-    f = sweep(ev, [replace(family, **parts)], bucket_seconds=bucket_seconds)
+    family = replace(family, **parts)
+    hot = hot_buckets(events, [family], bucket_seconds=bucket_seconds)
+    f = sweep(ev, [family], bucket_seconds=bucket_seconds, hot=hot)
     return ev.select("event_id", "seq").join(f, "seq").select("event_id", _from_measures(name))
 
 
@@ -116,14 +119,24 @@ def feature_snapshot(
     *,
     dedup: bool = True,
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+    context: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Events + the 16 feature columns (one row per distinct ``event_id``).
 
     ``events`` needs ``seq`` (unique, >= 0, arrival order) and ``ts_sec`` (whole
-    UTC seconds) besides the event fields.
+    UTC seconds) besides the event fields. Events of ``context`` (the sweep's columns)
+    count in the windows without being returned. A key's bucket of more than ``hot_rows`` events
+    is split (measured before the repeats go).
     """
     ev = dedup_events(events) if dedup else events
-    out = ev.join(family_features(ev, bucket_seconds), "seq")
+    seen = ev.select("seq", "ts_sec", *FAMILY_INPUTS)
+    if context is not None:
+        seen = seen.unionByName(context.select(*seen.columns))
+    measured = events if context is None else events.select("ts_sec", *FAMILY_INPUTS).unionByName(context.select("ts_sec", *FAMILY_INPUTS))
+    families = [user_family(), ip_family(), account_family()]
+    hot = hot_buckets(measured, families, bucket_seconds=bucket_seconds, hot_rows=hot_rows)
+    out = ev.join(family_features(seen, bucket_seconds, hot), "seq")
     out = out.withColumn("auth_failure", F.col("auth_result") == "failure")
     feats = [c for c in FEATURE_COLUMNS if c != "is_privileged_action"]
     return out.select(*ev.columns, *feats)

@@ -11,12 +11,14 @@ is then exactly the windowed aggregate. Distinct counts and entropy reduce to
 the same shape: a first running count per ``(key, value)`` turns into change
 rows ``f(c_after) - f(c_before)`` that a second running sum per key adds up.
 
-Running sums are computed in two levels so that a hot key never lands in one
-task: a local sum per ``(key, time bucket)`` plus the carried total of all
-earlier buckets of the key (a small per-bucket table). Both levels are plain
-window functions with an unbounded-preceding frame, which Spark evaluates
-incrementally in one pass over sorted rows (a bounded RANGE frame would be
-re-aggregated for every row).
+Running sums are computed in levels so that a hot key never lands in one task: a
+local sum per ``(key, time bucket)`` plus the carried total of all earlier buckets
+of the key (a small per-bucket table). Buckets that are measured to hold many events
+of a key are split further, into seconds and blocks of arrival numbers, with a
+carried total of their own (``hot_buckets``), so a burst inside one bucket, even
+inside one second, spreads over tasks as well. All levels are plain window functions
+with an unbounded-preceding frame, which Spark evaluates incrementally in one pass
+over sorted rows (a bounded RANGE frame would be re-aggregated for every row).
 """
 
 from __future__ import annotations
@@ -27,11 +29,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET_SECONDS = 3600
+HOT_ROWS = 200_000  # events of one key in one bucket from which the bucket is split
+HOT_LISTED = 10_000  # so many hot buckets are split at most, the largest ones
+ORD_BLOCK = 1 << 16  # arrival numbers that stay together in one second of a hot bucket
 
 BKT = "_bkt"
 T = "_t"
 ORD = "_ord"
 ARRIVAL = "_arrival"
+PARTS = ["_sec", "_blk"]  # parts of a bucket: 0, 0 unless it is hot
+
+
+def _carried(totals: DataFrame, over: list[str], order: list[str], values: list[str]) -> list[Column]:
+    """Sums of the rows before this one."""
+    before = Window.partitionBy(*over).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return [F.coalesce(F.sum(v).over(before), F.lit(0)) for v in values]
 
 
 def running_sum(
@@ -41,15 +53,23 @@ def running_sum(
     *,
     slot_values: list[str] | tuple[str, ...] = (),
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+    hot: Column | None = None,
 ) -> DataFrame:
     """Add ``<v>_cum`` (running sum of ``v`` per ``keys`` in slot order, peers included)
     for every ``v`` in ``values`` and ``<s>_slot`` (sum over the rows of the same slot).
 
-    ``df`` must carry the slot columns ``_t`` (long seconds) and ``_ord`` (long).
+    ``df`` must carry the slot columns ``_t`` (long seconds) and ``_ord`` (long). Rows for which
+    ``hot`` (may read ``_bkt``) holds are summed in parts of their bucket; it must be the same for
+    all rows of a key's bucket.
     """
-    part = [*keys, BKT]
-    # one exchange serves the local sums and the bucket totals
-    d = df.withColumn(BKT, F.floor(F.col(T) / F.lit(bucket_seconds))).repartition(*part)
+    bucket = [*keys, BKT]
+    part = [*bucket, *PARTS] if hot is not None else bucket
+    d = df.withColumn(BKT, F.floor(F.col(T) / F.lit(bucket_seconds)))
+    if hot is not None:
+        second = F.when(hot, F.col(T)).otherwise(F.lit(0))
+        d = d.withColumns({"_sec": second.cast("long"), "_blk": F.when(hot, F.floor(F.col(ORD) / ORD_BLOCK)).otherwise(F.lit(0)).cast("long")})
+    # one exchange serves the local sums and the totals
+    d = d.repartition(*part)
     # Default frame with an ORDER BY is RANGE UNBOUNDED PRECEDING .. CURRENT ROW:
     # rows of the same slot are peers and all included.
     w_local = Window.partitionBy(*part).orderBy(T, ORD)
@@ -59,13 +79,18 @@ def running_sum(
         cols += [F.sum(s).over(w_slot).alias(f"{s}_slot") for s in slot_values]
     local = d.select("*", *cols)
 
-    totals = d.groupBy(*part).agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
-    w_carry = Window.partitionBy(*keys).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *part, *[F.coalesce(F.sum(f"_tot_{v}").over(w_carry), F.lit(0)).alias(f"_car_{v}") for v in values]
-    )
+    sums = [f"_tot_{v}" for v in values]
+    carries = [f"_car_{v}" for v in values]
+    totals = d.groupBy(*part).agg(*[F.sum(v).alias(t) for v, t in zip(values, sums)])
+    if hot is None:
+        carry = totals.select(*part, *[c.alias(n) for c, n in zip(_carried(totals, keys, [BKT], sums), carries)])
+    else:
+        inside = totals.select(*part, *[c.alias(f"_in{n}") for c, n in zip(_carried(totals, bucket, PARTS, sums), carries)])
+        whole = totals.groupBy(*bucket).agg(*[F.sum(t).alias(t) for t in sums])
+        whole = whole.select(*bucket, *[c.alias(n) for c, n in zip(_carried(whole, keys, [BKT], sums), carries)])
+        carry = inside.join(whole, bucket).select(*part, *[(F.col(n) + F.col(f"_in{n}")).alias(n) for n in carries])
     out = local.join(carry, part, "inner")
-    keep = [c for c in local.columns if not c.startswith("_loc_") and c != BKT]
+    keep = [c for c in local.columns if not c.startswith("_loc_") and c not in (BKT, *PARTS)]
     return out.select(
         *keep,
         *[(F.col(f"_loc_{v}") + F.col(f"_car_{v}")).alias(f"{v}_cum") for v in values],
@@ -131,6 +156,46 @@ def _or_all(conds: list[Column]) -> Column:
     return out
 
 
+def _bucket_id(fam: Column, key: Column, bucket: Column) -> Column:
+    return F.xxhash64(fam.cast("int"), key.cast("string"), bucket.cast("long"))
+
+
+def hot_buckets(
+    ev: DataFrame,
+    families: list[Family],
+    *,
+    t_col: str = "ts_sec",
+    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+    hot_rows: int = HOT_ROWS,
+) -> list[int]:
+    """Hashes of the (family, key, bucket) that get the arrivals or expiries of more than ``hot_rows`` events.
+
+    One aggregate over the events, combined before its exchange; at most ``HOT_LISTED`` of the
+    largest groups are returned (a group beyond them is summed as one).
+    """
+    bucket = F.floor(F.col(t_col) / F.lit(bucket_seconds))
+    keys = [F.struct(F.lit(fi).alias("fam"), F.col(f.key).cast("string").alias("key")) for fi, f in enumerate(families)]
+    found = (
+        ev.select(bucket.alias("b"), F.explode(F.array(*keys)).alias("k"))
+        .groupBy("k.fam", "k.key", "b")
+        .count()
+        .where((F.col("count") > hot_rows) & F.col("key").isNotNull())
+        .orderBy(F.desc("count"))
+        .limit(HOT_LISTED)
+        .collect()
+    )
+    marked = set()
+    for r in found:
+        family = families[r.fam]
+        windows = {m.seconds for m in (*family.counts, *family.distincts, *family.entropies)} - {None}
+        ends = {(r.b * bucket_seconds + w + 1) // bucket_seconds for w in windows}
+        marked |= {(r.fam, r.key, b) for b in {r.b} | ends | {e + 1 for e in ends}}
+    if not marked:
+        return []
+    rows = ev.sparkSession.createDataFrame(sorted(marked), "fam int, key string, b long")
+    return [r[0] for r in rows.select(_bucket_id(F.col("fam"), F.col("key"), F.col("b"))).collect()]
+
+
 def sweep(
     ev: DataFrame,
     families: list[Family],
@@ -138,23 +203,26 @@ def sweep(
     t_col: str = "ts_sec",
     seq_col: str = "seq",
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+    hot: list[int] | None = None,
 ) -> DataFrame:
     """All windowed measures of several key families in one pass.
 
     Returns one row per event: ``seq`` and one column per measure (counts and
     sums as long, distinct counts as long, entropy as double rounded to 3
     places, first-seen flags as boolean). Measure names must be unique across
-    families.
+    families. ``hot`` are the buckets to split, from ``hot_buckets``.
 
     Plan shape: stage 1 = one running count per ``(family, key, measure, value)``
     (distinct / entropy / first-seen); stage 2 = one running sum per
     ``(family, key)`` over the count rows and the stage-1 change rows; then one
     aggregate by ``seq`` folds the per-family rows together. The event rows are
-    fanned out by one ``explode`` per stage, written as a single SQL expression.
+    fanned out by one ``explode`` per stage, written as a single SQL expression. Rows are
+    narrow: a stage-1 row holds its measure's number and its value's 64-bit hash, a stage-2 row as
+    many sums as the largest family has measures (families share the columns).
     """
     counts: list[tuple[int, Count]] = []
     dims: list[tuple[int, str, str, int | None, str]] = []  # (fam, name, value col, seconds, kind)
-    flags: list[tuple[int, str, str]] = []  # (fam, flag name, dim name)
+    flags: list[tuple[int, str, int]] = []  # (fam, flag name, number of its dim)
     for fi, fam in enumerate(families):
         for c in fam.counts:
             counts.append((fi, c))
@@ -165,16 +233,21 @@ def sweep(
         for e in fam.entropies:
             dims.append((fi, e.name, e.value, e.seconds, "entropy"))
         for f in fam.firsts:
-            host = next((d for d in dims if d[0] == fi and d[2] == f.value), None)
+            host = next((k for k, d in enumerate(dims) if d[0] == fi and d[2] == f.value), None)
             if host is None:
-                host = (fi, f"{f.name}__dim", f.value, None, "first")
-                dims.append(host)
-            flags.append((fi, f.name, host[1]))
-
-    count_names = [c.name for _, c in counts]
-    dim_measures = [d[1] for d in dims if d[4] != "first"]
-    flag_names = [f[1] for f in flags]
-    measures = count_names + dim_measures
+                host = len(dims)
+                dims.append((fi, f"{f.name}__dim", f.value, None, "first"))
+            flags.append((fi, f.name, host))
+
+    # families share the columns m0, m1, ... (sums) and f0, f1, ... (flags)
+    place: dict[str, tuple[int, str]] = {}
+    for fi in range(len(families)):
+        names = [c.name for f2, c in counts if f2 == fi] + [d[1] for d in dims if d[0] == fi and d[4] != "first"]
+        place |= {n: (fi, f"m{k}") for k, n in enumerate(names)}
+        place |= {n: (fi, f"f{k}") for k, n in enumerate(f[1] for f in flags if f[0] == fi)}
+    sums = sorted({c for _, c in place.values() if c[0] == "m"}, key=lambda c: int(c[1:]))
+    marks = sorted({c for _, c in place.values() if c[0] == "f"})
+    split = _bucket_id(F.col("_fam"), F.col("_key"), F.col(BKT)).isin(hot) if hot else None
 
     # one projection holds every input of the fan-out: time, seq, keys, measure values, dim values
     value_cols = sorted({d[2] for d in dims})
@@ -183,67 +256,67 @@ def sweep(
         F.col(seq_col).cast("long").alias("_sv"),
         *[F.col(fam.key).cast("string").alias(f"_k{fi}") for fi, fam in enumerate(families)],
         *[c.expr.cast("long").alias(f"_m{j}") for j, (_, c) in enumerate(counts)],
-        *[F.col(v).cast("string").alias(f"_v_{v}") for v in value_cols],
+        *[F.when(F.col(v).isNotNull(), F.xxhash64(F.col(v).cast("string"))).alias(f"_v_{v}") for v in value_cols],
     )
 
     # ---------------- stage 1: running counts per (family, key, measure, value) ----------------
     change_rows = None
     if dims:
         structs = []
-        for fi, name, value, seconds, _kind in dims:
-            head = f"'_fam', {fi}, '_key', _k{fi}, 'dim', '{name}', 'val', _v_{value}"
-            structs.append(f"named_struct({head}, '{T}', _tv, '{ORD}', _sv, 'd', 1L, 'ever', 1L)")
+        for k, (fi, _name, value, seconds, _kind) in enumerate(dims):
+            head = f"'_fam', {fi}, '_key', _k{fi}, 'dim', {k}, 'val', _v_{value}"
+            structs.append(f"named_struct({head}, '{T}', _tv, '{ORD}', _sv, 'd', 1, 'ever', 1)")
             if seconds is not None:
                 structs.append(
-                    f"named_struct({head}, '{T}', _tv + {seconds + 1}L, '{ORD}', -1L - _sv, 'd', -1L, 'ever', 0L)"
+                    f"named_struct({head}, '{T}', _tv + {seconds + 1}L, '{ORD}', -1L - _sv, 'd', -1, 'ever', 0)"
                 )
-        s1 = base.select(F.expr(f"explode(array({', '.join(structs)}))").alias("r")).select("r.*")
-        s1 = running_sum(s1, ["_fam", "_key", "dim", "val"], ["d", "ever"], bucket_seconds=bucket_seconds)
+        s1 = base.select(F.expr(f"explode(array({', '.join(structs)}))").alias("r")).select("r.*").where("_key is not null and val is not null")
+        s1 = running_sum(s1, ["_fam", "_key", "dim", "val"], ["d", "ever"], bucket_seconds=bucket_seconds, hot=split)
         c_after = F.col("d_cum")
         c_before = F.col("d_cum") - F.col("d")
+        change = {
+            "distinct": (c_after >= 1).cast("long") - (c_before >= 1).cast("long"),
+            "entropy": _xlogx(c_after.cast("double")) - _xlogx(c_before.cast("double")),
+        }
+
+        def into(column: str, values: list[tuple[int, Column]]) -> Column:
+            """The value of the row's own dim, among those that go to this column."""
+            out = F.lit(0).cast("long")
+            for k, value in values:
+                out = F.when(F.col("dim") == k, value).otherwise(out)
+            return out.cast("long").alias(column)
+
+        moved = {c: [(k, change[d[4]]) for k, d in enumerate(dims) if d[4] != "first" and place[d[1]][1] == c] for c in sums}
+        first = ((F.col("d") == 1) & (F.col("ever_cum") == 1)).cast("long")
+        # several flags may hang on one dim of a family, each in a column of its own
+        moved |= {c: [(host, first) for _, name, host in flags if place[name][1] == c] for c in marks}
+        used = [c for c, values in moved.items() if values]
         sel = [F.col("_fam"), F.col("_key"), F.col(T), F.col(ORD), F.lit(0).alias(ARRIVAL), F.lit(None).cast("long").alias("_seq")]
-        sel += [F.lit(0).cast("long").alias(n) for n in count_names]
-        for fi, name, value, seconds, kind in dims:
-            if kind == "first":
-                continue
-            if kind == "distinct":
-                change = (c_after >= 1).cast("long") - (c_before >= 1).cast("long")
-            else:
-                change = _xlogx(c_after.cast("double")) - _xlogx(c_before.cast("double"))
-            sel.append(F.when(F.col("dim") == name, change).otherwise(F.lit(0)).cast("long").alias(name))
-        for fi, fname, dname in flags:
-            first = (F.col("dim") == dname) & (F.col("d") == 1) & (F.col("ever_cum") == 1)
-            sel.append(first.cast("long").alias(fname))
-        change_rows = s1.select(*sel).where(_or_all([F.col(n) != 0 for n in dim_measures + flag_names]))
+        change_rows = s1.select(*sel, *[into(c, moved[c]) for c in (*sums, *marks)]).where(_or_all([F.col(c) != 0 for c in used]))
 
     # ---------------- stage 2: running sums per (family, key) ----------------
     structs = []
     for fi, fam in enumerate(families):
         mine = {j: c for j, (f2, c) in enumerate(counts) if f2 == fi}
 
-        def struct_sql(t_sql: str, ord_sql: str, arrival: int, seq_sql: str, vals: dict[int, str]) -> str:
+        def struct_sql(t_sql: str, ord_sql: str, arrival: int, seq_sql: str, vals: dict[str, str]) -> str:
             parts = [f"'_fam', {fi}", f"'_key', _k{fi}", f"'{T}', {t_sql}", f"'{ORD}', {ord_sql}",
                      f"'{ARRIVAL}', {arrival}", f"'_seq', {seq_sql}"]
-            for j, n in enumerate(count_names):
-                parts.append(f"'{n}', {vals.get(j, '0L')}")
-            for n in dim_measures:
-                parts.append(f"'{n}', 0L")
-            for n in flag_names:
-                parts.append(f"'{n}', 0L")
+            parts += [f"'{c}', {vals.get(c, '0L')}" for c in (*sums, *marks)]
             return "named_struct(" + ", ".join(parts) + ")"
 
-        structs.append(struct_sql("_tv", "_sv", 1, "_sv", {j: f"_m{j}" for j in mine}))
+        structs.append(struct_sql("_tv", "_sv", 1, "_sv", {place[c.name][1]: f"_m{j}" for j, c in mine.items()}))
         for w in sorted({c.seconds for c in mine.values() if c.seconds is not None}):
-            vals = {j: f"-_m{j}" for j, c in mine.items() if c.seconds == w}
+            vals = {place[c.name][1]: f"-_m{j}" for j, c in mine.items() if c.seconds == w}
             structs.append(struct_sql(f"_tv + {w + 1}L", "-1L - _sv", 0, "CAST(NULL AS BIGINT)", vals))
     s2 = base.select(F.expr(f"explode(array({', '.join(structs)}))").alias("r")).select("r.*")
     if change_rows is not None:
         s2 = s2.unionByName(change_rows)
-    s2 = running_sum(s2, ["_fam", "_key"], measures, slot_values=flag_names, bucket_seconds=bucket_seconds)
+    s2 = running_sum(s2.where("_key is not null"), ["_fam", "_key"], sums, slot_values=marks, bucket_seconds=bucket_seconds, hot=split)
     arrivals = s2.where(F.col(ARRIVAL) == 1)
 
     # ---------------- fold the per-family arrival rows by seq ----------------
-    aggs = [F.sum(f"{n}_cum").alias(n) for n in measures] + [F.sum(f"{n}_slot").alias(n) for n in flag_names]
+    aggs = [F.sum(F.when(F.col("_fam") == fi, F.col(f"{c}_{'cum' if c[0] == 'm' else 'slot'}"))).alias(n) for n, (fi, c) in place.items()]
     folded = arrivals.groupBy(F.col("_seq").alias(seq_col)).agg(*aggs)
 
     out = [F.col(seq_col)]
