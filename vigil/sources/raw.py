@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import json_string
 from ..schema import RAW_EVENTS_TOPIC
+from ..operators.topn import first_rows
 from .store import materialize
 
 # The line shapes (one per validation constraint, plus good variants).
@@ -175,7 +176,7 @@ def replay_slice(lines: DataFrame, start_line: int = 1, limit: int | None = None
     """
     out = lines.where((F.col(line_col) >= start_line) & (F.trim(F.col("value")) != ""))
     if limit is not None:
-        out = out.orderBy(line_col).limit(max(limit, 1))
+        out = first_rows(out, max(limit, 1), [F.col(line_col)])
     return out
 
 
@@ -189,6 +190,21 @@ def _number(rows: DataFrame, blocks: list[str], order: str, name: str) -> DataFr
     return rows.withColumn("_inside", inside).join(first, blocks).withColumn(name, F.col("_first") + F.col("_inside")).drop("_inside", "_first")
 
 
+def arrival_numbers(rows: DataFrame, order: tuple[str, ...] = ("arrival_ts", "source_partition", "source_offset"), name: str = "seq", start: int = 0) -> DataFrame:
+    """``rows`` plus dense numbers from ``start`` on in arrival order, whatever partition of the source they came from.
+
+    The rows are dealt into ranges of the order and numbered inside them, on top of the counts of the ranges
+    before; ties of time go by partition, then offset.
+    """
+    placed = materialize(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "arrivals")
+    counts = placed.groupBy("_range").count()
+    # one row per range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("_range", (F.coalesce(F.sum("count").over(before), F.lit(0)) + F.lit(start - 1)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return placed.withColumn("_inside", inside).join(first, "_range").withColumn(name, F.col("_first") + F.col("_inside")).drop("_inside", "_first", "_range")
+
+
 def replay_archive(spark: SparkSession, path: str, start_line: int = 1, limit: int | None = None) -> DataFrame:
     """``(line_no, value)`` of a written archive: as ``replay_slice`` over its physical lines.
 
@@ -217,21 +233,17 @@ def replay_to(lines: DataFrame, path: str) -> None:
 def read_message_source(spark: SparkSession, fmt: str, path_or_topic: str, options: dict | None = None, stream: bool = False) -> DataFrame:
     """Event messages as ``(seq, arrival_ts, value)``.
 
-    ``fmt='kafka'`` reads a topic from the earliest offset (seq = offset, partition-major,
-    when the connector is on the classpath); ``'text'`` reads folders of JSON lines
-    (seq from the file order in batch; assigned per micro-batch in a stream).
+    ``fmt='kafka'`` reads a topic from the earliest offset: in batch, seq numbers the messages of all
+    partitions by arrival; a stream keeps ``source_partition`` and ``source_offset``, by which each
+    micro-batch is numbered (the connector must be on the classpath). ``'text'`` reads folders of JSON
+    lines (seq from the file order in batch; assigned per micro-batch in a stream).
     """
     options = dict(options or {})
     reader = spark.readStream if stream else spark.read
     if fmt == "kafka":
         options.setdefault("subscribe", path_or_topic or RAW_EVENTS_TOPIC)
         options.setdefault("startingOffsets", "earliest")
-        df = reader.format("kafka").options(**options).load()
-        return df.select(
-            (F.col("partition").cast("long") * F.lit(1 << 40) + F.col("offset")).alias("seq"),
-            F.col("timestamp").alias("arrival_ts"),
-            F.col("value").cast("string").alias("value"),
-        )
+        return topic_messages(reader.format("kafka").options(**options).load(), stream)
     df = reader.format("text").options(**options).load(path_or_topic)
     if stream:
         # position ids are not available on a stream; foreachBatch assigns batch-major seq
@@ -239,3 +251,16 @@ def read_message_source(spark: SparkSession, fmt: str, path_or_topic: str, optio
     return df.select(
         F.monotonically_increasing_id().alias("seq"), F.current_timestamp().alias("arrival_ts"), "value"
     )
+
+
+def topic_messages(topic: DataFrame, stream: bool) -> DataFrame:
+    """Messages of a frame with a topic's columns (partition, offset, timestamp, value)."""
+    rows = topic.select(
+        F.col("partition").alias("source_partition"),
+        F.col("offset").alias("source_offset"),
+        F.col("timestamp").alias("arrival_ts"),
+        F.col("value").cast("string").alias("value"),
+    )
+    if stream:
+        return rows.withColumn("seq", F.lit(None).cast("long"))
+    return arrival_numbers(rows).select("seq", "arrival_ts", "value")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import iso_text, json_string_array
+from ..operators.topn import first_rows
 from ..schema import FEATURE_COLUMNS
 
 PARTITION_COLUMNS = ["event_date", "cloud_provider"]
@@ -59,10 +60,8 @@ def read_feature_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recent_feature_rows(rows: DataFrame, n: int | None = None) -> DataFrame:
-    """The ``n`` most recent rows by event time then arrival (all rows when ``n`` is None)."""
-    if n is None:
-        return rows
-    return rows.orderBy(F.desc("ts_sec"), F.desc("seq")).limit(n)
+    """The ``n`` most recent rows by event time then arrival (all rows when ``n`` is None), in no order."""
+    return rows if n is None else first_rows(rows, n, [-F.col("ts_sec"), -F.col("seq")])
 
 
 # ---------------------------------------------------------------- alert / dead-letter exports
@@ -141,3 +140,44 @@ def evolve_alerts(*frames: DataFrame) -> DataFrame:
         if default is not None:
             out = out.withColumn(c, F.coalesce(F.col(c), F.lit(default).cast(typ)))
     return out.withColumn("last_seen_at", F.coalesce(F.col("last_seen_at"), F.col("created_at")))
+
+
+NUMBERS = ["tinyint", "smallint", "int", "bigint", "float", "double"]
+
+
+def widest(frames: list[DataFrame]) -> list[DataFrame]:
+    """The frames with numeric columns cast to the widest type that any of them has; other differences are errors."""
+    types: dict[str, set[str]] = {}
+    for f in frames:
+        for name, kind in f.dtypes:
+            types.setdefault(name, set()).add(kind)
+    casts = {}
+    for name, kinds in types.items():
+        if len(kinds) > 1:
+            if not kinds <= set(NUMBERS):
+                raise ValueError(f"column {name} has the types {sorted(kinds)}")
+            # a float holds no large whole number
+            whole = kinds & {"int", "bigint"}
+            casts[name] = "double" if whole and kinds & {"float", "double"} else max(kinds, key=NUMBERS.index)
+    return [f.withColumns({n: F.col(n).cast(k) for n, k in casts.items() if n in f.columns}) for f in frames]
+
+
+def write_alert_version(export: DataFrame, folder: str, version: int) -> None:
+    """One stored version of the alert table, beside the others."""
+    export.write.mode("overwrite").parquet(f"{folder}/version={version}")
+
+
+def read_alert_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """All stored versions of the alert table as one, with the ``version`` each row was written in.
+
+    Every version is read with its own schema; columns that it lacks get their defaults, numbers the
+    widest type of all versions.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in files.listStatus(path))
+    versions = [int(n[len("version=") :]) for n in names if n.startswith("version=")]
+    if not versions:
+        raise ValueError(f"no version in {folder}")
+    frames = widest([spark.read.parquet(f"{folder}/version={v}") for v in versions])
+    return evolve_alerts(*[f.withColumn("version", F.lit(v)) for f, v in zip(frames, versions)])
