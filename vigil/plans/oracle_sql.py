@@ -812,4 +812,19 @@ def more_oracles() -> dict[str, str]:
         " coalesce(nullif(replace(ml_top_contributors, ' | ', ', '), ''), 'n/a') AS contributors_text, ml_explanation"
         " FROM alert_table WHERE alert_id = (SELECT min(alert_id) FROM alert_table)",
         "dead_letter_by_id": INGEST_CTES + letter.format(dead),
+        "training_snapshot": feature_query(FEATURES16),
+        "alerts_stored_versions": TABLE_CTES + """, v AS (
+            SELECT *, CASE WHEN substr(alert_id, 1, 1) < '5' THEN 1 WHEN substr(alert_id, 1, 1) <= '9' THEN 2 ELSE 3 END AS version FROM alert_table)
+          SELECT version, alert_id, severity, CASE WHEN version = 1 THEN created_ts ELSE last_seen_ts END AS last_seen_ts,
+            CASE WHEN version = 1 THEN '[]' ELSE '["' || replace(detection_sources, ' | ', '", "') || '"]' END AS detection_sources_json,
+            CASE WHEN version > 1 THEN model_version END AS model_version, CASE WHEN version = 3 THEN alert_fingerprint ELSE '' END AS alert_fingerprint,
+            CASE WHEN version = 1 THEN 0 ELSE suppression_count END::BIGINT AS suppression_count FROM v""",
+        "stream_late_events": INGEST_CTES + """SELECT seq, 'late' AS stage, 'LateEvent' AS error_type, false AS retryable FROM validated
+          WHERE len(errors) = 0 AND seq % 2 = 1 AND ts_sec < (SELECT max(ts_sec) FROM validated WHERE len(errors) = 0 AND seq % 2 = 0) - 86400
+          UNION ALL SELECT seq, 'validation', CASE WHEN json_valid(value) THEN 'ValidationError' ELSE 'JSONDecodeError' END, false
+          FROM validated WHERE len(errors) > 0""",
+        "stream_latency": INGEST_CTES + """SELECT stage, 2 AS batches,
+          CASE WHEN stage = 'validate' THEN (SELECT count(*) FROM validated) END AS rows,
+          CASE WHEN stage = 'validate' THEN (SELECT count(*) FROM validated WHERE len(errors) > 0) END AS failed, true AS sane
+          FROM (VALUES ('batch'), ('compact_state'), ('validate'), ('archive'), ('detect')) v(stage)""",
     }

@@ -662,7 +662,7 @@ QUERIES.update(
 )
 
 
-# ----------------------------------------------------------------- streaming and artifacts (rows-only checks)
+# ----------------------------------------------------------------- streaming and artifacts
 def _scratch(spark, name):
     import uuid
 
@@ -796,3 +796,80 @@ QUERIES.update(
     }
 )
 QUERIES.update({"stream_alerts": q_stream_alerts, "src_events_json": q_src_events_json, "model_artifact": q_model_artifact})
+
+
+def q_training_snapshot(spark, sf):
+    """The training snapshot written as CSV and read back with its types."""
+    from .train import read_snapshot, write_snapshot
+
+    path = _scratch(spark, "train-snapshot")
+    write_snapshot(_features(spark, sf), path)
+    return read_snapshot(spark, path).select("event_id", *FEATURE_COLUMNS)
+
+
+def q_alerts_stored_versions(spark, sf):
+    """Alerts stored by three versions of the table, dealt out by the first digit of their id, read as one."""
+    from ..sources.tables import export_alerts, read_alert_versions, write_alert_version
+
+    export = materialize(export_alerts(_alert_table(spark, sf)), "alert-export")
+    first = ["alert_id", "created_at", "severity", "title", "description", "anomaly_score", "confidence", "reasons_json", "recommended_actions_json", "event_json"]
+    second = [*first, "last_seen_at", "model_version", "detection_sources_json", "suppression_count"]
+    digit = F.substring("alert_id", 1, 1)
+    folder = _scratch(spark, "alert-versions")
+    write_alert_version(export.where(digit < "5").select(*first), folder, 1)
+    write_alert_version(export.where(digit.between("5", "9")).select(*second).withColumn("suppression_count", F.col("suppression_count").cast("int")), folder, 2)
+    write_alert_version(export.where(digit > "9"), folder, 3)
+    return read_alert_versions(spark, folder).select(
+        "version",
+        "alert_id",
+        "severity",
+        F.unix_seconds("last_seen_at").alias("last_seen_ts"),
+        "detection_sources_json",
+        "model_version",
+        "alert_fingerprint",
+        "suppression_count",
+    )
+
+
+def _streamed(spark, sf, name, **more):
+    """The messages of even, then of odd positions as two micro-batches; returns the stream's settings and its query."""
+    from ..streaming.stream import StreamConfig, start
+
+    lines = _lines(spark, sf).select("seq", "arrival_ts", "value")
+    src = _scratch(spark, f"{name}-src")
+    for odd in (0, 1):
+        lines.where(F.col("seq") % 2 == odd).coalesce(1).write.parquet(f"{src}/part{odd}")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    base = _scratch(spark, f"{name}-tables")
+    cfg = StreamConfig(base=base, **more)
+    query = start(spark, stream, cfg, f"{base}/_checkpoint")
+    query.processAllAvailable()
+    query.stop()
+    return cfg, query
+
+
+def q_stream_late_events(spark, sf):
+    """Events more than a day behind the batch before: dead letters of stage late, beside the others."""
+    cfg, _ = _streamed(spark, sf, "late-events", lateness_seconds=86400)
+    return spark.read.parquet(cfg.path("dead_letters")).select("seq", "stage", "error_type", "retryable")
+
+
+def q_stream_latency(spark, sf):
+    """Per stage of the stream's batches: batches and rows seen, and whether the times are in order."""
+    from ..streaming.latency import latency, progress
+
+    cfg, query = _streamed(spark, sf, "latency")
+    times = latency(spark.read.parquet(cfg.path("timings")))
+    sane = (F.col("avg_ms") > 0) & (F.col("avg_ms") <= F.col("max_ms")) & (F.col("max_ms") <= F.col("total_ms"))
+    whole = progress(spark, query).where("phase = 'addBatch' and input_rows > 0").agg(F.sum("millis").alias("m")).first()["m"]
+    return times.select("stage", "batches", "rows", "failed", (sane & (F.col("total_ms") <= F.lit(whole))).alias("sane"))
+
+
+QUERIES.update(
+    {
+        "training_snapshot": q_training_snapshot,
+        "alerts_stored_versions": q_alerts_stored_versions,
+        "stream_late_events": q_stream_late_events,
+        "stream_latency": q_stream_latency,
+    }
+)

@@ -34,8 +34,7 @@ def train(
     """
     train_df = recent_feature_rows(rows, limit)
     if snapshot_path:
-        # training snapshot with header (CSV cannot hold arrays; the 16 features + ids)
-        train_df.select("event_id", "scenario", *FEATURE_COLUMNS).write.mode("overwrite").option("header", True).csv(snapshot_path)
+        write_snapshot(train_df, snapshot_path)
     forest = fit_forest(train_df, trees=trees, contamination=contamination, seed=seed)
     scored = decision_function(train_df, forest)
     stats = feature_stats(scored, "raw_score")
@@ -44,6 +43,22 @@ def train(
     return forest, stats, metadata
 
 
+SNAPSHOT_TYPES = {"ip_failed_auth_rate_5m": "double", "account_service_entropy_1h": "double"} | dict.fromkeys(
+    ("is_privileged_action", "auth_failure", "is_new_country_for_user", "is_new_ip_for_user"), "boolean"
+)
+
+
+def write_snapshot(rows: DataFrame, path: str) -> None:
+    """The rows a model is trained on, as CSV with a header: id, scenario and the 16 features."""
+    rows.select("event_id", "scenario", *FEATURE_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """A training snapshot with the features' types; a file with other columns is an error."""
+    schema = ", ".join(["event_id string", "scenario string", *(f"{c} {SNAPSHOT_TYPES.get(c, 'bigint')}" for c in FEATURE_COLUMNS)])
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+
+
 def model_metadata(stats: DataFrame, breakdown: DataFrame, contamination: float, model_version: str, trained_at: str | None,
                    training_source: str) -> DataFrame:
     """One row: type, version, columns, rows, contamination, fraction, breakdown and statistic maps."""
