@@ -165,3 +165,60 @@ def test_wide_batches_get_distinct_numbers(spark):
     rows = spark.range(160).select(F.lit(None).cast("long").alias("seq"), F.col("id").cast("string").alias("value")).repartition(160)
     numbers = [sorted(r.seq for r in number_rows(rows, b).collect()) for b in (0, 1)]
     assert numbers == [list(range(160)), [(1 << 40) + k for k in range(160)]]
+
+
+def _expected(spark, lines):
+    v = materialize(validate_events(lines), "test-validated")
+    return {r.event_id: tuple(r[c] for c in FEATURE_COLUMNS) for r in feature_snapshot(v.where("valid").drop("errors", "valid")).collect()}
+
+
+def test_a_busy_key_is_read_thinned(spark, tmpdir_path):
+    """A day of one user: later batches read few of its rows, and their features are those of one run over all of them."""
+    from vigil.streaming import stream
+
+    def at(seconds):
+        return f"{seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}"
+
+    def event(k, seconds):
+        more = {"source_ip": f"10.0.0.{k % 3 + 1}", "geo_country": ("US", "DE")[k % 2], "auth_result": ("success", "failure")[k % 5 == 0]}
+        return (f"e{k}", at(seconds), more)
+
+    early = [event(k, 60 + 25 * k) for k in range(2000)]  # 14 hours
+    late = [event(3000 + k, 80_000 + 100 * k) for k in range(5)] + [event(4, 60)]  # and a repeat
+    cfg = StreamConfig(os.path.join(tmpdir_path, "t"), state_buckets=4, lateness_seconds=90_000)
+    seen = []
+    kept = stream._context
+    stream._context = lambda *a: seen.append(rows := materialize(kept(*a), "test-context")) or rows
+    try:
+        stream.process_batch(spark, cfg, _messages(spark, *early), 0)
+        stream.process_batch(spark, cfg, _messages(spark, *late), 1)
+    finally:
+        stream._context = kept
+    assert seen[0].count() == 0 and 0 < seen[1].count() < 500  # slots of 15 minutes, 6 combinations each
+    everything = _messages(spark, *early).withColumn("seq", F.substring(F.get_json_object("value", "$.event_id"), 2, 9).cast("long")).unionByName(
+        _messages(spark, *late[:-1]).withColumn("seq", F.substring(F.get_json_object("value", "$.event_id"), 2, 9).cast("long"))
+    )
+    got = {r.event_id: tuple(r[c] for c in FEATURE_COLUMNS) for r in spark.read.parquet(cfg.path("features")).collect()}
+    assert got == _expected(spark, everything) and len(got) == 2005
+    times = {r.stage: r for r in spark.read.parquet(cfg.path("timings")).where("batch_id = 1").collect()}
+    assert set(times) == {"batch", "compact_state", "validate", "archive", "detect"} and times["validate"].rows == 6
+    assert times["batch"].millis >= times["detect"].millis > 0
+    # stored features are read by day
+    assert "event_date=2024-01-01" in spark.read.parquet(cfg.path("features")).where("event_date = '2024-01-01'").inputFiles()[0]
+
+
+def test_history_out_of_reach_goes(spark, tmpdir_path):
+    from vigil.streaming.stream import compact_state, process_batch
+
+    cfg = StreamConfig(os.path.join(tmpdir_path, "t"), lateness_seconds=0, state_buckets=2, state_fan=2)
+    for batch, day in enumerate(("2024-01-01", "2024-01-01", "2024-01-05")):
+        message = _messages(spark, (f"e{batch}", f"0{batch}:00:00", {})).withColumn("value", F.replace("value", F.lit("2024-01-01"), F.lit(day)))
+        process_batch(spark, cfg, message, batch)
+    assert len([n for n in os.listdir(cfg.path("history")) if n.startswith("hour=")]) == 3
+    compact_state(spark, cfg, 3)
+    assert len([n for n in os.listdir(cfg.path("history")) if n.startswith("hour=")]) == 1
+    from vigil.streaming.stream import _states
+
+    states = _states(spark, cfg)
+    assert {r.event_id for r in states["recent_by_user"].read(3).where("ts_sec > 0").collect()} <= {"e0", "e1", "e2"}
+    assert states["first_seen"].read(3).count() == 3

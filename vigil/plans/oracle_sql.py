@@ -820,7 +820,7 @@ def more_oracles() -> dict[str, str]:
             CASE WHEN version > 1 THEN model_version END AS model_version, CASE WHEN version = 3 THEN alert_fingerprint ELSE '' END AS alert_fingerprint,
             CASE WHEN version = 1 THEN 0 ELSE suppression_count END::BIGINT AS suppression_count FROM v""",
         "stream_late_events": INGEST_CTES + """SELECT seq, 'late' AS stage, 'LateEvent' AS error_type, false AS retryable FROM validated
-          WHERE len(errors) = 0 AND seq % 2 = 1 AND ts_sec < (SELECT max(ts_sec) FROM validated WHERE len(errors) = 0 AND seq % 2 = 0) - 86400
+          WHERE len(errors) = 0 AND seq % 2 = 1 AND ts_sec < (SELECT max(ts_sec) FROM validated WHERE len(errors) = 0 AND seq % 2 = 0) - 3600
           UNION ALL SELECT seq, 'validation', CASE WHEN json_valid(value) THEN 'ValidationError' ELSE 'JSONDecodeError' END, false
           FROM validated WHERE len(errors) > 0""",
         "stream_latency": INGEST_CTES + """SELECT stage, 2 AS batches,

@@ -849,8 +849,8 @@ def _streamed(spark, sf, name, **more):
 
 
 def q_stream_late_events(spark, sf):
-    """Events more than a day behind the batch before: dead letters of stage late, beside the others."""
-    cfg, _ = _streamed(spark, sf, "late-events", lateness_seconds=86400)
+    """Events more than an hour behind the batch before: dead letters of stage late, beside the others."""
+    cfg, _ = _streamed(spark, sf, "late-events", lateness_seconds=3600)
     return spark.read.parquet(cfg.path("dead_letters")).select("seq", "stage", "error_type", "retryable")
 
 
