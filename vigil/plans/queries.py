@@ -19,7 +19,7 @@ from ..operators.features import dedup_events, feature_snapshot, single_feature
 from ..operators.scoring import PERCENTILES, feature_stats, feature_vector, scenario_breakdown, score_band, score_no_model
 from ..schema import FEATURE_COLUMNS
 from ..sources.fixtures import security_events
-from ..sources.store import materialize
+from ..sources.store import materialize, spread
 from .detect import alert_flat, scored_events
 
 SEP = " | "
@@ -31,7 +31,7 @@ def _joined(c: str | Column) -> Column:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return security_events(spark, sf)
+    return spread(security_events(spark, sf), "seq")
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:

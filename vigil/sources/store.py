@@ -26,6 +26,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over at least as many tasks as the cluster runs at once: a source of fewer partitions (a small
+    or unsplittable file) is dealt out by ``key``, a larger one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def _hadoop(spark, path: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
