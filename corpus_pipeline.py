@@ -18,23 +18,23 @@ from vigil.sources.store import materialize
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels that aren't held out, accepts."""
+    """Documents that the classifier, fitted on the labels that aren't held out, accepts (equal texts alike)."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(docs, model).filter("predicted = 1").select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest doc_id."""
+    """Of documents with equal texts those with the largest doc_id (a null one is below all others)."""
     return exact_dedup(docs).filter("kept").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked the one with the smallest doc_id."""
+    """Of documents whose fingerprints are linked those with the smallest doc_id; texts without words link with each other."""
     return simhash_dedup(docs, words=4, radius=4).filter("kept").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Equal expected shares of all sources, as many rows as came in; a row per copy."""
+    """Equal expected shares of all sources, a null source included, as many rows as came in; a row per copy."""
     return poisson_mix(docs).select(*docs.columns)
 
 
