@@ -2,13 +2,14 @@ import hashlib
 import math
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from llm import plain
 from vigil.llm.mixing import poisson_cdf, poisson_mix, repetition_rates
-from vigil.llm.queries import QUERIES
+from vigil.llm.queries import ORACLES, QUERIES
 
 
 def number(*parts):
@@ -91,3 +92,19 @@ def test_query_is_native_and_whole(spark):
     assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "Pandas"))
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "source").collect()]
     assert got(df) == expected(rows)
+
+
+def test_sql_keeps_all_copies_of_rare_sources(spark):
+    rows = [(k, f"s{k % 4}") for k in range(3000)] + [(4000, None), (4001, None), (4002, None), (5000, "rare")]
+    df = frame(spark, rows)
+    documents = df.toPandas()  # noqa: F841 (the table of the SQL)
+    found = duckdb.sql(ORACLES["op7_poisson_mix"]).fetchall()
+    keys = [(i, s, n, c, key) for i, _, _, s, _, n, c, key in found]
+    assert Counter(keys) == Counter((r.doc_id, r.source, r.n_copies, r.copy, r.shuffle_key) for r in poisson_mix(df).collect())
+    assert max(n for _, s, n, *_ in keys if s == "rare") > 400
+
+
+def test_rows_of_a_hot_source_spread_over_the_tasks(spark):
+    rows = [(k, "big") for k in range(4000)]
+    sizes = poisson_mix(frame(spark, rows)).groupBy(F.spark_partition_id().alias("t")).count().toPandas()["count"]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sizes.max() < 1.5 * sizes.min()

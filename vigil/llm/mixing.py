@@ -3,7 +3,7 @@
 A source's mean repetition rate is its target share of the output over its share of the input. Each
 document's number of copies is the Poisson quantile, with that mean, of a number hashed from the seed
 and its id: sources need no second pass, and the same documents come out on every run. The copies are
-then put in one global order by a hash of id and copy.
+then put in one global order by a hash of id and copy, whose ranges are dealt to the tasks.
 """
 
 from __future__ import annotations
@@ -92,4 +92,11 @@ def poisson_mix(
         .withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit("order"), F.lit(seed), "copy", ident).cast("binary")))
     )
     columns = [F.col(f"`{c}`") for c in base.columns]
-    return copies.select(*columns, "n_copies", "copy", "shuffle_key").orderBy("shuffle_key", ident, "copy")
+    # the keys are uniform, so equal ranges of their first 32 bits share the rows evenly: no sample is drawn for the order
+    ranges = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * F.lit(ranges)
+    return (
+        copies.select(*columns, "n_copies", "copy", "shuffle_key")
+        .repartitionById(ranges, F.shiftright(place, 32).cast("int"))
+        .sortWithinPartitions("shuffle_key", ident, "copy")
+    )

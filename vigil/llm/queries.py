@@ -174,14 +174,21 @@ ORACLES = {
     "op7_poisson_mix": """
         WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
         rates AS (SELECT source, (1.0::DOUBLE / (SELECT count(*) FROM sizes) * (SELECT sum(n) FROM sizes)::DOUBLE / n) AS rate FROM sizes),
-        terms AS (SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM rates, range(0, 200) AS r(k)),
-        cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
-        lists AS (SELECT source, list(c ORDER BY k) AS cs FROM cdf GROUP BY source),
-        drawn AS (SELECT d.*, len(list_filter(cs, lambda c: c <= ('0x' || substr(md5('7|0|' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)) AS n_copies
-                  FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source)
-        SELECT d.doc_id, text, lang, source, n_chars, n_copies::INTEGER AS n_copies, k::INTEGER AS copy,
-               md5('order|7|' || k || '|' || doc_id) AS shuffle_key
-        FROM drawn d, range(0, 200) AS r(k) WHERE k < n_copies""",
+        split AS (SELECT source, parts, rate / parts AS mean FROM (SELECT source, rate, greatest(ceil(rate / 500), 1)::BIGINT AS parts FROM rates)),
+        terms AS (SELECT source, parts, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) AS p
+                  FROM (SELECT *, unnest(range(ceil(mean + 12 * sqrt(mean) + 25)::BIGINT + 1)) AS k FROM split)),
+        cdf AS (SELECT source, parts, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+        lists AS (SELECT source, any_value(parts) AS parts, list(c ORDER BY k) AS cs FROM cdf GROUP BY source),
+        draws AS (SELECT doc_id, source, unnest(range(parts)) AS part, cs FROM (SELECT DISTINCT doc_id, source FROM documents) d
+                  JOIN lists l USING (source) UNION ALL
+                  SELECT doc_id, NULL, unnest(range(parts)), cs FROM (SELECT DISTINCT doc_id FROM documents WHERE source IS NULL) d
+                  JOIN lists l ON l.source IS NULL),
+        drawn AS (SELECT doc_id, source, sum(len(list_filter(cs, lambda c: c <=
+                         ('0x' || substr(md5(concat_ws('|', '7', part, doc_id)), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0))) AS n_copies
+                  FROM draws GROUP BY doc_id, source)
+        SELECT doc_id, text, lang, source, n_chars, n_copies, copy, md5(concat_ws('|', 'order', '7', copy, doc_id)) AS shuffle_key
+        FROM (SELECT d.*, n.n_copies::INTEGER AS n_copies, unnest(range(n.n_copies::BIGINT))::INTEGER AS copy FROM documents d
+              JOIN drawn n ON d.doc_id IS NOT DISTINCT FROM n.doc_id AND d.source IS NOT DISTINCT FROM n.source)""",
     "op10_exact_dedup": f"""
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UP}', '{LOW}') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
