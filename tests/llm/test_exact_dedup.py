@@ -47,6 +47,12 @@ def test_hot_group_over_many_partitions(spark):
     assert got(exact_dedup(plain.docs(spark, rows).repartition(40))) == expected(rows)
 
 
+def test_copies_that_lie_in_one_task_or_in_many(spark):
+    rows = [(i, f"t{i // 3}" if i < 900 else f"u{i}") for i in range(1200)]
+    df = plain.docs(spark, rows)
+    assert got(exact_dedup(df.coalesce(1))) == got(exact_dedup(df.repartition(30, "doc_id"), salts=2)) == expected(rows)
+
+
 def test_clashing_and_extra_columns(spark):
     df = plain.docs(spark, ROWS).withColumns({"KEPT": F.lit("x"), "group_size": F.lit("y"), "n": F.lit(1), "win": F.lit(2)})
     out = exact_dedup(df)

@@ -2,9 +2,9 @@
 
 Rows are combined in three steps, the largest id winning each time and the whole normalised text
 being part of every grouping key, so equal digests of different texts never merge: first inside each
-input partition (map-side combine), then by (digest, salt), which splits a hot text over ``salts``
-tasks, then the salt winners by digest. Only the winners of texts that occur more than once are kept
-and joined back by digest. Where one digest turns out to stand for several texts, that join compares
+task (map-side combine), then by (digest, salt), which splits a hot text over ``salts`` tasks, then
+the salt winners by digest. The salt follows from the task, so a task passes on one copy of a text.
+Only the winners of texts that occur more than once are kept and joined back by digest. Where one digest turns out to stand for several texts, that join compares
 the texts as well.
 """
 
@@ -45,7 +45,7 @@ def exact_dedup(
     def winners(rows: DataFrame) -> DataFrame:
         salted = (
             rows.select(ident.alias("_id"), "_norm", "_digest")
-            .withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)))
+            .withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
             .groupBy("_digest", "_salt", "_norm")
             .agg(F.max("_id").alias("_keep"), F.count("*").alias("_n"))
         )
