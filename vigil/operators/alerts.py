@@ -3,7 +3,10 @@
 An alert folds into the open alert of its fingerprint when that alert was last
 seen at most 300 s earlier (each repeat extends the window: a session).
 Event time replaces the wall clock, so a batch rerun and a stream give the same
-table. Sessions are found with gaps-and-islands over ``(ts_sec, seq)``; a hot
+table. Sessions are found and folded on narrow rows (a 16-byte digest of the
+fingerprint, time, number, scalars, lists); the wide columns of the few rows that
+the table keeps (first, newest, newest with a model) are fetched afterwards.
+Sessions are gaps-and-islands over ``(ts_sec, seq)``; a hot
 fingerprint is split by time bucket and the previous bucket's last time / last
 session start is carried in from a small per-bucket table, so no fingerprint
 lands whole in one task. The fold uses aggregates with map-side combine; list
@@ -135,37 +138,54 @@ def suppress(
     Keeps id and created_at of the first alert; max scores (null-aware); newest
     title, description, features and event; sorted source union; first-seen
     ordered union of reasons, actions and contributors; count - 1 repeats.
-    The sessionized alerts are written to the checkpoint folder (lineage cut)
-    before the two aggregations read them.
+    The alerts and their narrow sessionized rows are written to the checkpoint
+    folder (lineage cut) before they are read more than once.
     """
-    s = assign_sessions(alerts, gap_seconds, bucket_seconds)
-    if materialize_sessions:
-        from ..sources.store import materialize
+    from ..sources.store import materialize
 
-        s = materialize(s, "alert-sessions")
-    group = ["alert_fingerprint", "session_ts", "session_seq"]
+    def written(df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name) if materialize_sessions else df
+
+    wide = written(alerts.withColumn("_fp", F.unhex(F.md5("alert_fingerprint"))), "alert-rows")
     newest = F.struct("ts_sec", "seq")
     nonempty = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", newest)
+    narrow = wide.select(
+        "_fp", "ts_sec", "seq", "timestamp", severity_rank(F.col("severity")).alias("_sev"), "anomaly_score", "confidence",
+        "detection_sources", "ml_anomaly_score", "ml_confidence", nonempty("model_version").alias("_version_at"),
+        nonempty("ml_explanation").alias("_explained_at"), *LIST_COLUMNS,
+    )
+    s = written(assign_sessions(narrow, gap_seconds, bucket_seconds, key="_fp"), "alert-sessions")
+    group = ["_fp", "session_ts", "session_seq"]
     folded = s.groupBy(*group).agg(
-        F.min_by("idempotency_key", newest).alias("_first_key"),
         F.min("timestamp").alias("created_at"),
         F.max("timestamp").alias("last_seen_at"),
-        F.max(severity_rank(F.col("severity"))).alias("_sev"),
-        F.max_by("title", newest).alias("title"),
-        F.max_by("description", newest).alias("description"),
+        F.max("_sev").alias("_sev"),
         F.max("anomaly_score").alias("anomaly_score"),
         F.max("confidence").alias("confidence"),
-        F.max_by("feature_context", newest).alias("feature_context"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("detection_sources")))).alias("detection_sources"),
         F.max("ml_anomaly_score").alias("ml_anomaly_score"),
         F.max("ml_confidence").alias("ml_confidence"),
-        F.max_by("model_version", nonempty("model_version")).alias("model_version"),
-        F.max_by("ml_explanation", nonempty("ml_explanation")).alias("ml_explanation"),
         (F.count(F.lit(1)) - 1).alias("suppression_count"),
-        F.max_by("event", newest).alias("event"),
-        F.max_by("idempotency_key", newest).alias("idempotency_key"),
     )
-    out = folded.join(_ordered_unions(s, group), group, "left")
+    # at most four rows of a session, whatever its length
+    opened = F.struct(F.col("session_ts").alias("ts_sec"), F.col("session_seq").alias("seq"))
+    kept = s.groupBy(*group).agg(F.max(newest).alias("_a"), F.max("_version_at").alias("_b"), F.max("_explained_at").alias("_c"))
+    kept = kept.select(*group, F.explode(F.array_distinct(F.array(opened, "_a", "_b", "_c"))).alias("_at"))
+    kept = kept.select(*group, F.col("_at.ts_sec").alias("ts_sec"), F.col("_at.seq").alias("seq")).where("seq IS NOT NULL")
+    payload = ["title", "description", "feature_context", "event", "idempotency_key", "model_version", "ml_explanation"]
+    fetched = (
+        wide.select("_fp", "ts_sec", "seq", "alert_fingerprint", *payload)
+        .join(kept, ["_fp", "ts_sec", "seq"])
+        .groupBy(*group)
+        .agg(
+            F.min_by("idempotency_key", newest).alias("_first_key"),
+            F.max_by("model_version", nonempty("model_version")).alias("model_version"),
+            F.max_by("ml_explanation", nonempty("ml_explanation")).alias("ml_explanation"),
+            F.max_by(F.struct("alert_fingerprint", *payload[:5]), newest).alias("_last"),
+        )
+        .select(*group, "_first_key", "model_version", "ml_explanation", "_last.*")
+    )
+    out = folded.join(fetched, group).join(_ordered_unions(s, group), group, "left")
     return out.select(
         F.sha2(F.col("_first_key"), 256).alias("alert_id"),
         "created_at",
