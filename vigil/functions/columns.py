@@ -84,9 +84,13 @@ def sorted_key_json(*pairs: tuple[str, Column]) -> Column:
     return F.concat(F.lit("{"), *parts, F.lit("}"))
 
 
+NOT_PLAIN = r'[^ !#-\[\]-~]'  # all but the ASCII characters that JSON shows as they are
+
+
 def json_string(c: Column) -> Column:
     """JSON text of a string value (quoted, escaped)."""
-    return F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - F.lit(2))
+    escaped = F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - F.lit(2))
+    return F.when(c.isNull(), F.lit("null")).when(c.rlike(NOT_PLAIN), escaped).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
 
 
 def json_string_array(c: Column) -> Column:

@@ -66,8 +66,9 @@ MSG_OBJECT = "payload must be a JSON object"
 
 
 def strip(c: Column) -> Column:
-    """Leading and trailing white space of any script removed."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Leading and trailing white space of any script removed (only a text that has some is searched)."""
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(ends.rlike(SPACE), F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")).otherwise(c)
 
 
 def iso_offset_text(c: Column) -> Column:

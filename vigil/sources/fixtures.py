@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import spread
+
 # Fixed values of the fixture view.
 EPOCH_2024 = 1704067200
 COMPRESSION_US = 60_000_000
@@ -38,7 +40,7 @@ def _map_value(mapping: dict[str, str], key: Column) -> Column:
 
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed security events (plus ``seq``, ``ts_sec`` and a stand-in ``raw_score``)."""
-    ev = read_table(spark, sf_dir, "events")
+    ev = spread(read_table(spark, sf_dir, "events"), "event_id", "ts")
     eid = F.col("event_id")
     uid = F.col("user_id")
     seq = F.col("seq")
