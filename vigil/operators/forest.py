@@ -99,41 +99,45 @@ class Forest:
     seed: int
 
     def arrays(self):
-        """Per-tree padded arrays for vectorized traversal."""
-        t = self.trees
-        m = int(self.nodes.groupby("tree_id").size().max())
-        feat = np.full((t, m), -1, dtype=np.int64)
-        thr = np.zeros((t, m))
-        left = np.zeros((t, m), dtype=np.int64)
-        right = np.zeros((t, m), dtype=np.int64)
-        leaf_add = np.zeros((t, m))
-        nd = self.nodes
-        ti, ni = nd["tree_id"].to_numpy(), nd["node_id"].to_numpy()
-        feat[ti, ni] = nd["feature"].to_numpy()
-        thr[ti, ni] = nd["threshold"].to_numpy()
-        left[ti, ni] = nd["left"].to_numpy()
-        right[ti, ni] = nd["right"].to_numpy()
-        leaf_add[ti, ni] = nd["depth"].to_numpy() + average_path_length(nd["size"].to_numpy())
-        depth = int(nd["depth"].max())
-        return feat, thr, left, right, leaf_add, depth
+        """The trees as complete binary trees of one depth (children of i: 2i + 1, 2i + 2), a leaf's value at all places
+        of the last level below it, so that every row takes the same number of steps."""
+        depth, t = int(self.nodes["depth"].max()), self.trees
+        inner = (1 << depth) - 1
+        feat, thr, leaf_add = np.zeros((t, inner), dtype=np.int64), np.zeros((t, inner)), np.zeros((t, inner + 1))
+        for tree, nodes in self.nodes.groupby("tree_id"):
+            nodes = nodes.set_index("node_id")
+            feature, threshold = nodes["feature"].to_dict(), nodes["threshold"].to_dict()
+            left, right = nodes["left"].to_dict(), nodes["right"].to_dict()
+            value = dict(zip(nodes.index, nodes["depth"].to_numpy() + average_path_length(nodes["size"].to_numpy())))
+            stack = [(0, 0, 0)]
+            while stack:
+                node, place, level = stack.pop()
+                if feature[node] >= 0:
+                    feat[tree, place], thr[tree, place] = feature[node], threshold[node]
+                    stack += [(left[node], 2 * place + 1, level + 1), (right[node], 2 * place + 2, level + 1)]
+                else:
+                    width = 1 << (depth - level)
+                    first = ((place + 1) << (depth - level)) - 1 - inner
+                    leaf_add[tree, first : first + width] = value[node]
+        return feat, thr, leaf_add, depth
+
+
+SCORED_AT_ONCE = 4096  # rows whose values and places stay in a core's cache
 
 
 def _path_lengths(x: np.ndarray, arrays) -> np.ndarray:
-    feat, thr, left, right, leaf_add, depth = arrays
-    n = len(x)
-    total = np.zeros(n)
-    rows = np.arange(n)
-    for t in range(feat.shape[0]):
-        node = np.zeros(n, dtype=np.int64)
-        for _ in range(depth + 1):
-            f = feat[t, node]
-            internal = f >= 0
-            if not internal.any():
-                break
-            xv = x[rows, np.where(internal, f, 0)]
-            nxt = np.where(xv < thr[t, node], left[t, node], right[t, node])
-            node = np.where(internal, nxt, node)
-        total += leaf_add[t, node]
+    feat, thr, leaf_add, depth = arrays
+    total = np.zeros(len(x))
+    for first in range(0, len(x), SCORED_AT_ONCE):
+        part = np.ascontiguousarray(x[first : first + SCORED_AT_ONCE])
+        values, row = part.ravel(), np.arange(len(part)) * x.shape[1]
+        for t in range(feat.shape[0]):
+            node = np.zeros(len(part), dtype=np.int64)
+            for _ in range(depth):
+                # right unless the value is below the threshold (a missing one isn't)
+                below = values.take(feat[t].take(node) + row) < thr[t].take(node)
+                node = 2 * node + 2 - below
+            total[first : first + SCORED_AT_ONCE] += leaf_add[t].take(node - len(thr[t]))
     return total / feat.shape[0]
 
 
@@ -167,6 +171,13 @@ def fit_forest(
     id_col: str = "event_id",
 ) -> Forest:
     """Fit on the 16 feature columns of ``train`` (booleans as 0/1)."""
+    return fit_and_score(train, trees=trees, sample_size=sample_size, contamination=contamination, seed=seed, id_col=id_col)[0]
+
+
+def fit_and_score(
+    train: DataFrame, *, trees: int, sample_size: int = 256, contamination: float, seed: int, id_col: str = "event_id"
+) -> tuple[Forest, DataFrame]:
+    """The forest, and the training rows with their raw decision values, written once (as ``decision_function`` gives them)."""
     n = train.count()
     if n == 0:
         raise ValueError("no training rows")
@@ -195,9 +206,10 @@ def fit_forest(
     # Bounded by trees * (2 * psi - 1) rows whatever the training size.
     nodes = sample.groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA).toPandas()
     forest = Forest(nodes, psi, 0.0, trees, list(FEATURE_COLUMNS), n, contamination, seed)
-    scores = score_samples(train, forest)
+    # every row walks the trees once: the offset and the caller's statistics read the written scores
+    scores = materialize(score_samples(train, forest), "training-scores")
     forest.offset = float(exact_quantiles(scores, {"o": (F.col("_s"), [contamination])}).first()["o"][0])
-    return forest
+    return forest, _decided(scores, forest)
 
 
 def _score_udf(forest: Forest):
@@ -225,7 +237,11 @@ def score_samples(df: DataFrame, forest: Forest, out: str = "_s") -> DataFrame:
 
 def decision_function(df: DataFrame, forest: Forest, out: str = "raw_score") -> DataFrame:
     """Add the raw decision value (negative = anomaly)."""
-    return score_samples(df, forest, "_s").withColumn(out, F.col("_s") - F.lit(forest.offset)).drop("_s")
+    return _decided(score_samples(df, forest, "_s"), forest, out)
+
+
+def _decided(scores: DataFrame, forest: Forest, out: str = "raw_score") -> DataFrame:
+    return scores.withColumn(out, F.col("_s") - F.lit(forest.offset)).drop("_s")
 
 
 def nodes_frame(spark, forest: Forest) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.forest import Forest, decision_function, fit_forest, load_forest, save_forest
+from ..operators.forest import Forest, decision_function, fit_and_score, load_forest, save_forest
 from ..operators.scoring import PERCENTILES, feature_stats, scenario_breakdown, score_from_raw_frame, score_no_model
 from ..schema import FEATURE_COLUMNS
 from ..sources.tables import recent_feature_rows
@@ -35,8 +35,7 @@ def train(
     train_df = recent_feature_rows(rows, limit)
     if snapshot_path:
         write_snapshot(train_df, snapshot_path)
-    forest = fit_forest(train_df, trees=trees, contamination=contamination, seed=seed)
-    scored = decision_function(train_df, forest)
+    forest, scored = fit_and_score(train_df, trees=trees, contamination=contamination, seed=seed)
     stats = feature_stats(scored, "raw_score")
     breakdown = scenario_breakdown(scored.withColumn("predicted_anomaly", F.col("raw_score") < 0))
     metadata = model_metadata(stats, breakdown, forest.contamination, model_version, trained_at, training_source)
