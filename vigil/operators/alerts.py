@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import json_string, severity_of_rank, severity_rank, sorted_key_json
 from ..schema import SUPPRESSION_WINDOW_SECONDS
+from ..sources.store import materialize, sorted_join
 
 SESSION_BUCKET_SECONDS = 3600
 
@@ -61,7 +62,7 @@ def drop_known(alerts: DataFrame, stored: DataFrame | None) -> DataFrame:
     w = Window.partitionBy("idempotency_key").orderBy("ts_sec", "seq")
     out = alerts.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     if stored is not None:
-        out = out.join(stored.select("idempotency_key").distinct(), "idempotency_key", "left_anti")
+        out = out.join(sorted_join(stored.select("idempotency_key").distinct()), "idempotency_key", "left_anti")
     return out
 
 
@@ -80,7 +81,7 @@ def assign_sessions(
     last = d.groupBy(*part).agg(F.max("ts_sec").alias("_last"))
     wb = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry_t = last.select(*part, F.max("_last").over(wb).alias("_carry_last"))
-    d = d.join(carry_t, part)
+    d = d.join(sorted_join(carry_t), part)
     prev = F.coalesce(F.col("_prev"), F.col("_carry_last"))
     d = d.withColumn("_start", prev.isNull() | ((F.col("ts_sec") - prev) > gap_seconds))
     start_key = F.when(F.col("_start"), F.struct(F.col("ts_sec").alias("t"), F.col("seq").alias("s")))
@@ -90,7 +91,7 @@ def assign_sessions(
     # (every bucket gets a row, also those without a start of their own)
     starts = d.groupBy(*part).agg(F.max(start_key).alias("_ls"))
     carry_s = starts.select(*part, F.max("_ls").over(wb).alias("_carry_start"))
-    d = d.join(carry_s, part)
+    d = d.join(sorted_join(carry_s), part)
     sess = F.coalesce(F.col("_loc_start"), F.col("_carry_start"))
     return d.withColumn("session_ts", sess["t"]).withColumn("session_seq", sess["s"]).drop(
         "_b", "_prev", "_carry_last", "_start", "_loc_start", "_carry_start"
@@ -135,14 +136,14 @@ def suppress(
     Keeps id and created_at of the first alert; max scores (null-aware); newest
     title, description, features and event; sorted source union; first-seen
     ordered union of reasons, actions and contributors; count - 1 repeats.
-    The sessionized alerts are written to the checkpoint folder (lineage cut)
-    before the two aggregations read them.
+    The alerts are written to the checkpoint folder before the sessions' three passes over them, unless they
+    were read from it, and so are the sessionized ones before the two aggregations read them.
     """
-    s = assign_sessions(alerts, gap_seconds, bucket_seconds)
     if materialize_sessions:
-        from ..sources.store import materialize
-
-        s = materialize(s, "alert-sessions")
+        rows = alerts if "scratch_folder" in alerts.__dict__ else materialize(alerts, "alert-rows")
+        s = materialize(assign_sessions(rows, gap_seconds, bucket_seconds), "alert-sessions")
+    else:
+        s = assign_sessions(alerts, gap_seconds, bucket_seconds)
     group = ["alert_fingerprint", "session_ts", "session_seq"]
     newest = F.struct("ts_sec", "seq")
     nonempty = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", newest)
@@ -165,7 +166,7 @@ def suppress(
         F.max_by("event", newest).alias("event"),
         F.max_by("idempotency_key", newest).alias("idempotency_key"),
     )
-    out = folded.join(_ordered_unions(s, group), group, "left")
+    out = folded.join(sorted_join(_ordered_unions(s, group)), group, "left")
     return out.select(
         F.sha2(F.col("_first_key"), 256).alias("alert_id"),
         "created_at",

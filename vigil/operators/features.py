@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import delete_like, safe_ratio
 from ..schema import FEATURE_COLUMNS
+from ..sources.store import sorted_join
 from .sweep import DEFAULT_BUCKET_SECONDS, HOT_ROWS, Count, Distinct, Entropy, Family, FirstSeen, hot_buckets, sweep
 
 FIVE_MIN = 300
@@ -111,7 +112,7 @@ def single_feature(events: DataFrame, name: str, bucket_seconds: int = DEFAULT_B
     family = replace(family, **parts)
     hot = hot_buckets(events, [family], bucket_seconds=bucket_seconds)
     f = sweep(ev, [family], bucket_seconds=bucket_seconds, hot=hot)
-    return ev.select("event_id", "seq").join(f, "seq").select("event_id", _from_measures(name))
+    return ev.select("event_id", "seq").join(sorted_join(f), "seq").select("event_id", _from_measures(name))
 
 
 def feature_snapshot(
@@ -136,7 +137,7 @@ def feature_snapshot(
     measured = events if context is None else events.select("ts_sec", *FAMILY_INPUTS).unionByName(context.select("ts_sec", *FAMILY_INPUTS))
     families = [user_family(), ip_family(), account_family()]
     hot = hot_buckets(measured, families, bucket_seconds=bucket_seconds, hot_rows=hot_rows)
-    out = ev.join(family_features(seen, bucket_seconds, hot), "seq")
+    out = ev.join(sorted_join(family_features(seen, bucket_seconds, hot)), "seq")
     out = out.withColumn("auth_failure", F.col("auth_result") == "failure")
     feats = [c for c in FEATURE_COLUMNS if c != "is_privileged_action"]
     return out.select(*ev.columns, *feats)
