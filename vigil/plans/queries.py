@@ -19,7 +19,7 @@ from ..operators.features import dedup_events, feature_snapshot, single_feature
 from ..operators.scoring import PERCENTILES, feature_stats, feature_vector, scenario_breakdown, score_band, score_no_model
 from ..schema import FEATURE_COLUMNS
 from ..sources.fixtures import security_events
-from ..sources.store import materialize, spread
+from ..sources.store import materialize, sorted_join
 from .detect import alert_flat, scored_events
 
 SEP = " | "
@@ -31,7 +31,7 @@ def _joined(c: str | Column) -> Column:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(security_events(spark, sf), "seq")
+    return security_events(spark, sf)
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
@@ -671,21 +671,31 @@ def _scratch(spark, name):
     return scratch_path(spark, f"vigil/{name}-{uuid.uuid4().hex[:16]}")
 
 
+def _streamed(spark, lines, halves, name, **more):
+    """The messages of either half as one micro-batch, however many files they lie in: a half is written when the
+    batch before it has ended, and the query takes all that is there. Returns the stream's settings and its two queries."""
+    from ..streaming.stream import StreamConfig, start
+
+    lines = lines.select("seq", "arrival_ts", "value")
+    src, base = _scratch(spark, f"{name}-src"), _scratch(spark, f"{name}-tables")
+    cfg = StreamConfig(base=base, **more)
+    queries = []
+    for k, half in enumerate(halves):
+        lines.where(half).write.parquet(f"{src}/part{k}")
+        stream = spark.readStream.schema(lines.schema).parquet(f"{src}/*")
+        query = start(spark, stream, cfg, f"{base}/_checkpoint", {"availableNow": True})
+        query.awaitTermination()
+        queries.append(query)
+    return cfg, queries
+
+
 def q_stream_alerts(spark, sf):
     """The raw messages replayed as two micro-batches through the detection stream (rules only)."""
-    from ..streaming.stream import StreamConfig, current_alerts, start
+    from ..streaming.stream import current_alerts
 
-    lines = _lines(spark, sf).select("seq", "arrival_ts", "value")
-    src = _scratch(spark, "stream-src")
+    lines = _lines(spark, sf)
     mid = lines.agg(F.percentile_approx("seq", 0.5)).first()[0]
-    lines.where(F.col("seq") <= mid).write.parquet(f"{src}/part0")
-    lines.where(F.col("seq") > mid).write.parquet(f"{src}/part1")
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
-    base = _scratch(spark, "stream-tables")
-    cfg = StreamConfig(base=base)
-    q = start(spark, stream, cfg, f"{base}/_checkpoint")
-    q.processAllAvailable()
-    q.stop()
+    cfg, _ = _streamed(spark, lines, [F.col("seq") <= mid, F.col("seq") > mid], "stream")
     return _table_projection(current_alerts(spark, cfg))
 
 
@@ -738,7 +748,7 @@ def q_score_loaded_model(spark, sf):
     fields = ["anomaly_score", "confidence", "predicted_anomaly", "model_version", "top_contributors", "explanation"]
     before = score_with_model(feats, forest, stats, TRAIN_VERSION).select("event_id", F.struct(*fields).alias("a"))
     after = score_loaded(feats, loaded).select("event_id", F.struct(*fields).alias("b"))
-    return before.join(after, "event_id").select("event_id", F.col("a").eqNullSafe(F.col("b")).alias("equal"))
+    return before.join(sorted_join(after), "event_id").select("event_id", F.col("a").eqNullSafe(F.col("b")).alias("equal"))
 
 
 def q_stream_late_alerts(spark, sf):
@@ -831,26 +841,14 @@ def q_alerts_stored_versions(spark, sf):
     )
 
 
-def _streamed(spark, sf, name, **more):
-    """The messages of even, then of odd positions as two micro-batches; returns the stream's settings and its query."""
-    from ..streaming.stream import StreamConfig, start
-
-    lines = _lines(spark, sf).select("seq", "arrival_ts", "value")
-    src = _scratch(spark, f"{name}-src")
-    for odd in (0, 1):
-        lines.where(F.col("seq") % 2 == odd).coalesce(1).write.parquet(f"{src}/part{odd}")
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
-    base = _scratch(spark, f"{name}-tables")
-    cfg = StreamConfig(base=base, **more)
-    query = start(spark, stream, cfg, f"{base}/_checkpoint")
-    query.processAllAvailable()
-    query.stop()
-    return cfg, query
+def _by_turns():
+    """The messages of even, then of odd positions."""
+    return [F.col("seq") % 2 == odd for odd in (0, 1)]
 
 
 def q_stream_late_events(spark, sf):
     """Events more than an hour behind the batch before: dead letters of stage late, beside the others."""
-    cfg, _ = _streamed(spark, sf, "late-events", lateness_seconds=3600)
+    cfg, _ = _streamed(spark, _lines(spark, sf), _by_turns(), "late-events", lateness_seconds=3600)
     return spark.read.parquet(cfg.path("dead_letters")).select("seq", "stage", "error_type", "retryable")
 
 
@@ -858,10 +856,10 @@ def q_stream_latency(spark, sf):
     """Per stage of the stream's batches: batches and rows seen, and whether the times are in order."""
     from ..streaming.latency import latency, progress
 
-    cfg, query = _streamed(spark, sf, "latency")
+    cfg, queries = _streamed(spark, _lines(spark, sf), _by_turns(), "latency")
     times = latency(spark.read.parquet(cfg.path("timings")))
     sane = (F.col("avg_ms") > 0) & (F.col("avg_ms") <= F.col("max_ms")) & (F.col("max_ms") <= F.col("total_ms"))
-    whole = progress(spark, query).where("phase = 'addBatch' and input_rows > 0").agg(F.sum("millis").alias("m")).first()["m"]
+    whole = sum(progress(spark, q).where("phase = 'addBatch' and input_rows > 0").agg(F.sum("millis").alias("m")).first()["m"] or 0.0 for q in queries)
     return times.select("stage", "batches", "rows", "failed", (sane & (F.col("total_ms") <= F.lit(whole))).alias("sane"))
 
 

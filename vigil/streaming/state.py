@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.store import sorted_join
+
 RUN = re.compile(r"^run=r(\d+)-(\d+)-(\d+)$")
 
 
@@ -106,7 +108,7 @@ class KeyedState:
                 buckets = buckets_of(keys, [self])[0]
         rows = self._load(runs, buckets)
         if keys is not None:
-            rows = rows.join(keys, self.key, "left_semi").select(*rows.columns)
+            rows = rows.join(sorted_join(keys), self.key, "left_semi").select(*rows.columns)
         return self.merge(rows) if len(runs) > 1 else rows
 
     def write(self, rows: DataFrame, batch_id: int) -> None:

@@ -42,7 +42,7 @@ from ..operators.alerts import drop_known, suppress, with_keys
 from ..operators.features import FAMILY_INPUTS, dedup_events, feature_snapshot
 from ..operators.scoring import score_from_raw_frame, score_no_model
 from ..sources.raw import archive_line, arrival_numbers
-from ..sources.store import discard, materialize
+from ..sources.store import discard, materialize, sorted_join
 from ..sources.tables import PARTITION_COLUMNS, feature_rows
 from .latency import Timings
 from .state import KeyedState, buckets_of, least, newest, stored_schema
@@ -216,7 +216,7 @@ def first_seen_flags(batch: DataFrame, first_seen: DataFrame) -> DataFrame:
     ).select("seq", "user_id", "me", "d.dim", "d.value")
     w = Window.partitionBy("user_id", "dim", "value").orderBy("me")
     rows = rows.withColumn("_rn", F.row_number().over(w))
-    rows = rows.join(first_seen, ["user_id", "dim", "value"], "left")
+    rows = rows.join(sorted_join(first_seen), ["user_id", "dim", "value"], "left")
     prior = F.col("first").isNotNull() & (F.col("first") < F.col("me"))
     rows = rows.withColumn("_first", ~prior & (F.col("_rn") == 1))
     f = rows.groupBy("seq").agg(
@@ -307,7 +307,7 @@ def _context(
         schema = T.StructType([*_history_schema().fields, T.StructField("batch_id", T.LongType())])
         stored = spark.read.schema(schema).option("basePath", cfg.path("history")).parquet(*paths).where(F.col("batch_id") < batch_id)
         stored = stored.withColumn("slot", _slot()).join(slots, "slot", "left_semi").select(*HISTORY_COLUMNS)
-        parts += [stored.join(events.select(k).distinct(), k, "left_semi").select(*HISTORY_COLUMNS) for k in ("user_id", "source_ip", "account_id")]
+        parts += [stored.join(sorted_join(events.select(k).distinct()), k, "left_semi").select(*HISTORY_COLUMNS) for k in ("user_id", "source_ip", "account_id")]
     span = events.agg(F.min("ts_sec").alias("lo"), F.max("ts_sec").alias("hi")).first()
     for name, key in (("recent_by_user", "user_id"), ("recent_by_ip", "source_ip")):
         rows = states[name].read(batch_id, events.select(key), buckets[name])
@@ -356,18 +356,18 @@ def _detect(spark: SparkSession, cfg: StreamConfig, validated: DataFrame, batch_
     names = ["event_ids", "recent_by_user", "recent_by_ip", "first_seen"]
     buckets = dict(zip(names, buckets_of(events, [states[n] for n in names])))
     stored = states["event_ids"].read(batch_id, events.select("event_id"), buckets["event_ids"])
-    events = materialize(events.join(stored.select("event_id"), "event_id", "left_anti"), "batch-events")
+    events = materialize(events.join(sorted_join(stored.select("event_id")), "event_id", "left_anti"), "batch-events")
     context = materialize(_context(spark, cfg, events, states, buckets, batch_id), "batch-context")
     feats = feature_snapshot(events, dedup=False, context=context)
 
     minima = batch_minima(events)
     known = states["first_seen"].read(batch_id, events.select("user_id"), buckets["first_seen"]).drop("batch_id")
     flags = first_seen_flags(events, known)
-    feats = materialize(feats.drop("is_new_country_for_user", "is_new_ip_for_user").join(flags, "seq"), "batch-features")
+    feats = materialize(feats.drop("is_new_country_for_user", "is_new_ip_for_user").join(sorted_join(flags), "seq"), "batch-features")
 
     hour = F.floor(F.col("ts_sec") / HOUR)
     was = known.withColumnRenamed("first", "was")
-    changed = minima.join(was, ["user_id", "dim", "value"], "left").where("was is null or first < was").drop("was")
+    changed = minima.join(sorted_join(was), ["user_id", "dim", "value"], "left").where("was is null or first < was").drop("was")
     _together(
         spark,
         lambda: _write_partition(feature_rows(feats), cfg.path("features"), batch_id, before=PARTITION_COLUMNS),
@@ -404,7 +404,7 @@ def _deliver(cfg: StreamConfig, rows: DataFrame, events: DataFrame, batch_id: in
     try:
         cfg.alert_sink(rows, batch_id)
     except Exception as exc:  # noqa: BLE001 - foreign code; the alerts are in the alert table all the same
-        failed = events.join(rows.select("seq").distinct(), "seq", "left_semi")
+        failed = events.join(sorted_join(rows.select("seq").distinct()), "seq", "left_semi")
         _dead_letter(cfg, failure_letters(failed, "alert_delivery", type(exc).__name__, str(exc)[:500], retryable=True), batch_id)
 
 
@@ -424,13 +424,13 @@ def _upsert_alerts(spark: SparkSession, cfg: StreamConfig, new: DataFrame, log:
             .read(batch_id, touched, buckets)
             .where("not deleted")
             .drop("batch_id")
-            .join(touched, "alert_fingerprint")
+            .join(sorted_join(touched), "alert_fingerprint")
             .where(F.unix_seconds("last_seen_at") >= F.col("_lo") - F.lit(gap))
             .drop("_lo"),
             "batch-sessions",
         )
         since = reached.groupBy("alert_fingerprint").agg(F.min("session_start").alias("_since"))
-        old = log.read(batch_id, since, buckets).join(since, "alert_fingerprint").where(F.col("ts_sec") >= F.col("_since"))
+        old = log.read(batch_id, since, buckets).join(sorted_join(since), "alert_fingerprint").where(F.col("ts_sec") >= F.col("_since"))
         rows = new.unionByName(old.select(*new.columns))
     live = suppress(rows, gap).withColumn("session_start", F.unix_seconds("created_at")).withColumn("deleted", F.lit(False))
     if reached is None:
@@ -443,12 +443,12 @@ def _upsert_alerts(spark: SparkSession, cfg: StreamConfig, new: DataFrame, log:
         F.struct("session_start", F.col("alert_id").alias("id"), F.col("created_at").alias("at")).alias("_was"),
     )
     inside = (F.col("alert_fingerprint") == F.col("_fp")) & F.col("_at").between(F.col("session_start"), F.unix_seconds("last_seen_at"))
-    lent = live.select("alert_id", "alert_fingerprint", "session_start", "last_seen_at").join(stored, inside).groupBy("alert_id").agg(F.min("_was").alias("_was"))
-    live = live.join(lent, "alert_id", "left").withColumns(
+    lent = live.select("alert_id", "alert_fingerprint", "session_start", "last_seen_at").join(sorted_join(stored), inside).groupBy("alert_id").agg(F.min("_was").alias("_was"))
+    live = live.join(sorted_join(lent), "alert_id", "left").withColumns(
         {"alert_id": F.coalesce(F.col("_was.id"), F.col("alert_id")), "created_at": F.coalesce(F.col("_was.at"), F.col("created_at"))}
     )
     live = materialize(live.select(*schema.fieldNames()), "batch-live")
-    gone = reached.join(live.select("alert_id"), "alert_id", "left_anti").withColumn("deleted", F.lit(True)).select(*schema.fieldNames())
+    gone = reached.join(sorted_join(live.select("alert_id")), "alert_id", "left_anti").withColumn("deleted", F.lit(True)).select(*schema.fieldNames())
     _alert_state(spark, cfg, schema).write(live.unionByName(gone), batch_id)
     for table in (reached, live):
         discard(table)
