@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import delete_like, safe_ratio
 from ..schema import FEATURE_COLUMNS
 from ..sources.store import sorted_join
-from .sweep import DEFAULT_BUCKET_SECONDS, HOT_ROWS, Count, Distinct, Entropy, Family, FirstSeen, hot_buckets, sweep
+from .sweep import DEFAULT_BUCKET_SECONDS, HOT_ROWS, Count, Distinct, Entropy, Family, FirstSeen, Load, measure, sweep
 
 FIVE_MIN = 300
 TEN_MIN = 600
@@ -90,13 +90,13 @@ def _from_measures(name: str) -> Column:
     return DERIVED[name][1]().alias(name) if name in DERIVED else F.col(name)
 
 
-def family_features(ev: DataFrame, bucket_seconds: int = DEFAULT_BUCKET_SECONDS, hot: list[int] | None = None) -> DataFrame:
+def family_features(ev: DataFrame, load: Load, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """``seq`` + the 14 windowed/membership features."""
     f = sweep(
         ev.select("seq", "ts_sec", *FAMILY_INPUTS),
         [user_family(), ip_family(), account_family()],
         bucket_seconds=bucket_seconds,
-        hot=hot,
+        load=load,
     )
     return f.select("seq", *[_from_measures(c) for c in FEATURE_COLUMNS if c not in ("is_privileged_action", "auth_failure")])
 
@@ -110,8 +110,8 @@ def single_feature(events: DataFrame, name: str, bucket_seconds: int = DEFAULT_B
             break
     ev = dedup_events(events.select("event_id", "seq", "ts_sec", *FAMILY_INPUTS))
     family = replace(family, **parts)
-    hot = hot_buckets(events, [family], bucket_seconds=bucket_seconds)
-    f = sweep(ev, [family], bucket_seconds=bucket_seconds, hot=hot)
+    load = measure(events, [family], bucket_seconds=bucket_seconds)
+    f = sweep(ev, [family], bucket_seconds=bucket_seconds, load=load)
     return ev.select("event_id", "seq").join(sorted_join(f), "seq").select("event_id", _from_measures(name))
 
 
@@ -128,7 +128,8 @@ def feature_snapshot(
     ``events`` needs ``seq`` (unique, >= 0, arrival order) and ``ts_sec`` (whole
     UTC seconds) besides the event fields. Events of ``context`` (the sweep's columns)
     count in the windows without being returned. A key's bucket of more than ``hot_rows`` events
-    is split (measured before the repeats go).
+    is split, in a key of more than ``WHOLE_KEY`` times as many (measured before the repeats go). The whole events
+    are shuffled once, by ``seq``: the repeats are found in the sweep's columns alone.
     """
     ev = dedup_events(events) if dedup else events
     seen = ev.select("seq", "ts_sec", *FAMILY_INPUTS)
@@ -136,8 +137,12 @@ def feature_snapshot(
         seen = seen.unionByName(context.select(*seen.columns))
     measured = events if context is None else events.select("ts_sec", *FAMILY_INPUTS).unionByName(context.select("ts_sec", *FAMILY_INPUTS))
     families = [user_family(), ip_family(), account_family()]
-    hot = hot_buckets(measured, families, bucket_seconds=bucket_seconds, hot_rows=hot_rows)
-    out = ev.join(sorted_join(family_features(seen, bucket_seconds, hot)), "seq")
+    load = measure(measured, families, bucket_seconds=bucket_seconds, hot_rows=hot_rows)
+    if dedup:
+        # an event_id's later rows find no features; rows of one arrival are told apart in its task
+        copies = Window.partitionBy("seq", "event_id").orderBy("seq")
+        ev = events.repartition("seq").withColumn("_rn", F.row_number().over(copies)).where("_rn = 1").drop("_rn")
+    out = ev.join(sorted_join(family_features(seen, load, bucket_seconds)), "seq")
     out = out.withColumn("auth_failure", F.col("auth_result") == "failure")
     feats = [c for c in FEATURE_COLUMNS if c != "is_privileged_action"]
     return out.select(*ev.columns, *feats)

@@ -11,10 +11,12 @@ is then exactly the windowed aggregate. Distinct counts and entropy reduce to
 the same shape: a first running count per ``(key, value)`` turns into change
 rows ``f(c_after) - f(c_before)`` that a second running sum per key adds up.
 
-Running sums are computed in levels so that a hot key never lands in one task: a
-local sum per ``(key, time bucket)`` plus the carried total of all earlier buckets
-of the key (a small per-bucket table). Buckets that are measured to hold many events
-of a key are split further, into seconds and blocks of arrival numbers, with a
+A key is swept whole in one task, which fans its events out behind the exchange: one
+narrow row per event and family is shuffled. Keys that are measured to hold many
+events (``hot_keys``) never land in one task: their running sums are computed in
+levels, a local sum per ``(key, time bucket)`` plus the carried total of all earlier
+buckets of the key (a small per-bucket table). Buckets that are measured to hold many
+events of a key are split further, into seconds and blocks of arrival numbers, with a
 carried total of their own (``hot_buckets``), so a burst inside one bucket, even
 inside one second, spreads over tasks as well. All levels are plain window functions
 with an unbounded-preceding frame, which Spark evaluates incrementally in one pass
@@ -28,11 +30,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import sorted_join
+from ..sources.store import ROWS_A_TASK, sorted_join
 
 DEFAULT_BUCKET_SECONDS = 3600
 HOT_ROWS = 200_000  # events of one key in one bucket from which the bucket is split
-HOT_LISTED = 10_000  # so many hot buckets are split at most, the largest ones
+HOT_LISTED = 10_000  # so many hot buckets and keys are split at most, the largest ones
+WHOLE_KEY = 5  # a key of more than so many times HOT_ROWS events is summed by buckets
 ORD_BLOCK = 1 << 16  # arrival numbers that stay together in one second of a hot bucket
 
 BKT = "_bkt"
@@ -203,6 +206,40 @@ def hot_buckets(
     return [r[0] for r in rows.select(_bucket_id(F.col("fam"), F.col("key"), F.col("b"))).collect()]
 
 
+@dataclass
+class Load:
+    """What ``measure`` finds: the (family, key) rows of all events, the hot keys and the buckets of theirs to split."""
+
+    rows: int
+    keys: list[int] = field(default_factory=list)
+    buckets: list[int] = field(default_factory=list)
+
+
+def _key_id(fam: Column, key: Column) -> Column:
+    return F.xxhash64(fam.cast("int"), key.cast("string"))
+
+
+def measure(
+    ev: DataFrame,
+    families: list[Family],
+    *,
+    t_col: str = "ts_sec",
+    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+    hot_rows: int = HOT_ROWS,
+) -> Load:
+    """Rows of all families, and the keys of more than ``WHOLE_KEY * hot_rows`` events (a key beyond the ``HOT_LISTED``
+    largest is swept whole). One aggregate over the events, combined before its exchange; more only if there is a hot key."""
+    limit = WHOLE_KEY * hot_rows
+    keys = [F.struct(F.lit(fi).alias("fam"), F.col(f.key).cast("string").alias("key")) for fi, f in enumerate(families)]
+    counts = ev.select(F.explode(F.array(*keys)).alias("k")).where("k.key is not null").groupBy("k.fam", "k.key").count()
+    rows, most = counts.agg(F.sum("count"), F.max("count")).first()
+    if not rows or most <= limit:
+        return Load(rows or 0)
+    large = counts.where(F.col("count") > limit).orderBy(F.desc("count")).limit(HOT_LISTED)
+    found = [r[0] for r in large.select(_key_id(F.col("fam"), F.col("key"))).collect()]
+    return Load(rows, found, hot_buckets(ev, families, t_col=t_col, bucket_seconds=bucket_seconds, hot_rows=hot_rows))
+
+
 def sweep(
     ev: DataFrame,
     families: list[Family],
@@ -210,22 +247,21 @@ def sweep(
     t_col: str = "ts_sec",
     seq_col: str = "seq",
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-    hot: list[int] | None = None,
+    load: Load,
 ) -> DataFrame:
     """All windowed measures of several key families in one pass.
 
     Returns one row per event: ``seq`` and one column per measure (counts and
     sums as long, distinct counts as long, entropy as double rounded to 3
     places, first-seen flags as boolean). Measure names must be unique across
-    families. ``hot`` are the buckets to split, from ``hot_buckets``.
-
-    Plan shape: stage 1 = one running count per ``(family, key, measure, value)``
-    (distinct / entropy / first-seen); stage 2 = one running sum per
-    ``(family, key)`` over the count rows and the stage-1 change rows; then one
-    aggregate by ``seq`` folds the per-family rows together. The event rows are
-    fanned out by one ``explode`` per stage, written as a single SQL expression. Rows are
-    narrow: a stage-1 row holds its measure's number and its value's 64-bit hash, a stage-2 row as
-    many sums as the largest family has measures (families share the columns).
+    families. ``load`` comes from ``measure``.
+
+    Plan shape: one row per event and family, dealt by (family, key), is fanned out in its task into the rows of
+    both stages: stage 1 = one running count per ``(family, key, measure, value)`` (distinct / entropy / first-seen);
+    stage 2 = one running sum per ``(family, key)`` over the count rows and the stage-1 change rows. The hot keys of
+    ``load`` are fanned out before their exchanges, one per stage, which deal them by bucket as well. One aggregate by
+    ``seq`` then folds the per-family rows together. Rows are narrow: a value is its 64-bit hash, and families share
+    the columns of their sums.
     """
     counts: list[tuple[int, Count]] = []
     dims: list[tuple[int, str, str, int | None, str]] = []  # (fam, name, value col, seconds, kind)
@@ -254,7 +290,6 @@ def sweep(
         place |= {n: (fi, f"f{k}") for k, n in enumerate(f[1] for f in flags if f[0] == fi)}
     sums = sorted({c for _, c in place.values() if c[0] == "m"}, key=lambda c: int(c[1:]))
     marks = sorted({c for _, c in place.values() if c[0] == "f"})
-    split = _bucket_id(F.col("_fam"), F.col("_key"), F.col(BKT)).isin(hot) if hot else None
 
     # one projection holds every input of the fan-out: time, seq, keys, measure values, dim values
     value_cols = sorted({d[2] for d in dims})
@@ -265,66 +300,16 @@ def sweep(
         *[c.expr.cast("long").alias(f"_m{j}") for j, (_, c) in enumerate(counts)],
         *[F.when(F.col(v).isNotNull(), F.xxhash64(F.col(v).cast("string"))).alias(f"_v_{v}") for v in value_cols],
     )
-
-    # ---------------- stage 1: running counts per (family, key, measure, value) ----------------
-    change_rows = None
-    if dims:
-        structs = []
-        for k, (fi, _name, value, seconds, _kind) in enumerate(dims):
-            head = f"'_fam', {fi}, '_key', _k{fi}, 'dim', {k}, 'val', _v_{value}"
-            structs.append(f"named_struct({head}, '{T}', _tv, '{ORD}', _sv, 'd', 1, 'ever', 1)")
-            if seconds is not None:
-                structs.append(
-                    f"named_struct({head}, '{T}', _tv + {seconds + 1}L, '{ORD}', -1L - _sv, 'd', -1, 'ever', 0)"
-                )
-        s1 = base.select(F.expr(f"explode(array({', '.join(structs)}))").alias("r")).select("r.*").where("_key is not null and val is not null")
-        s1 = running_sum(s1, ["_fam", "_key", "dim", "val"], ["d", "ever"], bucket_seconds=bucket_seconds, hot=split)
-        c_after = F.col("d_cum")
-        c_before = F.col("d_cum") - F.col("d")
-        change = {
-            "distinct": (c_after >= 1).cast("long") - (c_before >= 1).cast("long"),
-            "entropy": _xlogx(c_after.cast("double")) - _xlogx(c_before.cast("double")),
-        }
-
-        def into(column: str, values: list[tuple[int, Column]]) -> Column:
-            """The value of the row's own dim, among those that go to this column."""
-            out = F.lit(0).cast("long")
-            for k, value in values:
-                out = F.when(F.col("dim") == k, value).otherwise(out)
-            return out.cast("long").alias(column)
-
-        moved = {c: [(k, change[d[4]]) for k, d in enumerate(dims) if d[4] != "first" and place[d[1]][1] == c] for c in sums}
-        first = ((F.col("d") == 1) & (F.col("ever_cum") == 1)).cast("long")
-        # several flags may hang on one dim of a family, each in a column of its own
-        moved |= {c: [(host, first) for _, name, host in flags if place[name][1] == c] for c in marks}
-        used = [c for c, values in moved.items() if values]
-        sel = [F.col("_fam"), F.col("_key"), F.col(T), F.col(ORD), F.lit(0).alias(ARRIVAL), F.lit(None).cast("long").alias("_seq")]
-        change_rows = s1.select(*sel, *[into(c, moved[c]) for c in (*sums, *marks)]).where(_or_all([F.col(c) != 0 for c in used]))
-
-    # ---------------- stage 2: running sums per (family, key) ----------------
-    structs = []
-    for fi, fam in enumerate(families):
-        mine = {j: c for j, (f2, c) in enumerate(counts) if f2 == fi}
-
-        def struct_sql(t_sql: str, ord_sql: str, arrival: int, seq_sql: str, vals: dict[str, str]) -> str:
-            parts = [f"'_fam', {fi}", f"'_key', _k{fi}", f"'{T}', {t_sql}", f"'{ORD}', {ord_sql}",
-                     f"'{ARRIVAL}', {arrival}", f"'_seq', {seq_sql}"]
-            parts += [f"'{c}', {vals.get(c, '0L')}" for c in (*sums, *marks)]
-            return "named_struct(" + ", ".join(parts) + ")"
-
-        structs.append(struct_sql("_tv", "_sv", 1, "_sv", {place[c.name][1]: f"_m{j}" for j, c in mine.items()}))
-        for w in sorted({c.seconds for c in mine.values() if c.seconds is not None}):
-            vals = {place[c.name][1]: f"-_m{j}" for j, c in mine.items() if c.seconds == w}
-            structs.append(struct_sql(f"_tv + {w + 1}L", "-1L - _sv", 0, "CAST(NULL AS BIGINT)", vals))
-    s2 = base.select(F.expr(f"explode(array({', '.join(structs)}))").alias("r")).select("r.*")
-    if change_rows is not None:
-        s2 = s2.unionByName(change_rows)
-    s2 = running_sum(s2.where("_key is not null"), ["_fam", "_key"], sums, slot_values=marks, bucket_seconds=bucket_seconds, hot=split)
-    arrivals = s2.where(F.col(ARRIVAL) == 1)
+    shape = _Shape(families, counts, dims, flags, place, sums, marks)
+    is_hot = _key_id(F.col("_fam"), F.col("_key")).isin(load.keys) if load.keys else None
+    arrivals = _sweep_whole(base, shape, is_hot, load.rows, bucket_seconds)
+    if is_hot is not None:
+        arrivals = arrivals.unionByName(_sweep_buckets(base, shape, is_hot, load.buckets, bucket_seconds))
 
     # ---------------- fold the per-family arrival rows by seq ----------------
     aggs = [F.sum(F.when(F.col("_fam") == fi, F.col(f"{c}_{'cum' if c[0] == 'm' else 'slot'}"))).alias(n) for n, (fi, c) in place.items()]
-    folded = arrivals.groupBy(F.col("_seq").alias(seq_col)).agg(*aggs)
+    # dealt out before the aggregate: a partial one would combine nothing and send all families' columns
+    folded = arrivals.repartition("_seq").groupBy(F.col("_seq").alias(seq_col)).agg(*aggs)
 
     out = [F.col(seq_col)]
     for fam in families:
@@ -339,3 +324,148 @@ def sweep(
         for f in fam.firsts:
             out.append((F.col(f.name) > 0).alias(f.name))
     return folded.select(*out)
+
+
+@dataclass
+class _Shape:
+    """The measures of a sweep and the columns they go to."""
+
+    families: list[Family]
+    counts: list[tuple[int, Count]]
+    dims: list[tuple[int, str, str, int | None, str]]
+    flags: list[tuple[int, str, int]]
+    place: dict[str, tuple[int, str]]
+    sums: list[str]
+    marks: list[str]
+
+    def arrival_columns(self) -> list[str]:
+        return ["_fam", "_seq", *[f"{c}_cum" for c in self.sums], *[f"{c}_slot" for c in self.marks]]
+
+    def windows(self, fi: int) -> list[int]:
+        return sorted({c.seconds for f2, c in self.counts if f2 == fi and c.seconds is not None})
+
+    def moved(self) -> dict[str, Column]:
+        """Per column what a stage-1 row (of a dim, with its running counts) adds to it; columns that no dim goes to are left out."""
+        after, before = F.col("d_cum"), F.col("d_cum") - F.col("d")
+        change = {
+            "distinct": (after >= 1).cast("long") - (before >= 1).cast("long"),
+            "entropy": _xlogx(after.cast("double")) - _xlogx(before.cast("double")),
+        }
+        # the value of the row's own dim, among those that go to a column
+        into = {c: [(k, change[d[4]]) for k, d in enumerate(self.dims) if d[4] != "first" and self.place[d[1]][1] == c] for c in self.sums}
+        first = ((F.col("d") == 1) & (F.col("ever_cum") == 1)).cast("long")
+        # several flags may hang on one dim of a family, each in a column of its own
+        into |= {c: [(host, first) for _, name, host in self.flags if self.place[name][1] == c] for c in self.marks}
+        out = {}
+        for column, values in into.items():
+            for k, value in values:
+                out[column] = F.when(F.col("dim") == k, value).otherwise(out.get(column, F.lit(0).cast("long")))
+        return {c: v.cast("long") for c, v in out.items()}
+
+
+def _struct(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in fields.items()) + ")"
+
+
+def _sweep_whole(base: DataFrame, shape: _Shape, is_hot: Column | None, rows: int, bucket_seconds: int) -> DataFrame:
+    """The arrival rows of all keys but the hot ones. As in ``_sweep_buckets``, a sum is null up to the first value
+    of its bucket that isn't."""
+    sums, marks = shape.sums, shape.marks
+    mine = [[j for j, (f2, _) in enumerate(shape.counts) if f2 == fi] for fi in range(len(shape.families))]
+    values = [list(dict.fromkeys(d[2] for d in shape.dims if d[0] == fi)) for fi in range(len(shape.families))]
+    n_counts, n_values = max(map(len, mine)), max(map(len, values))
+    heads, fans = [], []
+    for fi in range(len(shape.families)):
+        head = {"_fam": f"{fi}", "_key": f"_k{fi}", "_tv": "_tv", "_sv": "_sv"}
+        head |= {f"_c{i}": f"_m{mine[fi][i]}" if i < len(mine[fi]) else "0L" for i in range(n_counts)}
+        head |= {f"_w{i}": f"_v_{values[fi][i]}" if i < len(values[fi]) else "CAST(NULL AS BIGINT)" for i in range(n_values)}
+        heads.append(_struct(**head))
+
+        def row(t: str, order: str, arrival: int, dim: int = -1, val: str = "0L", d: int = 0, ever: int = 0, given: dict[str, str] | None = None) -> str:
+            cells = {c: (given or {}).get(c, "0L") for c in (*sums, *marks)}
+            return _struct(dim=f"{dim}", val=val, **{T: t, ORD: order, ARRIVAL: f"{arrival}"}, d=f"{d}", ever=f"{ever}", **cells)
+
+        fan = []
+        for k, (f2, _name, value, seconds, _kind) in enumerate(shape.dims):
+            if f2 == fi:
+                val = f"_w{values[fi].index(value)}"
+                fan.append(row("_tv", "_sv", 0, k, val, 1, 1))
+                if seconds is not None:
+                    fan.append(row(f"_tv + {seconds + 1}L", "-1L - _sv", 0, k, val, -1))
+        at = {shape.counts[j][1].name: i for i, j in enumerate(mine[fi])}
+        seconds_of = {shape.counts[j][1].name: shape.counts[j][1].seconds for j in mine[fi]}
+        fan.append(row("_tv", "_sv", 1, given={shape.place[n][1]: f"_c{i}" for n, i in at.items()}))
+        for w in shape.windows(fi):
+            fan.append(row(f"_tv + {w + 1}L", "-1L - _sv", 0, given={shape.place[n][1]: f"-_c{i}" for n, i in at.items() if seconds_of[n] == w}))
+        fans.append(f"WHEN _fam = {fi} THEN array({', '.join(fan)})")
+
+    d = base.select(F.expr(f"explode(array({', '.join(heads)}))").alias("r")).select("r.*").where("_key is not null and _tv is not null")
+    if is_hot is not None:
+        d = d.where(~is_hot)
+    # as many tasks as the rows need: the fan-out behind the exchange isn't seen in its size
+    cores = base.sparkSession.sparkContext.defaultParallelism
+    d = d.repartition(max(cores, -(-rows // (ROWS_A_TASK * len(shape.families)))), "_fam", "_key")
+    d = d.select("_fam", "_key", F.col("_sv").alias("_seq"), F.expr(f"explode(CASE {' '.join(fans)} END)").alias("r")).select("_fam", "_key", "_seq", "r.*")
+    cells = [F.col(c) for c in (*sums, *marks)]
+    if shape.dims:
+        # a group's hash before it: sorts compare the first eight bytes before anything else
+        group = ["_fam", "_key", "dim", "val"]
+        d = d.where("val is not null").withColumn(GROUP, F.xxhash64(*group))
+        running = Window.partitionBy(GROUP, *group).orderBy(T, ORD)
+        d = d.select("*", F.sum("d").over(running).alias("d_cum"), F.sum("ever").over(running).alias("ever_cum"))
+        moved = shape.moved()
+        cells = [F.when(F.col("dim") < 0, F.col(c)).otherwise(moved.get(c, F.lit(0))).cast("long").alias(c) for c in (*sums, *marks)]
+    d = d.select("_fam", "_key", "_seq", T, ORD, ARRIVAL, "dim", *cells)
+    if shape.dims:
+        d = d.where((F.col("dim") < 0) | _or_all([F.col(c) != 0 for c in moved]))
+    d = d.withColumns({GROUP: F.xxhash64("_fam", "_key"), BKT: F.floor(F.col(T) / F.lit(bucket_seconds))})
+    running = Window.partitionBy(GROUP, "_fam", "_key").orderBy(T, ORD)
+    slot = Window.partitionBy(GROUP, "_fam", "_key", T, ORD)
+    missing = {shape.place[c.name][1] for j, (_, c) in enumerate(shape.counts) if base.schema[f"_m{j}"].nullable}
+
+    def total(c: str) -> Column:
+        value = F.sum(c).over(running)
+        return F.when(F.max(F.when(F.col(c).isNotNull(), F.col(BKT))).over(running) == F.col(BKT), value) if c in missing else value
+
+    d = d.select("_fam", "_seq", ARRIVAL, *[total(c).alias(f"{c}_cum") for c in sums], *[F.sum(c).over(slot).alias(f"{c}_slot") for c in marks])
+    return d.where(F.col(ARRIVAL) == 1).select(*shape.arrival_columns())
+
+
+def _sweep_buckets(base: DataFrame, shape: _Shape, is_hot: Column, buckets: list[int], bucket_seconds: int) -> DataFrame:
+    """The arrival rows of the hot keys, summed by buckets; ``buckets`` are the ones to split."""
+    sums, marks = shape.sums, shape.marks
+    split = _bucket_id(F.col("_fam"), F.col("_key"), F.col(BKT)).isin(buckets) if buckets else None
+
+    # ---------------- stage 1: running counts per (family, key, measure, value) ----------------
+    change_rows = None
+    if shape.dims:
+        structs = []
+        for k, (fi, _name, value, seconds, _kind) in enumerate(shape.dims):
+            head = {"_fam": f"{fi}", "_key": f"_k{fi}", "dim": f"{k}", "val": f"_v_{value}"}
+            structs.append(_struct(**head, **{T: "_tv", ORD: "_sv"}, d="1", ever="1"))
+            if seconds is not None:
+                structs.append(_struct(**head, **{T: f"_tv + {seconds + 1}L", ORD: "-1L - _sv"}, d="-1", ever="0"))
+        s1 = base.select(F.expr(f"explode(array({', '.join(structs)}))").alias("r")).select("r.*").where("_key is not null and val is not null").where(is_hot)
+        s1 = running_sum(s1, ["_fam", "_key", "dim", "val"], ["d", "ever"], bucket_seconds=bucket_seconds, hot=split)
+        moved = shape.moved()
+        sel = [F.col("_fam"), F.col("_key"), F.col(T), F.col(ORD), F.lit(0).alias(ARRIVAL), F.lit(None).cast("long").alias("_seq")]
+        change_rows = s1.select(*sel, *[moved.get(c, F.lit(0).cast("long")).alias(c) for c in (*sums, *marks)]).where(_or_all([F.col(c) != 0 for c in moved]))
+
+    # ---------------- stage 2: running sums per (family, key) ----------------
+    structs = []
+    for fi in range(len(shape.families)):
+        mine = {j: c for j, (f2, c) in enumerate(shape.counts) if f2 == fi}
+
+        def row(t: str, order: str, arrival: int, seq: str, given: dict[str, str]) -> str:
+            head = {"_fam": f"{fi}", "_key": f"_k{fi}", T: t, ORD: order, ARRIVAL: f"{arrival}", "_seq": seq}
+            return _struct(**head, **{c: given.get(c, "0L") for c in (*sums, *marks)})
+
+        structs.append(row("_tv", "_sv", 1, "_sv", {shape.place[c.name][1]: f"_m{j}" for j, c in mine.items()}))
+        for w in shape.windows(fi):
+            given = {shape.place[c.name][1]: f"-_m{j}" for j, c in mine.items() if c.seconds == w}
+            structs.append(row(f"_tv + {w + 1}L", "-1L - _sv", 0, "CAST(NULL AS BIGINT)", given))
+    s2 = base.select(F.expr(f"explode(array({', '.join(structs)}))").alias("r")).select("r.*").where("_key is not null").where(is_hot)
+    if change_rows is not None:
+        s2 = s2.unionByName(change_rows)
+    s2 = running_sum(s2, ["_fam", "_key"], sums, slot_values=marks, bucket_seconds=bucket_seconds, hot=split)
+    return s2.where(F.col(ARRIVAL) == 1).select(*shape.arrival_columns())
