@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import materialize
+from ..sources.store import discard, materialize
 
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]]) -> DataFrame:
@@ -66,7 +66,7 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]]
         (F.ceil("at") - F.col("at")) * F.col("low") + part * F.col("high")
     )
     picked = picked.withColumn("value", value)
-    return picked.agg(
+    result = picked.agg(
         *[
             F.array(
                 *[F.max(F.when((F.col("c") == k) & (F.col("j") == j), F.col("value"))) for j in range(len(wanted[name][1]))]
@@ -74,3 +74,6 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]]
             for k, name in enumerate(names)
         ]
     )
+    result = materialize(result, "quantiles")  # one row, so that the counts can go
+    discard(ranged)
+    return result
