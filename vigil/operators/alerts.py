@@ -3,10 +3,12 @@
 An alert folds into the open alert of its fingerprint when that alert was last
 seen at most 300 s earlier (each repeat extends the window: a session).
 Event time replaces the wall clock, so a batch rerun and a stream give the same
-table. Sessions are found with gaps-and-islands over ``(ts_sec, seq)``; a hot
-fingerprint is split by time bucket and the previous bucket's last time / last
-session start is carried in from a small per-bucket table, so no fingerprint
-lands whole in one task. The fold uses aggregates with map-side combine; list
+table. Sessions are found with gaps-and-islands over ``(ts_sec, seq)``. The alerts
+are dealt out by fingerprint, once: sessions, fold and list unions follow in the
+same task. A fingerprint that is measured to hold many alerts (``HOT_ALERTS``) is
+split by time bucket instead, and the previous bucket's last time / last session
+start is carried in from a small per-bucket table, so no hot fingerprint lands
+whole in one task; its fold uses aggregates with map-side combine, and its list
 unions are de-duplicated by aggregation before the per-alert collect.
 """
 
@@ -17,9 +19,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import json_string, severity_of_rank, severity_rank, sorted_key_json
 from ..schema import SUPPRESSION_WINDOW_SECONDS
-from ..sources.store import materialize, sorted_join
+from ..sources.store import ROWS_A_TASK, materialize, sorted_join
 
 SESSION_BUCKET_SECONDS = 3600
+HOT_ALERTS = 20_000  # alerts of one fingerprint from which it is split
+HOT_LISTED = 10_000  # so many hot fingerprints are split at most, the largest ones
 
 
 def _json_list(c: Column) -> Column:
@@ -125,29 +129,37 @@ def _ordered_unions(df: DataFrame, group: list[str], cols=LIST_COLUMNS) -> DataF
     )
 
 
-def suppress(
-    alerts: DataFrame,
-    gap_seconds: int = SUPPRESSION_WINDOW_SECONDS,
-    bucket_seconds: int = SESSION_BUCKET_SECONDS,
-    materialize_sessions: bool = True,
-) -> DataFrame:
-    """Fold alerts (with keys) into the stored alert table: one row per session.
+def _sessions_whole(alerts: DataFrame, gap_seconds: int, rows: int) -> DataFrame:
+    """``assign_sessions`` for fingerprints that a task holds whole: one exchange, which the fold shares."""
+    cores = alerts.sparkSession.sparkContext.defaultParallelism
+    d = alerts.where("alert_fingerprint is not null and ts_sec is not null")
+    d = d.repartition(max(cores, -(-rows // ROWS_A_TASK)), "alert_fingerprint")
+    # the hash tells the fingerprints apart in the sort's first eight bytes, where their text would tie
+    d = d.withColumn("_g", F.xxhash64("alert_fingerprint"))
+    w = Window.partitionBy("_g", "alert_fingerprint").orderBy("ts_sec", "seq")
+    prev = F.lag("ts_sec").over(w)
+    d = d.withColumn("_start", prev.isNull() | ((F.col("ts_sec") - prev) > gap_seconds))
+    start = F.when(F.col("_start"), F.struct(F.col("ts_sec").alias("t"), F.col("seq").alias("s")))
+    d = d.withColumn("_at", F.max(start).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.withColumn("session_ts", F.col("_at.t")).withColumn("session_seq", F.col("_at.s")).drop("_g", "_start", "_at")
 
-    Keeps id and created_at of the first alert; max scores (null-aware); newest
-    title, description, features and event; sorted source union; first-seen
-    ordered union of reasons, actions and contributors; count - 1 repeats.
-    The alerts are written to the checkpoint folder before the sessions' three passes over them, unless they
-    were read from it, and so are the sessionized ones before the two aggregations read them.
-    """
-    if materialize_sessions:
-        rows = alerts if "scratch_folder" in alerts.__dict__ else materialize(alerts, "alert-rows")
-        s = materialize(assign_sessions(rows, gap_seconds, bucket_seconds), "alert-sessions")
-    else:
-        s = assign_sessions(alerts, gap_seconds, bucket_seconds)
-    group = ["alert_fingerprint", "session_ts", "session_seq"]
+
+def _collected_unions(cols=LIST_COLUMNS) -> Column:
+    """The items of all list columns of a group, for groups that a task may hold: as ``_ordered_unions`` orders them."""
+    def tag(k: int):
+        return lambda x, i: F.struct(F.lit(k).alias("k"), F.col("ts_sec"), F.col("seq"), i.alias("pos"), x.alias("item"))
+
+    return F.array_sort(F.flatten(F.collect_list(F.flatten(F.array(*[F.transform(F.col(c), tag(k)) for k, c in enumerate(cols)])))))
+
+
+SESSION = ["alert_fingerprint", "session_ts", "session_seq"]
+
+
+def _fold(s: DataFrame, *more: Column) -> DataFrame:
+    """One row per session."""
     newest = F.struct("ts_sec", "seq")
     nonempty = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", newest)
-    folded = s.groupBy(*group).agg(
+    return s.groupBy(*SESSION).agg(
         F.min_by("idempotency_key", newest).alias("_first_key"),
         F.min("timestamp").alias("created_at"),
         F.max("timestamp").alias("last_seen_at"),
@@ -165,8 +177,59 @@ def suppress(
         (F.count(F.lit(1)) - 1).alias("suppression_count"),
         F.max_by("event", newest).alias("event"),
         F.max_by("idempotency_key", newest).alias("idempotency_key"),
+        *more,
     )
-    out = folded.join(sorted_join(_ordered_unions(s, group)), group, "left")
+
+
+def _hot_fingerprints(rows: DataFrame, hot_alerts: int) -> tuple[int, list[int]]:
+    """The number of alerts, and the hashes of fingerprints with more than ``hot_alerts`` of them."""
+    counts = rows.groupBy(F.xxhash64("alert_fingerprint").alias("_g")).count()
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    if not total or most <= hot_alerts:
+        return total or 0, []
+    large = counts.where(F.col("count") > hot_alerts).orderBy(F.desc("count")).limit(HOT_LISTED)
+    return total, [r["_g"] for r in large.collect()]
+
+
+# What the fold reads of an alert.
+FOLD_COLUMNS = [
+    "seq", "ts_sec", "timestamp", "event", "feature_context", "severity", "title", "description", "anomaly_score", "confidence",
+    "reasons", "recommended_actions", "detection_sources", "ml_anomaly_score", "ml_confidence", "model_version", "ml_top_contributors",
+    "ml_explanation", "idempotency_key", "alert_fingerprint",
+]
+
+
+def suppress(
+    alerts: DataFrame,
+    gap_seconds: int = SUPPRESSION_WINDOW_SECONDS,
+    bucket_seconds: int = SESSION_BUCKET_SECONDS,
+    materialize_sessions: bool = True,
+    hot_alerts: int = HOT_ALERTS,
+) -> DataFrame:
+    """Fold alerts (with keys) into the stored alert table: one row per session.
+
+    Keeps id and created_at of the first alert; max scores (null-aware); newest
+    title, description, features and event; sorted source union; first-seen
+    ordered union of reasons, actions and contributors; count - 1 repeats.
+    The alerts are written to the checkpoint folder before they are counted by fingerprint and folded, unless
+    they were read from it, and so are the sessionized ones of hot fingerprints before the two aggregations read them.
+    """
+    rows = alerts
+    if materialize_sessions and "scratch_folder" not in alerts.__dict__:
+        rows = materialize(alerts.select(*FOLD_COLUMNS), "alert-rows")
+    total, hot = _hot_fingerprints(rows, hot_alerts)
+    is_hot = F.xxhash64("alert_fingerprint").isin(hot)
+    whole = _sessions_whole((rows.where(~is_hot) if hot else rows).select(*FOLD_COLUMNS), gap_seconds, total)
+
+    def of_kind(k: int):
+        return lambda x: x["k"] == k
+
+    unions = [F.array_distinct(F.transform(F.filter("_l", of_kind(k)), lambda x: x["item"])).alias(c) for k, c in enumerate(LIST_COLUMNS)]
+    out = _fold(whole, _collected_unions().alias("_l")).select("*", *unions).drop("_l")
+    if hot:
+        s = assign_sessions(rows.where(is_hot).select(*FOLD_COLUMNS), gap_seconds, bucket_seconds)
+        s = materialize(s, "alert-sessions") if materialize_sessions else s
+        out = out.unionByName(_fold(s).join(sorted_join(_ordered_unions(s, SESSION)), SESSION, "left"))
     return out.select(
         F.sha2(F.col("_first_key"), 256).alias("alert_id"),
         "created_at",

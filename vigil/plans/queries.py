@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import delete_like, detection_category, event_seconds, metric_category
 from ..operators import rules as R
-from ..operators.alerts import drop_known, suppress, with_keys
+from ..operators.alerts import FOLD_COLUMNS, drop_known, suppress, with_keys
 from ..operators.features import dedup_events, feature_snapshot, single_feature
 from ..operators.scoring import PERCENTILES, feature_stats, feature_vector, scenario_breakdown, score_band, score_no_model
 from ..schema import FEATURE_COLUMNS
 from ..sources.fixtures import security_events
-from ..sources.store import materialize, sorted_join
+from ..sources.store import discard, materialize, sorted_join
 from .detect import alert_flat, scored_events
 
 SEP = " | "
@@ -46,8 +46,23 @@ def _alert_rows(spark: SparkSession, sf: str) -> DataFrame:
     return with_keys(R.alerts(_scored(spark, sf)))
 
 
+def _stored_alert_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The alerts written, so that nothing reads the features any more."""
+    features = _features(spark, sf)
+    rows = materialize(with_keys(R.alerts(scored_events(None, features=features))).select(*FOLD_COLUMNS), "alert-rows")
+    discard(features)
+    return rows
+
+
 def _alert_table(spark: SparkSession, sf: str) -> DataFrame:
-    return suppress(_alert_rows(spark, sf))
+    return suppress(_stored_alert_rows(spark, sf))
+
+
+def _stored_alert_table(spark: SparkSession, sf: str, name: str, form: Callable[[DataFrame], DataFrame] = lambda t: t) -> DataFrame:
+    rows = _stored_alert_rows(spark, sf)
+    table = materialize(form(suppress(rows)), name)
+    discard(rows)
+    return table
 
 
 # ----------------------------------------------------------------- features
@@ -755,7 +770,7 @@ def q_stream_late_alerts(spark, sf):
     """Alerts of odd events are stored first, those of even events come late and join or merge the stored sessions."""
     from ..streaming.stream import StreamConfig, current_alerts, store_alerts
 
-    rows = materialize(_alert_rows(spark, sf), "alert-rows")
+    rows = _stored_alert_rows(spark, sf)
     cfg = StreamConfig(base=_scratch(spark, "late-tables"))
     for batch, odd in enumerate((1, 0)):
         store_alerts(spark, cfg, rows.where(F.col("seq") % 2 == odd), batch)
@@ -767,8 +782,10 @@ def q_stream_late_alerts(spark, sf):
 
 def q_alerts_redelivered(spark, sf):
     """Every alert delivered twice: the repeats neither open sessions nor count as suppressed."""
-    a = materialize(_alert_rows(spark, sf), "alert-rows")
-    return _table_projection(suppress(drop_known(a.unionByName(a.withColumn("seq", F.col("seq") + F.lit(10**12))), None)))
+    a = _stored_alert_rows(spark, sf)
+    once = materialize(drop_known(a.unionByName(a.withColumn("seq", F.col("seq") + F.lit(10**12))), None), "alert-rows")
+    discard(a)
+    return _table_projection(suppress(once))
 
 
 def q_replay_archive(spark, sf):
@@ -783,7 +800,7 @@ def q_replay_archive(spark, sf):
 def q_alert_by_id(spark, sf):
     from .triage import alert_by_id
 
-    table = materialize(_alert_table(spark, sf), "alert-table")
+    table = _stored_alert_table(spark, sf, "alert-table")
     found = alert_by_id(table, table.agg(F.min("alert_id")).first()[0])
     return found.select("alert_id", "label", "reasons_text", "detection", "suppression_count", "model_version", "contributors_text", "ml_explanation")
 
@@ -821,7 +838,7 @@ def q_alerts_stored_versions(spark, sf):
     """Alerts stored by three versions of the table, dealt out by the first digit of their id, read as one."""
     from ..sources.tables import export_alerts, read_alert_versions, write_alert_version
 
-    export = materialize(export_alerts(_alert_table(spark, sf)), "alert-export")
+    export = _stored_alert_table(spark, sf, "alert-export", export_alerts)
     first = ["alert_id", "created_at", "severity", "title", "description", "anomaly_score", "confidence", "reasons_json", "recommended_actions_json", "event_json"]
     second = [*first, "last_seen_at", "model_version", "detection_sources_json", "suppression_count"]
     digit = F.substring("alert_id", 1, 1)
