@@ -61,8 +61,30 @@ def with_keys(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("idempotency_key", idempotency_key()).withColumn("alert_fingerprint", fingerprint())
 
 
+LISTED = 10_000  # so many key hashes go into a filter at most
+
+
 def drop_known(alerts: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Idempotency: drop repeats inside the input and keys already stored (semi/anti join)."""
+    """Idempotency: drop repeats inside the input and keys already stored (semi/anti join).
+
+    Of a written input, only alerts whose key's hash occurs again are shuffled for it, if these are few.
+    """
+    if "scratch_folder" not in alerts.__dict__:
+        return _drop_known(alerts, stored)
+    key = F.xxhash64("idempotency_key")
+    seen = alerts.select(key.alias("k"), F.lit(1).alias("here"), F.lit(0).alias("there"))
+    if stored is not None:
+        seen = seen.unionByName(stored.select(key.alias("k"), F.lit(0).alias("here"), F.lit(1).alias("there")))
+    again = seen.groupBy("k").agg(F.sum("here").alias("here"), F.max("there").alias("there")).where("here > 1 or (here = 1 and there = 1)")
+    found = [r["k"] for r in again.select("k").limit(LISTED + 1).collect()]
+    if not found:
+        return alerts
+    if len(found) > LISTED:
+        return _drop_known(alerts, stored)
+    return alerts.where(~key.isin(found)).unionByName(_drop_known(alerts.where(key.isin(found)), stored))
+
+
+def _drop_known(alerts: DataFrame, stored: DataFrame | None) -> DataFrame:
     w = Window.partitionBy("idempotency_key").orderBy("ts_sec", "seq")
     out = alerts.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     if stored is not None:

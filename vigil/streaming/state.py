@@ -15,7 +15,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,7 +94,7 @@ class KeyedState:
         if not files.exists(self._child("_schema", "_SUCCESS")):
             self.spark.createDataFrame([(self.schema.json(),)], "value string").write.mode("overwrite").text(f"{self.path}/_schema")
         out = rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket")
-        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{run.name}")
+        out.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{run.name}")
 
     def read(self, before: int, keys: DataFrame | None = None, buckets: list[int] | None = None) -> DataFrame:
         """The merged rows that batches before ``before`` left; with ``keys`` (the key columns), only theirs.
@@ -149,8 +149,9 @@ def newest(key: list[str]) -> Callable[[DataFrame], DataFrame]:
     """Of the versions of a key the one written last."""
 
     def merge(rows: DataFrame) -> DataFrame:
-        last = rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), "batch_id").alias("_r"))
-        return last.select("_r.*")
+        # a window, unlike an aggregate of whole rows, shuffles only the columns that are read behind it
+        last = Window.partitionBy(*key).orderBy(F.desc("batch_id"))
+        return rows.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
 
     return merge
 

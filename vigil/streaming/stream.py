@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from ..functions.validate import dead_letters, failure_letters, validate_events
 from ..operators import rules as R
-from ..operators.alerts import drop_known, suppress, with_keys
+from ..operators.alerts import FOLD_COLUMNS, drop_known, suppress, with_keys
 from ..operators.features import FAMILY_INPUTS, dedup_events, feature_snapshot
 from ..operators.scoring import score_from_raw_frame, score_no_model
 from ..sources.raw import archive_line, arrival_numbers
@@ -388,10 +388,13 @@ def store_alerts(spark: SparkSession, cfg: StreamConfig, alerts: DataFrame, batc
     """Log a batch's new alerts and fold them into the alert table; returns the alerts that were new."""
     keys = _states(spark, cfg)["alert_keys"]
     rows = materialize(alerts, "batch-keyed")
-    new = materialize(drop_known(rows, keys.read(batch_id, rows.select("idempotency_key"))), "batch-alerts")
-    discard(rows)
-    log = _alert_log(spark, cfg, new.schema)
-    _together(spark, lambda: keys.write(new.select("idempotency_key", "ts_sec"), batch_id), lambda: log.write(new, batch_id))
+    new = drop_known(rows, keys.read(batch_id, rows.select("idempotency_key")))
+    if new is not rows:
+        new = materialize(new, "batch-alerts")
+        discard(rows)
+    folded = new.select(*FOLD_COLUMNS)
+    log = _alert_log(spark, cfg, folded.schema)
+    _together(spark, lambda: keys.write(new.select("idempotency_key", "ts_sec"), batch_id), lambda: log.write(folded, batch_id))
     if not new.isEmpty():
         _upsert_alerts(spark, cfg, new, log, batch_id)
     return new
@@ -409,12 +412,13 @@ def _deliver(cfg: StreamConfig, rows: DataFrame, events: DataFrame, batch_id: in
 
 
 STATE = ["session_start", "deleted"]
+REACHED = ["alert_id", "alert_fingerprint", "created_at", "last_seen_at", "session_start"]  # what tells a stored session apart
 
 
 def _upsert_alerts(spark: SparkSession, cfg: StreamConfig, new: DataFrame, log: KeyedState, batch_id: int) -> None:
     """Fold the sessions that the batch's alerts can reach again; write what changed."""
     gap = cfg.suppression_seconds
-    path, rows, reached = cfg.path("alerts"), new, None
+    path, rows, reached, used = cfg.path("alerts"), new, None, []
     if _exists(spark, path):
         schema = stored_schema(spark, path)
         touched = new.groupBy("alert_fingerprint").agg(F.min("ts_sec").alias("_lo"))
@@ -423,15 +427,15 @@ def _upsert_alerts(spark: SparkSession, cfg: StreamConfig, new: DataFrame, log:
             _alert_state(spark, cfg, schema)
             .read(batch_id, touched, buckets)
             .where("not deleted")
-            .drop("batch_id")
             .join(sorted_join(touched), "alert_fingerprint")
             .where(F.unix_seconds("last_seen_at") >= F.col("_lo") - F.lit(gap))
-            .drop("_lo"),
+            .select(*REACHED),
             "batch-sessions",
         )
         since = reached.groupBy("alert_fingerprint").agg(F.min("session_start").alias("_since"))
         old = log.read(batch_id, since, buckets).join(sorted_join(since), "alert_fingerprint").where(F.col("ts_sec") >= F.col("_since"))
-        rows = new.unionByName(old.select(*new.columns))
+        rows = materialize(new.select(*FOLD_COLUMNS).unionByName(old.select(*FOLD_COLUMNS)), "batch-reached")
+        used = [reached, rows]
     live = suppress(rows, gap).withColumn("session_start", F.unix_seconds("created_at")).withColumn("deleted", F.lit(False))
     if reached is None:
         _alert_state(spark, cfg, live.schema).write(live, batch_id)
@@ -448,9 +452,11 @@ def _upsert_alerts(spark: SparkSession, cfg: StreamConfig, new: DataFrame, log:
         {"alert_id": F.coalesce(F.col("_was.id"), F.col("alert_id")), "created_at": F.coalesce(F.col("_was.at"), F.col("created_at"))}
     )
     live = materialize(live.select(*schema.fieldNames()), "batch-live")
-    gone = reached.join(sorted_join(live.select("alert_id")), "alert_id", "left_anti").withColumn("deleted", F.lit(True)).select(*schema.fieldNames())
+    # of a session that went into another only its keys are written
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in (*REACHED, "deleted")]
+    gone = reached.join(sorted_join(live.select("alert_id")), "alert_id", "left_anti").select(*REACHED, F.lit(True).alias("deleted"), *blank)
     _alert_state(spark, cfg, schema).write(live.unionByName(gone), batch_id)
-    for table in (reached, live):
+    for table in (*used, live):
         discard(table)
 
 
