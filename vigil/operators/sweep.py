@@ -369,7 +369,7 @@ def _struct(**fields: str) -> str:
 
 def _sweep_whole(base: DataFrame, shape: _Shape, is_hot: Column | None, rows: int, bucket_seconds: int) -> DataFrame:
     """The arrival rows of all keys but the hot ones. As in ``_sweep_buckets``, a sum is null up to the first value
-    of its bucket that isn't."""
+    of its bucket that isn't, and events without a time come before all others (they get no row)."""
     sums, marks = shape.sums, shape.marks
     mine = [[j for j, (f2, _) in enumerate(shape.counts) if f2 == fi] for fi in range(len(shape.families))]
     values = [list(dict.fromkeys(d[2] for d in shape.dims if d[0] == fi)) for fi in range(len(shape.families))]
@@ -399,7 +399,7 @@ def _sweep_whole(base: DataFrame, shape: _Shape, is_hot: Column | None, rows: in
             fan.append(row(f"_tv + {w + 1}L", "-1L - _sv", 0, given={shape.place[n][1]: f"-_c{i}" for n, i in at.items() if seconds_of[n] == w}))
         fans.append(f"WHEN _fam = {fi} THEN array({', '.join(fan)})")
 
-    d = base.select(F.expr(f"explode(array({', '.join(heads)}))").alias("r")).select("r.*").where("_key is not null and _tv is not null")
+    d = base.select(F.expr(f"explode(array({', '.join(heads)}))").alias("r")).select("r.*").where("_key is not null")
     if is_hot is not None:
         d = d.where(~is_hot)
     # as many tasks as the rows need: the fan-out behind the exchange isn't seen in its size
@@ -417,7 +417,7 @@ def _sweep_whole(base: DataFrame, shape: _Shape, is_hot: Column | None, rows: in
         cells = [F.when(F.col("dim") < 0, F.col(c)).otherwise(moved.get(c, F.lit(0))).cast("long").alias(c) for c in (*sums, *marks)]
     d = d.select("_fam", "_key", "_seq", T, ORD, ARRIVAL, "dim", *cells)
     if shape.dims:
-        d = d.where((F.col("dim") < 0) | _or_all([F.col(c) != 0 for c in moved]))
+        d = d.where((F.col("dim") < 0) | (F.col(T).isNotNull() & _or_all([F.col(c) != 0 for c in moved])))
     d = d.withColumns({GROUP: F.xxhash64("_fam", "_key"), BKT: F.floor(F.col(T) / F.lit(bucket_seconds))})
     running = Window.partitionBy(GROUP, "_fam", "_key").orderBy(T, ORD)
     slot = Window.partitionBy(GROUP, "_fam", "_key", T, ORD)
@@ -427,8 +427,8 @@ def _sweep_whole(base: DataFrame, shape: _Shape, is_hot: Column | None, rows: in
         value = F.sum(c).over(running)
         return F.when(F.max(F.when(F.col(c).isNotNull(), F.col(BKT))).over(running) == F.col(BKT), value) if c in missing else value
 
-    d = d.select("_fam", "_seq", ARRIVAL, *[total(c).alias(f"{c}_cum") for c in sums], *[F.sum(c).over(slot).alias(f"{c}_slot") for c in marks])
-    return d.where(F.col(ARRIVAL) == 1).select(*shape.arrival_columns())
+    d = d.select("_fam", "_seq", T, ARRIVAL, *[total(c).alias(f"{c}_cum") for c in sums], *[F.sum(c).over(slot).alias(f"{c}_slot") for c in marks])
+    return d.where((F.col(ARRIVAL) == 1) & F.col(T).isNotNull()).select(*shape.arrival_columns())
 
 
 def _sweep_buckets(base: DataFrame, shape: _Shape, is_hot: Column, buckets: list[int], bucket_seconds: int) -> DataFrame:
